@@ -53,11 +53,11 @@ with e as (select asset_id, folder_id, taken_at from (select asset_id, folder_id
 """
 _ORPHANS = """
 with refs as (
-  select 'assets' table_name, asset_id row_id, folder_id missing_id, imported_at seconds from assets where folder_id is not null
+  select 'assets' table_name, asset_id row_id, folder_id missing_id, imported_at as at_s from assets where folder_id is not null
   union all select 'regions', region_id, asset_id, created_at from regions where asset_id is not null
   union all select 'vec_regions', region_id, region_id, written_at from vec_regions where region_id is not null),
- once as (select table_name, row_id, missing_id, seconds from (select *, row_number() over (partition by table_name, row_id order by missing_id, seconds) rn from refs where row_id is not null) where rn = 1),
- found as (select table_name, row_id, missing_id, strftime(to_timestamp(seconds) at time zone 'UTC', '%Y-%m') period from once
+ once as (select table_name, row_id, missing_id, at_s from (select *, row_number() over (partition by table_name, row_id order by missing_id, at_s) rn from refs where row_id is not null) where rn = 1),
+ found as (select table_name, row_id, missing_id, strftime(to_timestamp(at_s) at time zone 'UTC', '%Y-%m') period from once
    where (table_name = 'assets' and missing_id not in (select folder_id from folders where folder_id is not null))
       or (table_name = 'regions' and missing_id not in (select asset_id from assets where asset_id is not null))
       or (table_name = 'vec_regions' and missing_id not in (select region_id from regions where region_id is not null)))
