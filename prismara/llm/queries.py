@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismara.llm import leaks, packing, splitting
+from pyspark.sql import functions as F
+
+from prismara.llm import leaks, neighbours, packing, splitting
 from prismara.tables import load
 
 
+NEAR_VECTORS = 0.985
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for table, key in (("vec_assets", "asset_id"), ("vec_regions", "region_id")):
+        pairs = neighbours.mutual(neighbours.similar_pairs(load(spark, sf_dir, table), key, "embedding", NEAR_VECTORS))
+        pairs = pairs.select(F.lit(table).alias("vec_table"), F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
@@ -28,6 +42,6 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_packed": p6_packed, "p6_containers": p6_containers, "p7_found": p7_found, "p7_spans": p7_spans, "p8_pieces": p8_pieces}
+QUERIES = {"p4_found": p4_found, "p6_packed": p6_packed, "p6_containers": p6_containers, "p7_found": p7_found, "p7_spans": p7_spans, "p8_pieces": p8_pieces}
 
 ORACLE: dict[str, str] = {}
