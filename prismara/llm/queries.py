@@ -6,13 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from prismara.llm import leaks, neighbours, packing, splitting
+from prismara.llm import dedup, leaks, neighbours, packing, spectral, splitting
 from prismara.tables import load
 
 
+ALIKE = 0.77
 NEAR_VECTORS = 0.985
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.found(load(spark, sf_dir, "vec_regions"), "region_id", "embedding", ALIKE).withColumnRenamed("id", "region_id")
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.described(load(spark, sf_dir, "vec_regions"), "region_id", "embedding", ALIKE).withColumnRenamed("id", "region_id")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assets = load(spark, sf_dir, "assets").select("asset_id", "folder_id", "sha256")
+    vectors = load(spark, sf_dir, "vec_assets").join(assets.select("asset_id", "folder_id").distinct(), "asset_id")
+    history = dedup.records(assets, "asset_id", "folder_id", "sha256", None, False).unionByName(dedup.records(vectors, "asset_id", "folder_id", None, "embedding", False))
+    arrivals = dedup.records(load(spark, sf_dir, "arrivals"), "asset_id", "folder_id", "sha256", "embedding", True)
+    return dedup.repeats(history, arrivals, NEAR_VECTORS)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for table, key in (("vec_assets", "asset_id"), ("vec_regions", "region_id")):
@@ -42,6 +59,6 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p6_packed": p6_packed, "p6_containers": p6_containers, "p7_found": p7_found, "p7_spans": p7_spans, "p8_pieces": p8_pieces}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p4_found": p4_found, "p6_packed": p6_packed, "p6_containers": p6_containers, "p7_found": p7_found, "p7_spans": p7_spans, "p8_pieces": p8_pieces}
 
 ORACLE: dict[str, str] = {}
