@@ -6,7 +6,8 @@ to its home cell alone. Its code (a tenth of the size) also goes to the cells wh
 
 Search. In a cell the home vectors are queries; a table of inner products of query and codewords gives each coded candidate's score by
 lookups and its stored norm turns that into a distance. Candidates whose distance agrees with the wanted similarity are reranked
-exactly: at once where the vector is at hand, else after a join that brings it.
+exactly: at once where the vector is at hand; else they are first held against the code's error, which travels with it in 8 bits, and
+the few that remain are reranked after a join that brings their vectors.
 
 Loss. Two vectors at similarity s lie 2(1 - s) apart squared; along a border's normal that is a fraction of the length with a spread
 of 1/sqrt(64). A pair is missed only if that part exceeds twice ``MARGIN_SPREADS / 2`` spreads, or the quantisation error along the pair
@@ -40,7 +41,12 @@ LOCAL = 6_000
 SPLIT = 2_000
 QUERIES, CANDIDATES = 128, 1_024
 
-_PARTS = "cell int, home int, ids array<long>, mark long, vec binary, code binary, norm float, err float"
+#: Most ids sent to every task to pick the vectors that a rerank needs; beyond, all vectors meet the candidates in a shuffled join.
+SENT = 1_000_000
+#: Far above the error of a similarity whose quantisation error is known to 8 bits.
+FINE_ERROR = 1e-3
+
+_PARTS = "cell int, home int, ids array<long>, mark long, vec binary, code binary, norm float, err float, rest binary, scale float"
 _PAIRS = "q array<long>, x array<long>, sim double, qv binary"
 
 
@@ -62,6 +68,11 @@ def _marks(vectors: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _bytes(rows: np.ndarray) -> pa.Array:
+    """One-byte components as a binary column."""
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
 def _encoder(shared, margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantiser: Quantiser = shared.value
@@ -76,15 +87,17 @@ def _encoder(shared, margin: float):
             home, near, cells = quantiser.cells.margins(x, margin)
             codes = quantiser.encode(x - quantiser.cells.centres[home], BEAM)
             decoded = quantiser.decode(home, codes)
-            norm, err = np.einsum("ij,ij->i", decoded, decoded), np.einsum("ij,ij->i", x - decoded, x - decoded)
+            rest = x - decoded
+            norm, err, scale = np.einsum("ij,ij->i", decoded, decoded), np.einsum("ij,ij->i", rest, rest), np.maximum(np.abs(rest).max(1), 1e-12).astype(np.float32)
             names = pa.array(folded, pa.list_(pa.int64()))
-            packed = pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(np.arange(len(codes) + 1, dtype=np.int32) * BOOKS), pa.py_buffer(codes.tobytes())])
-            own = [pa.array(home.astype(np.int32)), pa.array(home.astype(np.int32)), names, pa.array(marks), pack(x), packed, pa.array(norm.astype(np.float32)), pa.array(err.astype(np.float32))]
-            columns = ["cell", "home", "ids", "mark", "vec", "code", "norm", "err"]
+            packed = _bytes(codes)
+            own = [pa.array(home.astype(np.int32)), pa.array(home.astype(np.int32)), names, pa.array(marks), pack(x), packed, pa.array(norm.astype(np.float32)), pa.array(err.astype(np.float32)), pa.nulls(len(x), pa.binary()), pa.array(scale)]
+            columns = ["cell", "home", "ids", "mark", "vec", "code", "norm", "err", "rest", "scale"]
             yield pa.RecordBatch.from_arrays(own, columns)
             if len(near):
                 take = pa.array(near)
-                other = [pa.array(cells.astype(np.int32)), *[c.take(take) for c in own[1:4]], pa.nulls(len(near), pa.binary()), *[c.take(take) for c in own[5:]]]
+                fine = _bytes(np.round(rest[near] / scale[near, None] * 127).astype(np.int8))
+                other = [pa.array(cells.astype(np.int32)), *[c.take(take) for c in own[1:4]], pa.nulls(len(near), pa.binary()), *[c.take(take) for c in own[5:8]], fine, own[9].take(take)]
                 yield pa.RecordBatch.from_arrays(other, columns)
 
     return run
@@ -155,6 +168,8 @@ def _searcher(shared, least: float, margin: float):
             codes = np.frombuffer(b"".join(columns["code"].take(pa.array(every)).to_pylist()), np.uint8).reshape(-1, BOOKS)
             norm, err = (columns[c].to_numpy()[every].astype(np.float64) for c in ("norm", "err"))
             bound = err + apart + 2 * CODE_SPREADS * np.sqrt(err * apart / DIM)
+            fine = np.frombuffer(b"".join(columns["rest"].take(pa.array(far)).to_pylist()), np.int8).reshape(-1, DIM)
+            scale = columns["scale"].to_numpy()[far]
             need = ((1 + norm - bound) / 2 - 1e-6).astype(np.float32)
             for queries, candidates in _rooms(quantiser, vectors, homes, codes, err, margin):
                 q, x, score = _scan(quantiser, vectors[queries], homes[candidates], codes[candidates], need[candidates])
@@ -167,9 +182,12 @@ def _searcher(shared, least: float, margin: float):
                 for i in _best(a, sim, TOP + 1):
                     out.append((own_ids[a[i]], own_ids[b[i]], float(sim[i]), None))
                 outside = x >= len(own)
-                a, b, s = q[outside], x[outside], score[outside] - 0.5 * norm[x[outside]].astype(np.float32)
+                a, b = q[outside], x[outside] - len(own)
+                s = score[outside] + np.einsum("ij,ij->i", vectors[a], fine[b].astype(np.float32)) * scale[b] / 127
+                good = s >= least - FINE_ERROR
+                a, b, s = a[good], b[good], s[good]
                 for i in _best(a, s, KEEP):
-                    out.append((own_ids[a[i]], far_ids[b[i] - len(own)], None, vectors[a[i]].tobytes()))
+                    out.append((own_ids[a[i]], far_ids[b[i]], None, vectors[a[i]].tobytes()))
         q, x, sim, qv = zip(*out) if out else ((), (), (), ())
         return pa.table({"q": pa.array(q, pa.list_(pa.int64())), "x": pa.array(x, pa.list_(pa.int64())), "sim": pa.array(sim, pa.float64()), "qv": pa.array(qv, pa.binary())})
 
@@ -230,7 +248,9 @@ def similar_pairs(vectors: DataFrame, key: str, column: str, least: float, per_c
     hits = coded.groupBy("cell").applyInArrow(_searcher(shared, least, margin), _PAIRS)
     hits = materialise(hits, "neighbours")
     cross = hits.where("qv is not null").select("q", "x", "qv", F.col("x")[0].alias("id"))
-    exact = cross.join(rows.hint("shuffle_hash"), "id").select("q", "x", "qv", "v").mapInArrow(_rerank, "q array<long>, x array<long>, sim double").where(F.col("sim") >= least)
+    asked = cross.select("id").distinct()
+    wanted = rows.join(F.broadcast(asked), "id", "left_semi") if asked.count() <= SENT else rows
+    exact = cross.join(wanted.hint("shuffle_hash"), "id").select("q", "x", "qv", "v").mapInArrow(_rerank, "q array<long>, x array<long>, sim double").where(F.col("sim") >= least)
     pairs = hits.where("qv is null").select("q", "x", "sim").unionByName(exact)
     pairs = pairs.select(F.explode("q").alias("p"), "x", "sim").select("p", F.explode("x").alias("r"), "sim").where("p <> r")
     return pairs.groupBy(F.least("p", "r").alias("a"), F.greatest("p", "r").alias("b")).agg(F.max("sim").alias("sim"))
