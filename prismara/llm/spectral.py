@@ -125,9 +125,7 @@ def _roomed(bits: int):
             if not batch.num_rows:
                 continue
             x = unpack(batch.column(1))
-            scale = np.abs(x).max(1)
-            small = np.round(x / scale[:, None] * 127).astype(np.int8)
-            packed = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * DIM), pa.py_buffer(small.tobytes())])
+            packed, _ = _small(x)
             for t in range(TABLES):
                 room = ((x @ planes[t]) > 0).astype(np.int64) @ (1 << np.arange(max(1, bits))) if bits else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(room * TABLES + t), batch.column(0), packed], ["room", "id", "small"])
@@ -162,6 +160,49 @@ def _linked(least: float):
     return run
 
 
+def _small(x: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Vectors with 8-bit components, and the value of the largest."""
+    scale = np.abs(x).max(1).astype(np.float32)
+    rows = np.round(x / scale[:, None] * 127).astype(np.int8)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * DIM), pa.py_buffer(rows.tobytes())]), pa.array(scale)
+
+
+def _exact(x: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    return pack(x), pa.array(np.zeros(len(x), np.float32))
+
+
+def _plain(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of _small or _exact, and a bound on the length of their error."""
+    scale = table.column("scale").to_numpy().astype(np.float64)
+    data = b"".join(table.column("small").to_pylist())
+    if len(scale) and scale.max() > 0:
+        return np.frombuffer(data, np.int8).reshape(-1, DIM) * (scale[:, None] / 127), scale / 254 * np.sqrt(DIM) * 1.001 + 1e-6
+    return np.frombuffer(data, np.float32).reshape(-1, DIM).astype(np.float64), np.zeros(len(scale))
+
+
+def _judge(least: float):
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        label, open_ = None, []
+        if a.num_rows and b.num_rows:
+            (x, ex), (y, ey) = _plain(a), _plain(b)
+            own = np.asarray(a.column("own").combine_chunks())
+            ids, others = a.column("id").to_numpy(), b.column("id").to_numpy()
+            label = a.column("label")[0].as_py()
+            for s in range(0, len(x), 512):
+                # how far each pair is on the wrong side: a member too far, or an outsider too near
+                wrong = np.where(own[s : s + 512, None], least - x[s : s + 512] @ y.T, x[s : s + 512] @ y.T - least)
+                error = ex[s : s + 512, None] + ey[None, :] + ex[s : s + 512, None] * ey[None, :]
+                wrong[ids[s : s + 512, None] == others[None, :]] = -2
+                certain = np.where(own[s : s + 512, None], wrong > error, (wrong >= error) & (wrong > -2))
+                if certain.any():
+                    open_ = [None]
+                    break
+                open_.extend(ids[s : s + 512][((wrong > -error) & (error > 0)).any(1)].tolist())
+        return pa.table({"label": pa.array([label] * len(open_), pa.int64()), "id": pa.array(open_, pa.int64())})
+
+    return run
+
+
 def _iterate(edges: DataFrame) -> DataFrame:
     """(node, v0, ...): random vectors after so many products with the degree-normalised affinities that they stand still."""
     degree = edges.groupBy("i").agg(F.sum("w").alias("d"))
@@ -317,56 +358,58 @@ class Clusters:
                     if len(i):
                         # members of the group at more than ``bound`` from its centre can decide against this row
                         bound = np.where(inner[i, j], angle - theta[i, j], theta[i, j] - angle) - slack
-                        take = pa.array(i + s)
-                        yield pa.RecordBatch.from_arrays([pa.array(names[j]), pa.array(ids[i + s]), batch.column(1).take(take), pa.array(inner[i, j]), pa.array(bound)], ["label", "id", "vec", "own", "bound"])
-
-        open_rows = materialise(self.labelled.mapInArrow(unclear, "label long, id long, vec binary, own boolean, bound double"), "unclear")
-        least_bound = open_rows.groupBy("label").agg(F.min("bound").alias("bound"), F.count("*").alias("nx")).toArrow()  # at most CENTRES rows
+                        yield pa.RecordBatch.from_arrays([pa.array(names[j]), pa.array(ids[i + s]), *_small(x[i + s]), pa.array(inner[i, j]), pa.array(bound)], ["label", "id", "small", "scale", "own", "bound"])
+
+        open_rows = materialise(self.labelled.mapInArrow(unclear, "label long, id long, small binary, scale float, own boolean, bound double"), "unclear")
+
+        def sized(rows: DataFrame) -> pa.Table:
+            return rows.groupBy("label").agg(F.min("bound").alias("bound")).toArrow()  # at most CENTRES rows
+
+        def edge_members(least_bound: pa.Table, exact: bool) -> DataFrame:
+            bounds = np.full(len(labels), np.inf)
+            bounds[np.searchsorted(labels, least_bound.column("label").to_numpy())] = least_bound.column("bound").to_numpy()
+            asked = self.spark.sparkContext.broadcast(bounds)
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                names, middle = shared.value
+                for batch in batches:
+                    if batch.num_rows:
+                        at = places(own_labels(batch.column(2)), names)
+                        rows = np.flatnonzero(at >= 0)
+                        x = unpack(batch.column(1))[rows]
+                        theta = np.arccos(np.clip(np.einsum("ij,ij->i", x.astype(np.float64), middle[at[rows]]), -1, 1))
+                        edge = theta >= asked.value[at[rows]]
+                        rows, x = rows[edge], x[edge]
+                        if len(rows):
+                            take = pa.array(rows)
+                            yield pa.RecordBatch.from_arrays([batch.column(2).take(take), batch.column(0).take(take), *(_exact(x) if exact else _small(x))], ["label", "id", "small", "scale"])
+
+            return self.labelled.mapInArrow(run, "label long, id long, small binary, scale float")
+
+        def compared(rows: DataFrame, members: DataFrame) -> DataFrame:
+            """(label, id): id null for a group that is wrong, else a row that the 8-bit components leave open."""
+            nx = rows.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("bx"))
+            ny = members.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("by"))
+            sizes = F.broadcast(nx.join(ny, "label"))  # at most CENTRES rows
+            upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+            mix = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+            left = rows.join(sizes, "label").select("label", mix("bx").alias("i"), upto("by").alias("j"), "id", "small", "scale", "own")
+            right = members.join(sizes, "label").select("label", upto("bx").alias("i"), mix("by").alias("j"), "id", "small", "scale")
+            return left.groupBy("label", "i", "j").cogroup(right.groupBy("label", "i", "j")).applyInArrow(_judge(self.least), "label long, id long").distinct()
+
+        least_bound = sized(open_rows)
         if not least_bound.num_rows:
             return block
-        bounds = np.full(len(labels), np.inf)
-        bounds[np.searchsorted(labels, least_bound.column("label").to_numpy())] = least_bound.column("bound").to_numpy()
-        asked = self.spark.sparkContext.broadcast(bounds)
-
-        def edge_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, middle = shared.value
-            for batch in batches:
-                if batch.num_rows:
-                    at = places(own_labels(batch.column(2)), names)
-                    rows = np.flatnonzero(at >= 0)
-                    x = unpack(batch.column(1))[rows].astype(np.float64)
-                    theta = np.arccos(np.clip(np.einsum("ij,ij->i", x, middle[at[rows]]), -1, 1))
-                    rows = rows[theta >= asked.value[at[rows]]]
-                    if len(rows):
-                        take = pa.array(rows)
-                        yield pa.RecordBatch.from_arrays([batch.column(2).take(take), batch.column(0).take(take), batch.column(1).take(take)], ["label", "id", "vec"])
-
-        members = materialise(self.labelled.mapInArrow(edge_members, "label long, id long, vec binary"), "members")
-        nx = open_rows.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("bx"))
-        ny = members.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("by"))
-        sizes = F.broadcast(nx.join(ny, "label"))  # at most CENTRES rows
-        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        mix = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        left = open_rows.join(sizes, "label").select("label", mix("bx").alias("i"), upto("by").alias("j"), "id", "vec", "own")
-        right = members.join(sizes, "label").select("label", upto("bx").alias("i"), mix("by").alias("j"), "id", "vec")
-        least = self.least
-
-        def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-            bad: list[int] = []
-            if a.num_rows and b.num_rows:
-                x, y = (unpack(t.column("vec").combine_chunks()).astype(np.float64) for t in (a, b))
-                own = np.asarray(a.column("own").combine_chunks())
-                ids, others = a.column("id").to_numpy(), b.column("id").to_numpy()
-                for s in range(0, len(x), 512):
-                    near = x[s : s + 512] @ y.T
-                    same = ids[s : s + 512, None] == others[None, :]
-                    if (np.where(own[s : s + 512, None], near < least, near >= least) & ~same).any():
-                        bad = [a.column("label")[0].as_py()]
-                        break
-            return pa.table({"label": pa.array(bad, pa.int64())})
-
-        wrong = left.groupBy("label", "i", "j").cogroup(right.groupBy("label", "i", "j")).applyInArrow(compare, "label long").distinct()
-        return block.join(materialise(wrong, "wrong"), "label", "left_anti")
+        verdict = materialise(compared(open_rows, materialise(edge_members(least_bound, False), "members")), "verdict")
+        wrong = verdict.where("id is null").select("label")
+        unsure = verdict.where("id is not null").join(F.broadcast(wrong), "label", "left_anti")
+        if unsure.limit(1).count():
+            rows = open_rows.select("label", "id", "own", "bound").join(unsure, ["label", "id"], "left_semi")
+            vectors = self.labelled.select("id", "vec").join(unsure.select("id").distinct(), "id", "left_semi")
+            rows = materialise(rows.join(vectors, "id").select("label", "id", F.col("vec").alias("small"), F.lit(0.0).cast("float").alias("scale"), "own", "bound"), "unsure")
+            exact = materialise(compared(rows, materialise(edge_members(sized(rows), True), "members")), "verdict")
+            wrong = wrong.unionByName(exact.where("id is null").select("label"))
+        return block.join(F.broadcast(wrong), "label", "left_anti")
 
     def members(self, groups: DataFrame) -> DataFrame:
         """(id, vec, label, n, key, total) of the members of a block of groups."""
