@@ -152,6 +152,7 @@ def _hot(vectors: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     sized = full.join(F.broadcast(asked) if asked.count() <= SENT else asked, "chunk")
     left = sized.where("asked").select("chunk", mix("na").alias("i"), every("n").alias("j"), "cid", "vec")
     right = sized.select("chunk", every("na").alias("i"), mix("n").alias("j"), "cid", "held", "came", "vec")
+    left, right = (df.toDF(*df.columns) for df in (left, right))  # both come from one table: new names for the same columns
     none = np.iinfo(np.int64).max
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
