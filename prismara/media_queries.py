@@ -38,6 +38,10 @@ class Media:
     def assets(self) -> DataFrame:
         return A.current(self.raw("assets"))
 
+    def some(self, *columns: str) -> DataFrame:
+        """asset_id and ``columns`` of the current assets; other columns are not read."""
+        return A.current(self.raw("assets"), *columns)
+
     @property
     def folders(self) -> DataFrame:
         return self.raw("folders")
@@ -59,11 +63,37 @@ class Media:
     def region_vectors(self) -> DataFrame:
         return knn.unit_vectors(self.raw("vec_regions"), "region_id", DIM)
 
+    @property
+    def vector_ids(self) -> DataFrame:
+        return knn.vector_keys(self.raw("vec_assets"), "asset_id", DIM)
+
+    @property
+    def prefix_ids(self) -> DataFrame:
+        return knn.vector_keys(self.raw("vec_assets"), "asset_id", DIM, first=PREFIX)
+
+    @property
+    def region_ids(self) -> DataFrame:
+        return knn.vector_keys(self.raw("vec_regions"), "region_id", DIM)
+
+    @property
+    def once(self) -> DataFrame:
+        """Asset vectors, one per key."""
+        return knn.unit_vectors(self.raw("vec_assets"), "asset_id", DIM, once=True)
+
+    @property
+    def regions_once(self) -> DataFrame:
+        """Region vectors, one per key."""
+        return knn.unit_vectors(self.raw("vec_regions"), "region_id", DIM, once=True)
+
+    def region(self, *columns: str) -> DataFrame:
+        """region_id and ``columns`` of the regions, one row per key."""
+        return one_per_key(self.raw("regions").select("region_id", *columns), "region_id", *columns)
+
     @property
     def members(self) -> DataFrame:
         """(index_id, asset_id) of the registered indexes."""
-        one = self.vectors.select(F.lit(1).alias("index_id"), "asset_id")
-        return one.unionByName(self.prefixes.select(F.lit(2).alias("index_id"), "asset_id"))
+        one = self.vector_ids.select(F.lit(1).alias("index_id"), "asset_id")
+        return one.unionByName(self.prefix_ids.select(F.lit(2).alias("index_id"), "asset_id"))
 
     @property
     def registry(self) -> DataFrame:
@@ -76,7 +106,7 @@ class Media:
     @property
     def text(self) -> DataFrame:
         """(asset_id, content): the stem of the file name."""
-        return self.assets.select("asset_id", S.stem(F.col("storage_key")).alias("content"))
+        return self.some("storage_key").select("asset_id", S.stem(F.col("storage_key")).alias("content"))
 
     def query(self, index: int = 1) -> list[float]:
         """The vector of the smallest asset as query vector."""
@@ -114,64 +144,64 @@ _BASE = f"""with a as (select * exclude rn from (select *, row_number() over (pa
 
 @_query("select asset_id, coalesce(taken_at, 0) taken_at, year, status, folder_id from a order by coalesce(taken_at, 0) desc, asset_id desc limit 200")
 def timeline_first_page(m: Media) -> DataFrame:
-    return A.timeline_page(m.assets, None, 200).select("asset_id", "taken_at", "year", "status", "folder_id")
+    return A.timeline_page(m.some("taken_at", "year", "status", "folder_id"), None, 200).select("asset_id", "taken_at", "year", "status", "folder_id")
 
 
 @_query("select asset_id, coalesce(taken_at, 0) taken_at from a where coalesce(taken_at, 0) < 1650000000 or (coalesce(taken_at, 0) = 1650000000 and asset_id < 500) order by 2 desc, 1 desc limit 200")
 def timeline_next_page(m: Media) -> DataFrame:
-    return A.timeline_page(m.assets, S.parse_cursor("1650000000:500"), 200).select("asset_id", "taken_at")
+    return A.timeline_page(m.some("taken_at"), S.parse_cursor("1650000000:500"), 200).select("asset_id", "taken_at")
 
 
 @_query(f"select asset_id, coalesce(taken_at, 0) taken_at from a where folder_id = {FOLDER} order by 2 desc, 1 desc limit 100")
 def timeline_folder_page(m: Media) -> DataFrame:
-    return A.timeline_page(m.assets, None, 100, FOLDER).select("asset_id", "taken_at")
+    return A.timeline_page(m.some("taken_at", "folder_id"), None, 100, FOLDER).select("asset_id", "taken_at")
 
 
 @_query("""select year, count(*) n, arg_min(asset_id, pos) first_id, arg_max(asset_id, pos) last_id
  from (select year, asset_id, row_number() over (order by coalesce(taken_at, 0) desc, asset_id desc) pos from a qualify pos <= 500) group by year""")
 def timeline_year_groups(m: Media) -> DataFrame:
-    return A.year_groups(A.timeline_page(m.assets, None, 500)).select("year", "n", "first_id", "last_id")
+    return A.year_groups(A.timeline_page(m.some("taken_at", "year"), None, 500)).select("year", "n", "first_id", "last_id")
 
 
 @_query("""select year, row_number() over (order by min(pos)) as position from (select year, row_number() over (order by coalesce(taken_at, 0) desc, asset_id desc) pos from a qualify pos <= 500) group by year""")
 def available_years(m: Media) -> DataFrame:
-    return A.available_years(m.assets)
+    return A.available_years(m.some("taken_at", "year"))
 
 
 @_query("select asset_id, sha256, status, kind from a where asset_id = 101")
 def asset_point_lookup(m: Media) -> DataFrame:
-    return m.assets.where("asset_id = 101").select("asset_id", "sha256", "status", "kind")
+    return m.some("sha256", "status", "kind").where("asset_id = 101").select("asset_id", "sha256", "status", "kind")
 
 
 @_query(f"select folder_id, path, (select count(*) from a where folder_id = {FOLDER}) asset_count from folders where folder_id = {FOLDER}")
 def folder_point_lookup(m: Media) -> DataFrame:
-    return A.folder_counts(m.folders, m.assets).where(F.col("folder_id") == FOLDER).select("folder_id", "path", "asset_count")
+    return A.folder_counts(m.folders, m.some("folder_id")).where(F.col("folder_id") == FOLDER).select("folder_id", "path", "asset_count")
 
 
 @_query("select a.asset_id, f.path, f.status folder_status, a.width, a.height, a.mime from a join folders f on a.folder_id = f.folder_id")
 def asset_detail(m: Media) -> DataFrame:
-    return A.asset_detail(m.assets, m.folders).select("asset_id", "path", "folder_status", "width", "height", "mime")
+    return A.asset_detail(m.some("folder_id", "width", "height", "mime"), m.folders).select("asset_id", "path", "folder_status", "width", "height", "mime")
 
 
 @_query("""select a.asset_id, base.name file_name, coalesce(f.label, f.path, '') folder_label, coalesce(a.size, 0) size_bytes from a join base using (asset_id) left join folders f on a.folder_id = f.folder_id""")
 def asset_summary(m: Media) -> DataFrame:
-    return A.summary(m.assets, m.folders).select("asset_id", "file_name", "folder_label", "size_bytes")
+    return A.summary(m.some("folder_id", "storage_key", "size", "taken_at"), m.folders).select("asset_id", "file_name", "folder_label", "size_bytes")
 
 
 @_query("select asset_id, error_code, imported_at from a where status = 'failed'")
 def failed_items(m: Media) -> DataFrame:
-    return m.assets.where("status = 'failed'").select("asset_id", "error_code", "imported_at").orderBy(F.desc("imported_at"), "asset_id")
+    return m.some("status", "error_code", "imported_at").where("status = 'failed'").select("asset_id", "error_code", "imported_at").orderBy(F.desc("imported_at"), "asset_id")
 
 
 @_query("select asset_id from a where folder_id = 14 and taken_at >= 1500000000 and taken_at <= 1700000000 and kind = 'photo'")
 def filtered_assets(m: Media) -> DataFrame:
-    return m.assets.where(A.search_filter(14, 1_500_000_000, 1_700_000_000, "photo")).select("asset_id")
+    return m.some("folder_id", "taken_at", "kind").where(A.search_filter(14, 1_500_000_000, 1_700_000_000, "photo")).select("asset_id")
 
 
 @_query("select sha256, count(*) n from a where status = 'ready' and (folder_id, sha256) in (select (folder_id, sha256) from arrivals) group by sha256")
 def ready_content_present(m: Media) -> DataFrame:
     asked = m.raw("arrivals").select("folder_id", "sha256").distinct()
-    return m.assets.where("status = 'ready'").join(asked, ["folder_id", "sha256"], "left_semi").groupBy("sha256").agg(F.count("*").alias("n"))
+    return m.some("status", "folder_id", "sha256").where("status = 'ready'").join(asked, ["folder_id", "sha256"], "left_semi").groupBy("sha256").agg(F.count("*").alias("n"))
 
 
 # Folders, counts, queues
@@ -179,7 +209,7 @@ def ready_content_present(m: Media) -> DataFrame:
 
 @_query("select f.folder_id, f.path, f.status, count(a.asset_id) asset_count from folders f left join a on a.folder_id = f.folder_id group by all")
 def folder_asset_counts(m: Media) -> DataFrame:
-    return A.folder_counts(m.folders, m.assets).select("folder_id", "path", "status", "asset_count")
+    return A.folder_counts(m.folders, m.some("folder_id")).select("folder_id", "path", "status", "asset_count")
 
 
 @_query("select folder_id from folders where status = 'online' and path <> ''")
@@ -195,54 +225,54 @@ def owner_of_path(m: Media) -> DataFrame:
 
 @_query("""select folder_id, 'watch' change from (select folder_id from online except select folder_id from a) union all select folder_id, 'unwatch' from (select folder_id from a where folder_id is not null except select folder_id from online)""")
 def folder_set_diff(m: Media) -> DataFrame:
-    return A.folder_changes(m.assets.where("folder_id is not null"), m.folders.where("status = 'online'"))
+    return A.folder_changes(m.some("folder_id").where("folder_id is not null"), m.folders.where("status = 'online'"))
 
 
 @_query("select count(*) assets, count(*) filter (where status = 'ready') ready, count(*) filter (where status = 'failed') failed from a")
 def asset_counts(m: Media) -> DataFrame:
-    return m.assets.agg(F.count("*").alias("assets"), F.count_if(F.col("status") == "ready").alias("ready"), F.count_if(F.col("status") == "failed").alias("failed"))
+    return m.some("status").agg(F.count("*").alias("assets"), F.count_if(F.col("status") == "ready").alias("ready"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
 @_query("select folder_id, count(*) total, count(v1.asset_id) done from a left join v1 using (asset_id) where status = 'ready' and folder_id is not null group by folder_id")
 def folder_embed_status(m: Media) -> DataFrame:
-    return A.embedding_progress(m.assets, m.vectors)
+    return A.embedding_progress(m.some("status", "folder_id"), m.vector_ids)
 
 
 @_query("select folder_id, count(*) pending from a where status = 'ready' and folder_id in (select * from online) and asset_id not in (select asset_id from v1) group by folder_id")
 def folder_pending_index(m: Media) -> DataFrame:
-    return A.pending_embeddings(m.assets, m.folders, m.vectors).groupBy("folder_id").agg(F.count("*").alias("pending"))
+    return A.pending_embeddings(m.some("folder_id", "status", "year", "sha256"), m.folders, m.vector_ids).groupBy("folder_id").agg(F.count("*").alias("pending"))
 
 
 @_query("select asset_id, year, sha256 from a where status = 'ready' and folder_id in (select * from online) and asset_id not in (select asset_id from v1)")
 def pending_embeddings(m: Media) -> DataFrame:
-    return A.pending_embeddings(m.assets, m.folders, m.vectors).select("asset_id", "year", "sha256")
+    return A.pending_embeddings(m.some("folder_id", "status", "year", "sha256"), m.folders, m.vector_ids).select("asset_id", "year", "sha256")
 
 
 @_query("select asset_id from a where status = 'ready' and folder_id in (select * from online) and asset_id not in (select asset_id from v1) order by asset_id limit 32")
 def pending_queue_head(m: Media) -> DataFrame:
-    return A.queue(A.pending_embeddings(m.assets, m.folders, m.vectors), 32, "asset_id").select("asset_id")
+    return A.queue(A.pending_embeddings(m.some("folder_id", "status", "year", "sha256"), m.folders, m.vector_ids), 32, "asset_id").select("asset_id")
 
 
 @_query("select asset_id, taken_at from a where status = 'ready' and kind = 'photo' and folder_id in (select * from online) and not exists (select 1 from r where r.asset_id = a.asset_id)")
 def pending_regions(m: Media) -> DataFrame:
-    return A.pending_regions(m.assets, m.folders, m.regions).select("asset_id", "taken_at")
+    return A.pending_regions(m.some("folder_id", "status", "kind", "storage_key", "taken_at"), m.folders, m.raw("regions")).select("asset_id", "taken_at")
 
 
 @_query("""select sum(n) pending from (select count(*) n from a where status = 'ready' and folder_id in (select * from online) and asset_id not in (select asset_id from v1)
  union all select count(*) from a where status = 'ready' and folder_id in (select * from online) and asset_id not in (select asset_id from v2))""")
 def pending_indexing_total(m: Media) -> DataFrame:
-    parts = [A.pending_embeddings(m.assets, m.folders, v).agg(F.count("*").alias("n")) for v in (m.vectors, m.prefixes)]
+    parts = [A.pending_embeddings(m.some("folder_id", "status", "year", "sha256"), m.folders, v).agg(F.count("*").alias("n")) for v in (m.vector_ids, m.prefix_ids)]
     return parts[0].unionByName(parts[1]).agg(F.sum("n").alias("pending"))
 
 
 @_query("select a.asset_id, count(distinct index_id) = 2 indexed from a left join m on m.asset_id = a.asset_id group by a.asset_id")
 def indexed_flags(m: Media) -> DataFrame:
-    return A.indexed_flags(m.assets, m.members, m.active)
+    return A.indexed_flags(m.some("status"), m.members, m.active)
 
 
 @_query("select asset_id from (select asset_id from v1 intersect select asset_id from v2)")
 def embedded_in_all(m: Media) -> DataFrame:
-    return m.vectors.select("asset_id").intersect(m.prefixes.select("asset_id"))
+    return m.vector_ids.intersect(m.prefix_ids)
 
 
 @_query("select index_id, slug, dim from idx where status = 'active'")
@@ -262,18 +292,18 @@ def storage_usage_total(m: Media) -> DataFrame:
 
 @_query("select count(*) n_rows, count(*) filter (where region_idx >= 0) real_regions, count(*) filter (where region_idx = -1) sentinels from r")
 def region_counts(m: Media) -> DataFrame:
-    return m.regions.agg(F.count("*").alias("n_rows"), F.count_if(F.col("region_idx") >= 0).alias("real_regions"), F.count_if(F.col("region_idx") == -1).alias("sentinels"))
+    return m.region("region_idx").agg(F.count("*").alias("n_rows"), F.count_if(F.col("region_idx") >= 0).alias("real_regions"), F.count_if(F.col("region_idx") == -1).alias("sentinels"))
 
 
 @_query("select asset_id from a where status = 'ready' and folder_id in (select * from online) and asset_id not in (select asset_id from v1) and asset_id not in (select asset_id from a where error_code is not null)")
 def cooldown_filter(m: Media) -> DataFrame:
-    resting = m.assets.where("error_code is not null").select("asset_id")
-    return A.pending_embeddings(m.assets, m.folders, m.vectors).join(resting, "asset_id", "left_anti").select("asset_id")
+    resting = m.some("error_code").where("error_code is not null").select("asset_id")
+    return A.pending_embeddings(m.some("folder_id", "status", "year", "sha256"), m.folders, m.vector_ids).join(resting, "asset_id", "left_anti").select("asset_id")
 
 
 @_query("select asset_id from arrivals x where not exists (select 1 from a where a.status = 'ready' and a.storage_key = x.storage_key and a.size = x.size)")
 def incremental_precheck(m: Media) -> DataFrame:
-    ready = m.assets.where("status = 'ready' and size is not null").select("storage_key", "size").distinct()
+    ready = m.some("status", "size", "storage_key").where("status = 'ready' and size is not null").select("storage_key", "size").distinct()
     return m.raw("arrivals").join(ready, ["storage_key", "size"], "left_anti").select("asset_id")
 
 
@@ -284,22 +314,22 @@ def incremental_precheck(m: Media) -> DataFrame:
   or x.storage_key <> min(x.storage_key) over (partition by x.folder_id, x.sha256)) duplicated from arrivals x where x.folder_id is not null and x.sha256 is not null""")
 def insert_outcomes(m: Media) -> DataFrame:
     rows = m.raw("arrivals").where("folder_id is not null and sha256 is not null").select("folder_id", "sha256", "storage_key").distinct()
-    return L.insert_outcomes(rows, m.assets)
+    return L.insert_outcomes(rows, m.some("folder_id", "sha256"))
 
 
 @_query("select sha256, count(distinct folder_id) folders from a where folder_id is not null group by sha256 having count(distinct folder_id) > 1")
 def duplicates_across_folders(m: Media) -> DataFrame:
-    return m.assets.where("folder_id is not null").groupBy("sha256").agg(F.countDistinct("folder_id").alias("folders")).where("folders > 1")
+    return m.some("folder_id", "sha256").where("folder_id is not null").groupBy("sha256").agg(F.countDistinct("folder_id").alias("folders")).where("folders > 1")
 
 
 @_query("select folder_id, sha256, min(asset_id) asset_id, count(*) n from a where folder_id is not null group by folder_id, sha256")
 def dedup_within_folder(m: Media) -> DataFrame:
-    return m.assets.where("folder_id is not null").groupBy("folder_id", "sha256").agg(F.min("asset_id").alias("asset_id"), F.count("*").alias("n"))
+    return m.some("folder_id", "sha256").where("folder_id is not null").groupBy("folder_id", "sha256").agg(F.min("asset_id").alias("asset_id"), F.count("*").alias("n"))
 
 
 @_query("select x.asset_id, (select min(y.asset_id) from a y where y.sha256 = x.sha256 and y.asset_id in (select asset_id from v1)) source_id from a x where x.asset_id not in (select asset_id from v1) and exists (select 1 from a y where y.sha256 = x.sha256 and y.asset_id in (select asset_id from v1))")
 def vector_copy_candidates(m: Media) -> DataFrame:
-    return A.copy_candidates(m.assets, m.vectors)
+    return A.copy_candidates(m.some("sha256"), m.vector_ids)
 
 
 @_query("select doc_id, sha256(text) as digest from documents where text is not null")
@@ -309,53 +339,53 @@ def content_hash(m: Media) -> DataFrame:
 
 @_query("select asset_id, sha256('failed:' || storage_key) as digest from a where status = 'failed'")
 def placeholder_hash(m: Media) -> DataFrame:
-    return m.assets.where("status = 'failed'").select("asset_id", S.placeholder_hash(F.col("storage_key")).alias("digest"))
+    return m.some("status", "storage_key").where("status = 'failed'").select("asset_id", S.placeholder_hash(F.col("storage_key")).alias("digest"))
 
 
 @_query("select asset_id, thumb_key, substr(sha256, 1, 2) || '/' || sha256 || '.jpg' as expected from a where status = 'ready'")
 def thumb_key(m: Media) -> DataFrame:
-    return L.thumb_keys_expected(m.assets)
+    return L.thumb_keys_expected(m.some("status", "thumb_key", "sha256"))
 
 
 @_query("""select asset_id, case when greatest(width, height) > 384 then greatest(round(width * (384.0::double / greatest(width, height))), 1)::int else width end w,
   case when greatest(width, height) > 384 then greatest(round(height * (384.0::double / greatest(width, height))), 1)::int else height end h from a where width is not null and height is not null""")
 def thumb_fit(m: Media) -> DataFrame:
     w, h = S.fit_within(F.col("width"), F.col("height"))
-    return m.assets.where("width is not null and height is not null").select("asset_id", w.alias("w"), h.alias("h"))
+    return m.some("width", "height").where("width is not null and height is not null").select("asset_id", w.alias("w"), h.alias("h"))
 
 
 @_query("select asset_id, name, content stem from base join txt using (asset_id)")
 def basename_stem(m: Media) -> DataFrame:
-    return m.assets.select("asset_id", S.basename(F.col("storage_key")).alias("name"), S.stem(F.col("storage_key")).alias("stem"))
+    return m.some("storage_key").select("asset_id", S.basename(F.col("storage_key")).alias("name"), S.stem(F.col("storage_key")).alias("stem"))
 
 
 @_query("select asset_id, year(to_timestamp(coalesce(taken_at, 0)) at time zone 'UTC')::varchar as of_time, year from a")
 def year_of(m: Media) -> DataFrame:
-    return m.assets.select("asset_id", S.year_of(F.col("taken_at")).alias("of_time"), "year")
+    return m.some("taken_at", "year").select("asset_id", S.year_of(F.col("taken_at")).alias("of_time"), "year")
 
 
 @_query("""select asset_id, epoch(strptime(t, '%Y%m%d_%H%M%S'))::bigint as seconds from (select asset_id, regexp_extract(name, '(20[0-9]{6}_[0-9]{6})', 1) t from base)
  where t <> '' and try_strptime(t, '%Y%m%d_%H%M%S') is not null""")
 def filename_time(m: Media) -> DataFrame:
-    return m.assets.select("asset_id", S.filename_seconds(F.col("storage_key")).alias("seconds")).where("seconds is not null")
+    return m.some("storage_key").select("asset_id", S.filename_seconds(F.col("storage_key")).alias("seconds")).where("seconds is not null")
 
 
 @_query("""select asset_id, try_cast(json_extract_string(j, '$.taken_at') as bigint) exif_taken, case when try_cast(json_extract_string(j, '$.orientation') as int) between 1 and 8 then try_cast(json_extract_string(j, '$.orientation') as int) end orientation
  from (select asset_id, exif j from a where exif is not null and json_valid(exif))""")
 def exif_fields(m: Media) -> DataFrame:
     t, o = S.exif_fields(F.col("exif"))
-    return m.assets.where("exif is not null and try_parse_json(exif) is not null").select("asset_id", t.alias("exif_taken"), o.alias("orientation"))
+    return m.some("exif").where("exif is not null and try_parse_json(exif) is not null").select("asset_id", t.alias("exif_taken"), o.alias("orientation"))
 
 
 @_query("select asset_id, regexp_matches(thumb_key, '^[A-Za-z0-9._/-]+$') and not starts_with(thumb_key, '/') and not contains(thumb_key, '..') valid from a where thumb_key is not null")
 def valid_object_keys(m: Media) -> DataFrame:
-    return m.assets.where("thumb_key is not null").select("asset_id", S.valid_object_key(F.col("thumb_key")).alias("valid"))
+    return m.some("thumb_key").where("thumb_key is not null").select("asset_id", S.valid_object_key(F.col("thumb_key")).alias("valid"))
 
 
 @_query("""select folder_id, case when done > 0 and done < total then floor(600.0::double * (total - done) / done)::bigint end eta
  from (select folder_id, count(*) total, count(v1.asset_id) done from a left join v1 using (asset_id) where status = 'ready' and folder_id is not null group by folder_id)""")
 def import_eta(m: Media) -> DataFrame:
-    rows = A.embedding_progress(m.assets, m.vectors)
+    rows = A.embedding_progress(m.some("status", "folder_id"), m.vector_ids)
     return rows.select("folder_id", S.eta_seconds(F.lit(600.0), F.col("done"), F.col("total")).alias("eta"))
 
 
@@ -364,7 +394,7 @@ def import_eta(m: Media) -> DataFrame:
 
 def _gone(m: Media) -> DataFrame:
     """Assets of offline and missing folders, as a list to delete."""
-    return m.assets.join(m.folders.where("status <> 'online'").select("folder_id"), "folder_id", "left_semi").select("asset_id")
+    return m.some("folder_id").join(m.folders.where("status <> 'online'").select("folder_id"), "folder_id", "left_semi").select("asset_id")
 
 
 _GONE = "gone as (select asset_id from a where folder_id in (select folder_id from folders where status <> 'online'))"
@@ -372,14 +402,14 @@ _GONE = "gone as (select asset_id from a where folder_id in (select folder_id fr
 
 @_query(f", {_GONE} select thumb_key from a where thumb_key is not null group by thumb_key having count(*) filter (where asset_id not in (select * from gone)) = 0")
 def thumb_refcounts_after_delete(m: Media) -> DataFrame:
-    return L.delete_assets({"assets": m.assets}, _gone(m))[1]
+    return L.delete_assets({"assets": m.some("thumb_key")}, _gone(m))[1]
 
 
 @_query(f""", {_GONE} select 'assets' name, count(*) n from a where asset_id not in (select * from gone) union all select 'vectors', count(*) from v1 where asset_id not in (select * from gone)
  union all select 'regions', count(*) from r where asset_id is null or asset_id not in (select * from gone)
  union all select 'vec_regions', count(*) from vr where region_id not in (select region_id from r where asset_id in (select * from gone))""")
 def delete_assets_report(m: Media) -> DataFrame:
-    left, _ = L.delete_assets({"assets": m.assets, "vectors": m.vectors, "regions": m.regions, "vec_regions": m.region_vectors}, _gone(m))
+    left, _ = L.delete_assets({"assets": m.some("thumb_key"), "vectors": m.vector_ids, "regions": m.region("asset_id"), "vec_regions": m.region_ids}, _gone(m))
     out = None
     for name, df in left.items():
         part = df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
@@ -389,45 +419,46 @@ def delete_assets_report(m: Media) -> DataFrame:
 
 @_query("select count(distinct x.asset_id) filter (where a.asset_id is not null) deleted, count(*) - count(distinct x.asset_id) filter (where a.asset_id is not null) missing from (select asset_id from regions where asset_id is not null) x left join a using (asset_id)")
 def delete_report(m: Media) -> DataFrame:
-    return L.delete_report(m.assets, m.raw("regions").where("asset_id is not null").select("asset_id"))
+    return L.delete_report(m.some("status"), m.raw("regions").where("asset_id is not null").select("asset_id"))
 
 
 @_query(f"select folder_id, count(*) n from a where folder_id is null or folder_id <> {FOLDER} group by folder_id")
 def delete_folder_remaining(m: Media) -> DataFrame:
-    ids = m.assets.where(F.col("folder_id") == FOLDER).select("asset_id")
-    return L.delete_assets({"assets": m.assets}, ids)[0]["assets"].groupBy("folder_id").agg(F.count("*").alias("n"))
+    rows = m.some("folder_id", "thumb_key")
+    return L.delete_assets({"assets": rows}, rows.where(F.col("folder_id") == FOLDER).select("asset_id"))[0]["assets"].groupBy("folder_id").agg(F.count("*").alias("n"))
 
 
 @_query(f"select asset_id, case when starts_with(storage_key, '/vault/') then '/archive/' || storage_key[8:] else storage_key end storage_key from a where folder_id = {FOLDER}")
 def relocate_folder_keys(m: Media) -> DataFrame:
-    return L.relocate(m.assets, FOLDER, "/vault/", "/archive/").where(F.col("folder_id") == FOLDER).select("asset_id", "storage_key")
+    return L.relocate(m.some("folder_id", "storage_key"), FOLDER, "/vault/", "/archive/").where(F.col("folder_id") == FOLDER).select("asset_id", "storage_key")
 
 
 @_query("select case when status = 'failed' then 'pending' else status end status, count(*) n, count(case when status = 'failed' then null else error_code end) errors from a group by 1")
 def reset_failed(m: Media) -> DataFrame:
-    return L.reset_failed(m.assets).groupBy("status").agg(F.count("*").alias("n"), F.count("error_code").alias("errors"))
+    return L.reset_failed(m.some("status", "error_code")).groupBy("status").agg(F.count("*").alias("n"), F.count("error_code").alias("errors"))
 
 
 @_query("select case when asset_id in (select asset_id from v1) and status = 'pending' then 'ready' else status end status, count(*) n from a group by 1")
 def status_lifecycle_counts(m: Media) -> DataFrame:
-    ids = m.assets.where("status = 'pending'").join(m.vectors, "asset_id", "left_semi").select("asset_id")
-    return L.set_state(m.assets, ids, status="ready").groupBy("status").agg(F.count("*").alias("n"))
+    rows = m.some("status")
+    ids = rows.where("status = 'pending'").join(m.vector_ids, "asset_id", "left_semi").select("asset_id")
+    return L.set_state(rows, ids, status="ready").groupBy("status").agg(F.count("*").alias("n"))
 
 
 @_query("select asset_id from v1 where asset_id not in (select asset_id from a where status = 'failed')")
 def vectors_cleared(m: Media) -> DataFrame:
-    return m.vectors.join(m.assets.where("status = 'failed'").select("asset_id"), "asset_id", "left_anti").select("asset_id")
+    return m.vector_ids.join(m.some("status").where("status = 'failed'").select("asset_id"), "asset_id", "left_anti").select("asset_id")
 
 
 @_query("select count(*) n from (select asset_id from v1 union select asset_id from arrivals where len(embedding) = 64 and len(list_filter(embedding, lambda x: isfinite(x))) = 64 and list_max(list_transform(embedding, lambda x: abs(x))) > 0)")
 def vector_upsert_count(m: Media) -> DataFrame:
-    fresh = knn.unit_vectors(m.raw("arrivals"), "asset_id", DIM)
-    return L.upsert(m.vectors, fresh, "asset_id").agg(F.count("*").alias("n"))
+    fresh = knn.vector_keys(m.raw("arrivals"), "asset_id", DIM)
+    return L.upsert(m.vector_ids, fresh, "asset_id").agg(F.count("*").alias("n"))
 
 
 @_query("select folder_id, case when bool_and(present) is null then status when bool_and(present) then 'online' else 'offline' end status from (select f.folder_id, f.status, a.size is not null present, a.asset_id from folders f left join a on a.folder_id = f.folder_id) where true group by folder_id, status having count(asset_id) > 0 union all select folder_id, status from folders where folder_id not in (select folder_id from a where folder_id is not null)")
 def folder_status_after_look(m: Media) -> DataFrame:
-    present = m.assets.where("folder_id is not null").select("folder_id", F.col("size").isNotNull().alias("exists"))
+    present = m.some("folder_id", "size").where("folder_id is not null").select("folder_id", F.col("size").isNotNull().alias("exists"))
     return L.folder_status(m.folders, present)
 
 
@@ -436,12 +467,12 @@ def folder_status_after_look(m: Media) -> DataFrame:
 
 @_query("select asset_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) norm from v1")
 def vector_normalize_norms(m: Media) -> DataFrame:
-    return m.vectors.select("asset_id", F.round(S.norm(F.col("v")), 6).alias("norm"))
+    return m.once.select("asset_id", F.round(S.norm(F.col("v")), 6).alias("norm"))
 
 
 @_query("select region_id, list_sum(list_transform(v, lambda x: greatest(least(round(x * 127), 127), -128)::int))::bigint total from vr")
 def vector_quantize_roundtrip(m: Media) -> DataFrame:
-    return m.region_vectors.select("region_id", F.aggregate(S.quantise(F.col("v")), F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+    return m.regions_once.select("region_id", F.aggregate(S.quantise(F.col("v")), F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
 @_query("select asset_id, round(list_distance(v, (select v from q1)), 6) dist from v1 order by list_distance(v, (select v from q1)), asset_id limit 10")
@@ -464,18 +495,18 @@ def knn_per_index(m: Media) -> DataFrame:
 @_query(f"select t.asset_id from (select asset_id from v1 order by list_distance(v, (select v from q1)), asset_id limit {K}) t join a using (asset_id) where a.kind = 'photo' and a.taken_at >= 1500000000")
 def knn_filtered_post(m: Media) -> DataFrame:
     near = knn.knn(m.vectors, "asset_id", m.query(), K)
-    return near.join(m.assets.where(A.search_filter(taken_from=1_500_000_000, kind="photo")).select("asset_id"), "asset_id", "left_semi").select("asset_id")
+    return near.join(m.some("taken_at", "kind").where(A.search_filter(taken_from=1_500_000_000, kind="photo")).select("asset_id"), "asset_id", "left_semi").select("asset_id")
 
 
 @_query(f"select t.asset_id from (select asset_id from v1 order by list_distance(v, (select v from q1)), asset_id limit {3 * K}) t join a using (asset_id) where a.folder_id = {FOLDER}")
 def knn_filtered_oversample(m: Media) -> DataFrame:
     near = knn.knn(m.vectors, "asset_id", m.query(), 3 * K)
-    return near.join(m.assets.where(A.search_filter(FOLDER)).select("asset_id"), "asset_id", "left_semi").select("asset_id")
+    return near.join(m.some("folder_id").where(A.search_filter(FOLDER)).select("asset_id"), "asset_id", "left_semi").select("asset_id")
 
 
 @_query(f"""select asset_id, round(min(d), 6) dist from (select region_id, list_distance(v, (select v from q1)) d from vr order by d, region_id limit {3 * K}) join (select distinct region_id, asset_id from r) using (region_id) group by asset_id""")
 def region_maxsim_top(m: Media) -> DataFrame:
-    return knn.region_maxsim(m.region_vectors, m.regions, m.query(), 3 * K).select("asset_id", F.round("dist", 6).alias("dist"))
+    return knn.region_maxsim(m.region_vectors, m.raw("regions"), m.query(), 3 * K).select("asset_id", F.round("dist", 6).alias("dist"))
 
 
 @_query("""select asset_id, round(list_distance(v1.v, (select v from q1)), 6) dist from v1 where asset_id in (select asset_id from v2 order by list_distance(v, (select v from q2)), asset_id limit 200)
@@ -489,24 +520,24 @@ _NEAREST = "near as (select asset_id, arg_min(anchor, (-s, anchor)) anchor, max(
 
 
 def _anchors(m: Media) -> list[tuple[int, list[float]]]:
-    named = m.region_vectors.join(m.regions.where("cluster_id is not null").select("region_id", "cluster_id"), "region_id")
+    named = m.region_vectors.join(m.region("cluster_id").where("cluster_id is not null"), "region_id")
     rows = named.groupBy("cluster_id").agg(F.min_by("v", "region_id").alias("v")).orderBy("cluster_id").limit(10_000).collect()  # names of a catalogue, a bounded list
     return [(r.cluster_id, list(r.v)) for r in rows]
 
 
 @_query(f", {_ANCHORS}, {_NEAREST} select asset_id, anchor, round(sim, 6) sim from near")
 def nearest_anchor_assignment(m: Media) -> DataFrame:
-    return knn.nearest_anchor(m.vectors, "asset_id", _anchors(m)).select("asset_id", "anchor", F.round("sim", 6).alias("sim"))
+    return knn.nearest_anchor(m.once, "asset_id", _anchors(m)).select("asset_id", "anchor", F.round("sim", 6).alias("sim"))
 
 
 @_query(f", {_ANCHORS}, {_NEAREST} select anchor, count(*) n from near group by anchor")
 def anchor_sizes(m: Media) -> DataFrame:
-    return knn.nearest_anchor(m.vectors, "asset_id", _anchors(m)).groupBy("anchor").agg(F.count("*").alias("n"))
+    return knn.nearest_anchor(m.once, "asset_id", _anchors(m)).groupBy("anchor").agg(F.count("*").alias("n"))
 
 
 @_query(f", {_ANCHORS}, {_NEAREST} select anchor, asset_id, row_number() over (partition by anchor order by round(sim, 6) desc, asset_id) \"rank\" from near qualify \"rank\" <= 3")
 def topm_per_anchor(m: Media) -> DataFrame:
-    near = knn.nearest_anchor(m.vectors, "asset_id", _anchors(m)).select("asset_id", "anchor", F.round("sim", 6).alias("sim"))
+    near = knn.nearest_anchor(m.once, "asset_id", _anchors(m)).select("asset_id", "anchor", F.round("sim", 6).alias("sim"))
     return M.top_per_group(near, "anchor", 3, F.desc("sim"), "asset_id").select("anchor", "asset_id", "rank")
 
 
@@ -514,7 +545,7 @@ def topm_per_anchor(m: Media) -> DataFrame:
  from vr join (select distinct region_id, asset_id from r) using (region_id) group by asset_id""")
 def patch_maxsim(m: Media) -> DataFrame:
     q = m.query()
-    patches = m.region_vectors.join(m.regions.select("region_id", "asset_id"), "region_id").select("asset_id", "v")
+    patches = m.region_vectors.join(m.region("asset_id"), "region_id").select("asset_id", "v")
     return knn.patch_maxsim(patches, [q, [-x for x in q]]).select("asset_id", F.round("score", 6).alias("score"))
 
 
@@ -565,7 +596,7 @@ def fts_postings(m: Media) -> DataFrame:
 def _streams(m: Media) -> list[DataFrame]:
     """Two lists of assets: nearest by vector, newest."""
     one = knn.knn(m.vectors, "asset_id", m.query(), K)
-    two = A.timeline_page(m.assets, None, K).select("asset_id", (-F.col("taken_at")).alias("t"), (-F.col("asset_id")).alias("i"))
+    two = A.timeline_page(m.some("taken_at"), None, K).select("asset_id", (-F.col("taken_at")).alias("t"), (-F.col("asset_id")).alias("i"))
     return [fusion.stream(one, 1, True, "dist", "asset_id"), fusion.stream(two, 2, False, "t", "i")]
 
 
@@ -588,12 +619,12 @@ def rrf_multi_stream(m: Media) -> DataFrame:
 
 @_query("""select id, round(sum(1 / (60.0::double + p)), 9) score from (select 1 stream, id, min(p) p from (select asset_id id, row_number() over (order by region_id) p from r where asset_id is not null qualify p <= 200) group by id) group by id""")
 def rrf_duplicate_positions(m: Media) -> DataFrame:
-    rows = m.regions.where("asset_id is not null").select("asset_id", "region_id").orderBy("region_id").limit(200)
+    rows = m.region("asset_id").where("asset_id is not null").select("asset_id", "region_id").orderBy("region_id").limit(200)
     return fusion.rrf([fusion.stream(rows, 1, True, "region_id")]).select("id", F.round("score", 9).alias("score"))
 
 
 def _library(m: Media) -> search.Library:
-    return search.Library(m.assets, m.folders, {1: m.vectors, 2: m.prefixes}, m.regions, m.region_vectors, m.text)
+    return search.Library(m.some("folder_id", "taken_at", "kind", "storage_key", "size"), m.folders, {1: m.vectors, 2: m.prefixes}, m.raw("regions"), m.region_vectors, m.text)
 
 
 def _search_sql(where: str = "true", wide: int = K) -> str:
@@ -633,12 +664,12 @@ _GAPS = f"{_PHOTOS}, gaps as (select *, lag(taken_at) over w prev, lag(gps_lat)
 @_query(f", {_GAPS} select asset_id, taken_at - prev gap, case when prev is null or taken_at - prev > 604800 then 1.4 when taken_at - prev < 300 then 0.5 else 1.0 end::double factor from gaps")
 def burst_tau_modulation(m: Media) -> DataFrame:
     gap = F.col("taken_at") - F.col("previous")
-    return R.previous_times(m.assets.select("asset_id", "taken_at")).select("asset_id", gap.alias("gap"), R.time_factor(gap).alias("factor"))
+    return R.previous_times(m.some("taken_at")).select("asset_id", gap.alias("gap"), R.time_factor(gap).alias("factor"))
 
 
 @_query(f", {_GAPS}, c as (select *, sum(case when taken_at - prev <= 2592000 then 0 else 1 end) over (order by taken_at, asset_id rows unbounded preceding) - 1 chapter_id from gaps) select chapter_id::bigint chapter_id, min(taken_at) started_at, max(taken_at) ended_at, count(*) n from c group by 1")
 def chapter_segments(m: Media) -> DataFrame:
-    return R.chapters(m.assets.select("asset_id", "taken_at"))
+    return R.chapters(m.some("taken_at"))
 
 
 _KM = "2 * 6371.0::double * asin(sqrt(least(1, pow(sin(radians(gps_lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(gps_lat)) * pow(sin(radians(gps_lng - plng) / 2), 2))))"
@@ -647,7 +678,7 @@ _KNOWN = "gps_lat is not null and plat is not null and gps_lng is not null and p
 
 @_query(f", {_GAPS}, k as (select asset_id, (taken_at - prev) / 60.0::double dt, case when {_KNOWN} then {_KM} end km from gaps) select asset_id, round(km, 6) km, case when dt is null then 1.0 when km is null then case when dt < 5 then 0.5 else 1.0 end when km < 0.2 and dt < 5 then 0.5 when km < 0.2 then 0.9 when km >= 1 and dt < 120 then 1.3 else 1.0 end::double factor from k")
 def haversine_gps(m: Media) -> DataFrame:
-    rows = R.previous_times(m.assets.select("asset_id", "taken_at", "gps_lat", "gps_lng"), carry=("gps_lat", "gps_lng"))
+    rows = R.previous_times(m.some("taken_at", "gps_lat", "gps_lng"), carry=("gps_lat", "gps_lng"))
     km = S.haversine_km(F.col("previous_gps_lat"), F.col("previous_gps_lng"), F.col("gps_lat"), F.col("gps_lng"))
     minutes = (F.col("taken_at") - F.col("previous")) / 60.0
     return rows.select("asset_id", F.round(km, 6).alias("km"), R.place_factor(minutes, km).alias("factor"))
@@ -670,15 +701,15 @@ def box_suppression(m: Media) -> DataFrame:
 
 @_query("select count(*) n from vr where region_id not in (select region_id from r where region_idx = -1)")
 def vectors_without_sentinels(m: Media) -> DataFrame:
-    return R.without_sentinel_vectors(m.region_vectors, m.regions).agg(F.count("*").alias("n"))
+    return R.without_sentinel_vectors(m.region_ids, m.region("region_idx")).agg(F.count("*").alias("n"))
 
 
 def _assigned(m: Media) -> DataFrame:
     """DP-means over all region vectors in order of capture, chapter by chapter."""
-    photos = m.assets.select("asset_id", "taken_at")
+    photos = m.some("taken_at")
     timed = R.previous_times(photos).select("asset_id", "taken_at", R.time_factor(F.col("taken_at") - F.col("previous")).alias("factor"))
     placed = R.with_chapter(timed, R.chapters(photos))
-    real = m.regions.where("region_idx >= 0").select("region_id", "asset_id", "region_idx").join(m.region_vectors, "region_id")
+    real = m.region("asset_id", "region_idx").where("region_idx >= 0").join(m.regions_once, "region_id")
     rows = real.join(placed, "asset_id").withColumnRenamed("chapter_id", "scope")
     return R.dp_means(rows, "scope", ["taken_at", "asset_id", "region_idx", "region_id"], DIM)
 
@@ -700,23 +731,23 @@ _TABLE = "ct as (select chapter_id t, cluster_id p, count(*) n from r where chap
  mi as (select sum(n / total * ln(n * total / (nt * np))) mi from ct join tt using (t) join pp using (p), tot), ht as (select -sum(nt / total * ln(nt / total)) h from tt, tot), hp as (select -sum(np / total * ln(np / total)) h from pp, tot)
  select round(mi / ((ht.h + hp.h) / 2), 9) nmi from mi, ht, hp""")
 def cluster_nmi(m: Media) -> DataFrame:
-    return M.nmi(M.contingency(m.regions, "chapter_id", "cluster_id")).select(F.round("nmi", 9).alias("nmi"))
+    return M.nmi(M.contingency(m.region("chapter_id", "cluster_id"), "chapter_id", "cluster_id")).select(F.round("nmi", 9).alias("nmi"))
 
 
 @_query(f", {_TABLE} select round(sum(top) / sum(n), 9) purity from (select max(n) top, sum(n) n from ct group by p)")
 def cluster_purity(m: Media) -> DataFrame:
-    return M.purity(M.contingency(m.regions, "chapter_id", "cluster_id")).select(F.round("purity", 9).alias("purity"))
+    return M.purity(M.contingency(m.region("chapter_id", "cluster_id"), "chapter_id", "cluster_id")).select(F.round("purity", 9).alias("purity"))
 
 
 @_query("select count(*) clusters, round(count(*) filter (where n = 1) / count(*), 9) singleton_rate, round(max(n) / sum(n), 9) top_share from (select count(*) n from r where cluster_id is not null group by cluster_id)")
 def singleton_rate(m: Media) -> DataFrame:
-    return M.size_profile(M.sizes(m.regions, "cluster_id")).select("clusters", F.round("singleton_rate", 9).alias("singleton_rate"), F.round("top_share", 9).alias("top_share"))
+    return M.size_profile(M.sizes(m.region("cluster_id"), "cluster_id")).select("clusters", F.round("singleton_rate", 9).alias("singleton_rate"), F.round("top_share", 9).alias("top_share"))
 
 
 @_query(f"""select round(avg(case when r1.cluster_id = (select cluster_id from lab where region_id = (select min(region_id) from lab)) then 1.0 else 0.0 end::double), 9) hit_rate
  from (select region_id from vr join lab using (region_id), (select v qv from vr where region_id = (select min(region_id) from lab)) where region_id <> (select min(region_id) from lab) order by list_distance(v, qv), region_id limit {K}) x join lab r1 using (region_id)""".replace("select round", ", lab as (select region_id, cluster_id from r where cluster_id is not null and region_id in (select region_id from vr)) select round", 1))
 def hit_at_k(m: Media) -> DataFrame:
-    labels = m.regions.where("cluster_id is not null").select(F.col("region_id").alias("id"), F.col("cluster_id").alias("label")).join(m.region_vectors.select(F.col("region_id").alias("id")), "id", "left_semi")
+    labels = m.region("cluster_id").where("cluster_id is not null").select(F.col("region_id").alias("id"), F.col("cluster_id").alias("label")).join(m.region_ids.select(F.col("region_id").alias("id")), "id", "left_semi")
     first = labels.agg(F.min("id")).first()[0]
     rows = m.region_vectors.join(labels.select(F.col("id").alias("region_id")), "region_id", "left_semi")
     near = knn.knn(rows.where(F.col("region_id") != first), "region_id", knn.query_vector(rows, "region_id", first), K)
@@ -726,12 +757,12 @@ def hit_at_k(m: Media) -> DataFrame:
 
 @_query("select share, v as value from (select 0.5::double share, quantile_disc(size, 0.5) v from a union all select 0.95, quantile_disc(size, 0.95) from a)")
 def latency_percentiles(m: Media) -> DataFrame:
-    return M.nearest_rank(m.assets, "size")
+    return M.nearest_rank(m.some("size"), "size")
 
 
 @_query("select round(xy / xx, 9) slope, round(sqrt(greatest(yy - xy / xx * xy, 0) / n), 3) rmse from (select sum(width::double * height) xy, sum(width::double * width) xx, sum(height::double * height) yy, count(*) n from a where width is not null and height is not null)")
 def slope_through_origin(m: Media) -> DataFrame:
-    rows = m.assets.select(F.col("width").cast("double").alias("w"), F.col("height").cast("double").alias("h"))
+    rows = m.some("width", "height").select(F.col("width").cast("double").alias("w"), F.col("height").cast("double").alias("h"))
     return M.fit_through_origin(rows, "w", "h").select(F.round("slope", 9).alias("slope"), F.round("rmse", 3).alias("rmse"))
 
 
@@ -740,7 +771,7 @@ def kmeans_clusters(m: Media) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = m.region_vectors.select("region_id", array_to_vector("v").alias("features"))
+    rows = m.regions_once.select("region_id", array_to_vector("v").alias("features"))
     model = KMeans(k=32, seed=0, maxIter=10).fit(rows)
     return model.transform(rows).groupBy("prediction").agg(F.count("*").alias("n"))
 
@@ -750,6 +781,6 @@ def pca_signature(m: Media) -> DataFrame:
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = m.region_vectors.select("region_id", array_to_vector("v").alias("features"))
+    rows = m.regions_once.select("region_id", array_to_vector("v").alias("features"))
     model = PCA(k=16, inputCol="features", outputCol="signature").fit(rows)
     return model.transform(rows).select("region_id", F.round(S.norm(vector_to_array("signature")), 6).alias("length"))

@@ -11,12 +11,12 @@ from prismara.functions import scalars as S
 PAGE_LIMIT = 500
 
 
-def current(assets: DataFrame) -> DataFrame:
-    """One row per asset: of repeated rows the one that is no longer pending, else the largest. Null keys are left out. The choice is
-    an aggregate of whole rows, so it is combined before the shuffle."""
-    others = [c for c in assets.columns if c != "asset_id"]
+def current(assets: DataFrame, *columns: str) -> DataFrame:
+    """One row per asset with ``columns`` (all without any): of repeated rows one that is no longer pending, of several the largest.
+    Null keys are left out. The choice is an aggregate of rows, so it is combined before the shuffle, and only ``columns`` are read."""
+    others = list(columns) or [c for c in assets.columns if c != "asset_id"]
     best = F.max(F.struct((F.col("status") != "pending").alias("_done"), *others)).alias("_row")
-    return assets.where("asset_id is not null").groupBy("asset_id").agg(best).select([F.col("asset_id") if c == "asset_id" else F.col("_row")[c].alias(c) for c in assets.columns])
+    return assets.where("asset_id is not null").groupBy("asset_id").agg(best).select("asset_id", *[F.col("_row")[c].alias(c) for c in others])
 
 
 def taken(column: str = "taken_at") -> Column:

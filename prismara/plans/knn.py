@@ -19,33 +19,50 @@ from prismara.functions import scalars as S
 KNN_MOST, REGIONS_MOST = 1_000, 4_096
 
 
-def unit_vectors(table: DataFrame, key: str, dim: int, column: str = "embedding", first: int | None = None) -> DataFrame:
-    """(key, v): usable vectors as unit vectors in double, one per key (smallest vector of a repeated key). With ``first``, unit
-    vectors of the first components, where these are not all zero."""
+def _units(batch: pa.RecordBatch, dim: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, unit vectors of the first ``width`` components) of the usable lists in column 1, which have ``dim`` entries each."""
+    flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, dim)
+    good = np.isfinite(flat).all(1) & (flat != 0).any(1)
+    flat = flat[:, :width]
+    length = np.sqrt((flat * flat).sum(1))
+    rows = np.flatnonzero(good & (length > 0) & np.isfinite(length))
+    return rows, flat[rows] / length[rows, None]
+
+
+def _sized(table: DataFrame, key: str, dim: int, column: str) -> DataFrame:
+    return table.where(F.col(key).isNotNull() & (F.size(column) == dim)).select(F.col(key).cast("long").alias(key), column)
+
+
+def unit_vectors(table: DataFrame, key: str, dim: int, column: str = "embedding", first: int | None = None, once: bool = False) -> DataFrame:
+    """(key, v): usable vectors as unit vectors in double; with ``first``, unit vectors of the first components, where these are not
+    all zero. With ``once``, one per key (the smallest); without, repeated rows stay and no vector is shuffled."""
     width = first or dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, dim)
-            good = np.isfinite(flat).all(1) & (flat != 0).any(1)
-            flat = flat[:, :width]
-            length = np.sqrt((flat * flat).sum(1))
-            good &= (length > 0) & np.isfinite(length)
-            rows = np.flatnonzero(good)
-            unit = flat[rows] / length[rows, None]
+            rows, unit = _units(batch, dim, width)
             v = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.array(unit.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), v], [key, "v"])
 
-    sized = table.where(F.col(key).isNotNull() & (F.size(column) == dim)).select(F.col(key).cast("long").alias(key), column)
-    return sized.mapInArrow(run, f"{key} long, v array<double>").groupBy(key).agg(F.min("v").alias("v"))
+    out = _sized(table, key, dim, column).mapInArrow(run, f"{key} long, v array<double>")
+    return out.groupBy(key).agg(F.min("v").alias("v")) if once else out
+
+
+def vector_keys(table: DataFrame, key: str, dim: int, column: str = "embedding", first: int | None = None) -> DataFrame:
+    """Distinct keys of usable vectors, for joins and counts, which need no vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(_units(batch, dim, first or dim)[0]))], [key])
+
+    return _sized(table, key, dim, column).mapInArrow(run, f"{key} long").distinct()
 
 
 def query_vector(vectors: DataFrame, key: str, value: int | None = None) -> list[float]:
     """The vector of a key (of the smallest key without one); empty if there is none."""
     rows = vectors.where(F.col(key) == value) if value is not None else vectors
-    row = rows.orderBy(key).limit(1).collect()
-    return list(row[0]["v"]) if row else []
+    row = rows.agg(F.min_by("v", key).alias("v")).first()
+    return list(row["v"] or [])
 
 
 def distances(vectors: DataFrame, key: str, query: list[float]) -> DataFrame:
@@ -53,14 +70,14 @@ def distances(vectors: DataFrame, key: str, query: list[float]) -> DataFrame:
 
 
 def knn(vectors: DataFrame, key: str, query: list[float], k: int, most: int = KNN_MOST, plan: str = "arrow") -> DataFrame:
-    """(key, dist) of the k (from 1 to ``most``) nearest vectors, ties by key. Vectors of another length than the query's are left out;
-    an empty query has no neighbours."""
+    """(key, dist) of the k (from 1 to ``most``) nearest vectors, ties by key; a repeated key counts once, at its smallest distance.
+    Vectors of another length than the query's are left out; an empty query has no neighbours."""
     k = max(1, min(most, k))
     if not query:
         return vectors.select(key, F.lit(0.0).alias("dist")).limit(0)
     fitting = vectors.where(F.size("v") == len(query))
     if plan == "hof":
-        return distances(fitting, key, query).orderBy("dist", key).limit(k)
+        return distances(fitting, key, query).groupBy(key).agg(F.min("dist").alias("dist")).orderBy("dist", key).limit(k)
     q = np.asarray(query, np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,22 +87,24 @@ def knn(vectors: DataFrame, key: str, query: list[float], k: int, most: int = KN
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(q))
             dist = np.sqrt(((x - q) ** 2).sum(1))
             ids = batch.column(0).to_numpy()
-            best = np.lexsort((ids, dist))[:k]
+            order = np.lexsort((ids, dist))
+            best = order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]
             yield pa.RecordBatch.from_arrays([pa.array(ids[best]), pa.array(dist[best])], [key, "dist"])
 
-    return fitting.select(key, "v").mapInArrow(run, f"{key} long, dist double").orderBy("dist", key).limit(k)
+    near = fitting.select(key, "v").mapInArrow(run, f"{key} long, dist double")
+    return near.groupBy(key).agg(F.min("dist").alias("dist")).orderBy("dist", key).limit(k)  # k rows of each batch
 
 
 def region_maxsim(region_vectors: DataFrame, regions: DataFrame, query: list[float], fetch: int) -> DataFrame:
     """(asset_id, dist): the smallest distance of an asset's regions among the ``fetch`` nearest regions of all."""
     near = knn(region_vectors, "region_id", query, fetch, REGIONS_MOST)
-    return near.join(regions.select("region_id", "asset_id"), "region_id").groupBy("asset_id").agg(F.min("dist").alias("dist"))
+    return regions.select("region_id", "asset_id").join(F.broadcast(near), "region_id").where("asset_id is not null").groupBy("asset_id").agg(F.min("dist").alias("dist"))
 
 
 def cascade(signatures: DataFrame, vectors: DataFrame, key: str, coarse_query: list[float], query: list[float], candidates: int, k: int) -> DataFrame:
     """The k nearest by full vectors among the ``candidates`` nearest by signatures."""
     near = knn(signatures, key, coarse_query, candidates, REGIONS_MOST).select(key)
-    return distances(vectors.join(F.broadcast(near), key), key, query).orderBy("dist", key).limit(k)  # at most REGIONS_MOST rows
+    return distances(vectors.join(F.broadcast(near), key), key, query).groupBy(key).agg(F.min("dist").alias("dist")).orderBy("dist", key).limit(k)  # at most REGIONS_MOST rows
 
 
 def patch_maxsim(patches: DataFrame, query: list[list[float]], owner: str = "asset_id") -> DataFrame:
