@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from prismara.tables import one_per_key
 
 HOT_SHARE = 1 / 500
+HOT_LEAST = 1_000
 SALTS = 64
 
 
@@ -70,8 +71,8 @@ def orphan_keys(state: DataFrame) -> DataFrame:
 def orphan_rows(references: DataFrame, state: DataFrame, salts: int = SALTS) -> DataFrame:
     """(table_name, row_id, missing_id, period) of every row whose key is an orphan in ``state``."""
     orphans = orphan_keys(state)
-    total = orphans.agg(F.sum("refs").alias("total"))
-    hot = orphans.join(F.broadcast(total)).where(F.col("refs") > F.col("total") * HOT_SHARE).select("table_name", "key", F.lit(True).alias("hot"))
+    total = orphans.agg(F.sum("refs")).first()[0] or 0
+    hot = orphans.where(F.col("refs") > max(HOT_LEAST, total * HOT_SHARE)).select("table_name", "key", F.lit(True).alias("hot"))
     mark = lambda df: df.join(F.broadcast(hot), ["table_name", "key"], "left")  # noqa: E731  at most 1/HOT_SHARE rows
     salt: Column = F.when(F.col("hot"), F.pmod(F.xxhash64("row_id"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

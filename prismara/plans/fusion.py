@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,9 +24,14 @@ def listed(spark, ids: list[int], number: int, semantic: bool) -> DataFrame:
     return rows.groupBy("id").agg(F.min("rank").alias("rank")).select(F.lit(number).alias("stream"), F.lit(semantic).alias("semantic"), "rank", "id")
 
 
-def rrf(streams: list[DataFrame], k: float = RRF_K) -> DataFrame:
-    """(id, score, matched): sum of 1 / (k + rank) over streams, k = 60 where it is not positive; matched is both, semantic or text."""
+def fused(k: float = RRF_K) -> list[Column]:
+    """Aggregates of an id's places (semantic, rank) in all streams: score, the sum of 1 / (k + rank), with k = 60 where it is not positive,
+    and matched, which is both, semantic or text."""
     k = k if k > 0 else RRF_K
-    every = reduce(DataFrame.unionByName, streams)
-    fused = every.groupBy("id").agg(F.sum(1 / (F.lit(k) + F.col("rank"))).alias("score"), F.bool_or("semantic").alias("s"), F.bool_or(~F.col("semantic")).alias("t"))
-    return fused.select("id", "score", F.when(F.col("s") & F.col("t"), "both").when(F.col("s"), "semantic").otherwise("text").alias("matched"))
+    semantic, text = F.bool_or("semantic"), F.bool_or(~F.col("semantic"))
+    return [F.sum(1 / (F.lit(k) + F.col("rank"))).alias("score"), F.when(semantic & text, "both").when(semantic, "semantic").otherwise("text").alias("matched")]
+
+
+def rrf(streams: list[DataFrame], k: float = RRF_K) -> DataFrame:
+    """(id, score, matched) of streams."""
+    return reduce(DataFrame.unionByName, streams).groupBy("id").agg(*fused(k))

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prismara.functions import scalars as S
-from prismara.operators.assets import search_filter, summary
+from prismara.operators.assets import search_filter, taken
 from prismara.plans import fts, fusion
 from prismara.plans.knn import knn, region_maxsim
 
+#: Stream numbers of regions and text, above those of all indexes.
+REGIONS, TEXT = 1 << 20, 1 << 21
+
 
 @dataclass
 class Library:
-    """What a search reads. ``indexes``: vectors (asset_id, v) by index number; ``text``: (asset_id, content)."""
+    """What a search reads; ``assets`` has one row per asset. ``indexes``: vectors (asset_id, v) by index number; ``text``: (asset_id, content)."""
 
     assets: DataFrame
     folders: DataFrame
@@ -49,38 +54,36 @@ def hybrid_search(library: Library, text: str, queries: dict[int, list[float]],
     filters = filters or Filters()
     k = max(1, min(500, top_k))
     wide = 3 * k if filters.folder_id is not None else k
-    passing = library.assets.where(filters.column()).select("asset_id")
-    narrowed = lambda df: df.join(passing, "asset_id", "left_semi")
-    source = narrowed if filters.before else (lambda df: df)
-    streams, similar = [], []
-    first = None
+    allowed = library.assets.where(filters.column())
+    source = (lambda df: df.join(allowed.select("asset_id"), "asset_id", "left_semi")) if filters.before else (lambda df: df)
+    named = lambda df, stream, semantic, order: df.select(F.lit(stream).alias("stream"), F.lit(semantic).alias("semantic"), F.col(order).alias("order"), "asset_id")
+    streams, first = [], None
     for number, index in sorted(library.indexes.items()):
-        query = queries.get(number)
-        if not query:
-            continue
-        first = first or query
-        hits = narrowed(knn(source(index), "asset_id", query, wide))
-        streams.append(fusion.stream(hits, number, True, "dist", "asset_id"))
-        similar.append(hits.select("asset_id", S.similarity(F.col("dist")).alias("similarity"), F.lit(number).alias("n")))
+        if query := queries.get(number):
+            first = first or query
+            streams.append(named(knn(source(index), "asset_id", query, wide), number, True, "dist"))
     if first:
-        near = narrowed(region_maxsim(library.region_vectors, library.regions, first, 3 * wide))
-        streams.append(fusion.stream(near, 1 << 20, True, "dist", "asset_id"))
+        streams.append(named(region_maxsim(library.region_vectors, library.regions, first, 3 * wide), REGIONS, True, "dist"))
     if S.query_terms(text):
-        hits = narrowed(fts.search_scan(source(library.text), text, k))
-        streams.append(fusion.stream(hits, 1 << 21, False, "rank", "asset_id"))
+        streams.append(named(fts.search_scan(source(library.text), text, k), TEXT, False, "rank"))
     if not streams:
-        return summary(library.assets.limit(0), library.folders).select("asset_id", *[F.lit(None).cast(t).alias(c) for c, t in (("score", "double"), ("similarity", "double"), ("matched", "string"))], "file_name", "folder_id", "folder_label", "size_bytes", "taken_at")
-    fused = fusion.rrf(streams).withColumnRenamed("id", "asset_id")
-    best = fused.agg(F.greatest(F.max("score"), F.lit(1e-9)).alias("best"))
-    hits = fused.join(F.broadcast(best)).select("asset_id", F.col("score").alias("raw"), F.round(F.col("score") / F.col("best"), 3).alias("score"), "matched")  # one row
-    if similar:
-        every = similar[0]
-        for s in similar[1:]:
-            every = every.unionByName(s)
-        hits = hits.join(every.groupBy("asset_id").agg(F.max_by("similarity", "n").alias("similarity")), "asset_id", "left")
-    else:
-        hits = hits.withColumn("similarity", F.lit(None).cast("double"))
-    shown = summary(library.assets.join(F.broadcast(fused.select("asset_id")), "asset_id", "left_semi"), library.folders)  # a few times top_k rows
-    page = hits.join(shown, "asset_id").orderBy(F.desc("raw"), "asset_id")
+        streams.append(named(library.assets.select("asset_id", F.lit(0.0).alias("rank")).limit(0), TEXT, False, "rank"))
+    # a few times top_k hits meet the assets once; filters act here, before places are numbered
+    hits = allowed.join(F.broadcast(reduce(DataFrame.unionByName, streams)), "asset_id")
+    place = F.row_number().over(W.partitionBy("stream").orderBy("order", "asset_id"))
+    ranked = hits.withColumn("rank", place)
+    whole = F.when(F.col("stream") < REGIONS, F.col("stream"))
+    fused = ranked.groupBy("asset_id").agg(
+        *fusion.fused(),
+        F.max_by(S.similarity(F.col("order")), whole).alias("similarity"),
+        *[F.first(c).alias(c) for c in ("folder_id", "storage_key", "size", "taken_at")],
+    )
+    best = F.greatest(F.max("score").over(W.partitionBy(F.lit(0))), F.lit(1e-9))  # over the hits
+    scored = fused.withColumn("raw", F.col("score")).withColumn("score", F.round(F.col("score") / best, 3))
+    named_folders = library.folders.select("folder_id", F.coalesce("label", "path").alias("folder_label"))
+    page = scored.join(named_folders, "folder_id", "left").orderBy(F.desc("raw"), "asset_id")
     page = page.limit(limit) if limit is not None else page
-    return page.select("asset_id", "score", "similarity", "matched", "file_name", "folder_id", "folder_label", "size_bytes", "taken_at")
+    return page.select(
+        "asset_id", "score", "similarity", "matched", S.basename(F.col("storage_key")).alias("file_name"), "folder_id",
+        F.coalesce("folder_label", F.lit("")).alias("folder_label"), F.coalesce("size", F.lit(0)).alias("size_bytes"), taken().alias("taken_at"),
+    )
