@@ -73,7 +73,7 @@ def _bytes(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
-def _encoder(shared, margin: float):
+def _encoder(shared, margin: float, vectors: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantiser: Quantiser = shared.value
         for batch in batches:
@@ -91,20 +91,22 @@ def _encoder(shared, margin: float):
             norm, err, scale = np.einsum("ij,ij->i", decoded, decoded), np.einsum("ij,ij->i", rest, rest), np.maximum(np.abs(rest).max(1), 1e-12).astype(np.float32)
             names = pa.array(folded, pa.list_(pa.int64()))
             packed = _bytes(codes)
-            own = [pa.array(home.astype(np.int32)), pa.array(home.astype(np.int32)), names, pa.array(marks), pack(x), packed, pa.array(norm.astype(np.float32)), pa.array(err.astype(np.float32)), pa.nulls(len(x), pa.binary()), pa.array(scale)]
+            every = _bytes(np.round(rest / scale[:, None] * 127).astype(np.int8))
+            full, fine = (pack(x), pa.nulls(len(x), pa.binary())) if vectors else (pa.nulls(len(x), pa.binary()), every)
+            own = [pa.array(home.astype(np.int32)), pa.array(home.astype(np.int32)), names, pa.array(marks), full, packed, pa.array(norm.astype(np.float32)), pa.array(err.astype(np.float32)), fine, pa.array(scale)]
             columns = ["cell", "home", "ids", "mark", "vec", "code", "norm", "err", "rest", "scale"]
             yield pa.RecordBatch.from_arrays(own, columns)
             if len(near):
                 take = pa.array(near)
-                fine = _bytes(np.round(rest[near] / scale[near, None] * 127).astype(np.int8))
-                other = [pa.array(cells.astype(np.int32)), *[c.take(take) for c in own[1:4]], pa.nulls(len(near), pa.binary()), *[c.take(take) for c in own[5:8]], fine, own[9].take(take)]
+                other = [pa.array(cells.astype(np.int32)), *[c.take(take) for c in own[1:4]], pa.nulls(len(near), pa.binary()), *[c.take(take) for c in own[5:8]], every.take(take), own[9].take(take)]
                 yield pa.RecordBatch.from_arrays(other, columns)
 
     return run
 
 
-def _scan(quantiser: Quantiser, queries: np.ndarray, home: np.ndarray, codes: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score) wherever the lookup score of a candidate reaches its need."""
+def _scan(quantiser: Quantiser, queries: np.ndarray, home: np.ndarray, codes: np.ndarray, need: np.ndarray, reach: np.ndarray | None = None, spread: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, score) wherever the lookup score of a candidate reaches its need; with ``reach``, the distance that matters to
+    each query, the need is less by half its square and by reach times the candidate's ``spread``."""
     m, k, d = quantiser.books.shape
     flat = quantiser.books.reshape(m * k, d)
     places = codes.astype(np.intp) + np.arange(m) * k
@@ -115,6 +117,9 @@ def _scan(quantiser: Quantiser, queries: np.ndarray, home: np.ndarray, codes: np
         q = np.zeros((QUERIES, d), np.float32)
         n = len(queries[a : a + QUERIES])
         q[:n] = queries[a : a + QUERIES]
+        d_ = np.zeros(QUERIES, np.float32)
+        if reach is not None:
+            d_[:n] = reach[a : a + QUERIES]
         table = flat @ q.T
         base = quantiser.cells.centres[cells] @ q.T
         for b in range(0, len(codes), CANDIDATES):
@@ -124,6 +129,10 @@ def _scan(quantiser: Quantiser, queries: np.ndarray, home: np.ndarray, codes: np
             for i in range(m):
                 np.take(table, p[:, i], axis=0, out=t, mode="clip")
                 np.add(s, t, out=s)
+            if reach is not None:
+                np.multiply(spread[b : b + CANDIDATES, None], d_[None, :], out=t)
+                np.add(s, t, out=s)
+                np.add(s, 0.5 * d_ * d_, out=s)
             hit = s >= need[b : b + CANDIDATES, None]
             hit[:, n:] = False
             x, y = np.nonzero(hit)
@@ -261,3 +270,118 @@ def mutual(pairs: DataFrame, top: int = TOP) -> DataFrame:
     both = pairs.select(F.col("a").alias("p"), F.col("b").alias("r"), "a", "b", "sim").unionByName(pairs.select(F.col("b").alias("p"), F.col("a").alias("r"), "a", "b", "sim"))
     rank = F.row_number().over(W.partitionBy("p").orderBy(F.desc("sim"), "r"))
     return both.withColumn("rank", rank).where(F.col("rank") <= top).groupBy("a", "b").agg(F.count("*").alias("n"), F.first("sim").alias("sim")).where("n = 2").select("a", "b", "sim")
+
+
+# The most similar of all, for a stated set of queries.
+
+PROBES = 32
+PER_TASK = 50_000
+_FOUND = "q long, x long, sim double"
+
+
+def _probed(shared, probes: int):
+    """Queries (id, vec) with the cells nearest to them; the first is the home cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = shared.value.cells
+        k = min(probes, len(cells.centres))
+        for batch in batches:
+            rows, x = matrix(batch.column(1))
+            if not len(rows):
+                continue
+            near = x @ cells.centres.T - cells.half
+            order = np.argsort(-near, axis=1, kind="stable")[:, :k]
+            which = np.repeat(np.arange(len(rows)), k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(order.ravel().astype(np.int32)), batch.column(0).take(pa.array(rows[which])), pack(x).take(pa.array(which)), pa.array(np.tile(np.arange(k) == 0, len(rows)))],
+                ["cell", "q", "qv", "at_home"],
+            )
+
+    return run
+
+
+def _nearest(shared, top: int, bounded: bool):
+    """Cogroup of queries and coded candidates of a cell: the ``top`` best candidates of each query. Bounded queries bring the similarity
+    that a candidate has to beat; then table lookups pick the candidates whose 8-bit errors are worth adding."""
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        quantiser: Quantiser = shared.value
+        out_q, out_x, out_s = [], [], []
+        if a.num_rows and b.num_rows:
+            q, ids = unpack(a.column("qv").combine_chunks()), a.column("q").to_numpy()
+            home = b.column("home").to_numpy()
+            codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(-1, BOOKS)
+            fine = np.frombuffer(b"".join(b.column("rest").to_pylist()), np.int8).reshape(-1, DIM)
+            scale, norm, err = (b.column(c).to_numpy() for c in ("scale", "norm", "err"))
+            names = b.column("ids").to_pylist()
+            if bounded:
+                floor = a.column("floor").to_numpy()
+                reach = np.sqrt(np.maximum(2 * (1 - floor), 0)).astype(np.float32)
+                i, j, s = _scan(quantiser, q, home, codes, ((1 + norm - err) / 2 - 1e-6).astype(np.float32), reach, (CODE_SPREADS * np.sqrt(err / DIM)).astype(np.float32))
+                s = s - (CODE_SPREADS * np.sqrt(err[j] / DIM) * reach[i]) - 0.5 * reach[i] ** 2 + np.einsum("ij,ij->i", q[i], fine[j].astype(np.float32)) * scale[j] / 127
+                good = s >= floor[i] - FINE_ERROR
+                i, j, s = i[good], j[good], s[good]
+            else:
+                whole = quantiser.decode(home, codes) + fine * (scale[:, None] / 127)
+                k = min(top, len(whole))
+                i, j, s = [], [], []
+                for r in range(0, len(q), 512):
+                    near = q[r : r + 512] @ whole.T
+                    best = np.argpartition(near, -k, axis=1)[:, -k:]
+                    i.append(np.repeat(np.arange(r, r + len(near)), k))
+                    j.append(best.ravel())
+                    s.append(np.take_along_axis(near, best, 1).ravel())
+                i, j, s = (np.concatenate(c) for c in (i, j, s))
+            for p in _best(i, s, top):
+                for x in names[j[p]]:
+                    out_q.append(ids[i[p]])
+                    out_x.append(x)
+                    out_s.append(float(s[p]))
+        return pa.table({"q": pa.array(out_q, pa.int64()), "x": pa.array(out_x, pa.int64()), "sim": pa.array(out_s, pa.float64())})
+
+    return run
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, column: str, top: int = TOP, probes: int = PROBES, per_cell: int = PER_CELL) -> DataFrame:
+    """(id, neighbour, rank, sim): the ``top`` most similar vectors for every row of ``queries`` (key, column), itself left out.
+
+    All rows are coded and laid into cells. A query first meets its home cell; what it finds there is the mark that candidates of its
+    other ``probes`` cells have to beat, so that little leaves a cell. The best by 8-bit scores are reranked exactly. Cells of more than
+    ``PER_TASK`` rows are split, and their queries go to every part. Ties go to the smaller key; repeated keys count once; null and
+    unusable vectors neither ask nor answer; empty input, no rows.
+    """
+    spark = vectors.sparkSession
+    tidy = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(column).alias("v")).where(F.col("id").isNotNull() & (F.size("v") == DIM))
+    rows, asked = tidy(vectors), tidy(queries)
+    total = vectors.count()
+    training = sample(rows, "id", "v", total)
+    if len(training) < 2:
+        return spark.createDataFrame([], "id long, neighbour long, rank int, sim double")
+    quantiser = Quantiser.train(training, max(1, min(MOST_CELLS, total // per_cell)), BOOKS, WORDS, beam=BEAM)
+    shared = spark.sparkContext.broadcast(quantiser)
+    coded = materialise(rows.mapInArrow(_encoder(shared, -1.0, vectors=False), _PARTS).drop("vec", "mark"), "coded")
+    counts = {r.cell: -(-r["count"] // PER_TASK) for r in coded.groupBy("cell").count().collect()}  # at most MOST_CELLS rows
+    split = F.element_at(F.create_map(*[F.lit(int(c)) for pair in counts.items() for c in pair]), F.col("cell"))
+    candidates = coded.withColumn("part", F.pmod(F.xxhash64("ids"), split).cast("int"))
+    probed = asked.mapInArrow(_probed(shared, probes), "cell int, q long, qv binary, at_home boolean").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(split, F.lit(1)) - 1)))
+    more = top + 1
+    own = probed.where("at_home").groupBy("cell", "part").cogroup(candidates.groupBy("cell", "part")).applyInArrow(_nearest(shared, more, False), _FOUND)
+    own = materialise(own.where("q <> x").distinct(), "own")
+    ranked = lambda df, n: df.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "x"))).where(F.col("rank") <= n)
+    floors = ranked(own, top).groupBy("q").agg(F.count("*").alias("n"), F.min("sim").alias("floor")).select("q", F.when(F.col("n") == top, F.col("floor")).otherwise(-1.0).alias("floor"))
+    beyond = probed.where("not at_home").join(floors, "q", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0)))
+    again = candidates.toDF(*candidates.columns)
+    other = beyond.groupBy("cell", "part").cogroup(again.groupBy("cell", "part")).applyInArrow(_nearest(shared, more, True), _FOUND).where("q <> x")
+    best = materialise(ranked(own.unionByName(other).distinct(), more), "best")
+    wanted = rows.dropDuplicates(["id"])
+    pairs = best.join(wanted.select(F.col("id").alias("x"), F.col("v").alias("vx")), "x").join(asked.dropDuplicates(["id"]).select(F.col("id").alias("q"), F.col("v").alias("vq")), "q")
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                (_, a), (_, b) = matrix(batch.column(2)), matrix(batch.column(3))
+                sim = np.einsum("ij,ij->i", a.astype(np.float64), b.astype(np.float64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim)], ["q", "x", "sim"])
+
+    exact = pairs.select("q", "x", "vq", "vx").mapInArrow(rerank, _FOUND)
+    return ranked(exact, top).select(F.col("q").alias("id"), F.col("x").alias("neighbour"), "rank", F.round("sim", 6).alias("sim"))

@@ -39,6 +39,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar vectors of every vector whose key is divisible by 20, searched among all."""
+    out = None
+    for table, key in (("vec_assets", "asset_id"), ("vec_regions", "region_id")):
+        rows = load(spark, sf_dir, table)
+        near = neighbours.nearest(rows, rows.where(F.col(key) % 20 == 0), key, "embedding").select(F.lit(table).alias("vec_table"), "id", "neighbour", "rank", "sim")
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
@@ -59,6 +69,6 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p4_found": p4_found, "p6_packed": p6_packed, "p6_containers": p6_containers, "p7_found": p7_found, "p7_spans": p7_spans, "p8_pieces": p8_pieces}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_packed": p6_packed, "p6_containers": p6_containers, "p7_found": p7_found, "p7_spans": p7_spans, "p8_pieces": p8_pieces}
 
 ORACLE: dict[str, str] = {}

@@ -141,6 +141,27 @@ def test_neighbours_of_copies_and_nothing(spark):
     assert neighbours.similar_pairs(table(spark, range(len(BAD)), BAD), "region_id", "embedding", 0.985).count() == 0
 
 
+@pytest.mark.parametrize("per_cell,per_task", [(2_000, 50_000), (60, 40)])
+def test_nearest_of_a_query_set(spark, close, per_cell, per_task, monkeypatch):
+    monkeypatch.setattr(neighbours, "PER_TASK", per_task)
+    ids, x = close
+    df = table(spark, [*ids, *ids[:30], *range(9_000, 9_007), None], [*x, *x[:30], *BAD, x[0]])
+    asked = df.where(F.col("region_id") % 20 == 0)
+    rows = neighbours.nearest(df, asked, "region_id", "embedding", 5, 8, per_cell).collect()
+    v, place = as_float(x), {i: p for p, i in enumerate(ids)}
+    wanted = [i for i in ids if i % 20 == 0]
+    got = {}
+    for r in rows:
+        got.setdefault(r.id, {})[r["rank"]] = r.neighbour
+        assert r.sim == pytest.approx(float(v[place[r.id]] @ v[place[r.neighbour]]), abs=2e-6) and r.id != r.neighbour
+    assert set(got) == set(wanted) and all(sorted(g) == [1, 2, 3, 4, 5] for g in got.values())
+    sim = v @ v.T
+    np.fill_diagonal(sim, -2)
+    hits = [len(set(got[i].values()) & {ids[j] for j in np.argsort(-sim[place[i]])[:5]}) for i in wanted]
+    assert sum(hits) >= 0.95 * 5 * len(wanted)
+    assert neighbours.nearest(df.limit(0), asked, "region_id", "embedding").count() == 0
+
+
 def test_beam_search_encodes_closer_than_one_path():
     rng = np.random.default_rng(9)
     x = np.vstack([ball(rng, 400, 0.5) for _ in range(5)]).astype(np.float32)
