@@ -152,6 +152,14 @@ def _best(group: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
     return order[rank < most]
 
 
+def _merged(marks: np.ndarray, ids: list[list[int]], rows: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+    """One of ``rows`` for each mark, and the smallest TOP + 1 ids of all rows with that mark."""
+    order = rows[np.argsort(marks[rows], kind="stable")]
+    new = np.flatnonzero(np.r_[True, marks[order][1:] != marks[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+    ends = np.r_[new[1:], len(order)]
+    return order[new], [ids[order[a]] if b - a == 1 else sorted({i for r in order[a:b] for i in ids[r]})[: TOP + 1] for a, b in zip(new, ends)]
+
+
 def _searcher(shared, least: float, margin: float):
     apart = 2 * (1 - least)
 
@@ -161,14 +169,8 @@ def _searcher(shared, least: float, margin: float):
         is_home = np.asarray(columns["vec"].is_valid())
         marks, ids = columns["mark"].to_numpy(), columns["ids"].to_pylist()
 
-        def merged(rows: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
-            order = rows[np.argsort(marks[rows], kind="stable")]
-            new = np.flatnonzero(np.r_[True, marks[order][1:] != marks[order][:-1]]) if len(order) else np.zeros(0, np.int64)
-            ends = np.r_[new[1:], len(order)]
-            return order[new], [ids[order[a]] if b - a == 1 else sorted({i for r in order[a:b] for i in ids[r]})[: TOP + 1] for a, b in zip(new, ends)]
-
-        own, own_ids = merged(np.flatnonzero(is_home))
-        far, far_ids = merged(np.flatnonzero(~is_home))
+        own, own_ids = _merged(marks, ids, np.flatnonzero(is_home))
+        far, far_ids = _merged(marks, ids, np.flatnonzero(~is_home))
         out: list[tuple] = [(i, i, 1.0, None) for i in own_ids if len(i) > 1]
         if len(own):
             every = np.r_[own, far]
@@ -309,11 +311,12 @@ def _nearest(shared, top: int, bounded: bool):
         out_q, out_x, out_s = [], [], []
         if a.num_rows and b.num_rows:
             q, ids = unpack(a.column("qv").combine_chunks()), a.column("q").to_numpy()
+            places, names = _merged(b.column("mark").to_numpy(), b.column("ids").to_pylist(), np.arange(b.num_rows))
+            b = b.take(pa.array(places))
             home = b.column("home").to_numpy()
             codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(-1, BOOKS)
             fine = np.frombuffer(b"".join(b.column("rest").to_pylist()), np.int8).reshape(-1, DIM)
             scale, norm, err = (b.column(c).to_numpy() for c in ("scale", "norm", "err"))
-            names = b.column("ids").to_pylist()
             if bounded:
                 floor = a.column("floor").to_numpy()
                 reach = np.sqrt(np.maximum(2 * (1 - floor), 0)).astype(np.float32)
@@ -359,10 +362,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, column: str, top:
         return spark.createDataFrame([], "id long, neighbour long, rank int, sim double")
     quantiser = Quantiser.train(training, max(1, min(MOST_CELLS, total // per_cell)), BOOKS, WORDS, beam=BEAM)
     shared = spark.sparkContext.broadcast(quantiser)
-    coded = materialise(rows.mapInArrow(_encoder(shared, -1.0, vectors=False), _PARTS).drop("vec", "mark"), "coded")
+    coded = materialise(rows.mapInArrow(_encoder(shared, -1.0, vectors=False), _PARTS).drop("vec"), "coded")
     counts = {r.cell: -(-r["count"] // PER_TASK) for r in coded.groupBy("cell").count().collect()}  # at most MOST_CELLS rows
     split = F.element_at(F.create_map(*[F.lit(int(c)) for pair in counts.items() for c in pair]), F.col("cell"))
-    candidates = coded.withColumn("part", F.pmod(F.xxhash64("ids"), split).cast("int"))
+    candidates = coded.withColumn("part", F.pmod(F.xxhash64("mark"), split).cast("int"))
     probed = asked.mapInArrow(_probed(shared, probes), "cell int, q long, qv binary, at_home boolean").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(split, F.lit(1)) - 1)))
     more = top + 1
     own = probed.where("at_home").groupBy("cell", "part").cogroup(candidates.groupBy("cell", "part")).applyInArrow(_nearest(shared, more, False), _FOUND)
