@@ -6,6 +6,8 @@ from the last committed snapshot, and nothing is done twice.
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -19,7 +21,7 @@ from prismara.functions import scalars as S
 from prismara.operators import assets as A
 from prismara.operators.lifecycle import upsert, write_vectors
 from prismara.sources.catalog import Catalog
-from prismara.sources.files import scan
+from prismara.sources.files import precheck, scan
 from prismara.sources.ingest import ingest
 from prismara.storage import materialise
 
@@ -59,13 +61,15 @@ class HashIndexer:
 def sync_folder(catalog: Catalog, folder: str, folder_id: int, now: int) -> int:
     """Ingest of what is new in a folder, committed as a snapshot; the number of new and retried rows."""
     tables = catalog.tables()
-    made = ingest(scan(catalog.spark, folder), tables["assets"], folder_id, now)
-    new = materialise(made["assets"].unionByName(made["retried"]).drop("thumb"), "synced")
+    return commit_ingest(catalog, tables, ingest(scan(catalog.spark, folder), tables["assets"], folder_id, now))
+
+
+def commit_ingest(catalog: Catalog, tables: dict[str, DataFrame], made: dict[str, DataFrame]) -> int:
+    """Commits what ingest() made; the number of new and retried rows."""
+    new = materialise(made["assets"].unionByName(made["retried"]).select(*tables["assets"].columns), "synced")
     n = new.count()
     if n:
-        columns = tables["assets"].columns
-        text = made["fts"]
-        catalog.commit({"assets": upsert(tables["assets"], new.select(*columns), "asset_id"), "fts_text": upsert(tables["fts_text"], text, "asset_id")})
+        catalog.commit({"assets": upsert(tables["assets"], new, "asset_id"), "fts_text": upsert(tables["fts_text"], made["fts"], "asset_id")})
     return n
 
 
@@ -125,3 +129,64 @@ def progress(assets: DataFrame, folders: DataFrame, vectors: DataFrame, resting:
     done = vectors.agg(F.count("*").alias("done"))
     left = A.pending_embeddings(assets, folders, vectors).join(resting.select("asset_id"), "asset_id", "left_anti").agg(F.count("*").alias("left"))
     return done.join(F.broadcast(left)).select("done", (F.col("done") + F.col("left")).alias("total"))  # one row each
+
+
+class ImportJob:
+    """An import that can be paused, resumed and stopped: the folder's new files in rounds of ``size``, each committed by itself. At most one
+    job runs per library; a job that is started again goes on with what is not ready yet."""
+
+    _running: dict[str, ImportJob] = {}
+
+    def __init__(self, catalog: Catalog, folder: str, folder_id: int, size: int = 256, clock: Callable[[], int] = lambda: int(time.time())):
+        self.catalog, self.folder, self.folder_id, self.size, self.clock = catalog, folder, folder_id, size, clock
+        self.done, self.total, self.error = 0, 0, None
+        self._go, self._stop, self._thread = threading.Event(), threading.Event(), None
+        self._go.set()
+
+    def start(self) -> ImportJob:
+        other = self._running.get(self.catalog.root)
+        if other is not None and other._thread.is_alive():
+            raise RuntimeError("an import is running")
+        self._thread = threading.Thread(target=self._run, daemon=True)
+        self._running[self.catalog.root] = self
+        self._thread.start()
+        return self
+
+    def pause(self) -> None:
+        self._go.clear()
+
+    def resume(self) -> None:
+        self._go.set()
+
+    def abort(self) -> None:
+        self._stop.set()
+        self._go.set()
+
+    def wait(self, seconds: float | None = None) -> bool:
+        self._thread.join(seconds)
+        return not self._thread.is_alive()
+
+    def state(self) -> str:
+        if self._thread is None:
+            return "new"
+        if not self._thread.is_alive():
+            return "failed" if self.error else "aborted" if self._stop.is_set() else "finished"
+        return "running" if self._go.is_set() else "paused"
+
+    def _run(self) -> None:
+        try:
+            found = scan(self.catalog.spark, self.folder)
+            waiting = materialise(precheck(found, self.catalog.tables()["assets"], self.folder_id).select("path", "length"), "waiting")
+            self.total = waiting.count()
+            rounds = max(1, -(-self.total // self.size))
+            for r in range(rounds):
+                self._go.wait()
+                if self._stop.is_set():
+                    return
+                part = waiting.where(F.pmod(F.xxhash64("path"), F.lit(rounds)) == r).select("path")
+                tables = self.catalog.tables()
+                made = ingest(found.join(part, "path", "left_semi"), tables["assets"], self.folder_id, self.clock())
+                commit_ingest(self.catalog, tables, made)
+                self.done += part.count()
+        except Exception as e:  # noqa: BLE001  reported by state()
+            self.error = e

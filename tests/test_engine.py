@@ -16,6 +16,7 @@ from prismara.operators import metrics as M
 from prismara.operators import regions as R
 from prismara.plans import fts, fusion, knn, search
 from prismara.sources import files, objects, pixels
+from prismara.sources import regions as regions_
 from prismara.sources.catalog import Catalog
 from prismara.sources.ingest import ingest
 from prismara.streaming import jobs
@@ -466,6 +467,42 @@ def test_watch_sync_and_index(spark, folder, tmp_path):
     assert jobs.embed_pending(state | {"assets": t["assets"].unionByName(copy), "vectors": t["vec_assets"]}, contents, jobs.HashIndexer(1, 16), tired)[0].count() == 0
 
 
+def test_import_job_pauses_and_goes_on(spark, folder, tmp_path):
+    cat = Catalog.open(spark, f"file://{tmp_path}/lib")
+    job = jobs.ImportJob(cat, str(folder), 1, size=2, clock=lambda: 9)
+    assert job.state() == "new"
+    job.pause()
+    job.start()
+    with pytest.raises(RuntimeError):
+        jobs.ImportJob(cat, str(folder), 1).start()
+    assert job.state() == "paused"
+    job.resume()
+    assert job.wait(120) and job.state() == "finished" and job.done == job.total == 4 and cat.tables()["assets"].count() == 3
+    stopped = jobs.ImportJob(cat, str(folder), 1)
+    stopped.pause()
+    stopped.start().abort()
+    assert stopped.wait(60) and stopped.state() == "aborted"
+
+
+def test_region_round(spark, folder):
+    made = ingest(files.scan(spark, str(folder)), schema.empty(spark, "assets"), 1, 5)["assets"].drop("thumb")
+    contents = files.hashed(files.scan(spark, str(folder))).select("sha256", "content").dropDuplicates(["sha256"])
+    f = folders(spark, (1, str(folder), None, "local", "online", 1))
+    tables = {"assets": made, "folders": f, "vectors": spark.createDataFrame([], "asset_id long"), "regions": schema.empty(spark, "regions"), "region_clusters": schema.empty(spark, "region_clusters")}
+    step = lambda t: regions_.region_round(t, contents, regions_.GridSegmenter(), jobs.HashIndexer(2, 16).embed, 16, 7)
+    assert step(tables) is None  # vectors of assets come first
+    tables["vectors"] = made.select("asset_id")
+    out = step(tables)
+    rows = out["regions"].collect()
+    assert {r.asset_id for r in rows} == {r.asset_id for r in made.where("status = 'ready'").collect()} and {r.region_idx for r in rows} <= {-1, 0, 1, 2, 3}
+    real = [r for r in rows if r.region_idx >= 0]
+    assert len({r.region_id for r in rows}) == len(rows) and out["vec_regions"].count() == len(real) and all(r.cluster_id is not None for r in real)
+    assert sum(r.member_count for r in out["region_clusters"].collect()) == len(real)
+    assert step(tables | {"regions": out["regions"].select(*tables["regions"].columns)}) is None
+    blank = spark.createDataFrame([(1, bytearray(b"broken"))], "asset_id long, content binary")
+    assert [tuple(r)[:3] for r in regions_.extracted(blank, regions_.GridSegmenter(), jobs.HashIndexer().embed).collect()] == [(1, -1, None)]
+
+
 def test_quiet_folders(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0.0), (1, 1.5), (1, 9.0), (2, 1.0)], "folder_id long, s double").select("folder_id", F.col("s").cast("timestamp").alias("ts"))
     assert sorted((r.folder_id, r.n) for r in jobs.quiet_folders(rows).collect()) == [(1, 1), (1, 2), (2, 1)]
