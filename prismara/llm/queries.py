@@ -71,4 +71,43 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_packed": p6_packed, "p6_containers": p6_containers, "p7_found": p7_found, "p7_spans": p7_spans, "p8_pieces": p8_pieces}
 
-ORACLE: dict[str, str] = {}
+def _usable(table: str, key: str, more: str = "") -> str:
+    """SQL of usable vectors as unit vectors of double, one for each key."""
+    return f"""(select {key}{more}, list_transform(e, lambda x: x / n) v from (select *, sqrt(list_sum(list_transform(e, lambda x: x * x))) n
+      from (select distinct {key}{more}, embedding::double[] e from {table} where {key} is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: isfinite(x))) = 64)) where n > 0)"""
+
+
+_GROUPS = f"""with v as materialized {_usable("vec_regions", "region_id")},
+ near as materialized (select a.region_id a, b.region_id b from v a, v b where list_dot_product(a.v, b.v) >= {ALIKE} or a.region_id = b.region_id),
+ k as (select a, min(b) as key_, count(*) n from near group by a),
+ g as (select key_, count(*) size_, bool_and(n = (select count(*) from k x where x.key_ = k.key_)) whole from k group by key_),
+ apart as (select ka.key_, bool_and(ka.key_ = kb.key_) own from near join k ka on ka.a = near.a join k kb on kb.a = near.b group by ka.key_)
+ select k.a as region_id, k.key_ as cluster_key from k join g using (key_) join apart using (key_) where whole and own and size_ >= 5"""
+
+_BARE = "regexp_replace(regexp_replace(lower(trim(sha256)), '^(sha-?_?256\\s*[:=(]?\\s*|0x|\\\\x)', ''), '[^0-9a-z]', '', 'g')"
+_REPEATS = f"""with h as (select asset_id, folder_id, {_BARE} sha, 0 came from assets where folder_id is not null union select asset_id, folder_id, {_BARE}, 1 from arrivals where folder_id is not null),
+ w as materialized (select asset_id, folder_id, v, 0 came from {_usable("vec_assets", "asset_id")} join (select distinct asset_id, folder_id from assets where folder_id is not null) using (asset_id)
+   union all select asset_id, folder_id, v, 1 from {_usable("arrivals", "asset_id", ", folder_id")} where folder_id is not null),
+ p as (select a.asset_id a, b.asset_id b from h a join h b on a.folder_id = b.folder_id and a.sha = b.sha where b.came = 1 and a.asset_id <> b.asset_id and (a.came = 0 or a.asset_id < b.asset_id)
+   union all select a.asset_id, b.asset_id from w a join w b on a.folder_id = b.folder_id where b.came = 1 and a.asset_id <> b.asset_id and (a.came = 0 or a.asset_id < b.asset_id) and list_dot_product(a.v, b.v) >= {NEAR_VECTORS})
+ select min(a) asset_id_a, b asset_id_b from p group by b"""
+
+
+def _mutual(table: str, key: str) -> str:
+    return f"""select '{table}' vec_table, x.p id_a, x.r id_b from r_{table} x join r_{table} y on x.p = y.r and x.r = y.p where x.p < x.r"""
+
+
+def _ranked(table: str, key: str) -> str:
+    return f"""v_{table} as materialized {_usable(table, key)}, r_{table} as materialized (select p, r from (select a.{key} p, b.{key} r, row_number() over (partition by a.{key} order by list_dot_product(a.v, b.v) desc, b.{key}) k
+      from v_{table} a, v_{table} b where a.{key} <> b.{key} and list_dot_product(a.v, b.v) >= {NEAR_VECTORS}) where k <= 10)"""
+
+
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_PHRASES = lambda table, key: f"select distinct {key}, array_to_string(w[i:i + 12], ' ') g from (select {key}, w, unnest(range(1, len(w) - 11)) i from (select {key}, {_WORDS} w from {table} where text is not null))"
+
+ORACLE: dict[str, str] = {
+    "p1_found": _GROUPS,
+    "p3_found": _REPEATS,
+    "p4_found": f"with {_ranked('vec_assets', 'asset_id')}, {_ranked('vec_regions', 'region_id')} {_mutual('vec_assets', 'asset_id')} union all {_mutual('vec_regions', 'region_id')}",
+    "p7_found": f"with t as ({_PHRASES('eval_items', 'item_id')}) select distinct doc_id, item_id from ({_PHRASES('documents', 'doc_id')}) join t using (g)",
+}
