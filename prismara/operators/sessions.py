@@ -16,7 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from prismara.storage import materialise
+
 SLICE_SECONDS = 7 * 86_400
+_COUNTS = ("n", "is_start", "is_end")
 
 
 def sessions(events: DataFrame, owner: str, time: str, gap: int, event_key: str | None = None, valid: Column | None = None, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
@@ -49,11 +52,14 @@ def sessions(events: DataFrame, owner: str, time: str, gap: int, event_key: str
     ).where(F.col("h") == F.col("s"))
     flagged = marked.select("o", "t", "n", "s", (F.col("before") == 0).cast("long").alias("is_start"), (F.col("after") == 0).cast("long").alias("is_end"))
     upto = by_time.rowsBetween(W.unboundedPreceding, 0)
-    ranked = flagged.select("o", "t", "n", "s", "is_start", "is_end", *[F.sum(c).over(upto).alias(f"r_{c}") for c in ("n", "is_start", "is_end")]).where("is_start + is_end > 0")
-    totals = flagged.groupBy("o", "s").agg(*[F.sum(c).alias(c) for c in ("n", "is_start", "is_end")])
+    running = [F.sum(c).over(upto).alias(f"r_{c}") for c in _COUNTS]
+    last = F.lead("t").over(by_time).isNull().alias("is_last")
+    # starts, ends and the last second of each slice, whose running sums are the slice's totals: few rows, from one pass of windows
+    ranked = flagged.select("o", "t", "n", "s", "is_start", "is_end", *running, last).where("is_start = 1 or is_end = 1 or is_last")
+    ranked = materialise(ranked, "sessions")
     earlier = W.partitionBy("o").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("o", "s", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"b_{c}") for c in ("n", "is_start", "is_end")])
-    placed = ranked.join(offsets, ["o", "s"])
+    offsets = ranked.where("is_last").select("o", "s", *[F.coalesce(F.sum(f"r_{c}").over(earlier), F.lit(0)).alias(f"b_{c}") for c in _COUNTS])
+    placed = ranked.where("is_start = 1 or is_end = 1").join(offsets, ["o", "s"])
     starts = placed.where("is_start = 1").select("o", (F.col("r_is_start") + F.col("b_is_start")).alias("rank"), F.col("t").alias("started_at"), (F.col("r_n") + F.col("b_n") - F.col("n")).alias("before_start"))
     ends = placed.where("is_end = 1").select("o", (F.col("r_is_end") + F.col("b_is_end")).alias("rank"), F.col("t").alias("ended_at"), (F.col("r_n") + F.col("b_n")).alias("upto_end"))
     return starts.join(ends, ["o", "rank"]).select(
