@@ -1,4 +1,4 @@
-"""The intent of the reference's own tests, and what SQL cannot say: files, snapshots, streams, folds, pixels, tokenizers."""
+"""What SQL cannot say, and small cases by hand: files, snapshots, streams, folds, pixels, tokenizers."""
 
 import time
 from pathlib import Path
