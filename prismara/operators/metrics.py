@@ -18,14 +18,17 @@ def purity(table: DataFrame) -> DataFrame:
 
 
 def nmi(table: DataFrame) -> DataFrame:
-    """(nmi): mutual information over the arithmetic mean of the entropies; 0 where both divisions are trivial; null without rows."""
-    total = table.agg(F.sum("n").alias("total"))
-    by_t, by_p = table.groupBy("t").agg(F.sum("n").alias("nt")), table.groupBy("p").agg(F.sum("n").alias("np"))
-    entropy = lambda df, c, name: df.join(F.broadcast(total)).agg((-F.sum(F.col(c) / F.col("total") * F.log(F.col(c) / F.col("total")))).alias(name))
-    mutual = table.join(by_t, "t").join(by_p, "p").join(F.broadcast(total)).agg(F.sum(F.col("n") / F.col("total") * F.log(F.col("n") * F.col("total") / (F.col("nt") * F.col("np")))).alias("mi"))
-    one = mutual.join(F.broadcast(entropy(by_t, "nt", "ht"))).join(F.broadcast(entropy(by_p, "np", "hp")))
-    mean = (F.col("ht") + F.col("hp")) / 2
-    return one.select(F.when(F.col("mi").isNotNull(), F.when(mean > 0, F.greatest(F.col("mi"), F.lit(0.0)) / mean).otherwise(F.lit(0.0))).alias("nmi"))
+    """(nmi): mutual information over the arithmetic mean of the entropies; 0 where both divisions are trivial; null without rows.
+
+    Everything follows from the number of rows and the sums of n ln n over cells, labels and clusters, so no count meets another."""
+    mass = lambda df, name: df.agg(F.lit(name).alias("name"), F.sum(F.col("n") * F.log("n")).alias("mass"), F.sum("n").alias("total"))
+    by = lambda c: table.groupBy(c).agg(F.sum("n").alias("n"))
+    rows = mass(table, "cells").unionByName(mass(by("t"), "t")).unionByName(mass(by("p"), "p"))
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("mass") / F.col("total"))).alias(name)
+    one = rows.agg(of("cells"), of("t"), of("p"), F.log(F.max("total")).alias("whole"))
+    mutual, mean = F.col("cells") - F.col("t") - F.col("p") + F.col("whole"), F.col("whole") - (F.col("t") + F.col("p")) / 2
+    value = F.when(mean > 1e-12, F.greatest(mutual, F.lit(0.0)) / mean).otherwise(F.lit(0.0))
+    return one.select(F.when(F.col("whole").isNotNull(), value).alias("nmi"))
 
 
 def sizes(rows: DataFrame, cluster: str) -> DataFrame:

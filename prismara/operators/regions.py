@@ -188,7 +188,8 @@ def kept_boxes(rows: DataFrame) -> DataFrame:
 
 
 def box_overlaps(rows: DataFrame) -> DataFrame:
-    """(a, b, iou) of overlapping boxes of one asset, a < b; an asset holds few regions."""
+    """(a, b, iou) of overlapping boxes of one asset, a < b. (asset_id, region_idx) is unique and an asset has at most 24 regions, so the
+    pairs of an asset are bounded."""
     left = rows.select("asset_id", F.col("region_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
     right = rows.select("asset_id", F.col("region_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
     value = S.iou(tuple(F.col(f"a_{c}") for c in ("x0", "y0", "x1", "y1")), tuple(F.col(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))

@@ -126,9 +126,9 @@ def commit_vectors(catalog: Catalog, fresh: DataFrame) -> int:
 
 def progress(assets: DataFrame, folders: DataFrame, vectors: DataFrame, resting: DataFrame) -> DataFrame:
     """(done, total): vectors there are, and those plus the queue without resting assets."""
-    done = vectors.agg(F.count("*").alias("done"))
-    left = A.pending_embeddings(assets, folders, vectors).join(resting.select("asset_id"), "asset_id", "left_anti").agg(F.count("*").alias("left"))
-    return done.join(F.broadcast(left)).select("done", (F.col("done") + F.col("left")).alias("total"))  # one row each
+    left = A.pending_embeddings(assets, folders, vectors).join(resting.select("asset_id"), "asset_id", "left_anti")
+    both = vectors.select(F.lit(1).alias("held")).unionByName(left.select(F.lit(0).alias("held")))
+    return both.agg(F.coalesce(F.sum("held"), F.lit(0)).alias("done"), F.count("*").alias("total"))
 
 
 class ImportJob:
