@@ -5,6 +5,10 @@ more. Each vector has affinities to its ``ANCHORS`` most similar landmarks of si
 and their number grows as the rows do. Vectors without a landmark (small groups, single vectors) are linked among themselves: sign
 hashes of several tables put them in small rooms, where each is linked to its most similar ones.
 
+Hubs. A landmark's four-anchor links say nothing of the landmarks that share no row with it, so each landmark also gives half of its
+weight to its hub, the first of all landmarks with similarity ``least`` or more to it. Landmarks are rows themselves: those of a sound
+group all have one hub, and none outside the group, so however the group is built inside, its landmarks have one label.
+
 Iteration. Both kinds of link make one graph of landmarks and unlandmarked vectors; its affinities are divided by the degree, and
 ``VECTORS`` random vectors are multiplied by that matrix, as DataFrames, until they stand still: then each is constant on a
 connected group. K-means on these embeddings, seeded by the occupied cells of a fine grid, names the groups; a vector follows its
@@ -41,6 +45,7 @@ TABLES, ROOM, LINKS = 8, 512, 8
 BLOCK = 2_048
 CENTRES = 20_000
 INT8_ERROR = 0.006
+FLOAT_ERROR = 1e-5
 
 
 def unit_vectors(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -88,6 +93,8 @@ def _anchored(shared, least: float):
                 order = np.argsort(-value, axis=1, kind="stable")
                 top[s : s + 1024], sim[s : s + 1024] = np.take_along_axis(best, order, 1), np.take_along_axis(value, order, 1)
             keep = sim >= least
+            i, j = np.nonzero(np.abs(sim - least) < FLOAT_ERROR)
+            keep[i, j] = np.einsum("ij,ij->i", x[i].astype(np.float64), marks[top[i, j]].astype(np.float64)) >= least
             counts = keep.sum(1)
             offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
             anchors = pa.ListArray.from_arrays(offsets, pa.array(top[keep]))
@@ -117,6 +124,40 @@ def _landmark_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(-(unique >> 32) - 1), pa.array(-(unique & 0xFFFFFFFF) - 1), pa.array(total)], ["i", "j", "w"])
 
 
+def _at_least(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Where rows of x have similarity ``least`` or more to rows of y; what float32 leaves open is computed in double."""
+    near = x @ y.T
+    out = near >= least
+    i, j = np.nonzero(np.abs(near - least) < FLOAT_ERROR)
+    for s in range(0, len(i), 65_536):
+        a, b = i[s : s + 65_536], j[s : s + 65_536]
+        out[a, b] = np.einsum("ij,ij->i", x[a].astype(np.float64), y[b].astype(np.float64)) >= least
+    return out
+
+
+def _hubs(shared, least: float):
+    """(i, j): each landmark and its hub, the first of all landmarks that have similarity ``least`` or more to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks: np.ndarray = shared.value
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            hub = rows.copy()
+            for s in range(0, len(rows), 256):
+                own = rows[s : s + 256]
+                open_ = np.arange(len(own))
+                for b in range(0, len(marks), BLOCK):
+                    near = _at_least(marks[own[open_]], marks[b : b + BLOCK], least)
+                    met = near.any(1)
+                    hub[s + open_[met]] = np.minimum(own[open_[met]], b + near[met].argmax(1))
+                    open_ = open_[~met]
+                    if not len(open_):
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(-rows - 1), pa.array(-hub - 1)], ["i", "j"])
+
+    return run
+
+
 def _roomed(bits: int):
     planes = np.random.default_rng(11).standard_normal((TABLES, DIM, max(1, bits))).astype(np.float32)
 
@@ -259,6 +300,8 @@ class Clusters:
         rows = materialise(unit_vectors(vectors, key, column).mapInArrow(_anchored(shared, least), "id long, vec binary, anchors array<int>, weights array<float>"), "anchored")
         covered, rest = rows.where(F.size("anchors") > 0), rows.where(F.size("anchors") == 0)
         links = covered.select("anchors", "weights").mapInArrow(_landmark_links, "i long, j long, w double").groupBy("i", "j").agg(F.sum("w").alias("w"))
+        hubs = spark.range(len(marks)).mapInArrow(_hubs(shared, least), "i long, j long")
+        links = links.unionByName(hubs.join(links.groupBy("i").agg(F.sum("w").alias("w")), "i").select("i", "j", "w"))
         bits = max(0, int(np.ceil(np.log2(max(1, rest.count()) / ROOM))))
         small = rest.select("id", "vec").mapInArrow(_roomed(bits), "room long, id long, small binary").groupBy("room").applyInArrow(_linked(least), "i long, j long, w double")
         small = small.select("i", "j", "w").unionByName(small.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.max("w").alias("w"))

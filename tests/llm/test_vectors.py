@@ -75,6 +75,24 @@ def test_groups_outside_the_sample_are_found(spark, grouped, monkeypatch):
     assert all(want.get(i) == k for i, k in got.items()) and len(got) >= 0.9 * len(want)
 
 
+def lumps(rng, n):
+    """Two lumps of six clumps of n rows each: similarities are about 0.99 in a clump, 0.885 in a lump and 0.8 across, so the four best
+    landmarks of every row lie in its own lump."""
+    basis = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    middles = np.sqrt(0.95) * basis[0] + np.sqrt(0.05) * np.array([[1.0], [-1.0]]) * basis[1]
+    clumps = np.sqrt(0.885) * np.repeat(middles, 6, 0) + np.sqrt(0.115) * basis[2:14]
+    return unit(clumps[:, None] + 0.04 * unit(rng.standard_normal((12, n, 64)))).reshape(-1, 64)
+
+
+def test_a_sound_group_of_two_lumps_is_one(spark):
+    rng = np.random.default_rng(21)
+    x = np.vstack([lumps(rng, 40), lumps(rng, 6), unit(rng.standard_normal((60, 64)))])
+    ids = [int(i) for i in rng.permutation(len(x))]
+    want = brute_groups(ids, x, 0.77)
+    assert len(want) == 552 and len(set(want.values())) == 2
+    assert {r.id: r.cluster_key for r in spectral.found(table(spark, ids, x), "region_id", "embedding", 0.77).collect()} == want
+
+
 def test_groups_of_copies_and_nothing(spark):
     rng = np.random.default_rng(4)
     x = np.vstack([np.repeat(ball(rng, 1, 0.1), 900, 0), ball(rng, 7, 0.4)])
