@@ -11,8 +11,12 @@ group all have one hub, and none outside the group, so however the group is buil
 
 Iteration. Both kinds of link make one graph of landmarks and unlandmarked vectors; its affinities are divided by the degree, and
 ``VECTORS`` random vectors are multiplied by that matrix, as DataFrames, until they stand still: then each is constant on a
-connected group. K-means on these embeddings, seeded by the occupied cells of a fine grid, names the groups; a vector follows its
-strongest landmark.
+connected group. The occupied cells of a fine grid then name the connected groups, in place of k-means: centres, assignment and update
+would move nothing where vectors stand still. A vector follows its strongest landmark.
+
+Standing still. In a sound group every node gives half of its weight or more to one common hub, so each product at least halves what
+values in the group differ by: after 24 products they agree within 1.2e-7, after STEPS * ROUNDS = 48 within 1e-14, far below GRID. What
+still moves then lies in a group that is not connected through one hub, hence not sound; each of its parts has an outsider too near.
 
 Exactness. A group counts if any two members have at least ``least`` and no member has that to an outsider. That is checked for all rows
 in time proportional to rows times groups: with a the angle of ``least``, t the angle of a member to the group's centre and r the largest
@@ -245,7 +249,7 @@ def _judge(least: float):
 
 
 def _iterate(edges: DataFrame) -> DataFrame:
-    """(node, v0, ...): random vectors after so many products with the degree-normalised affinities that they stand still."""
+    """(node, v0, ...): random vectors after so many products with the degree-normalised affinities that those of all sound groups stand still."""
     degree = edges.groupBy("i").agg(F.sum("w").alias("d"))
     matrix_ = materialise(edges.join(degree, "i").select("i", "j", (F.col("w") / F.col("d")).alias("p")), "affinities")
     names = [f"v{c}" for c in range(VECTORS)]
@@ -266,7 +270,7 @@ def _iterate(edges: DataFrame) -> DataFrame:
 
 
 def _named(embedding: DataFrame) -> DataFrame:
-    """(node, label) by k-means on the embedding. Seeds are the occupied cells of a grid; a node near a cell's border may belong to
+    """(node, label): nodes that stand at the same place have one label. Labels are the occupied cells of a grid; a node near a cell's border may belong to
     the cell across it, and of those that are occupied the smallest is taken, so a group on a border is not divided."""
     names = [c for c in embedding.columns if c != "node"]
     cells = [F.floor(F.col(n) / GRID).cast("long") for n in names]

@@ -93,6 +93,18 @@ def test_a_sound_group_of_two_lumps_is_one(spark):
     assert {r.id: r.cluster_key for r in spectral.found(table(spark, ids, x), "region_id", "embedding", 0.77).collect()} == want
 
 
+def test_labels_of_sound_groups_stand_still(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    seen, iterate = [], spectral._iterate
+    monkeypatch.setattr(spectral, "_iterate", lambda edges: seen.append(iterate(edges)) or seen[0])
+    x = lumps(rng, 200)
+    joint = unit(unit(x[:1200:40] + x[1200::40]) + 0.04 * unit(rng.standard_normal((30, 64))))  # few rows bridge the lumps
+    x = np.vstack([x, joint])
+    clusters = spectral.Clusters(table(spark, range(len(x)), x), "region_id", "embedding", 0.77)
+    values = np.array([r[1:] for r in seen[0].collect()])
+    assert len(values) >= 12 and np.ptp(values, axis=0).max() < 1e-6 and clusters.groups.count() == 1
+
+
 def test_groups_of_copies_and_nothing(spark):
     rng = np.random.default_rng(4)
     x = np.vstack([np.repeat(ball(rng, 1, 0.1), 900, 0), ball(rng, 7, 0.4)])
