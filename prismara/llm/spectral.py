@@ -2,8 +2,9 @@
 
 Affinities. Landmarks come from a bounded sample (``vectors.SAMPLE`` rows at most): leaders no two of which have similarity ``LEADER`` or
 more. Each vector has affinities to its ``ANCHORS`` most similar landmarks of similarity ``least`` or more, so affinities are sparse
-and their number grows as the rows do. Vectors without a landmark (small groups, single vectors) are linked among themselves: sign
-hashes of several tables put them in small rooms, where each is linked to its most similar ones.
+and their number grows as the rows do. Vectors without a landmark (small groups, single vectors) are compared with each other, all
+pairs in blocks; each is linked to its hub, the smallest key among itself and all vectors of similarity ``least`` or more. This is
+exact and costs the square of the number of these vectors.
 
 Hubs. A landmark's four-anchor links say nothing of the landmarks that share no row with it, so each landmark also gives half of its
 weight to its hub, the first of all landmarks with similarity ``least`` or more to it. Landmarks are rows themselves: those of a sound
@@ -45,10 +46,9 @@ ANCHORS = 4
 VECTORS = 8
 STEPS, ROUNDS, STILL = 6, 8, 1e-6
 GRID, BORDER = 1e-3, 0.1
-TABLES, ROOM, LINKS = 8, 512, 8
+ROOM, LEAST_BLOCKS = 65_536, 4
 BLOCK = 2_048
 CENTRES = 20_000
-INT8_ERROR = 0.006
 FLOAT_ERROR = 1e-5
 
 
@@ -162,47 +162,43 @@ def _hubs(shared, least: float):
     return run
 
 
-def _roomed(bits: int):
-    planes = np.random.default_rng(11).standard_normal((TABLES, DIM, max(1, bits))).astype(np.float32)
+def _firsts(least: float):
+    """Cogroup of two blocks of rows, which may be one: for each row with others of similarity ``least`` or more, the smallest of their ids."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = unpack(batch.column(1))
-            packed, _ = _small(x)
-            for t in range(TABLES):
-                room = ((x @ planes[t]) > 0).astype(np.int64) @ (1 << np.arange(max(1, bits))) if bits else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(room * TABLES + t), batch.column(0), packed], ["room", "id", "small"])
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out_i, out_j = [], []
+        if a.num_rows and b.num_rows:
+            ids, others = a.column("id").to_numpy(), b.column("id").to_numpy()
+            order = np.argsort(others)
+            others = others[order]
+            x, y = unpack(a.column("vec").combine_chunks()), unpack(b.column("vec").combine_chunks())[order]
+            for r in range(0, len(x), BLOCK):
+                best = np.full(len(x[r : r + BLOCK]), len(y))
+                for c in range(0, len(y), BLOCK):
+                    near = _at_least(x[r : r + BLOCK], y[c : c + BLOCK], least)
+                    p, q = np.nonzero(near) if near.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    apart = ids[p + r] != others[q + c]
+                    np.minimum.at(best, p[apart], q[apart] + c)
+                met = np.flatnonzero(best < len(y))
+                out_i.append(ids[met + r])
+                out_j.append(others[best[met]])
+        both = [np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_i, out_j)]
+        return pa.table({"i": pa.array(both[0], pa.int64()), "j": pa.array(both[1], pa.int64())})
 
     return run
 
 
-def _linked(least: float):
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        x = np.frombuffer(b"".join(table.column("small").to_pylist()), np.int8).reshape(-1, DIM).astype(np.float32)
-        x /= np.linalg.norm(x, axis=1)[:, None]
-        sources, targets, values = [], [], []
-        for a in range(0, len(x), BLOCK):
-            n = len(x[a : a + BLOCK])
-            best, who = np.full((n, LINKS), -2.0, np.float32), np.zeros((n, LINKS), np.int64)
-            for b in range(0, len(x), BLOCK):
-                near = x[a : a + BLOCK] @ x[b : b + BLOCK].T
-                if a == b:
-                    np.fill_diagonal(near, -2)
-                k = min(LINKS, near.shape[1])
-                at = np.argpartition(near, -k, axis=1)[:, -k:]
-                value, index = np.concatenate([best, np.take_along_axis(near, at, 1)], 1), np.concatenate([who, at + b], 1)
-                order = np.argsort(-value, axis=1)[:, :LINKS]
-                best, who = np.take_along_axis(value, order, 1), np.take_along_axis(index, order, 1)
-            row, col = np.nonzero(best >= least - INT8_ERROR)
-            sources.append(ids[row + a])
-            targets.append(ids[who[row, col]])
-            values.append(best[row, col].astype(np.float64))
-        return pa.table({"i": np.concatenate(sources), "j": np.concatenate(targets), "w": np.concatenate(values)})
-
-    return run
+def _first_neighbours(rest: DataFrame, total: int, least: float) -> DataFrame:
+    """(i, j): each row that has others of similarity ``least`` or more, and the smallest id among these and its own. All pairs are
+    compared, in blocks of at most ``ROOM`` rows."""
+    count = max(LEAST_BLOCKS, -(-total // ROOM))
+    blocks = rest.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("p"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = blocks.select(F.col("p").alias("a"), every.alias("b"), "id", "vec")
+    right = blocks.select(every.alias("a"), F.col("p").alias("b"), "id", "vec")
+    left, right = (df.toDF(*df.columns) for df in (left, right))
+    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_firsts(least), "i long, j long")
+    return met.groupBy("i").agg(F.min("j").alias("j")).select("i", F.least("i", "j").alias("j"))
 
 
 def _small(x: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -306,10 +302,7 @@ class Clusters:
         links = covered.select("anchors", "weights").mapInArrow(_landmark_links, "i long, j long, w double").groupBy("i", "j").agg(F.sum("w").alias("w"))
         hubs = spark.range(len(marks)).mapInArrow(_hubs(shared, least), "i long, j long")
         links = links.unionByName(hubs.join(links.groupBy("i").agg(F.sum("w").alias("w")), "i").select("i", "j", "w"))
-        bits = max(0, int(np.ceil(np.log2(max(1, rest.count()) / ROOM))))
-        small = rest.select("id", "vec").mapInArrow(_roomed(bits), "room long, id long, small binary").groupBy("room").applyInArrow(_linked(least), "i long, j long, w double")
-        small = small.select("i", "j", "w").unionByName(small.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.max("w").alias("w"))
-        small = materialise(small, "links")
+        small = materialise(_first_neighbours(rest, rest.count(), least).withColumn("w", F.lit(1.0)), "links")
         loops = small.select("i").distinct().select("i", F.col("i").alias("j"), F.lit(1.0).alias("w"))
         # region ids may be negative in principle: nodes of vectors are moved to 2 * id, landmarks to odd numbers
         graph = links.select((2 * F.col("i") + 1).alias("i"), (2 * F.col("j") + 1).alias("j"), "w").unionByName(small.unionByName(loops).select((2 * F.col("i")).alias("i"), (2 * F.col("j")).alias("j"), "w"))

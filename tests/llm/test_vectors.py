@@ -93,6 +93,16 @@ def test_a_sound_group_of_two_lumps_is_one(spark):
     assert {r.id: r.cluster_key for r in spectral.found(table(spark, ids, x), "region_id", "embedding", 0.77).collect()} == want
 
 
+def test_groups_outside_the_sample_are_all_found(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    x = np.vstack([*[ball(rng, 5, 0.48) for _ in range(150)], np.repeat(ball(rng, 2, 0.3), 12, 0), unit(rng.standard_normal((2_000, 64)))])
+    ids = [int(i) for i in rng.permutation(len(x))]
+    monkeypatch.setattr(spectral, "LANDMARK_SAMPLE", 20)
+    want = brute_groups(ids, x, 0.77)
+    assert len(want) > 500
+    assert {r.id: r.cluster_key for r in spectral.found(table(spark, ids, x), "region_id", "embedding", 0.77).collect()} == want
+
+
 def test_labels_of_sound_groups_stand_still(spark, monkeypatch):
     rng = np.random.default_rng(22)
     seen, iterate = [], spectral._iterate
