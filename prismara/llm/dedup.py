@@ -10,7 +10,9 @@ digits on the pair is compared, first with 8-bit components, then exactly. A rec
 Chunks held by more than ``HOT`` classes make no pairs: they are compared in blocks of arriving and held classes, from which only the
 smallest keys per arriving class come out. So no link is lost and no hot group is ever written out as pairs or held in one task.
 
-``History`` keeps classes and chunk table between batches: a batch is cut, looked up and appended, and earlier records are not read.
+``History`` keeps classes and chunk table between batches: a batch is cut, looked up and appended. Both tables are scanned for what the
+batch touches, and only that is grouped and compared; the records behind them are not read. p3_found does not run through it: it
+compares history and all batches in one pass.
 
 Loss: a pair at the threshold itself shares less than ``COVER`` digits in about 1 of 70 cases, at similarity 0.99 in 1 of 800.
 """
@@ -208,12 +210,19 @@ class History:
     """Classes and chunk table of all that was accepted, kept in a shared folder; a batch reads these, not the records behind them.
 
     ``accept`` returns a batch's repeats and appends the classes and chunks of all its records, so that later batches find the smallest
-    key of each content. Each append is a table of its own, named after its number; a lost executor costs only its tasks, and a
-    batch whose append did not finish is simply accepted again.
+    key of each content. Each append is a table of its own, named after its number; a lost executor costs only its tasks. Opened on
+    a path in use, it goes on from the complete parts, those whose classes and chunks were both written to the end; a batch whose append
+    did not finish is accepted again and overwrites what there is of it.
     """
 
     def __init__(self, spark, path: str | None = None, least: float = 0.985):
         self.spark, self.path, self.least, self.parts = spark, path or table_path(spark, "history"), least, 0
+        while self._whole("classes", self.parts) and self._whole("chunks", self.parts):
+            self.parts += 1
+
+    def _whole(self, kind: str, part: int) -> bool:
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}-{part}/_SUCCESS")
+        return done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done)
 
     def _read(self, kind: str) -> DataFrame | None:
         tables = [self.spark.read.parquet(f"{self.path}/{kind}-{p}") for p in range(self.parts)]
@@ -229,13 +238,14 @@ class History:
         before, known = self._read("classes"), self._read("chunks")
         old = before.withColumn("n", F.lit(0).cast("long")) if before is not None else new.limit(0)
         old_chunks = known.withColumn("asked", F.lit(False)) if known is not None else chunked.limit(0)
-        touched = _filtered(old_chunks, chunked.select("chunk").distinct(), "chunk")
+        touched = materialise(_filtered(old_chunks, chunked.select("chunk").distinct(), "chunk"), "touched")
+        old = _filtered(old, touched.select("cid").unionByName(new.select("cid")).distinct(), "cid")
         both = materialise(self._merged(new.unionByName(old)), "merged")
         table = chunked.unionByName(touched).groupBy("chunk", "cid", "digits").agg(F.max("asked").alias("asked")).select("chunk", "cid", "asked", "digits")
         near = near_classes(both.where("vec is not null"), materialise(table, "table"), self.least)
         result = materialise(_repeats(batch, _answers(both.drop("vec"), near)), "repeats") if arriving else None
-        new.write.parquet(f"{self.path}/classes-{self.parts}")
-        chunked.write.parquet(f"{self.path}/chunks-{self.parts}")
+        new.write.mode("overwrite").parquet(f"{self.path}/classes-{self.parts}")
+        chunked.write.mode("overwrite").parquet(f"{self.path}/chunks-{self.parts}")
         self.parts += 1
         return result
 

@@ -283,6 +283,19 @@ def test_history_takes_batches_one_by_one(spark, batches):
     assert got == whole
 
 
+def test_history_goes_on_where_it_ended(spark, batches, tmp_path):
+    held, came = batches
+    came = sorted({r[0]: r for r in came if r[0] is not None}.values(), key=lambda r: r[0])
+    whole = {r.asset_id_b: r.asset_id_a for r in dedup.repeats(*parts(spark, held, came), 0.985).collect()}
+    path = f"file://{tmp_path}/history"
+    dedup.History(spark, path).accept(parts(spark, held, [])[0], arriving=False)
+    spark.range(3).write.parquet(f"{path}/classes-1")  # of an append that broke off before its chunks
+    history = dedup.History(spark, path)
+    assert history.parts == 1
+    got = {r.asset_id_b: r.asset_id_a for r in history.accept(parts(spark, [], came)[1]).collect()}
+    assert got == whole and dedup.History(spark, path).parts == 2
+
+
 def test_repeats_of_nothing(spark):
     assert dedup.repeats(*parts(spark, [], []), 0.985).count() == 0
     assert dedup.repeats(*parts(spark, [(1, 1, HASH, None)], []), 0.985).count() == 0
