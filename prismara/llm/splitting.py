@@ -5,8 +5,8 @@ depth of a valley in that curve says how much the topic changes there. A piece e
 second half of the room it has), where the end of a message or file, of a hunk, of a paragraph adds to the depth, in that order. A
 window without a line end is cut at a sentence end, and without that between words or, at last, between tokens.
 
-Consecutive pieces share ``overlap`` tokens: each piece but the first begins that much before the cut. Everything happens in one pass
-over whole texts on the executors, with no shuffle; work in a document grows in proportion to its length.
+Consecutive pieces share ``overlap`` tokens: each piece but the first begins that much before the cut. Texts are cut where they are
+read; keys are counted first, and only texts of repeated keys are shuffled, to settle on one; work in a document grows in proportion to its length.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismara.llm.tokens import TOKENIZER, byte_lengths, directions, encoder
+from prismara.storage import materialise
 
 LIMIT, OVERLAP = 512, 64
 BLOCK = 96
@@ -29,6 +30,8 @@ NEAR = 6
 FILE, HUNK, PARAGRAPH = 0.9, 0.6, 0.3
 #: Tokens by which a piece cut from a longer text may differ from its slice of that text's tokens: pieces this close are counted anew.
 EDGE = 8
+#: Most repeated keys sent to every task; beyond, a shuffled join.
+SENT = 1_000_000
 _SENTENCE = re.compile(rb"[.!?;](?=[ \t])|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f")
 
 
@@ -144,7 +147,7 @@ def split(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, doc_
 
     start, new_from and end are code points of the document; a piece has at most ``limit`` tokens when tokenised by itself, and
     n_tokens is its share of the document's tokens. Documents within the limit, null and empty texts and null keys give no rows; a
-    repeated row gives its pieces once. Empty input, no rows.
+    repeated key gives the pieces of its longest text once. Empty input, no rows.
     """
     Cutter(limit, overlap, tokenizer)
 
@@ -166,4 +169,9 @@ def split(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, doc_
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     rows = documents.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(text).alias("t")).where(F.col("doc_id").isNotNull() & (F.octet_length("t") > limit))
+    marks = rows.select("doc_id", F.octet_length("t").alias("n"), F.xxhash64("t").alias("h")).groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.struct("n", "h")).alias("first"))
+    repeated = materialise(marks.where("rows > 1").select("doc_id", "first"), "repeated")
+    keys = F.broadcast(repeated) if repeated.count() <= SENT else repeated
+    again = rows.join(keys, "doc_id").where(F.struct(F.octet_length("t").alias("n"), F.xxhash64("t").alias("h")) == F.col("first"))
+    rows = rows.join(keys.select("doc_id"), "doc_id", "left_anti").unionByName(again.groupBy("doc_id").agg(F.min("t").alias("t")))
     return rows.mapInArrow(run, "doc_id long, piece_no long, start long, new_from long, `end` long, n_tokens long, text string")

@@ -145,3 +145,12 @@ def test_split_rows(spark):
         assert "".join(p.text[p.new_from - p.start :] for p in pieces) == text
     with pytest.raises(ValueError):
         splitting.split(docs(spark, rows), 64, 40)
+
+
+def test_split_gives_repeated_rows_once(spark):
+    long, longer = "line of words\n" * 400, "other line of words\n" * 400
+    rows = [(1, long), (2, long), (1, long), (3, "short"), (3, longer), (4, long), (4, longer), (None, long)]
+    got = splitting.split(docs(spark, rows), 64, 16).collect()
+    assert len({(r.doc_id, r.piece_no) for r in got}) == len(got) and {r.doc_id for r in got} == {1, 2, 3, 4}
+    for d, text in ((1, long), (2, long), (3, longer), (4, longer)):
+        assert "".join(p.text[p.new_from - p.start :] for p in sorted((r for r in got if r.doc_id == d), key=lambda r: r.piece_no)) == text
