@@ -1,21 +1,21 @@
 """Most similar vectors by additive quantisation.
 
 Index. Centres and codebooks are trained on a bounded sample (``vectors.SAMPLE`` rows); every row is then encoded by beam search: the
-cell of its nearest centre, one byte for each codebook, the squared norm of the decoded vector and of its error. A row's full vector goes
-to its home cell alone. Its code (a tenth of the size) also goes to the cells whose border it is near.
+cell of its nearest centre, one byte for each codebook, the squared norm of the decoded vector and of its error. A row goes to its home
+cell and to the cells whose border it is near, each time with its code and its vector.
 
-Search. In a cell the home vectors are queries; a table of inner products of query and codewords gives each coded candidate's score by
-lookups and its stored norm turns that into a distance. Candidates whose distance agrees with the wanted similarity are reranked
-exactly: at once where the vector is at hand; else they are first held against the code's error, which travels with it in 8 bits, and
-the few that remain are reranked after a join that brings their vectors.
+Search. In a cell the home rows are queries; a table of inner products of query and codewords gives each coded candidate's score by
+lookups and its stored norm turns that into a distance. Candidates whose distance agrees with the wanted similarity are reranked exactly
+at once, block by block, and of each block only the best of a query are carried on. So a task holds its cell and a few blocks, however
+many candidates qualify, and no candidate is dropped by an approximate score once it is within the error bound.
 
 Loss. Two vectors at similarity s lie 2(1 - s) apart squared; along a border's normal that is a fraction of the length with a spread
 of 1/sqrt(64). A pair is missed only if that part exceeds twice ``MARGIN_SPREADS / 2`` spreads, or the quantisation error along the pair
 exceeds ``CODE_SPREADS`` spreads. tests/llm hold the recall against brute force at 0.99 and more.
 
 Skew. Exact copies are folded per batch before the shuffle and again in the cell: only the smallest ``TOP + 1`` keys of a group of copies
-can be among the ten most similar of each other. A cell too large for one pass is divided again where it lies. Per query at most
-``KEEP`` candidates leave a cell.
+can be among the ten most similar of each other. A cell that the sample says is too large for a task is divided into blocks of queries
+and candidates, compared in as many tasks; within a task a large cell is divided again by centres of its own.
 """
 
 from __future__ import annotations
@@ -32,22 +32,23 @@ from prismara.llm.vectors import DIM, Cells, Quantiser, kmeans, matrix, pack, sa
 from prismara.storage import materialise
 
 TOP = 10
-KEEP = 32
 PER_CELL = 1_500
+#: Cells of the first level; beyond, a cell is divided where it lies.
 MOST_CELLS = 1_024
 BOOKS, WORDS, BEAM = 16, 64, 4
 MARGIN_SPREADS, CODE_SPREADS = 3.0, 4.0
 LOCAL = 6_000
 SPLIT = 2_000
 QUERIES, CANDIDATES = 128, 1_024
+#: Rows of a cell that one task takes; beyond, the cell is divided into blocks.
+PER_TASK = 50_000
 
-#: Most ids sent to every task to pick the vectors that a rerank needs; beyond, all vectors meet the candidates in a shuffled join.
-SENT = 1_000_000
 #: Far above the error of a similarity whose quantisation error is known to 8 bits.
 FINE_ERROR = 1e-3
 
-_PARTS = "cell int, home int, ids array<long>, mark long, vec binary, code binary, norm float, err float, rest binary, scale float"
-_PAIRS = "q array<long>, x array<long>, sim double, qv binary"
+_PARTS = "room long, home int, ids array<long>, mark long, asks boolean, answers boolean, vec binary, code binary, norm float, err float"
+_CODED = "cell int, home int, ids array<long>, mark long, code binary, norm float, err float, rest binary, scale float"
+_PAIRS = "q array<long>, x array<long>, sim double"
 
 
 def _fold(ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
@@ -73,33 +74,74 @@ def _bytes(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
-def _encoder(shared, margin: float, vectors: bool = True):
+class _Coded:
+    """Usable vectors of a batch, copies folded, with their codes."""
+
+    def __init__(self, quantiser: Quantiser, batch: pa.RecordBatch, margin: float):
+        rows, x = matrix(batch.column(1))
+        ids = batch.column(0).to_numpy(zero_copy_only=False)[rows].astype(np.int64)
+        marks = _marks(x)
+        first, folded = _fold(ids, marks)
+        self.x, self.marks = x[first], marks[first]
+        self.ids = pa.array(folded, pa.list_(pa.int64()))
+        self.home, self.near, self.cells = quantiser.cells.margins(self.x, margin)
+        codes = quantiser.encode(self.x - quantiser.cells.centres[self.home], BEAM)
+        decoded = quantiser.decode(self.home, codes)
+        self.rest = self.x - decoded
+        self.code = _bytes(codes)
+        self.norm = pa.array(np.einsum("ij,ij->i", decoded, decoded).astype(np.float32))
+        self.err = pa.array(np.einsum("ij,ij->i", self.rest, self.rest).astype(np.float32))
+
+
+def _blocks(parts: np.ndarray, cells: np.ndarray, marks: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, room, asks, answers): where each row goes. A cell of one part is a room. Else queries of part i meet candidates of part j in
+    room (i, j), so a row that asks goes to all rooms of its i, and every row answers in all rooms of its j."""
+    count = parts[cells]
+    one = np.flatnonzero(count == 1)
+    out = [(one, cells[one].astype(np.int64) << 40, own[one], np.ones(len(one), bool))]
+    for cell in np.unique(cells[count > 1]):
+        at = np.flatnonzero(cells == cell)
+        n = int(parts[cell])
+        place = (marks[at].view(np.uint64) % np.uint64(n)).astype(np.int64)
+        every = np.arange(n)
+        row, part, other = np.repeat(at, n), np.repeat(place, n), np.tile(every, len(at))
+        base = np.int64(cell) << 40
+        out.append((row, base + (other << 20) + part, own[row] & (other == part), np.ones(len(row), bool)))
+        asks = own[row] & (other != part)
+        out.append((row[asks], base + (part[asks] << 20) + other[asks], np.ones(asks.sum(), bool), np.zeros(asks.sum(), bool)))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _encoder(shared, margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quantiser: Quantiser = shared.value
+        quantiser, parts = shared.value
         for batch in batches:
-            rows, x = matrix(batch.column(1))
-            if not len(rows):
+            c = _Coded(quantiser, batch, margin)
+            if not len(c.x):
                 continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[rows].astype(np.int64)
-            marks = _marks(x)
-            first, folded = _fold(ids, marks)
-            x, marks = x[first], marks[first]
-            home, near, cells = quantiser.cells.margins(x, margin)
-            codes = quantiser.encode(x - quantiser.cells.centres[home], BEAM)
-            decoded = quantiser.decode(home, codes)
-            rest = x - decoded
-            norm, err, scale = np.einsum("ij,ij->i", decoded, decoded), np.einsum("ij,ij->i", rest, rest), np.maximum(np.abs(rest).max(1), 1e-12).astype(np.float32)
-            names = pa.array(folded, pa.list_(pa.int64()))
-            packed = _bytes(codes)
-            every = _bytes(np.round(rest / scale[:, None] * 127).astype(np.int8))
-            full, fine = (pack(x), pa.nulls(len(x), pa.binary())) if vectors else (pa.nulls(len(x), pa.binary()), every)
-            own = [pa.array(home.astype(np.int32)), pa.array(home.astype(np.int32)), names, pa.array(marks), full, packed, pa.array(norm.astype(np.float32)), pa.array(err.astype(np.float32)), fine, pa.array(scale)]
-            columns = ["cell", "home", "ids", "mark", "vec", "code", "norm", "err", "rest", "scale"]
-            yield pa.RecordBatch.from_arrays(own, columns)
-            if len(near):
-                take = pa.array(near)
-                other = [pa.array(cells.astype(np.int32)), *[c.take(take) for c in own[1:4]], pa.nulls(len(near), pa.binary()), *[c.take(take) for c in own[5:8]], every.take(take), own[9].take(take)]
-                yield pa.RecordBatch.from_arrays(other, columns)
+            rows, cells = np.r_[np.arange(len(c.x)), c.near], np.r_[c.home, c.cells]
+            row, room, asks, answers = _blocks(parts, cells, c.marks[rows], np.r_[np.ones(len(c.x), bool), np.zeros(len(c.near), bool)])
+            take = pa.array(rows[row])
+            columns = [pa.array(c.home.astype(np.int32)), c.ids, pa.array(c.marks)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(room), *[v.take(take) for v in columns], pa.array(asks), pa.array(answers), pack(c.x).take(take), c.code.take(take), c.norm.take(take), c.err.take(take)],
+                ["room", "home", "ids", "mark", "asks", "answers", "vec", "code", "norm", "err"],
+            )
+
+    return run
+
+
+def _coder(shared):
+    """Rows in their home cells, the quantisation error in 8 bits, without vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = _Coded(shared.value, batch, -1.0)
+            if len(c.x):
+                scale = np.maximum(np.abs(c.rest).max(1), 1e-12).astype(np.float32)
+                fine = _bytes(np.round(c.rest / scale[:, None] * 127).astype(np.int8))
+                home = pa.array(c.home.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([home, home, c.ids, pa.array(c.marks), c.code, c.norm, c.err, fine, pa.array(scale)], ["cell", "home", "ids", "mark", "code", "norm", "err", "rest", "scale"])
 
     return run
 
@@ -160,85 +202,129 @@ def _merged(marks: np.ndarray, ids: list[list[int]], rows: np.ndarray) -> tuple[
     return order[new], [ids[order[a]] if b - a == 1 else sorted({i for r in order[a:b] for i in ids[r]})[: TOP + 1] for a, b in zip(new, ends)]
 
 
+def _tables(quantiser: Quantiser, queries: np.ndarray, home: np.ndarray, codes: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """(queries, candidates, scores of each candidate for each query) block by block, by lookups in the queries' tables."""
+    m, k, d = quantiser.books.shape
+    flat = quantiser.books.reshape(m * k, d)
+    places = codes.astype(np.intp) + np.arange(m) * k
+    cells, cell = np.unique(home, return_inverse=True)
+    acc, row = np.empty((CANDIDATES, QUERIES), np.float32), np.empty((CANDIDATES, QUERIES), np.float32)
+    for a in range(0, len(queries), QUERIES):
+        q = np.zeros((QUERIES, d), np.float32)
+        n = len(queries[a : a + QUERIES])
+        q[:n] = queries[a : a + QUERIES]
+        table, base = flat @ q.T, quantiser.cells.centres[cells] @ q.T
+        for b in range(0, len(codes), CANDIDATES):
+            p = places[b : b + CANDIDATES]
+            s, t = acc[: len(p)], row[: len(p)]
+            np.take(base, cell[b : b + CANDIDATES], axis=0, out=s, mode="clip")
+            for i in range(m):
+                np.take(table, p[:, i], axis=0, out=t, mode="clip")
+                np.add(s, t, out=s)
+            yield slice(a, a + n), slice(b, b + len(p)), s[:, :n]
+
+
+class _Leaders:
+    """The best ``most`` candidates of each query of a block, by exact similarity, then in the order they come."""
+
+    def __init__(self, n: int, most: int):
+        self.most, self.sim, self.at = most, np.full((n, most), -np.inf), np.full((n, most), -1, np.int64)
+
+    def add(self, rows: np.ndarray, sim: np.ndarray, at: np.ndarray) -> None:
+        """``sim`` (rows, candidates), -inf where there is none; candidates ``at`` come after all earlier ones."""
+        every = np.concatenate([self.sim[rows], sim], 1)
+        places = np.concatenate([self.at[rows], np.broadcast_to(at, sim.shape)], 1)
+        best = np.argsort(-every, axis=1, kind="stable")[:, : self.most]
+        self.sim[rows], self.at[rows] = np.take_along_axis(every, best, 1), np.take_along_axis(places, best, 1)
+
+
+def _reranked(quantiser: Quantiser, x: np.ndarray, marks: np.ndarray, homes: np.ndarray, codes: np.ndarray, need: np.ndarray, queries: np.ndarray, candidates: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, their best candidates, similarities) per block of queries; places in ``x``. A candidate whose lookup score reaches its
+    need is compared exactly, in the block where it is met."""
+    best, now = None, None
+    for a, b, score in _tables(quantiser, x[queries], homes[candidates], codes[candidates]):
+        if now is None or a != now:
+            if best is not None:
+                yield from _kept(best, queries[now])
+            best, now = _Leaders(a.stop - a.start, TOP + 1), a
+        hit = score >= need[candidates[b], None]
+        hit &= marks[candidates[b], None] != marks[queries[a]][None, :]
+        rows, some = np.flatnonzero(hit.any(0)), np.flatnonzero(hit.any(1))
+        if len(rows):
+            p, c = queries[a][rows], candidates[b][some]
+            sim = x[p].astype(np.float64) @ x[c].astype(np.float64).T
+            sim[~hit[np.ix_(some, rows)].T | (sim < least)] = -np.inf
+            keep = np.flatnonzero(np.isfinite(sim).any(1))
+            if len(keep):
+                best.add(rows[keep], sim[keep], c)
+    if best is not None:
+        yield from _kept(best, queries[now])
+
+
+def _kept(best: _Leaders, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    i, j = np.nonzero(best.at >= 0)
+    yield queries[i], best.at[i, j], best.sim[i, j]
+
+
 def _searcher(shared, least: float, margin: float):
     apart = 2 * (1 - least)
 
     def run(table: pa.Table) -> pa.Table:
-        quantiser: Quantiser = shared.value
+        quantiser, _ = shared.value
         columns = {c: table.column(c).combine_chunks() for c in table.column_names}
-        is_home = np.asarray(columns["vec"].is_valid())
+        asks, answers = (np.asarray(columns[c]) for c in ("asks", "answers"))
         marks, ids = columns["mark"].to_numpy(), columns["ids"].to_pylist()
-
-        own, own_ids = _merged(marks, ids, np.flatnonzero(is_home))
-        far, far_ids = _merged(marks, ids, np.flatnonzero(~is_home))
-        out: list[tuple] = [(i, i, 1.0, None) for i in own_ids if len(i) > 1]
-        if len(own):
-            every = np.r_[own, far]
-            vectors = unpack(columns["vec"].take(pa.array(own)))
+        # rows of one mark agree in all but their keys; those that come in order of their smallest key settle ties
+        every, names = _merged(marks, ids, np.arange(len(marks)))
+        order = np.argsort([n[0] for n in names], kind="stable")
+        every, names = every[order], [names[i] for i in order]
+        asks, answers, marks = asks[every], answers[every], marks[every]
+        out: list[tuple] = [(n, n, 1.0) for n, a, b in zip(names, asks, answers) if a and b and len(n) > 1]
+        if asks.any():
+            x = unpack(columns["vec"].take(pa.array(every)))
             homes = columns["home"].to_numpy()[every]
             codes = np.frombuffer(b"".join(columns["code"].take(pa.array(every)).to_pylist()), np.uint8).reshape(-1, BOOKS)
             norm, err = (columns[c].to_numpy()[every].astype(np.float64) for c in ("norm", "err"))
             bound = err + apart + 2 * CODE_SPREADS * np.sqrt(err * apart / DIM)
-            fine = np.frombuffer(b"".join(columns["rest"].take(pa.array(far)).to_pylist()), np.int8).reshape(-1, DIM)
-            scale = columns["scale"].to_numpy()[far]
             need = ((1 + norm - bound) / 2 - 1e-6).astype(np.float32)
-            for queries, candidates in _rooms(quantiser, vectors, homes, codes, err, margin):
-                q, x, score = _scan(quantiser, vectors[queries], homes[candidates], codes[candidates], need[candidates])
-                q, x = queries[q], candidates[x]
-                inside = (x < len(own)) & (x != q)
-                a, b = q[inside], x[inside]
-                sim = np.einsum("ij,ij->i", vectors[a].astype(np.float64), vectors[b].astype(np.float64))
-                good = sim >= least
-                a, b, sim = a[good], b[good], sim[good]
-                for i in _best(a, sim, TOP + 1):
-                    out.append((own_ids[a[i]], own_ids[b[i]], float(sim[i]), None))
-                outside = x >= len(own)
-                a, b = q[outside], x[outside] - len(own)
-                s = score[outside] + np.einsum("ij,ij->i", vectors[a], fine[b].astype(np.float32)) * scale[b] / 127
-                good = s >= least - FINE_ERROR
-                a, b, s = a[good], b[good], s[good]
-                for i in _best(a, s, KEEP):
-                    out.append((own_ids[a[i]], far_ids[b[i]], None, vectors[a[i]].tobytes()))
-        q, x, sim, qv = zip(*out) if out else ((), (), (), ())
-        return pa.table({"q": pa.array(q, pa.list_(pa.int64())), "x": pa.array(x, pa.list_(pa.int64())), "sim": pa.array(sim, pa.float64()), "qv": pa.array(qv, pa.binary())})
+            for queries, candidates in _rooms(x, asks, answers, margin):
+                for q, c, sim in _reranked(quantiser, x, marks, homes, codes, need, queries, candidates, least):
+                    out.extend((names[a], names[b], s) for a, b, s in zip(q.tolist(), c.tolist(), sim.tolist()))
+        q, c, sim = zip(*out) if out else ((), (), ())
+        return pa.table({"q": pa.array(q, pa.list_(pa.int64())), "x": pa.array(c, pa.list_(pa.int64())), "sim": pa.array(sim, pa.float64())})
 
     return run
 
 
-def _rooms(quantiser: Quantiser, vectors: np.ndarray, homes: np.ndarray, codes: np.ndarray, err: np.ndarray, margin: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Queries and their candidates: all of a cell, or of each part of a large one, with candidates from across the parts' borders."""
-    n = len(vectors)
+def _rooms(x: np.ndarray, asks: np.ndarray, answers: np.ndarray, margin: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of queries and their candidates: all of a cell, or of each part of a large one, with candidates from across the parts' borders."""
+    asking, n = np.flatnonzero(asks), len(x)
     if n <= LOCAL:
-        yield np.arange(n), np.arange(len(codes))
+        yield asking, np.flatnonzero(answers)
         return
-    parts = Cells(kmeans(vectors[:: max(1, n // 20_000)], -(-n // SPLIT), 4, 1))
-    places, rooms = [], []
-    home = np.empty(n, np.int64)
-    for s in range(0, len(codes), 4096):
-        rows = np.arange(s, min(s + 4096, len(codes)))
-        inner = rows < n
-        x = np.vstack([vectors[rows[inner]], quantiser.decode(homes[rows[~inner]], codes[rows[~inner]])])
-        width = np.where(inner, margin, 2 * margin + MARGIN_SPREADS * np.sqrt(err[rows] / DIM)).astype(np.float32)
-        own, near, cell = parts.margins(x, width)
-        home[rows[inner]] = own[inner]
-        places += [rows, rows[near]]
-        rooms += [own, cell]
+    parts = Cells(kmeans(x[:: max(1, n // 20_000)], -(-n // SPLIT), 4, 1))
+    home, places, rooms = np.empty(n, np.int64), [], []
+    for s in range(0, n, 4096):
+        own, near, cell = parts.margins(x[s : s + 4096], 2 * margin)  # queries stay at home, so candidates cross for both
+        home[s : s + 4096] = own
+        at = np.r_[np.arange(len(own)), near] + s
+        good = answers[at]
+        places.append(at[good])
+        rooms.append(np.r_[own, cell][good])
     place, room = np.concatenate(places), np.concatenate(rooms)
-    order = np.argsort(room, kind="stable")
+    order = np.lexsort((place, room))
     bounds = np.searchsorted(room[order], np.arange(len(parts.centres) + 1))
     for r in range(len(parts.centres)):
-        queries = np.flatnonzero(home == r)
+        queries = asking[home[asking] == r]
         if len(queries):
-            yield queries, np.sort(place[order[bounds[r] : bounds[r + 1]]])
+            yield queries, place[order[bounds[r] : bounds[r + 1]]]
 
 
-def _rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, x = matrix(batch.column(3))
-        if len(rows):
-            take = pa.array(rows)
-            sim = np.einsum("ij,ij->i", unpack(batch.column(2).take(take)).astype(np.float64), x.astype(np.float64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(sim)], ["q", "x", "sim"])
+def _parts(quantiser: Quantiser, training: np.ndarray, total: int, margin: float) -> np.ndarray:
+    """Into how many blocks each way a cell's rows are divided, by the sample's share of rows that go there."""
+    home, _, cells = quantiser.cells.margins(training, margin)
+    rows = np.bincount(np.r_[home, cells], minlength=len(quantiser.cells.centres)) * (total / len(training))
+    return np.maximum(1, np.ceil(rows / PER_TASK)).astype(np.int64)
 
 
 def similar_pairs(vectors: DataFrame, key: str, column: str, least: float, per_cell: int = PER_CELL) -> DataFrame:
@@ -249,22 +335,15 @@ def similar_pairs(vectors: DataFrame, key: str, column: str, least: float, per_c
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("v")).where(F.col("id").isNotNull() & (F.size("v") == DIM))
     total = vectors.count()
     training = sample(rows, "id", "v", total)
-    empty = spark.createDataFrame([], "a long, b long, sim double")
     if len(training) < 2:
-        return empty
+        return spark.createDataFrame([], "a long, b long, sim double")
     quantiser = Quantiser.train(training, max(1, min(MOST_CELLS, total // per_cell)), BOOKS, WORDS, beam=BEAM)
-    shared = spark.sparkContext.broadcast(quantiser)
     margin = MARGIN_SPREADS / 2 * np.sqrt(2 * (1 - least) / DIM)
-    coded = rows.mapInArrow(_encoder(shared, margin), _PARTS)
-    hits = coded.groupBy("cell").applyInArrow(_searcher(shared, least, margin), _PAIRS)
-    hits = materialise(hits, "neighbours")
-    cross = hits.where("qv is not null").select("q", "x", "qv", F.col("x")[0].alias("id"))
-    asked = cross.select("id").distinct()
-    wanted = rows.join(F.broadcast(asked), "id", "left_semi") if asked.count() <= SENT else rows
-    exact = cross.join(wanted.hint("shuffle_hash"), "id").select("q", "x", "qv", "v").mapInArrow(_rerank, "q array<long>, x array<long>, sim double").where(F.col("sim") >= least)
-    pairs = hits.where("qv is null").select("q", "x", "sim").unionByName(exact)
-    pairs = pairs.select(F.explode("q").alias("p"), "x", "sim").select("p", F.explode("x").alias("r"), "sim").where("p <> r")
-    return pairs.groupBy(F.least("p", "r").alias("a"), F.greatest("p", "r").alias("b")).agg(F.max("sim").alias("sim"))
+    shared = spark.sparkContext.broadcast((quantiser, _parts(quantiser, training, total, margin)))
+    hits = rows.mapInArrow(_encoder(shared, margin), _PARTS).groupBy("room").applyInArrow(_searcher(shared, least, margin), _PAIRS)
+    pairs = hits.select(F.explode("q").alias("p"), "x", "sim").select("p", F.explode("x").alias("r"), "sim").where("p <> r")
+    pairs = pairs.groupBy(F.least("p", "r").alias("a"), F.greatest("p", "r").alias("b")).agg(F.max("sim").alias("sim"))
+    return materialise(pairs, "neighbours")
 
 
 def mutual(pairs: DataFrame, top: int = TOP) -> DataFrame:
@@ -277,7 +356,6 @@ def mutual(pairs: DataFrame, top: int = TOP) -> DataFrame:
 # The most similar of all, for a stated set of queries.
 
 PROBES = 32
-PER_TASK = 50_000
 _FOUND = "q long, x long, sim double"
 
 
@@ -362,7 +440,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, column: str, top:
         return spark.createDataFrame([], "id long, neighbour long, rank int, sim double")
     quantiser = Quantiser.train(training, max(1, min(MOST_CELLS, total // per_cell)), BOOKS, WORDS, beam=BEAM)
     shared = spark.sparkContext.broadcast(quantiser)
-    coded = materialise(rows.mapInArrow(_encoder(shared, -1.0, vectors=False), _PARTS).drop("vec"), "coded")
+    coded = materialise(rows.mapInArrow(_coder(shared), _CODED), "coded")
     counts = {r.cell: -(-r["count"] // PER_TASK) for r in coded.groupBy("cell").count().collect()}  # at most MOST_CELLS rows
     split = F.element_at(F.create_map(*[F.lit(int(c)) for pair in counts.items() for c in pair]), F.col("cell"))
     candidates = coded.withColumn("part", F.pmod(F.xxhash64("mark"), split).cast("int"))

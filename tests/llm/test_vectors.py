@@ -1,6 +1,7 @@
 """Clustering, neighbours and deduplication of vectors against brute force; nulls, unusable vectors, copies, hot groups, empty tables."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,41 @@ def test_neighbours_of_copies_and_nothing(spark):
     assert neighbours.similar_pairs(table(spark, range(len(BAD)), BAD), "region_id", "embedding", 0.985).count() == 0
 
 
+@pytest.mark.parametrize("per_task", [50_000, 900])
+def test_near_copies_in_one_cell(spark, per_task, monkeypatch):
+    """Thousands of distinct near copies: every pair is similar enough, so all of them are candidates of each other."""
+    monkeypatch.setattr(neighbours, "PER_TASK", per_task)
+    rng = np.random.default_rng(31)
+    x = np.vstack([ball(rng, 3_000, 0.05), unit(rng.standard_normal((100, 64)))])
+    ids = [int(i) for i in rng.permutation(len(x))]
+    got = {(r.a, r.b) for r in neighbours.mutual(neighbours.similar_pairs(table(spark, ids, x), "region_id", "embedding", 0.985, 4_000)).collect()}
+    v = as_float(x)
+    best = {}
+    for s in range(0, len(v), 500):
+        sim = v[s : s + 500] @ v.T
+        sim[np.arange(len(sim)), np.arange(s, s + len(sim))] = -2
+        top = np.argpartition(-sim, 10, axis=1)[:, :10]
+        best |= {ids[s + i]: {ids[j] for j in t if sim[i, j] >= 0.985} for i, t in enumerate(top)}
+    want = {(a, b) for a in ids for b in best[a] if a < b and a in best[b]}
+    assert len(want) > 5_000 and len(got & want) >= 0.999 * len(want) and len(got - want) <= 0.001 * len(want)
+
+
+def test_memory_of_a_cell_of_near_copies():
+    import tracemalloc
+
+    rng = np.random.default_rng(32)
+    x = ball(rng, 6_000, 0.05).astype(np.float32)
+    quantiser = Quantiser.train(x[:1_000], 1, neighbours.BOOKS, neighbours.WORDS)
+    shared = type("Shared", (), {"value": (quantiser, np.ones(1, np.int64))})
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(list(x), pa.list_(pa.float32()))], ["id", "v"])
+    rows = pa.Table.from_batches(list(neighbours._encoder(shared, 0.03)(iter([batch]))))
+    tracemalloc.start()
+    found = neighbours._searcher(shared, 0.985, 0.03)(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows >= 10 * len(x) and peak < 300_000_000
+
+
 @pytest.mark.parametrize("per_cell,per_task", [(2_000, 50_000), (60, 40)])
 def test_nearest_of_a_query_set(spark, close, per_cell, per_task, monkeypatch):
     monkeypatch.setattr(neighbours, "PER_TASK", per_task)
