@@ -31,8 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def _root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/prismara/{spark.sparkContext.applicationId}"
+
+
 def table_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/prismara/{label}-{uuid.uuid4().hex}"
+    return f"{_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -40,4 +44,22 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = table_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._written)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application wrote to the shared folder, once the results that read it are no longer needed."""
+    _delete(spark, _root(spark))
