@@ -10,11 +10,11 @@ digits on the pair is compared, first with 8-bit components, then exactly. A rec
 Chunks held by more than ``HOT`` classes make no pairs: they are compared in blocks of arriving and held classes, from which only the
 smallest keys per arriving class come out. So no link is lost and no hot group is ever written out as pairs or held in one task.
 
-``History`` keeps classes and chunk table between batches: a batch is cut, looked up and appended. Both tables are scanned for what the
-batch touches, and only that is grouped and compared; the records behind them are not read. p3_found does not run through it: it
-compares history and all batches in one pass.
+``History`` keeps classes and chunk table between batches: what is pending is cut, looked up and appended. The chunk table (16 bytes a
+chunk) is scanned for what the batch touches; of the classes only those touched are grouped and compared; the records behind them are
+not read. All results come through it.
 
-Loss: a pair at the threshold itself shares less than ``COVER`` digits in about 1 of 70 cases, at similarity 0.99 in 1 of 800.
+Loss: a pair at the threshold itself shares less than ``COVER`` digits in about 1 of 130 cases, at similarity 0.99 in 1 of 1,600.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismara.llm.chunks import chunks, digits_of
+from prismara.llm.chunks import LENGTH, chunks, digits_of
 from prismara.llm.vectors import DIM, matrix, pack, unpack
 from prismara.storage import materialise, table_path
 
-COVER = 12
+COVER = 2 * LENGTH
 HOT = 256
+#: Appends after which a history is joined to one table.
+COMPACT = 16
 BLOCK = 1_024
 SENT = 1_000_000
 HOT_SHARE = 1 / 500
@@ -79,19 +81,19 @@ def classes(rows: DataFrame) -> DataFrame:
 
 
 def chunk_table(vectors: DataFrame) -> DataFrame:
-    """(chunk, cid, asked, digits) of classes with a vector; chunks of different folders differ."""
+    """(chunk, cid) of classes with a vector; chunks of different folders differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cid, folder, asked = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            row, mark, length = chunks(digits_of(unpack(batch.column(3))))
-            with np.errstate(over="ignore"):
-                mark = (mark.view(np.uint64) ^ (folder[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(mark), pa.array(cid[row]), pa.array(asked[row]), pa.array(length.astype(np.int32))], ["chunk", "cid", "asked", "digits"])
+            for s in range(0, batch.num_rows, 1024):
+                part = batch.slice(s, 1024)
+                cid, folder = part.column(0).to_numpy(), part.column(1).to_numpy()
+                row, mark = chunks(digits_of(unpack(part.column(2))))
+                with np.errstate(over="ignore"):
+                    mark = (mark.view(np.uint64) ^ (folder[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(mark), pa.array(cid[row])], ["chunk", "cid"])
 
-    return vectors.select("cid", "folder", (F.col("n") > 0).alias("asked"), "vec").mapInArrow(run, "chunk long, cid long, asked boolean, digits int")
+    return vectors.select("cid", "folder", "vec").mapInArrow(run, "chunk long, cid long")
 
 
 def _filtered(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
@@ -100,14 +102,15 @@ def _filtered(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
 
 
 def near_classes(vectors: DataFrame, table: DataFrame, least: float, hot: int = HOT) -> DataFrame:
-    """(cid, held, came): for every asked class the smallest keys among the other classes with similarity ``least`` and more."""
+    """(cid, held, came): for every asked class the smallest keys among the other classes with similarity ``least`` and more. ``table``:
+    (chunk, cid, asked)."""
     counts = table.groupBy("chunk").agg(F.count("*").alias("n"), F.max("asked").alias("any")).where("n > 1 and any").select("chunk", "n")
     live = materialise(counts, "live")
     rows = table.join(F.broadcast(live) if live.count() <= SENT else live, "chunk")
     rows = materialise(rows, "shared")
     cool = rows.where(F.col("n") <= hot)
-    pairs = cool.where("asked").select("chunk", F.col("cid").alias("q"), "digits").join(cool.select("chunk", F.col("cid").alias("x")), "chunk").where("q <> x")
-    pairs = pairs.groupBy("q", "x").agg(F.sum("digits").alias("cover")).where(F.col("cover") >= COVER).select("q", "x")
+    pairs = cool.where("asked").select("chunk", F.col("cid").alias("q")).join(cool.select("chunk", F.col("cid").alias("x")), "chunk").where("q <> x")
+    pairs = pairs.groupBy("q", "x").agg((F.count("*") * LENGTH).alias("cover")).where(F.col("cover") >= COVER).select("q", "x")
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,10 +203,9 @@ def repeats(history: DataFrame, arrivals: DataFrame, least: float, hot: int = HO
     in the same folder and have the same hash or usable vectors with similarity ``least`` and more. Null keys and folders take no part;
     null, malformed and unusable contents match nothing by that content; repeated rows count once; empty tables give no rows.
     """
-    every = materialise(classes(history.unionByName(arrivals)), "classes")
-    vectors = every.where("vec is not null")
-    near = near_classes(vectors, materialise(chunk_table(vectors), "chunks"), least, hot)
-    return _repeats(arrivals, _answers(every.drop("vec"), near))
+    kept = History(history.sparkSession, None, least, hot)
+    kept.accept(history, arriving=False)
+    return kept.accept(arrivals)
 
 
 class History:
@@ -212,11 +214,15 @@ class History:
     ``accept`` returns a batch's repeats and appends the classes and chunks of all its records, so that later batches find the smallest
     key of each content. Each append is a table of its own, named after its number; a lost executor costs only its tasks. Opened on
     a path in use, it goes on from the complete parts, those whose classes and chunks were both written to the end; a batch whose append
-    did not finish is accepted again and overwrites what there is of it.
+    did not finish is accepted again and overwrites what there is of it. Every ``COMPACT`` parts are joined to one, in which a class has
+    one row; until that is complete, the parts are read.
     """
 
-    def __init__(self, spark, path: str | None = None, least: float = 0.985):
-        self.spark, self.path, self.least, self.parts = spark, path or table_path(spark, "history"), least, 0
+    def __init__(self, spark, path: str | None = None, least: float = 0.985, hot: int = HOT):
+        self.spark, self.path, self.least, self.hot = spark, path or table_path(spark, "history"), least, hot
+        self.parts = self.joined = 0
+        while self._whole("joined-classes", self.parts + COMPACT) and self._whole("joined-chunks", self.parts + COMPACT):
+            self.joined = self.parts = self.parts + COMPACT
         while self._whole("classes", self.parts) and self._whole("chunks", self.parts):
             self.parts += 1
 
@@ -225,29 +231,41 @@ class History:
         return done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done)
 
     def _read(self, kind: str) -> DataFrame | None:
-        tables = [self.spark.read.parquet(f"{self.path}/{kind}-{p}") for p in range(self.parts)]
-        out = None
-        for t in tables:
-            out = t if out is None else out.unionByName(t)
-        return out
-
-    def accept(self, batch: DataFrame, arriving: bool = True) -> DataFrame:
-        """``batch``: rows of records(). Keys must rise from batch to batch."""
-        new = materialise(classes(batch), "batch")
-        chunked = materialise(chunk_table(new.where("vec is not null")), "chunks")
+        paths = [f"{self.path}/joined-{kind}-{self.joined}"] if self.joined else []
+        paths += [f"{self.path}/{kind}-{p}" for p in range(self.joined, self.parts)]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def accept(self, batch: DataFrame, arriving: bool = True) -> DataFrame | None:
+        """``batch``: rows of records(), of one batch or of all that are pending. Keys must rise from batch to batch."""
+        if not arriving:
+            self._append(classes(batch))
+            return None
+        rows = materialise(batch, "pending")
         before, known = self._read("classes"), self._read("chunks")
-        old = before.withColumn("n", F.lit(0).cast("long")) if before is not None else new.limit(0)
-        old_chunks = known.withColumn("asked", F.lit(False)) if known is not None else chunked.limit(0)
-        touched = materialise(_filtered(old_chunks, chunked.select("chunk").distinct(), "chunk"), "touched")
-        old = _filtered(old, touched.select("cid").unionByName(new.select("cid")).distinct(), "cid")
-        both = materialise(self._merged(new.unionByName(old)), "merged")
-        table = chunked.unionByName(touched).groupBy("chunk", "cid", "digits").agg(F.max("asked").alias("asked")).select("chunk", "cid", "asked", "digits")
-        near = near_classes(both.where("vec is not null"), materialise(table, "table"), self.least)
-        result = materialise(_repeats(batch, _answers(both.drop("vec"), near)), "repeats") if arriving else None
-        new.write.mode("overwrite").parquet(f"{self.path}/classes-{self.parts}")
-        chunked.write.mode("overwrite").parquet(f"{self.path}/chunks-{self.parts}")
+        own, chunked = self._append(classes(rows))
+        if before is None:
+            both, table = own, chunked.withColumn("asked", F.lit(True))
+        else:
+            touched = materialise(_filtered(known, chunked.select("chunk").distinct(), "chunk"), "touched")
+            old = _filtered(before, touched.select("cid").unionByName(own.select("cid")).distinct(), "cid")
+            both = materialise(self._merged(own.unionByName(old.withColumn("n", F.lit(0).cast("long")))), "merged")
+            asked = chunked.withColumn("asked", F.lit(True)).unionByName(touched.withColumn("asked", F.lit(False)))
+            table = materialise(asked.groupBy("chunk", "cid").agg(F.max("asked").alias("asked")), "table")
+        near = near_classes(both.where("vec is not null"), table, self.least, self.hot)
+        return materialise(_repeats(rows, _answers(both.drop("vec"), near)), "repeats")
+
+    def _append(self, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Writes a part, and with every COMPACT-th the joined one; returns the part's classes and chunks."""
+        paths = [f"{self.path}/{kind}-{self.parts}" for kind in ("classes", "chunks")]
+        new.write.mode("overwrite").parquet(paths[0])
+        own = self.spark.read.parquet(paths[0])
+        chunk_table(own.where("vec is not null")).write.mode("overwrite").parquet(paths[1])
         self.parts += 1
-        return result
+        if self.parts - self.joined == COMPACT:
+            self._merged(self._read("classes")).write.mode("overwrite").parquet(f"{self.path}/joined-classes-{self.parts}")
+            self._read("chunks").distinct().write.mode("overwrite").parquet(f"{self.path}/joined-chunks-{self.parts}")
+            self.joined = self.parts
+        return own, self.spark.read.parquet(paths[1])
 
     @staticmethod
     def _merged(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from prismara.llm import dedup, neighbours, spectral
+from prismara.llm import chunks, dedup, neighbours, spectral
 from prismara.llm.vectors import Cells, Quantiser, kmeans
 
 SCHEMA = "region_id long, embedding array<float>, id string, label int"
@@ -332,6 +332,51 @@ def test_history_goes_on_where_it_ended(spark, batches, tmp_path):
     assert got == whole and dedup.History(spark, path).parts == 2
 
 
+def test_history_joins_its_parts(spark, batches, monkeypatch):
+    monkeypatch.setattr(dedup, "COMPACT", 2)
+    held, came = batches
+    came = sorted({r[0]: r for r in came if r[0] is not None}.values(), key=lambda r: r[0])
+    whole = {r.asset_id_b: r.asset_id_a for r in dedup.repeats(*parts(spark, held, came), 0.985).collect()}
+    history = dedup.History(spark)
+    history.accept(parts(spark, held, [])[0], arriving=False)
+    got = {r.asset_id_b: r.asset_id_a for r in history.accept(parts(spark, [], came[:100])[1]).collect()}
+    again = dedup.History(spark, history.path)
+    assert again.joined == again.parts == 2 and len(again._read("classes").inputFiles()) < 20
+    assert again._read("classes").groupBy("cid").count().where("count > 1").count() == 0
+    got |= {r.asset_id_b: r.asset_id_a for r in again.accept(parts(spark, [], came[100:])[1]).collect()}
+    assert got == whole
+
+
+def test_a_batch_reads_what_it_touches(spark, batches):
+    """The rows that a batch groups and compares depend on the batch, not on the length of the history."""
+    rng = np.random.default_rng(41)
+    x = unit(rng.standard_normal((2_000, 64)))
+    came = [(50_000 + i, 1, None, v) for i, v in enumerate(x[:20])]
+    met = []
+    for n in (200, 2_000):
+        history = dedup.History(spark)
+        history.accept(parts(spark, [(i, 1, None, v) for i, v in enumerate(x[:n])], [])[0], arriving=False)
+        seen, label = [], dedup.materialise
+        dedup.materialise = lambda df, name: seen.append((name, label(df, name))) or seen[-1][1]
+        try:
+            assert history.accept(parts(spark, [], came)[1]).count() == 20
+        finally:
+            dedup.materialise = label
+        met.append(dict(seen)["merged"].count())
+    assert 20 <= met[0] < 30 and met[1] < 60  # some chunk agrees by chance
+
+
+def test_shifted_content_shares_most_chunks():
+    rng = np.random.default_rng(40)
+    text = rng.integers(0, 4, (50, 3_000)).astype(np.uint32)
+    shifted = np.concatenate([rng.integers(0, 4, (50, 7)).astype(np.uint32), text[:, :1_000], text[:, 1_001:]], 1)
+    rows, marks = chunks.chunks(text)
+    for r in range(50):
+        own, other = set(marks[rows == r]), set(chunks.chunks(shifted[r : r + 1])[1])
+        assert len(own & other) >= 0.9 * len(own)
+    assert len(chunks.chunks(text[:, :5])[0]) == 0 and len(chunks.chunks(text[:0])[0]) == 0
+
+
 def test_repeats_of_nothing(spark):
     assert dedup.repeats(*parts(spark, [], []), 0.985).count() == 0
     assert dedup.repeats(*parts(spark, [(1, 1, HASH, None)], []), 0.985).count() == 0
