@@ -12,8 +12,9 @@ group all have one hub, and none outside the group, so however the group is buil
 
 Iteration. Both kinds of link make one graph of landmarks and unlandmarked vectors; its affinities are divided by the degree, and
 ``VECTORS`` random vectors are multiplied by that matrix, as DataFrames, until they stand still: then each is constant on a
-connected group. The occupied cells of a fine grid then name the connected groups, in place of k-means: centres, assignment and update
-would move nothing where vectors stand still. A vector follows its strongest landmark.
+connected group. The rows of that embedding are divided by k-means: the occupied cells of a fine grid are the seeds, every node goes to
+its nearest centre, centres move to the mean of their nodes, and so on until no node changes. How many groups there are is thus not asked
+beforehand. A vector follows its strongest landmark.
 
 Standing still. In a sound group every node gives half of its weight or more to one common hub, so each product at least halves what
 values in the group differ by: after 24 products they agree within 1.2e-7, after STEPS * ROUNDS = 48 within 1e-14, far below GRID. What
@@ -29,6 +30,7 @@ Members are ranked by internal affinity, the mean similarity to the other member
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,16 +40,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prismara.llm.vectors import DIM, matrix, pack, sample, unpack
-from prismara.storage import materialise
+from prismara.storage import materialise, release
 
 LEADER = 0.9
 LANDMARK_SAMPLE = 16_384
 ANCHORS = 4
 VECTORS = 8
 STEPS, ROUNDS, STILL = 6, 8, 1e-6
-GRID, BORDER = 1e-3, 0.1
-ROOM, LEAST_BLOCKS = 65_536, 4
-BLOCK = 2_048
+GRID, BORDER, ALIKE, LLOYD = 1e-3, 0.1, 6, 50
+ROOM, LEAST_BLOCKS = 65_536, 6
+BLOCK, ROWS = 2_048, 8_192
 CENTRES = 20_000
 FLOAT_ERROR = 1e-5
 
@@ -166,36 +168,40 @@ def _firsts(least: float):
     """Cogroup of two blocks of rows, which may be one: for each row with others of similarity ``least`` or more, the smallest of their ids."""
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out_i, out_j = [], []
+        i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if a.num_rows and b.num_rows:
-            ids, others = a.column("id").to_numpy(), b.column("id").to_numpy()
-            order = np.argsort(others)
-            others = others[order]
-            x, y = unpack(a.column("vec").combine_chunks()), unpack(b.column("vec").combine_chunks())[order]
+            sides = []
+            for t in (a, b):
+                ids = t.column("id").to_numpy()
+                order = np.argsort(ids)
+                sides.append((ids[order], unpack(t.column("vec").combine_chunks())[order]))
+            (ids, x), (others, y) = sides
+            none = np.iinfo(np.int64).max
+            best, back = np.full(len(x), none), np.full(len(y), none)
             for r in range(0, len(x), BLOCK):
-                best = np.full(len(x[r : r + BLOCK]), len(y))
                 for c in range(0, len(y), BLOCK):
                     near = _at_least(x[r : r + BLOCK], y[c : c + BLOCK], least)
-                    p, q = np.nonzero(near) if near.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    p, q = np.nonzero(near)
                     apart = ids[p + r] != others[q + c]
-                    np.minimum.at(best, p[apart], q[apart] + c)
-                met = np.flatnonzero(best < len(y))
-                out_i.append(ids[met + r])
-                out_j.append(others[best[met]])
-        both = [np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_i, out_j)]
-        return pa.table({"i": pa.array(both[0], pa.int64()), "j": pa.array(both[1], pa.int64())})
+                    p, q = p[apart] + r, q[apart] + c
+                    np.minimum.at(best, p, others[q])
+                    np.minimum.at(back, q, ids[p])
+            for own, first in ((ids, best), (others, back)):
+                met = first < none
+                i.append(own[met])
+                j.append(first[met])
+        return pa.table({"i": pa.array(np.concatenate(i), pa.int64()), "j": pa.array(np.concatenate(j), pa.int64())})
 
     return run
 
 
 def _first_neighbours(rest: DataFrame, total: int, least: float) -> DataFrame:
     """(i, j): each row that has others of similarity ``least`` or more, and the smallest id among these and its own. All pairs are
-    compared, in blocks of at most ``ROOM`` rows."""
+    compared, each once, in blocks of at most ``ROOM`` rows."""
     count = max(LEAST_BLOCKS, -(-total // ROOM))
     blocks = rest.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("p"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = blocks.select(F.col("p").alias("a"), every.alias("b"), "id", "vec")
-    right = blocks.select(every.alias("a"), F.col("p").alias("b"), "id", "vec")
+    left = blocks.select(F.col("p").alias("a"), F.explode(F.sequence("p", F.lit(count - 1))).alias("b"), "id", "vec")
+    right = blocks.select(F.explode(F.sequence(F.lit(0), "p")).alias("a"), F.col("p").alias("b"), "id", "vec")
     left, right = (df.toDF(*df.columns) for df in (left, right))
     met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_firsts(least), "i long, j long")
     return met.groupBy("i").agg(F.min("j").alias("j")).select("i", F.least("i", "j").alias("j"))
@@ -265,22 +271,43 @@ def _iterate(edges: DataFrame) -> DataFrame:
     return now
 
 
-def _named(embedding: DataFrame) -> DataFrame:
-    """(node, label): nodes that stand at the same place have one label. Labels are the occupied cells of a grid; a node near a cell's border may belong to
-    the cell across it, and of those that are occupied the smallest is taken, so a group on a border is not divided."""
-    names = [c for c in embedding.columns if c != "node"]
-    cells = [F.floor(F.col(n) / GRID).cast("long") for n in names]
-    home = embedding.select("node", F.xxhash64(*cells).alias("cell"))
-    seeds = home.select("cell").distinct()
-    choices = embedding.select("node", *[c.alias(f"c{i}") for i, c in enumerate(cells)], *[(F.col(n) / GRID - F.floor(F.col(n) / GRID)).alias(f"f{i}") for i, n in enumerate(names)])
-    for i in range(len(names)):
-        cell, part = F.col(f"c{i}"), F.col(f"f{i}")
+def _cells(names: list[str]) -> list:
+    return [F.floor(F.col(n) / GRID).cast("long") for n in names]
+
+
+def _near_cells(embedding: DataFrame, names: list[str]) -> DataFrame:
+    """Nodes with ``cell``, once for their own grid cell and once for each cell whose border is near."""
+    out = embedding
+    for i, cell in enumerate(_cells(names)):
+        part = F.col(names[i]) / GRID - cell
         own = F.when(part < BORDER, F.array(cell, cell - 1)).when(part > 1 - BORDER, F.array(cell, cell + 1)).otherwise(F.array(cell))
-        choices = choices.withColumn(f"o{i}", own)
+        out = out.withColumn(f"_o{i}", own)
     for i in range(len(names)):
-        choices = choices.withColumn(f"k{i}", F.explode(f"o{i}")).drop(f"o{i}")
-    candidates = choices.select("node", F.xxhash64(*[F.col(f"k{i}") for i in range(len(names))]).alias("cell"))
-    return candidates.join(seeds, "cell", "left_semi").groupBy("node").agg(F.min("cell").alias("label"))
+        out = out.withColumn(f"_k{i}", F.explode(f"_o{i}")).drop(f"_o{i}")
+    return out.withColumn("cell", F.xxhash64(*[F.col(f"_k{i}") for i in range(len(names))])).drop(*[f"_k{i}" for i in range(len(names))])
+
+
+def _kmeans(embedding: DataFrame) -> DataFrame:
+    """(node, label) by Lloyd's algorithm. The mean of each occupied grid cell is a seed. A node goes to the nearest centre among its own and
+    those of its cell and of cells whose border it is near; distances that agree to ``ALIKE`` digits are a tie, which the smallest
+    label wins, so two seeds on either side of a border become one centre. Then centres move, until no node changes."""
+    names = [c for c in embedding.columns if c != "node"]
+    means = [F.avg(n).alias(f"c_{n}") for n in names]
+    near = materialise(_near_cells(embedding, names), "near")
+    now = embedding.select("node", *names, F.xxhash64(*_cells(names)).alias("label"))
+    far = F.round(F.sqrt(sum(((F.col(n) - F.col(f"c_{n}")) ** 2 for n in names), F.lit(0.0))) / GRID, ALIKE)
+    for _ in range(LLOYD):
+        centres = materialise(now.groupBy("label").agg(*means), "centres")
+        placed = centres.withColumn("cell", F.xxhash64(*[F.floor(F.col(f"c_{n}") / GRID).cast("long") for n in names]))
+        mine = now.join(centres, "label").select("node", F.col("label").alias("own"), "label", far.alias("far"))
+        other = near.join(placed, "cell").select("node", F.lit(None).cast("long").alias("own"), "label", far.alias("far"))
+        best = mine.unionByName(other).groupBy("node").agg(F.max("own").alias("own"), F.min(F.struct("far", "label")).alias("best"))
+        moved = materialise(best.select("node", "own", F.col("best.label").alias("label")), "assigned")
+        if not moved.where("own <> label").limit(1).count():
+            return moved.select("node", "label")
+        now = embedding.join(moved.select("node", "label"), "node")
+    warnings.warn(f"nodes still change centres after {LLOYD} rounds; groups that are not sound may be divided differently")
+    return moved.select("node", "label")
 
 
 class Clusters:
@@ -306,11 +333,12 @@ class Clusters:
         loops = small.select("i").distinct().select("i", F.col("i").alias("j"), F.lit(1.0).alias("w"))
         # region ids may be negative in principle: nodes of vectors are moved to 2 * id, landmarks to odd numbers
         graph = links.select((2 * F.col("i") + 1).alias("i"), (2 * F.col("j") + 1).alias("j"), "w").unionByName(small.unionByName(loops).select((2 * F.col("i")).alias("i"), (2 * F.col("j")).alias("j"), "w"))
-        names = materialise(_named(_iterate(graph)), "named")
+        names = _kmeans(_iterate(graph))
         of_marks = names.where(F.pmod("node", F.lit(2)) == 1).select((-(F.col("node") - 1) / 2 - 1).cast("int").alias("anchor"), "label")  # at most LANDMARK_SAMPLE rows
         of_rows = names.where(F.pmod("node", F.lit(2)) == 0).select((F.col("node") / 2).cast("long").alias("id"), "label")
         first = covered.select("id", "vec", F.col("anchors")[0].alias("anchor")).join(F.broadcast(of_marks), "anchor").select("id", "vec", "label")
-        self.labelled = first.unionByName(rest.select("id", "vec").join(of_rows, "id", "left").select("id", "vec", "label"))
+        self.labelled = materialise(first.unionByName(rest.select("id", "vec").join(of_rows, "id", "left").select("id", "vec", "label")), "labelled")
+        release(rows)
         self.groups = materialise(self._sums(), "groups")
 
     def _sums(self) -> DataFrame:
@@ -428,8 +456,8 @@ class Clusters:
 
         def compared(rows: DataFrame, members: DataFrame) -> DataFrame:
             """(label, id): id null for a group that is wrong, else a row that the 8-bit components leave open."""
-            nx = rows.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("bx"))
-            ny = members.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("by"))
+            nx = rows.groupBy("label").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("bx"))
+            ny = members.groupBy("label").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("by"))
             sizes = F.broadcast(nx.join(ny, "label"))  # at most CENTRES rows
             upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
             mix = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
