@@ -13,9 +13,9 @@ from functools import lru_cache
 
 import numpy as np
 
-DIGITS, BASE_BITS = 672, 2
-#: Digits of a chunk: 24 bits. Each fourfold table of contents to be told apart wants one digit more.
-LENGTH = 12
+DIGITS, BASE_BITS = 832, 2
+#: Digits of a chunk: 26 bits. Each fourfold table of contents to be told apart wants one digit more.
+LENGTH = 13
 WINDOW, DIVISOR = 2, 16
 
 

@@ -298,8 +298,9 @@ def batches():
     return held, [*came, *came[:20]]
 
 
-@pytest.mark.parametrize("hot", [256, 2])
-def test_repeats_equal_brute_force(spark, batches, hot):
+@pytest.mark.parametrize("hot,marked", [(256, 4_000_000), (2, 4_000_000), (256, 10)])
+def test_repeats_equal_brute_force(spark, batches, hot, marked, monkeypatch):
+    monkeypatch.setattr(dedup, "MARKED", marked)
     held, came = batches
     got = {r.asset_id_b: r.asset_id_a for r in dedup.repeats(*parts(spark, held, came), 0.985, hot).collect()}
     want = brute_repeats(held, came, 0.985)
