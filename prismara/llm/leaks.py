@@ -1,7 +1,7 @@
 """Evaluation passages in training text.
 
 A document and a test item share a passage if they have at least ``width`` consecutive words in common. Each shard of the corpus (a
-run of documents of one input partition, up to ``SHARD_WORDS`` words) gets an FM-index; all ``width``-word phrases of the items are
+run of documents of one input partition, closed once it holds ``SHARD_WORDS`` words) gets an FM-index; all ``width``-word phrases of the items are
 searched backwards through it at once, their occurrences located by sampled suffix positions, and the hits merged to spans.
 
 Words outside the items' vocabulary cannot be part of a hit. They act as breaks, and runs between breaks that are shorter than
@@ -26,7 +26,7 @@ from prismara.llm.fmindex import FMIndex
 
 WIDTH = 13
 SHARD_WORDS = 1_000_000
-ITEM_CHARS = 20_000_000
+ITEM_CHARS = 5_000_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -36,18 +36,25 @@ def words(text: str) -> list[str]:
 
 
 class Phrases:
-    """The vocabulary of a set of items and their distinct phrases of ``width`` words, with the items that hold each."""
+    """The vocabulary of a set of items and their distinct phrases of ``width`` words as arrays: ``patterns`` (phrases, width), and for
+    phrase p the items ``items[starts[p] : starts[p + 1]]``. Made once on the driver; tasks only look words up."""
 
     def __init__(self, items: list[tuple[int, str]], width: int):
         self.width, self.vocabulary = width, {}
-        places: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words(text or "")]  # 1 is the break
-            for k in range(len(ids) - width + 1):
-                places.setdefault(tuple(ids[k : k + width]), set()).add(item)
-        self.patterns = np.array(list(places), np.int64).reshape(len(places), width)
-        self.items = [sorted(v) for v in places.values()]
-        # the alphabet is compact: only words that some phrase uses count
+        number = self.vocabulary.setdefault
+        encoded = [(item, np.array([number(w, len(self.vocabulary) + 2) for w in words(text or "")], np.int32)) for item, text in items]  # 1 is the break
+        rows = [(item, np.lib.stride_tricks.sliding_window_view(ids, width)) for item, ids in encoded if len(ids) >= width]
+        every = np.concatenate([r for _, r in rows]) if rows else np.zeros((0, width), np.int32)
+        owner = np.repeat(np.array([i for i, _ in rows], np.int64), [len(r) for _, r in rows])
+        # equal phrases are next to each other in this order, and so are their items
+        order = np.lexsort((owner, *every.T[::-1])) if len(every) else np.zeros(0, np.int64)
+        every, owner = every[order], owner[order]
+        new = np.r_[True, (every[1:] != every[:-1]).any(1)] if len(every) else np.zeros(0, bool)
+        keep = new | np.r_[True, owner[1:] != owner[:-1]] if len(every) else new
+        self.patterns = every[new]
+        self.items = owner[keep]
+        self.starts = np.r_[np.flatnonzero(new[keep]), len(self.items)]
+        # the alphabet is compact: only words that some item uses count
         self.size = len(self.vocabulary) + 1
 
     def encode(self, text: str) -> np.ndarray:
@@ -81,8 +88,8 @@ def _search(phrases: Phrases, docs: list[tuple[int, int, np.ndarray]]) -> pd.Dat
     run = np.searchsorted(begins, at, "right") - 1
     doc = np.array([d for d, _, _ in docs], np.int64)[run]
     word = at - begins[run] + np.array([s for _, s, _ in docs], np.int64)[run]
-    n_items = np.array([len(phrases.items[p]) for p in pattern])
-    item = np.concatenate([np.array(phrases.items[p], np.int64) for p in pattern])
+    n_items = phrases.starts[pattern + 1] - phrases.starts[pattern]
+    item = phrases.items[np.arange(n_items.sum()) - np.repeat(np.cumsum(n_items) - n_items, n_items) + np.repeat(phrases.starts[pattern], n_items)]
     hits = pd.DataFrame({"doc_id": np.repeat(doc, n_items), "item_id": item, "word": np.repeat(word, n_items)})
     # overlapping hits of an item in a document make one span
     hits = hits.sort_values(["doc_id", "item_id", "word"]).drop_duplicates()
@@ -107,10 +114,10 @@ def spans(documents: DataFrame, items: DataFrame, width: int = WIDTH, doc_key: s
     out = None
     for block in range(blocks):
         part = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast([(r.i, r.t) for r in part.collect()])
+        shared = spark.sparkContext.broadcast(Phrases([(r.i, r.t) for r in part.collect()], width))  # ITEM_CHARS at most
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(shared.value, width)
+            phrases: Phrases = shared.value
             if not len(phrases.patterns):
                 return
             docs, held = [], 0
@@ -120,10 +127,10 @@ def spans(documents: DataFrame, items: DataFrame, width: int = WIDTH, doc_key: s
                     for a, b in _long_runs(ids, width):
                         docs.append((doc, a, ids[a:b]))
                         held += b - a
-                if held >= shard_words:
-                    if (found := _search(phrases, docs)) is not None:
-                        yield pa.RecordBatch.from_pandas(found, preserve_index=False)
-                    docs, held = [], 0
+                    if held >= shard_words:
+                        if (found := _search(phrases, docs)) is not None:
+                            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+                        docs, held = [], 0
             if (found := _search(phrases, docs)) is not None:
                 yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 

@@ -69,7 +69,30 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_packed": p6_packed, "p6_containers": p6_containers, "p7_found": p7_found, "p7_spans": p7_spans, "p8_pieces": p8_pieces}
+def p6_laid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, whole, fits): whether a document is there from its first token to its last, in one piece unless it is too long, and in containers
+    that are not overfull."""
+    packed = p6_packed(spark, sf_dir)
+    full = packing.containers(packed).select("container_id", (F.col("free") >= 0).alias("fits"))
+    own = packed.join(full, "container_id").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.countDistinct("piece_no").alias("nos"), F.max("piece_no").alias("last"), F.sum("n_tokens").alias("total"),
+        F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.bool_and("fits").alias("fits"),
+    )
+    pieces = F.greatest(F.ceil(F.col("total") / packing.CAPACITY), F.lit(1))
+    return own.select("doc_id", ((F.col("n") == pieces) & (F.col("nos") == pieces) & (F.col("last") == pieces - 1) & (F.col("total") == F.col("end"))).alias("whole"), "fits")
+
+
+def p8_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, digest): of each document with a text the hash of what its pieces' new parts make up, or of the text where it was not cut."""
+    documents = load(spark, sf_dir, "documents").where("doc_id is not null and text is not null").select("doc_id", "text")
+    part = F.struct("piece_no", F.substring(F.col("text"), F.col("new_from") - F.col("start") + 1, F.col("end") - F.col("new_from")).alias("t"))
+    joined = splitting.split(documents).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda p: p["t"]), "").alias("joined"))  # one document
+    one = documents.select("doc_id", F.sha2("text", 256).alias("h")).groupBy("doc_id").agg(F.min("h").alias("h"))
+    return one.join(joined.select("doc_id", F.sha2("joined", 256).alias("j")), "doc_id", "left").select("doc_id", F.coalesce("j", "h").alias("digest"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_packed": p6_packed, "p6_containers": p6_containers, "p6_laid": p6_laid, "p7_found": p7_found, "p7_spans": p7_spans, "p8_pieces": p8_pieces, "p8_rejoined": p8_rejoined}
+
 
 def _usable(table: str, key: str, more: str = "") -> str:
     """SQL of usable vectors as unit vectors of double, one for each key."""
@@ -109,5 +132,11 @@ ORACLE: dict[str, str] = {
     "p1_found": _GROUPS,
     "p3_found": _REPEATS,
     "p4_found": f"with {_ranked('vec_assets', 'asset_id')}, {_ranked('vec_regions', 'region_id')} {_mutual('vec_assets', 'asset_id')} union all {_mutual('vec_regions', 'region_id')}",
+    "p6_laid": "select distinct doc_id, true as whole, true as fits from documents where doc_id is not null",
+    "p8_rejoined": "select doc_id, min(sha256(text)) digest from documents where doc_id is not null and text is not null group by doc_id",
+    "p7_spans": f"""with t as ({_PHRASES('eval_items', 'item_id')}),
+ h as (select distinct doc_id, item_id, i - 1 word from (select doc_id, i, array_to_string(w[i:i + 12], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 11)) i from (select doc_id, {_WORDS} w from documents where text is not null))) join t using (g)),
+ s as (select *, sum(fresh) over (partition by doc_id, item_id order by word) span from (select *, case when word - lag(word) over (partition by doc_id, item_id order by word) <= 13 then 0 else 1 end fresh from h))
+ select doc_id, item_id, min(word) first_word, max(word) + 13 end_word from s group by doc_id, item_id, span""",
     "p7_found": f"with t as ({_PHRASES('eval_items', 'item_id')}) select distinct doc_id, item_id from ({_PHRASES('documents', 'doc_id')}) join t using (g)",
 }

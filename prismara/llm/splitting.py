@@ -2,8 +2,9 @@
 
 Lexical cohesion. At every line end the ``BLOCK`` tokens before and after are compared by the cosine of their hashed term vectors; the
 depth of a valley in that curve says how much the topic changes there. A piece ends at the deepest valley of its size window (the
-second half of the room it has), where the end of a message or file, of a hunk, of a paragraph adds to the depth, in that order. A
-window without a line end is cut at a sentence end, and without that between words or, at last, between tokens.
+second half of the room it has), where the end of a message or file, of a hunk, of a paragraph adds to the depth, in that order. In a
+window without a line end the valleys at sentence ends count, without these those between words; a window without any is cut between
+tokens.
 
 Consecutive pieces share ``overlap`` tokens: each piece but the first begins that much before the cut. Texts are cut where they are
 read; keys are counted first, and only texts of repeated keys are shuffled, to settle on one; work in a document grows in proportion to its length.
@@ -58,18 +59,28 @@ class Cutter:
         at = np.r_[0, np.cumsum(self.lengths[ids])]  # byte at which each token begins
         data = np.frombuffer(raw, np.uint8)
         whole = np.r_[(data[at[:-1]] & 0xC0) != 0x80, True]  # tokens that begin with a character
-        lines, depth = self._valleys(raw, data, ids, at, whole)
-        sentences = self._tokens_at([m.end() for m in _SENTENCE.finditer(raw)], at, whole)
-        words = np.flatnonzero(whole[:-1] & ((data[at[:-1]] == 32) | (data[at[:-1]] == 10)))
+        sums = np.zeros((n + 1, DIMS), np.float32)
+        np.cumsum(self.terms[ids], axis=0, out=sums[1:])
+        places = [self._lines(raw, data, sums, at, whole), None, None]  # tokens and depths of lines, sentences, words, when they are needed
+
+        def kinds(kind: int) -> tuple[np.ndarray, np.ndarray]:
+            if places[kind] is None:
+                if kind == 1:
+                    token = self._tokens_at([m.end() for m in _SENTENCE.finditer(raw)], at, whole)
+                else:
+                    token = np.flatnonzero(whole[:-1] & ((data[at[:-1]] == 32) | (data[at[:-1]] == 10)))[1:]
+                places[kind] = token, self._depths(token, sums, NEAR if kind == 1 else BLOCK)
+            return places[kind]
+
         out, cut, cut_char, begin = [], 0, 0, 0
         while True:
             room = begin + self.limit  # beyond the last token that fits
             if n - begin <= self.limit and self._fits(raw, at, begin, n):
                 end = n
             else:
-                end = self._end(cut, min(room, n - 1), lines, depth, sentences, words, whole)
+                end = self._end(cut, min(room, n - 1), kinds, whole)
                 while not self._fits(raw, at, begin, end):
-                    end = self._end(cut, max(cut + 1, min(end - 1, room - EDGE)), lines, depth, sentences, words, whole)
+                    end = self._end(cut, max(cut + 1, min(end - 1, room - EDGE)), kinds, whole)
             piece, new = raw[at[begin] : at[end]].decode("utf-8", "surrogatepass"), raw[at[cut] : at[end]].decode("utf-8", "surrogatepass")
             out.append((cut_char - (len(piece) - len(new)), cut_char, cut_char + len(new), int(end - begin), piece))
             if end == n:
@@ -92,26 +103,24 @@ class Cutter:
         token = np.unique(token)
         return token[(token > 0) & (token < len(at) - 1) & whole[token]]
 
-    def _valleys(self, raw: bytes, data: np.ndarray, ids: np.ndarray, at: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _depths(self, token: np.ndarray, sums: np.ndarray, near: int) -> np.ndarray:
+        """The depth of the cohesion valley at each of these tokens, below the highest of ``near`` places on either side."""
+        if not len(token):
+            return np.zeros(0)
+        before = sums[token] - sums[np.maximum(token - BLOCK, 0)]
+        after = sums[np.minimum(token + BLOCK, len(sums) - 1)] - sums[token]
+        like = np.einsum("ij,ij->i", before, after) / np.maximum(np.linalg.norm(before, axis=1) * np.linalg.norm(after, axis=1), 1e-6)
+        peaks = np.lib.stride_tricks.sliding_window_view(np.pad(like, near, mode="edge"), near + 1).max(1)
+        return (peaks[: len(like)] - like) + (peaks[near : near + len(like)] - like)
+
+    def _lines(self, raw: bytes, data: np.ndarray, sums: np.ndarray, at: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens that begin a line, and for each the depth of the cohesion valley there plus what its kind of boundary adds."""
         ends = np.flatnonzero(data == 10) + 1
         ends = ends[ends < len(data)]
-        if not len(ends):
-            return np.zeros(0, np.int64), np.zeros(0)
         token = np.searchsorted(at, ends, "right") - 1
-        first = np.r_[True, token[1:] != token[:-1]] & (token > 0) & whole[token]
+        first = np.r_[True, token[1:] != token[:-1]][: len(token)] & (token > 0) & whole[token]
         token, ends = token[first], ends[first]
-        if not len(token):
-            return np.zeros(0, np.int64), np.zeros(0)
-        n = len(ids)
-        sums = np.zeros((n + 1, DIMS), np.float32)
-        np.cumsum(self.terms[ids], axis=0, out=sums[1:])
-        before = sums[token] - sums[np.maximum(token - BLOCK, 0)]
-        after = sums[np.minimum(token + BLOCK, n)] - sums[token]
-        near = np.einsum("ij,ij->i", before, after) / np.maximum(np.linalg.norm(before, axis=1) * np.linalg.norm(after, axis=1), 1e-6)
-        padded = np.pad(near, NEAR, mode="edge")
-        peaks = np.lib.stride_tricks.sliding_window_view(padded, NEAR + 1).max(1)
-        depth = (peaks[: len(near)] - near) + (peaks[NEAR : NEAR + len(near)] - near)
+        depth = self._depths(token, sums, NEAR)
         head = data[ends]
         for i in np.flatnonzero((head == ord("d")) | (head == ord("@"))):
             p = ends[i]
@@ -122,16 +131,14 @@ class Cutter:
         depth[(head == 10) | (data[np.maximum(ends - 2, 0)] == 10)] += PARAGRAPH
         return token, depth
 
-    def _end(self, cut: int, room: int, lines, depth, sentences, words, whole) -> int:
+    def _end(self, cut: int, room: int, kinds, whole) -> int:
         """The token before which a piece with new text from ``cut`` on and room up to ``room`` ends."""
         floor = cut + max(1, (room - cut) // 2)
-        a, b = np.searchsorted(lines, floor), np.searchsorted(lines, room, "right")
-        if b > a:
-            return int(lines[a + int(np.argmax(depth[a:b]))])
-        for kind in (sentences, words):
-            a, b = np.searchsorted(kind, floor), np.searchsorted(kind, room, "right")
+        for kind in range(3):
+            token, depth = kinds(kind)
+            a, b = np.searchsorted(token, floor), np.searchsorted(token, room, "right")
             if b > a:
-                return int(kind[b - 1])
+                return int(token[a + int(np.argmax(depth[a:b]))])
         end = room
         while end > cut + 1 and not whole[end]:
             end -= 1

@@ -135,6 +135,29 @@ def test_split_prefers_files_to_lines():
     assert len(cuts) > 2 and sum(text[c:].startswith("diff --git") for c in cuts) >= 0.7 * len(cuts)
 
 
+@pytest.mark.parametrize("end", [". ", " "])
+def test_split_of_one_line_follows_topics(end):
+    """Without a line end, valleys at sentence ends count, and without these those between words."""
+    rng = random.Random(11)
+    topics = [[f"{a}{b}" for b in ("ing", "er", "ed", "ly", "ness", "able")] for a in ("stone", "river", "cloud", "metal", "garden", "window")]
+    text, changes = "", []
+    for t in range(12):
+        changes.append(len(text))
+        text += "".join(" ".join(rng.choices(topics[t % 6], k=8)) + end for _ in range(10))
+    assert whole(text, 400, 0)
+    cuts = [p[1] for p in Cutter(400, 0).pieces(text)[1:]]
+    near = sum(min(abs(c - x) for x in changes) <= 40 for c in cuts)
+    assert len(cuts) >= 4 and near >= 0.7 * len(cuts)
+
+
+def test_phrases_name_every_item_once():
+    made = leaks.Phrases([(3, "a b c d"), (1, "b c d e"), (1, "a b c"), (9, None), (4, "a")], 3)
+    at = {tuple(p): made.items[made.starts[i] : made.starts[i + 1]].tolist() for i, p in enumerate(made.patterns)}
+    word = made.vocabulary
+    assert at == {tuple(word[w] for w in "abc"): [1, 3], tuple(word[w] for w in "bcd"): [1, 3], tuple(word[w] for w in "cde"): [1]}
+    assert len(leaks.Phrases([], 3).patterns) == 0 == len(leaks.Phrases([(1, "a b")], 3).patterns)
+
+
 def test_split_rows(spark):
     rows = [(1, "short"), (2, None), (3, ""), (4, "word and word again. " * 200), (None, "word " * 900), (5, "line of words\n" * 400)]
     got = splitting.split(docs(spark, rows), 64, 16)
