@@ -42,6 +42,10 @@ class Media:
         """asset_id and ``columns`` of the current assets; other columns are not read."""
         return A.current(self.raw("assets"), *columns)
 
+    def states(self, *columns: str) -> DataFrame:
+        """asset_id, status and ``columns`` of the raw rows, repeated keys included, for operators that settle these themselves."""
+        return self.raw("assets").select("asset_id", "status", *columns)
+
     @property
     def folders(self) -> DataFrame:
         return self.raw("folders")
@@ -110,7 +114,14 @@ class Media:
 
     def query(self, index: int = 1) -> list[float]:
         """The vector of the smallest asset as query vector."""
-        return knn.query_vector(self.vectors if index == 1 else self.prefixes, "asset_id")
+        return knn.first_vector(self.raw("vec_assets"), "asset_id", DIM, first=None if index == 1 else PREFIX)
+
+    def near(self, *asked: knn.Asked) -> DataFrame:
+        """(stream, asset_id, dist) of searches over the asset vectors, in one pass."""
+        return knn.nearest(self.raw("vec_assets"), "asset_id", DIM, list(asked))
+
+    def near_regions(self, query: list[float], k: int) -> DataFrame:
+        return knn.nearest(self.raw("vec_regions"), "region_id", DIM, [knn.Asked(1, query, k)])
 
 
 def _query(sql: str | None = None):
@@ -144,28 +155,28 @@ _BASE = f"""with a as (select * exclude rn from (select *, row_number() over (pa
 
 @_query("select asset_id, coalesce(taken_at, 0) taken_at, year, status, folder_id from a order by coalesce(taken_at, 0) desc, asset_id desc limit 200")
 def timeline_first_page(m: Media) -> DataFrame:
-    return A.timeline_page(m.some("taken_at", "year", "status", "folder_id"), None, 200).select("asset_id", "taken_at", "year", "status", "folder_id")
+    return A.timeline_page(m.states("taken_at", "year", "folder_id"), None, 200).select("asset_id", "taken_at", "year", "status", "folder_id")
 
 
 @_query("select asset_id, coalesce(taken_at, 0) taken_at from a where coalesce(taken_at, 0) < 1650000000 or (coalesce(taken_at, 0) = 1650000000 and asset_id < 500) order by 2 desc, 1 desc limit 200")
 def timeline_next_page(m: Media) -> DataFrame:
-    return A.timeline_page(m.some("taken_at"), S.parse_cursor("1650000000:500"), 200).select("asset_id", "taken_at")
+    return A.timeline_page(m.states("taken_at"), S.parse_cursor("1650000000:500"), 200).select("asset_id", "taken_at")
 
 
 @_query(f"select asset_id, coalesce(taken_at, 0) taken_at from a where folder_id = {FOLDER} order by 2 desc, 1 desc limit 100")
 def timeline_folder_page(m: Media) -> DataFrame:
-    return A.timeline_page(m.some("taken_at", "folder_id"), None, 100, FOLDER).select("asset_id", "taken_at")
+    return A.timeline_page(m.states("taken_at", "folder_id"), None, 100, FOLDER).select("asset_id", "taken_at")
 
 
 @_query("""select year, count(*) n, arg_min(asset_id, pos) first_id, arg_max(asset_id, pos) last_id
  from (select year, asset_id, row_number() over (order by coalesce(taken_at, 0) desc, asset_id desc) pos from a qualify pos <= 500) group by year""")
 def timeline_year_groups(m: Media) -> DataFrame:
-    return A.year_groups(A.timeline_page(m.some("taken_at", "year"), None, 500)).select("year", "n", "first_id", "last_id")
+    return A.year_groups(A.timeline_page(m.states("taken_at", "year"), None, 500)).select("year", "n", "first_id", "last_id")
 
 
 @_query("""select year, row_number() over (order by min(pos)) as position from (select year, row_number() over (order by coalesce(taken_at, 0) desc, asset_id desc) pos from a qualify pos <= 500) group by year""")
 def available_years(m: Media) -> DataFrame:
-    return A.available_years(m.some("taken_at", "year"))
+    return A.available_years(m.states("taken_at", "year"))
 
 
 @_query("select asset_id, sha256, status, kind from a where asset_id = 101")
@@ -477,7 +488,7 @@ def vector_quantize_roundtrip(m: Media) -> DataFrame:
 
 @_query("select asset_id, round(list_distance(v, (select v from q1)), 6) dist from v1 order by list_distance(v, (select v from q1)), asset_id limit 10")
 def knn_top10(m: Media) -> DataFrame:
-    return knn.knn(m.vectors, "asset_id", m.query(), 10).select("asset_id", F.round("dist", 6).alias("dist"))
+    return m.near(knn.Asked(1, m.query(), 10)).select("asset_id", F.round("dist", 6).alias("dist"))
 
 
 @_query("select asset_id, round(list_distance(v, (select v from q1)), 6) dist from v1 order by list_distance(v, (select v from q1)), asset_id limit 10")
@@ -488,25 +499,25 @@ def knn_top10_hof(m: Media) -> DataFrame:
 @_query(f"""select * from (select 1 index_id, asset_id, round(list_distance(v, (select v from q1)), 6) dist from v1 order by list_distance(v, (select v from q1)), asset_id limit {K})
  union all select * from (select 2, asset_id, round(list_distance(v, (select v from q2)), 6) from v2 order by list_distance(v, (select v from q2)), asset_id limit {K})""")
 def knn_per_index(m: Media) -> DataFrame:
-    parts = [knn.knn(v, "asset_id", m.query(i), K).select(F.lit(i).alias("index_id"), "asset_id", F.round("dist", 6).alias("dist")) for i, v in ((1, m.vectors), (2, m.prefixes))]
-    return parts[0].unionByName(parts[1])
+    near = m.near(*[knn.Asked(i, m.query(i), K) for i in (1, 2)])
+    return near.select(F.col("stream").alias("index_id"), "asset_id", F.round("dist", 6).alias("dist"))
 
 
 @_query(f"select t.asset_id from (select asset_id from v1 order by list_distance(v, (select v from q1)), asset_id limit {K}) t join a using (asset_id) where a.kind = 'photo' and a.taken_at >= 1500000000")
 def knn_filtered_post(m: Media) -> DataFrame:
-    near = knn.knn(m.vectors, "asset_id", m.query(), K)
+    near = m.near(knn.Asked(1, m.query(), K))
     return near.join(m.some("taken_at", "kind").where(A.search_filter(taken_from=1_500_000_000, kind="photo")).select("asset_id"), "asset_id", "left_semi").select("asset_id")
 
 
 @_query(f"select t.asset_id from (select asset_id from v1 order by list_distance(v, (select v from q1)), asset_id limit {3 * K}) t join a using (asset_id) where a.folder_id = {FOLDER}")
 def knn_filtered_oversample(m: Media) -> DataFrame:
-    near = knn.knn(m.vectors, "asset_id", m.query(), 3 * K)
+    near = m.near(knn.Asked(1, m.query(), 3 * K))
     return near.join(m.some("folder_id").where(A.search_filter(FOLDER)).select("asset_id"), "asset_id", "left_semi").select("asset_id")
 
 
 @_query(f"""select asset_id, round(min(d), 6) dist from (select region_id, list_distance(v, (select v from q1)) d from vr order by d, region_id limit {3 * K}) join (select distinct region_id, asset_id from r) using (region_id) group by asset_id""")
 def region_maxsim_top(m: Media) -> DataFrame:
-    return knn.region_maxsim(m.region_vectors, m.raw("regions"), m.query(), 3 * K).select("asset_id", F.round("dist", 6).alias("dist"))
+    return knn.owners_of(m.near_regions(m.query(), 3 * K), m.raw("regions")).select("asset_id", F.round("dist", 6).alias("dist"))
 
 
 @_query("""select asset_id, round(list_distance(v1.v, (select v from q1)), 6) dist from v1 where asset_id in (select asset_id from v2 order by list_distance(v, (select v from q2)), asset_id limit 200)
@@ -519,10 +530,10 @@ _ANCHORS = "anchors as (select cluster_id anchor, arg_min(v, region_id) av from
 _NEAREST = "near as (select asset_id, arg_min(anchor, (-s, anchor)) anchor, max(s) sim from (select asset_id, anchor, list_dot_product(v, av) s from v1, anchors) group by asset_id)"
 
 
-def _anchors(m: Media) -> list[tuple[int, list[float]]]:
+def _anchors(m: Media) -> DataFrame:
+    """(anchor, v): the vector of the smallest region of each cluster."""
     named = m.region_vectors.join(m.region("cluster_id").where("cluster_id is not null"), "region_id")
-    rows = named.groupBy("cluster_id").agg(F.min_by("v", "region_id").alias("v")).orderBy("cluster_id").limit(10_000).collect()  # names of a catalogue, a bounded list
-    return [(r.cluster_id, list(r.v)) for r in rows]
+    return named.groupBy(F.col("cluster_id").alias("anchor")).agg(F.min_by("v", "region_id").alias("v"))
 
 
 @_query(f", {_ANCHORS}, {_NEAREST} select asset_id, anchor, round(sim, 6) sim from near")
@@ -590,13 +601,13 @@ def fts_bm25_rank(m: Media) -> DataFrame:
 
 @_query(", " + _bm25_sql("txt", "asset_id", "content", ["img_2022"]) + ' select asset_id, "rank" from hits order by "rank", asset_id limit 1000')
 def fts_postings(m: Media) -> DataFrame:
-    return fts.search_postings(fts.postings(m.text), fts.lengths(m.text), "IMG_2022", 1_000).select("asset_id", F.round("rank", 6).alias("rank"))
+    return fts.Postings(m.text).search("IMG_2022", 1_000).select("asset_id", F.round("rank", 6).alias("rank"))
 
 
 def _streams(m: Media) -> list[DataFrame]:
     """Two lists of assets: nearest by vector, newest."""
-    one = knn.knn(m.vectors, "asset_id", m.query(), K)
-    two = A.timeline_page(m.some("taken_at"), None, K).select("asset_id", (-F.col("taken_at")).alias("t"), (-F.col("asset_id")).alias("i"))
+    one = m.near(knn.Asked(1, m.query(), K)).drop("stream")
+    two = A.timeline_page(m.states("taken_at"), None, K).select("asset_id", (-F.col("taken_at")).alias("t"), (-F.col("asset_id")).alias("i"))
     return [fusion.stream(one, 1, True, "dist", "asset_id"), fusion.stream(two, 2, False, "t", "i")]
 
 
@@ -613,7 +624,7 @@ def rrf_two_stream(m: Media) -> DataFrame:
 
 @_query(f", {_STREAMS}, s as (select * from s1 union all select * from s2 union all select * from s3) {_FUSED}")
 def rrf_multi_stream(m: Media) -> DataFrame:
-    third = fusion.stream(knn.knn(m.prefixes, "asset_id", m.query(2), K), 3, True, "dist", "asset_id")
+    third = fusion.stream(m.near(knn.Asked(3, m.query(2), K)).drop("stream"), 3, True, "dist", "asset_id")
     return fusion.rrf([*_streams(m), third], 0).select("id", F.round("score", 9).alias("score"), "matched")
 
 
@@ -624,7 +635,9 @@ def rrf_duplicate_positions(m: Media) -> DataFrame:
 
 
 def _library(m: Media) -> search.Library:
-    return search.Library(m.some("folder_id", "taken_at", "kind", "storage_key", "size"), m.folders, {1: m.vectors, 2: m.prefixes}, m.raw("regions"), m.region_vectors, m.text)
+    vectors = m.raw("vec_assets")
+    indexes = {1: search.Index(vectors, DIM), 2: search.Index(vectors, DIM, PREFIX)}
+    return search.Library(m.states("folder_id", "taken_at", "kind", "storage_key", "size"), m.folders, indexes, m.raw("regions"), search.Index(m.raw("vec_regions"), DIM), m.text)
 
 
 def _search_sql(where: str = "true", wide: int = K) -> str:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 from prismara.functions import scalars as S
 
 PAGE_LIMIT = 500
+#: Most folder paths sent to every task.
+FOLDERS_SENT = 100_000
 
 
 def current(assets: DataFrame, *columns: str) -> DataFrame:
@@ -25,15 +30,33 @@ def taken(column: str = "taken_at") -> Column:
 
 
 def timeline_page(assets: DataFrame, cursor: tuple[int, int] | None = None, page_size: int = 200, folder_id: int | None = None) -> DataFrame:
-    """A page of the timeline: newest first, larger ids first in a tie, after ``cursor``; 1 to 500 rows. The cursor is a filter that
-    reaches the scan, and the order a top-k per task, so a page costs one pass and no sort of the table."""
-    rows = assets.withColumn("taken_at", taken())
+    """A page of the timeline: newest first, larger ids first in a tie, after ``cursor``; 1 to 500 rows.
+
+    ``assets`` may hold a key twice, in two states of one capture time and folder. So cursor and folder are conditions on the raw rows
+    that reach the scan, the order is a top-k per task, and only the rows of the page are settled: no table is shuffled. The page is read
+    at once; it is small by definition.
+    """
+    n = max(1, min(PAGE_LIMIT, page_size))
+    rows = assets.where("asset_id is not null")
     if folder_id is not None:
         rows = rows.where(F.col("folder_id") == folder_id)
     if cursor is not None:
         t, i = cursor
-        rows = rows.where((F.col("taken_at") < t) | ((F.col("taken_at") == t) & (F.col("asset_id") < i)))
-    return rows.orderBy(F.desc("taken_at"), F.desc("asset_id")).limit(max(1, min(PAGE_LIMIT, page_size)))
+        at = F.col("taken_at")
+        before = (at < t) | ((at == t) & (F.col("asset_id") < i))
+        none = F.lit(t > 0) if t != 0 else F.col("asset_id") < i
+        rows = rows.where(before | (at.isNull() & none))
+    ordered = rows.orderBy(F.desc(taken()), F.desc("asset_id"))
+    most, found = 2 * n + 16, []
+    while True:
+        found = ordered.limit(most).collect()
+        # rows of one key are next to each other; the last key may have more of them
+        if len(found) < most or len({r["asset_id"] for r in found}) > n:
+            break
+        most *= 4
+    page = assets.sparkSession.createDataFrame(found, assets.schema)
+    page = current(page) if "status" in assets.columns else page.dropDuplicates(["asset_id"])
+    return page.withColumn("taken_at", taken()).orderBy(F.desc("taken_at"), F.desc("asset_id")).limit(n)
 
 
 def next_cursor(page: list, page_size: int) -> str | None:
@@ -76,21 +99,34 @@ def watched_folders(folders: DataFrame) -> DataFrame:
     return folders.where((F.col("status") == "online") & (F.col("path") != ""))
 
 
-def owner_of_path(paths: DataFrame, folders: DataFrame) -> DataFrame:
+def owner_of_path(paths: DataFrame, folders: DataFrame, sent: int = FOLDERS_SENT) -> DataFrame:
     """(path, folder_id) of the folder with the longest path above each path, null where no folder holds it.
 
-    Every ancestor of a path is one row, so the prefix test becomes an equality and the join a hash join instead of all pairs. A path
-    counts once; ties cannot occur as folder paths are unique once trailing slashes are dropped (the smaller id wins if they are not).
+    A prefix test becomes an equality of a path's ancestors with folder paths. Up to ``sent`` folders go to every task, which looks the
+    ancestors up from the longest down; beyond, every ancestor is a row of a hash join. A path counts once; ties cannot occur as folder
+    paths are unique once trailing slashes are dropped (the smaller id wins if they are not).
     """
     bare = F.regexp_replace("path", r"[\\/]+$", "")
     owners = folders.select("folder_id", bare.alias("above")).where(F.length("above") > 0).groupBy("above").agg(F.min("folder_id").alias("folder_id"))
     once = paths.select("path").where("path is not null").distinct()
-    cut = F.regexp_extract_all("path", F.lit(r"[\\/]"), F.lit(0))
-    parts = F.split("path", r"[\\/]")
-    steps = once.select("path", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.size(parts) - n)).alias("i", "_"), parts.alias("parts"), cut.alias("cuts"))
-    kept = F.col("i") + 1
-    prefix = F.concat_ws("", F.transform(F.sequence(F.lit(1), kept), lambda n: F.concat(F.when(n > 1, F.element_at("cuts", F.greatest(n - 1, F.lit(1)).cast("int"))).otherwise(F.lit("")), F.element_at("parts", n.cast("int")))))
-    above = steps.select("path", prefix.alias("above"))
+    if owners.count() <= sent:
+        shared = paths.sparkSession.sparkContext.broadcast({r.above: r.folder_id for r in owners.collect()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = shared.value
+            for batch in batches:
+                out = []
+                for path in batch.column(0).to_pylist():
+                    at, owner = len(path), held.get(path)
+                    while owner is None and (at := max(path.rfind("/", 0, at), path.rfind("\\", 0, at))) >= 0:
+                        owner = held.get(path[:at])
+                    out.append(owner)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["path", "folder_id"])
+
+        return once.mapInArrow(run, "path string, folder_id long")
+    cuts = F.filter(F.sequence(F.lit(1), F.length("path")), lambda i: F.substring(F.col("path"), i, F.lit(1)).isin("/", "\\"))
+    ancestors = F.transform(F.concat(cuts, F.array(F.length("path") + 1)), lambda i: F.substring(F.col("path"), F.lit(1), i - 1))
+    above = once.select("path", F.explode(ancestors).alias("above"))
     best = above.join(owners, "above").groupBy("path").agg(F.max_by("folder_id", F.length("above")).alias("folder_id"))
     return once.join(best, "path", "left")
 

@@ -20,24 +20,30 @@ BURST_SECONDS, BURST_FACTOR = 300, 0.5
 LONG_SECONDS, LONG_FACTOR = 7 * 86_400, 1.4
 CHAPTER_SECONDS = 30 * 86_400
 AREA_LEAST, AREA_MOST = 0.0008, 0.85
+#: Ids of one second that a task relates at once.
+ID_BLOCK = 65_536
 PAD, SIDE_LEAST, IOU_MOST, BOXES_MOST, MASK_SIDE = 0.12, 24, 0.85, 24, 256
 
 
-def previous_times(photos: DataFrame, owner: str | None = None, carry: tuple[str, ...] = (), slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def previous_times(photos: DataFrame, owner: str | None = None, carry: tuple[str, ...] = (), slice_seconds: int = SLICE_SECONDS, id_block: int = ID_BLOCK) -> DataFrame:
     """``photos`` (asset_id, taken_at, ...) with ``previous``, the capture time of the photo before (by time, then id), and the columns of
     ``carry`` of that photo as previous_{name}; null for the first. Photos without a time are left out.
 
-    Windows run over slices of time, and the last photo of each slice is handed to the next one that holds any, so no task sees the
-    whole timeline of an owner.
+    Three levels, so that no task sees a timeline and none a second that holds any share of the rows: within a second photos are related in
+    blocks of ids, the last of each block is handed to the next block of the slice of time, the last of each slice to the next slice.
     """
-    rows = photos.where("taken_at is not null").withColumn("_s", F.floor(F.col("taken_at") / slice_seconds))
-    keys = ([owner] if owner else []) + ["_s"]
+    rows = photos.where("taken_at is not null").withColumn("_b", F.floor(F.col("asset_id") / id_block))
+    block = ([owner] if owner else []) + ["taken_at", "_b"]
     values = F.struct("taken_at", "asset_id", *carry)
-    last = rows.groupBy(*keys).agg(F.max(values).alias("_l"))
+    last = rows.groupBy(*block).agg(F.max(values).alias("_l")).withColumn("_s", F.floor(F.col("taken_at") / slice_seconds))
+    slices = ([owner] if owner else []) + ["_s"]
+    ends = last.groupBy(*slices).agg(F.max("_l").alias("_e"))
     over = W.partitionBy(owner) if owner else W.partitionBy(F.lit(0))
-    handed = last.select(*keys, F.lag("_l").over(over.orderBy("_s")).alias("_h"))  # a row per slice
-    inner = F.lag(values).over(W.partitionBy(*keys).orderBy("taken_at", "asset_id"))
-    joined = rows.withColumn("_i", inner).join(handed, keys, "left").withColumn("_p", F.coalesce("_i", "_h"))
+    ends = ends.select(*slices, F.lag("_e").over(over.orderBy("_s")).alias("_h"))  # a row per slice
+    near = last.withColumn("_n", F.lag("_l").over(W.partitionBy(*slices).orderBy("taken_at", "_b")))
+    handed = near.join(ends, slices).select(*block, F.coalesce("_n", "_h").alias("_h"))
+    inner = F.lag(values).over(W.partitionBy(*block).orderBy("asset_id"))
+    joined = rows.withColumn("_i", inner).join(handed, block).withColumn("_p", F.coalesce("_i", "_h"))
     return joined.select(*photos.columns, F.col("_p.taken_at").alias("previous"), *[F.col(f"_p.{c}").alias(f"previous_{c}") for c in carry])
 
 

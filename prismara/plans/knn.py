@@ -8,15 +8,20 @@ vector is shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prismara.functions import scalars as S
 
 KNN_MOST, REGIONS_MOST = 1_000, 4_096
+#: Anchors sent to every task at once.
+ANCHORS = 10_000
 
 
 def _units(batch: pa.RecordBatch, dim: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,21 +53,63 @@ def unit_vectors(table: DataFrame, key: str, dim: int, column: str = "embedding"
     return out.groupBy(key).agg(F.min("v").alias("v")) if once else out
 
 
+def usable(column: str, dim: int, first: int | None = None) -> Column:
+    """Whether a list column has ``dim`` finite components, not all zero (nor the first ``first`` of them), by built-in functions alone.
+    array_contains is null where a list holds a null, so one comparison tells both."""
+    v, width = F.col(column), first or dim
+    finite = F.coalesce(~F.array_contains(v, F.lit(float("inf")).cast("float")) & ~F.array_contains(v, F.lit(float("-inf")).cast("float")), F.lit(False))
+    head = v if width == dim else F.slice(v, 1, width)
+    return F.coalesce((F.size(v) == dim) & finite & ~F.isnan(F.array_max(v)) & ((F.array_max(head) != 0) | (F.array_min(head) != 0)), F.lit(False))
+
+
 def vector_keys(table: DataFrame, key: str, dim: int, column: str = "embedding", first: int | None = None) -> DataFrame:
     """Distinct keys of usable vectors, for joins and counts, which need no vectors."""
+    return table.where(F.col(key).isNotNull() & usable(column, dim, first)).select(F.col(key).cast("long").alias(key)).distinct()
+
+
+def first_vector(table: DataFrame, key: str, dim: int, column: str = "embedding", first: int | None = None) -> list[float]:
+    """The unit vector of the smallest key with a usable vector; empty if there is none. A top-1 per task; only it reaches the driver."""
+    row = table.where(F.col(key).isNotNull() & usable(column, dim, first)).select(key, column).orderBy(key, column).limit(1).collect()
+    if not row:
+        return []
+    v = np.array(row[0][column][: first or dim], np.float64)
+    return (v / np.sqrt((v * v).sum())).tolist()
+
+
+@dataclass
+class Asked:
+    """A search: the ``k`` nearest to ``query`` by the first len(query) components."""
+
+    stream: int
+    query: list[float]
+    k: int
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(_units(batch, dim, first or dim)[0]))], [key])
 
-    return _sized(table, key, dim, column).mapInArrow(run, f"{key} long").distinct()
+def nearest(table: DataFrame, key: str, dim: int, asked: list[Asked], column: str = "embedding") -> DataFrame:
+    """(stream, key, dist): for each search its k nearest, ties by key, a repeated key at its smallest distance. All searches share one pass
+    over the raw table: vectors are checked, normalised and compared in the same batch, of which only the k best of a search leave."""
+    wanted = [(a.stream, np.asarray(a.query, np.float64), a.k) for a in asked if len(a.query)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, dim)
+            good = np.isfinite(flat).all(1) & (flat != 0).any(1)
+            ids = batch.column(0).to_numpy()
+            for stream, q, k in wanted:
+                x = flat[:, : len(q)]
+                length = np.sqrt((x * x).sum(1))
+                rows = np.flatnonzero(good & (length > 0) & np.isfinite(length))
+                dist = np.sqrt(((x[rows] / length[rows, None] - q) ** 2).sum(1))
+                order = np.lexsort((ids[rows], dist))
+                best = order[np.sort(np.unique(ids[rows[order]], return_index=True)[1])[:k]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), stream, np.int32)), pa.array(ids[rows[best]]), pa.array(dist[best])], ["stream", key, "dist"])
 
-def query_vector(vectors: DataFrame, key: str, value: int | None = None) -> list[float]:
-    """The vector of a key (of the smallest key without one); empty if there is none."""
-    rows = vectors.where(F.col(key) == value) if value is not None else vectors
-    row = rows.agg(F.min_by("v", key).alias("v")).first()
-    return list(row["v"] or [])
+    near = _sized(table, key, dim, column).mapInArrow(run, f"stream int, {key} long, dist double").groupBy("stream", key).agg(F.min("dist").alias("dist"))
+    most = F.create_map(*[F.lit(x) for s, _, k in wanted for x in (s, k)]) if wanted else F.create_map(F.lit(0), F.lit(0))
+    rank = F.row_number().over(W.partitionBy("stream").orderBy("dist", key))  # k rows of each batch
+    return near.withColumn("_r", rank).where(F.col("_r") <= most[F.col("stream")]).drop("_r")
 
 
 def distances(vectors: DataFrame, key: str, query: list[float]) -> DataFrame:
@@ -97,7 +144,11 @@ def knn(vectors: DataFrame, key: str, query: list[float], k: int, most: int = KN
 
 def region_maxsim(region_vectors: DataFrame, regions: DataFrame, query: list[float], fetch: int) -> DataFrame:
     """(asset_id, dist): the smallest distance of an asset's regions among the ``fetch`` nearest regions of all."""
-    near = knn(region_vectors, "region_id", query, fetch, REGIONS_MOST)
+    return owners_of(knn(region_vectors, "region_id", query, fetch, REGIONS_MOST), regions)
+
+
+def owners_of(near: DataFrame, regions: DataFrame) -> DataFrame:
+    """(asset_id, dist): the smallest distance of an asset's regions among those found, a few rows that go to every task."""
     return regions.select("region_id", "asset_id").join(F.broadcast(near), "region_id").where("asset_id is not null").groupBy("asset_id").agg(F.min("dist").alias("dist"))
 
 
@@ -116,11 +167,25 @@ def patch_maxsim(patches: DataFrame, query: list[list[float]], owner: str = "ass
     return best.select(owner, sum((F.col(f"d{i}") for i in range(len(rows))), F.lit(0.0)).alias("score"))
 
 
-def nearest_anchor(vectors: DataFrame, key: str, anchors: list[tuple[int, list[float]]], least: float = -1.0) -> DataFrame:
-    """(key, anchor, sim): the most similar of a bounded list of anchors (the smallest id of equals), null below ``least``."""
-    ids, matrix = np.array([a for a, _ in anchors], np.int64), np.array([v for _, v in anchors], np.float64)
+def nearest_anchor(vectors: DataFrame, key: str, anchors: DataFrame, least: float = -1.0, block: int = ANCHORS) -> DataFrame:
+    """(key, anchor, sim): the most similar of ``anchors`` (anchor, v), the smallest id of equals, null below ``least``. Anchors are gone
+    through in blocks of about ``block``, one pass over the vectors for each; the best of a row over all blocks counts."""
+    parts = max(1, -(-anchors.count() // block))
+    blocks = [anchors.where(F.pmod(F.xxhash64("anchor"), F.lit(parts)) == b).select("anchor", "v").toArrow() for b in range(parts)]
+    passes = [_anchored(vectors, key, t) for t in blocks if t.num_rows]
+    if not passes:
+        return vectors.select(key, F.lit(None).cast("long").alias("anchor"), F.lit(None).cast("double").alias("sim"))
+    out = passes[0]
+    if len(passes) > 1:
+        best = reduce(DataFrame.unionByName, passes).groupBy(key).agg(F.max(F.struct("sim", (-F.col("anchor")).alias("a"))).alias("b"))
+        out = best.select(key, (-F.col("b.a")).alias("anchor"), F.col("b.sim").alias("sim"))
+    return out.withColumn("anchor", F.when(F.col("sim") >= least, F.col("anchor")))
+
+
+def _anchored(vectors: DataFrame, key: str, anchors: pa.Table) -> DataFrame:
+    ids = anchors.column("anchor").to_numpy()
     order = np.argsort(ids)
-    ids, matrix = ids[order], matrix[order]
+    ids, matrix = ids[order], np.array(anchors.column("v").to_pylist(), np.float64)[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,6 +194,6 @@ def nearest_anchor(vectors: DataFrame, key: str, anchors: list[tuple[int, list[f
             sim = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) @ matrix.T
             best = sim.argmax(1)
             top = sim[np.arange(len(best)), best]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids[best], mask=top < least), pa.array(top)], [key, "anchor", "sim"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids[best]), pa.array(top)], [key, "anchor", "sim"])
 
     return vectors.select(key, "v").mapInArrow(run, f"{key} long, anchor long, sim double")

@@ -130,7 +130,9 @@ def test_queues_and_copies(spark):
 def test_longest_prefix_owns(spark):
     f = spark.createDataFrame([(1, "/a"), (2, "/a/b/"), (3, ""), (4, "D:\\x")], "folder_id long, path string")
     p = spark.createDataFrame([("/a/b/c.jpg",), ("/a/bc.jpg",), ("/z",), ("D:\\x\\y\\q.png",), (None,), ("/a",)], "path string")
-    assert {r.path: r.folder_id for r in A.owner_of_path(p, f).collect()} == {"/a/b/c.jpg": 2, "/a/bc.jpg": 1, "/z": None, "D:\\x\\y\\q.png": 4, "/a": 1}
+    for sent in (100, 0):
+        got = {r.path: r.folder_id for r in A.owner_of_path(p, f, sent).collect()}
+        assert got == {"/a/b/c.jpg": 2, "/a/bc.jpg": 1, "/z": None, "D:\\x\\y\\q.png": 4, "/a": 1}
 
 
 # Changes
@@ -283,11 +285,11 @@ def test_neighbours_agree_between_plans(spark):
 def test_hybrid_search_by_hand(spark):
     a = assets(spark, *[asset(i, folder=1 + i % 2, taken=i, storage_key=f"/p/IMG_{2020 + i}.jpg") for i in range(1, 6)])
     f = folders(spark, (1, "/one", None, "local", "online", 1), (2, "/two", "Two", "local", "online", 2))
-    v = spark.createDataFrame([(i, unit(1, 0.2 * i)) for i in range(1, 5)], "asset_id long, v array<double>")
+    v = spark.createDataFrame([(i, unit(1, 0.2 * i)) for i in range(1, 5)], "asset_id long, embedding array<float>")
     r = spark.createDataFrame([(10, 5, 0), (11, 1, 0)], "region_id long, asset_id long, region_idx int")
-    rv = spark.createDataFrame([(10, unit(1, 0)), (11, unit(0, 1))], "region_id long, v array<double>")
+    rv = spark.createDataFrame([(10, unit(1, 0)), (11, unit(0, 1))], "region_id long, embedding array<float>")
     text = a.select("asset_id", S.stem(F.col("storage_key")).alias("content"))
-    lib = search.Library(a, f, {1: v}, r, rv, text)
+    lib = search.Library(a, f, {1: search.Index(v, 2)}, r, search.Index(rv, 2), text)
     got = search.hybrid_search(lib, "IMG_2024", {1: [1.0, 0.0]}, 3).collect()
     by = {x.asset_id: x for x in got}
     assert set(by) == {1, 2, 3, 4, 5} and by[4].matched == "text" and by[5].similarity is None and by[5].matched == "semantic"
@@ -297,13 +299,39 @@ def test_hybrid_search_by_hand(spark):
     assert search.hybrid_search(lib, "", {}, 3).count() == 0
     assert {x.asset_id for x in search.hybrid_search(lib, "", {1: [1.0, 0.0]}, 3, search.Filters(folder_id=1)).collect()} == {2, 4}
     assert search.hybrid_search(lib, "IMG", {1: [1.0, 0.0]}, 3, limit=2).count() == 2
+    assert {x.asset_id for x in search.hybrid_search(lib, "", {1: [1.0, 0.0]}, 1, search.Filters(folder_id=1, before=True)).collect()} == {2, 4, 5} - {5}
+    # a broken index costs its own hits alone
+    lost = v.select(F.raise_error(F.lit("lost")).cast("long").alias("asset_id"), "embedding")
+    both = search.Library(a, f, {1: search.Index(v, 2), 2: search.Index(lost, 2)}, r, search.Index(rv, 2), text)
+    with pytest.warns(UserWarning, match="index"):
+        rows = search.hybrid_search(both, "IMG_2024", {1: [1.0, 0.0], 2: [1.0, 0.0]}, 3).collect()
+    assert [x.asset_id for x in rows] == [x.asset_id for x in got]
+
+
+def test_searches_share_a_pass(spark):
+    rng = np.random.default_rng(15)
+    x = rng.standard_normal((200, 8))
+    x[3, :4] = 0  # no vector of its first four components
+    raw = spark.createDataFrame([*[(i, v.tolist()) for i, v in enumerate(x)], (7, x[7].tolist()), (900, None), (901, [0.0] * 8), (902, [float("inf")] * 8)], "asset_id long, embedding array<float>")
+    q, h = unit(*x[5]), unit(*x[5, :4])
+    got = knn.nearest(raw, "asset_id", 8, [knn.Asked(1, q, 6), knn.Asked(2, h, 9), knn.Asked(3, [], 4)]).collect()
+    for stream, v, k, width in ((1, q, 6, 8), (2, h, 9, 4)):
+        own = sorted((r.dist, r.asset_id) for r in got if r.stream == stream)
+        y = x.astype(np.float32).astype(float)[:, :width]
+        want = sorted((float(np.linalg.norm(a / np.linalg.norm(a) - v)), i) for i, a in enumerate(y) if np.linalg.norm(a) > 0)[:k]
+        assert [i for _, i in own] == [i for _, i in want] and np.allclose([d for d, _ in own], [d for d, _ in want], atol=1e-6)
+    assert len(got) == 15 and knn.first_vector(raw, "asset_id", 8) == pytest.approx(unit(*x[0].astype(np.float32)), abs=1e-6)
+    assert sorted(ids(knn.vector_keys(raw, "asset_id", 8, first=4))) == [i for i in range(200) if i != 3] and knn.first_vector(raw.limit(0), "asset_id", 8) == []
 
 
 def test_maxsim_and_anchors(spark):
     p = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.6, 0.8])], "asset_id long, v array<double>")
     assert {r.asset_id: round(r.score, 6) for r in knn.patch_maxsim(p, [[1.0, 0.0], [0.0, 1.0]]).collect()} == {1: 2.0, 2: 1.4}
-    got = {r.asset_id: r.anchor for r in knn.nearest_anchor(p.limit(1).unionByName(p.where("asset_id = 2")), "asset_id", [(7, [0.0, 1.0]), (5, [0.0, 1.0])], 0.5).collect()}
-    assert got == {1: None, 2: 5}
+    anchors = spark.createDataFrame([(7, [0.0, 1.0]), (5, [0.0, 1.0]), (6, [0.0, -1.0])], "anchor long, v array<double>")
+    for block in (10_000, 1):
+        got = {r.asset_id: r.anchor for r in knn.nearest_anchor(p.limit(1).unionByName(p.where("asset_id = 2")), "asset_id", anchors, 0.5, block).collect()}
+        assert got == {1: None, 2: 5}
+    assert knn.nearest_anchor(p, "asset_id", anchors.limit(0)).where("anchor is not null").count() == 0
 
 
 # Regions
@@ -343,8 +371,9 @@ def test_dp_means_equals_a_replay(spark):
 def test_time_relations_across_slices(spark):
     times = [5, 100, 100, 1_000, 50_000, -70, None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "asset_id long, taken_at long")
-    got = {r.asset_id: r.previous for r in R.previous_times(df, slice_seconds=60).collect()}
-    assert got == {0: -70, 1: 5, 2: 100, 3: 100, 4: 1_000, 5: None}
+    for block in (65_536, 2, 1):  # photos of one second in one block of ids and in several
+        got = {r.asset_id: r.previous for r in R.previous_times(df, slice_seconds=60, id_block=block).collect()}
+        assert got == {0: -70, 1: 5, 2: 100, 3: 100, 4: 1_000, 5: None}
     day = 86_400
     photos = spark.createDataFrame([(i, t * day) for i, t in enumerate((0, 29, 58, 100, 131, 131))], "asset_id long, taken_at long")
     parts = R.chapters(photos)
