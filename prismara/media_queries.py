@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from prismara.functions import scalars as S
 from prismara.operators import assets as A
+from prismara.operators import clusters as C
 from prismara.operators import lifecycle as L
 from prismara.operators import metrics as M
 from prismara.operators import regions as R
 from prismara.plans import fts, fusion, knn, search
+from prismara.sources import files
 from prismara.tables import load, one_per_key
 
 DIM, PREFIX = 64, 8
@@ -272,8 +274,7 @@ def pending_regions(m: Media) -> DataFrame:
 @_query("""select sum(n) pending from (select count(*) n from a where status = 'ready' and folder_id in (select * from online) and asset_id not in (select asset_id from v1)
  union all select count(*) from a where status = 'ready' and folder_id in (select * from online) and asset_id not in (select asset_id from v2))""")
 def pending_indexing_total(m: Media) -> DataFrame:
-    parts = [A.pending_embeddings(m.some("folder_id", "status", "year", "sha256"), m.folders, v).agg(F.count("*").alias("n")) for v in (m.vector_ids, m.prefix_ids)]
-    return parts[0].unionByName(parts[1]).agg(F.sum("n").alias("pending"))
+    return A.pending_total(m.some("folder_id", "status"), m.folders, m.active, m.members)
 
 
 @_query("select a.asset_id, count(distinct index_id) = 2 indexed from a left join m on m.asset_id = a.asset_id group by a.asset_id")
@@ -312,10 +313,10 @@ def cooldown_filter(m: Media) -> DataFrame:
     return A.pending_embeddings(m.some("folder_id", "status", "year", "sha256"), m.folders, m.vector_ids).join(resting, "asset_id", "left_anti").select("asset_id")
 
 
-@_query("select asset_id from arrivals x where not exists (select 1 from a where a.status = 'ready' and a.storage_key = x.storage_key and a.size = x.size)")
+@_query("select asset_id from arrivals x where not exists (select 1 from a where a.status = 'ready' and a.storage_key = x.storage_key and a.size = x.size and a.folder_id = x.folder_id)")
 def incremental_precheck(m: Media) -> DataFrame:
-    ready = m.some("status", "size", "storage_key").where("status = 'ready' and size is not null").select("storage_key", "size").distinct()
-    return m.raw("arrivals").join(ready, ["storage_key", "size"], "left_anti").select("asset_id")
+    found = m.raw("arrivals").select("asset_id", "folder_id", F.col("storage_key").alias("path"), F.col("size").alias("length"))
+    return files.precheck(found, m.some("folder_id", "status", "size", "storage_key")).select("asset_id")
 
 
 # Contents
@@ -707,7 +708,13 @@ def box_iou_pairs(m: Media) -> DataFrame:
     return R.box_overlaps(R.boxes(m.regions)).select("a", "b", F.round("iou", 6).alias("iou"))
 
 
-@_query()
+@_query(f""", {_BOXES}, f as (select *, row_number() over (partition by asset_id order by region_idx, region_id) rn from bb where x1 - x0 >= 24 and y1 - y0 >= 24 and area_frac between 0.0008 and 0.85),
+ steps as (with recursive k(asset_id, i, kept, region_id, keep) as (select asset_id, 0::bigint, []::struct(x0 int, y0 int, x1 int, y1 int)[], null::bigint, false from f where rn = 1
+  union all select asset_id, i + 1, case when ok then list_append(kept, b) else kept end, region_id, ok from (select k.asset_id, k.i, k.kept, f.region_id, {{'x0': f.x0, 'y0': f.y0, 'x1': f.x1, 'y1': f.y1}} b,
+   len(k.kept) < 24 and len(list_filter(k.kept, lambda o: greatest(least(o.x1, f.x1) - greatest(o.x0, f.x0), 0)::double * greatest(least(o.y1, f.y1) - greatest(o.y0, f.y0), 0) >
+    0.85 * ((o.x1 - o.x0)::double * (o.y1 - o.y0) + (f.x1 - f.x0)::double * (f.y1 - f.y0) - greatest(least(o.x1, f.x1) - greatest(o.x0, f.x0), 0)::double * greatest(least(o.y1, f.y1) - greatest(o.y0, f.y0), 0)))) = 0 ok
+   from k join f on f.asset_id is not distinct from k.asset_id and f.rn = k.i + 1)) select * from k)
+ select asset_id, region_id from steps where keep""")
 def box_suppression(m: Media) -> DataFrame:
     return R.kept_boxes(R.boxes(m.regions))
 
@@ -727,12 +734,25 @@ def _assigned(m: Media) -> DataFrame:
     return R.dp_means(rows, "scope", ["taken_at", "asset_id", "region_idx", "region_id"], DIM)
 
 
-@_query()
+# One step of the recursion takes the next row of every chapter at once; only the latest state of a chapter is kept.
+_DPMEANS = f""", {_GAPS}, ch as (select asset_id, taken_at, case when prev is null or taken_at - prev > 604800 then 1.4 when taken_at - prev < 300 then 0.5 else 1.0 end::double factor,
+  sum(case when taken_at - prev <= 2592000 then 0 else 1 end) over (order by taken_at, asset_id rows unbounded preceding) - 1 scope from gaps),
+ ordered as materialized (select scope::bigint scope, region_id, v, 0.24::double * factor tau, row_number() over (partition by scope order by taken_at, asset_id, region_idx, region_id) rn from r join vr using (region_id) join ch using (asset_id) where region_idx >= 0),
+ state as (with recursive s(scope, i, protos, counts, ids) using key (scope) as (select scope, 0::bigint, []::double[][], []::bigint[], []::bigint[] from ordered where rn = 1
+  union all select scope, i + 1, case when hit then list_transform(protos, lambda p, j: case when j = best then moved else p end) else list_append(protos, v) end,
+   case when hit then list_transform(counts, lambda c, j: case when j = best then c + 1 else c end) else list_append(counts, 1) end, list_append(ids, case when hit then best - 1 else len(protos) end)
+  from (select *, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))) moved from (select *, case when hit then list_transform(protos[best], lambda x, j: (x * counts[best] + v[j]) / (counts[best] + 1)) else v end raw from
+   (select *, list_position(d, list_min(d)) best, coalesce(list_min(d) <= tau, false) hit from (select s.*, o.v, o.tau, list_transform(s.protos, lambda p: 1 - list_dot_product(p, o.v)) d from s join ordered o on o.scope = s.scope and o.rn = s.i + 1))))) select * from s),
+ base_ as (select scope, coalesce(sum(len(protos)) over (order by scope rows between unbounded preceding and 1 preceding), 0)::bigint first, ids from state),
+ named as (select o.scope, o.region_id, (b.first + b.ids[o.rn])::bigint cluster_id from ordered o join base_ b using (scope))"""
+
+
+@_query(_DPMEANS + " select scope, region_id, cluster_id from named")
 def dpmeans_assignments(m: Media) -> DataFrame:
     return R.global_ids(_assigned(m))
 
 
-@_query()
+@_query(_DPMEANS + " select cluster_id, count(*) n from named group by cluster_id")
 def dpmeans_cluster_sizes(m: Media) -> DataFrame:
     return R.global_ids(_assigned(m)).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
@@ -781,19 +801,10 @@ def slope_through_origin(m: Media) -> DataFrame:
 
 @_query()
 def kmeans_clusters(m: Media) -> DataFrame:
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = m.regions_once.select("region_id", array_to_vector("v").alias("features"))
-    model = KMeans(k=32, seed=0, maxIter=10).fit(rows)
-    return model.transform(rows).groupBy("prediction").agg(F.count("*").alias("n"))
+    rows = m.regions_once
+    return C.assigned(C.fitted(rows, "v", 32), rows, "region_id", "v").groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @_query()
 def pca_signature(m: Media) -> DataFrame:
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = m.regions_once.select("region_id", array_to_vector("v").alias("features"))
-    model = PCA(k=16, inputCol="features", outputCol="signature").fit(rows)
-    return model.transform(rows).select("region_id", F.round(S.norm(vector_to_array("signature")), 6).alias("length"))
+    return C.signature(m.regions_once, "region_id", "v", DIM).select("region_id", F.transform("signature", lambda x: F.round(F.abs(x), 6)).alias("signature"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from prismara.functions import scalars as S
 
 PAGE_LIMIT = 500
+IDS_INLINE = 1_000
 #: Most folder paths sent to every task.
 FOLDERS_SENT = 100_000
 
@@ -157,6 +158,22 @@ def queue(rows: DataFrame, limit: int, *order: str) -> DataFrame:
     return rows.orderBy(*order).limit(limit)
 
 
+def of_ids(rows: DataFrame, ids: list[int], key: str = "asset_id") -> DataFrame:
+    """Rows whose key is in a list. A short list is a condition that reaches the scan, a long one a semi join."""
+    if len(ids) <= IDS_INLINE:
+        return rows.where(F.col(key).isin(ids))
+    return rows.join(rows.sparkSession.createDataFrame([(i,) for i in set(ids)], f"{key} long"), key, "left_semi")
+
+
+def pending_total(assets: DataFrame, folders: DataFrame, active: DataFrame, members: DataFrame) -> DataFrame:
+    """(pending): the lengths of the queues of all active indexes together: every index times the assets that are due, less the vectors that
+    these have in active indexes. No asset is multiplied by the indexes."""
+    due = assets.where("status = 'ready'").join(folders.where("status = 'online'").select("folder_id"), "folder_id", "left_semi").select("asset_id")
+    n = active.select("index_id").distinct().count()
+    held = members.distinct().join(F.broadcast(active.select("index_id").distinct()), "index_id", "left_semi").groupBy("asset_id").agg(F.count("*").alias("n"))  # a row per registered index
+    return due.join(held, "asset_id", "left").agg(F.coalesce(F.sum(F.lit(n) - F.coalesce("n", F.lit(0))), F.lit(0)).cast("long").alias("pending"))
+
+
 def embedding_progress(assets: DataFrame, vectors: DataFrame) -> DataFrame:
     """(folder_id, total, done): ready assets and those with a vector, per folder, in one pass."""
     has = vectors.select("asset_id").distinct().withColumn("has", F.lit(True))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -118,6 +119,58 @@ def register_index(registry: DataFrame, slug: str, display: str, model: str, dim
     return registry.unionByName(row)
 
 
+def folders_for(folders: DataFrame, wanted: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """The folders with a row for each path of ``wanted`` (path, label), and (path, folder_id, created) of these. A known path keeps its
+    row; new ones are local and online, numbered on in order of path. Null paths are left out, a repeated path counts once."""
+    once = wanted.where("path is not null").groupBy("path").agg(F.min("label").alias("label"))
+    known = folders.where("path is not null").groupBy("path").agg(F.min("folder_id").alias("folder_id"))
+    fresh = materialise(allocate(once.join(known, "path", "left_anti"), folders, "folder_id", ["path"]), "folders")
+    rows = fresh.select("folder_id", "path", "label", F.lit("local").alias("channel"), F.lit("online").alias("status"), F.lit(now).cast("long").alias("added_at"))
+    found = once.join(known, "path").select("path", "folder_id", F.lit(False).alias("created"))
+    return folders.unionByName(rows.select(*folders.columns)), found.unionByName(fresh.select("path", "folder_id", F.lit(True).alias("created")))
+
+
+def reindex(vectors: dict[int, DataFrame], registry: DataFrame, assets: DataFrame, folder_id: int | None = None, ids: DataFrame | None = None) -> tuple[dict[int, DataFrame], DataFrame]:
+    """Vector tables by index without what is to be indexed anew, and (index_id, cleared). All of the active indexes without a scope; with
+    ``folder_id`` the vectors of a folder's assets in the active ones; with ``ids`` (asset_id) those of these assets in all indexes. What
+    is cleared is in the queues again by itself."""
+    active = {r.index_id for r in registry.where("status = 'active'").select("index_id").collect()}  # a row per index
+    if ids is not None:
+        scope = ids.select("asset_id").distinct()
+    else:
+        scope = assets.where(F.col("folder_id") == folder_id).select("asset_id").distinct() if folder_id is not None else None
+    out, counts = dict(vectors), []
+    for index, table in vectors.items():
+        if index in active or ids is not None:
+            gone = table if scope is None else table.join(scope, "asset_id", "left_semi")
+            out[index] = table.limit(0) if scope is None else table.join(scope, "asset_id", "left_anti")
+            counts.append(gone.agg(F.lit(index).alias("index_id"), F.count("*").alias("cleared")))
+    return out, reduce(DataFrame.unionByName, counts) if counts else registry.select("index_id", F.lit(0).cast("long").alias("cleared")).limit(0)
+
+
+def upsert_prototypes(clusters: DataFrame, rows: DataFrame) -> DataFrame:
+    """Prototypes by (index_id, cluster_id): a known one takes prototype, count and chapter of the new row and keeps its age."""
+    fresh = rows.dropDuplicates(["index_id", "cluster_id"])
+    born = clusters.select("index_id", "cluster_id", F.col("created_at").alias("_born"))
+    aged = fresh.join(born, ["index_id", "cluster_id"], "left").withColumn("created_at", F.coalesce("_born", "created_at"))
+    return upsert(clusters, aged.select(*clusters.columns), "index_id", "cluster_id")
+
+
+def prototypes(clusters: DataFrame, index_id: int) -> DataFrame:
+    """(cluster_id, chapter_id, prototype, member_count) of an index, in order of cluster_id."""
+    return clusters.where(F.col("index_id") == index_id).select("cluster_id", "chapter_id", "prototype", "member_count").orderBy("cluster_id")
+
+
+def delete_prototypes(clusters: DataFrame, gone: DataFrame) -> DataFrame:
+    """Prototypes without those of ``gone`` (index_id, cluster_id)."""
+    return clusters.join(gone.select("index_id", "cluster_id").distinct(), ["index_id", "cluster_id"], "left_anti")
+
+
+def latest_chapter(chapters: DataFrame) -> DataFrame:
+    """(chapter_id, started_at) of the chapter with the largest id; no row for no chapter."""
+    return chapters.agg(F.max(F.struct("chapter_id", "started_at")).alias("c")).where("c is not null").select("c.chapter_id", "c.started_at")
+
+
 def folder_status(folders: DataFrame, present: DataFrame) -> DataFrame:
     """(folder_id, status) after a look at the originals; ``present``: (folder_id, exists). A folder whose original is absent goes
     offline, one whose original is there and that was not online comes online, others keep their status."""

@@ -66,3 +66,14 @@ def fit_through_origin(rows: DataFrame, x: str, y: str) -> DataFrame:
 def top_per_group(rows: DataFrame, group: str, m: int, *order) -> DataFrame:
     """The first ``m`` rows of each group with their ``rank``; each task cuts its part of a group before the shuffle."""
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("rank") <= m)
+
+
+def routed(queries: DataFrame, representatives: DataFrame) -> DataFrame:
+    """(query_id, cluster): each query (id, v) goes to the cluster of its most similar representative (cluster, v), the smallest cluster of
+    equals. Representatives are a few for each cluster; knn.nearest_anchor goes through them in blocks."""
+    from prismara.plans.knn import nearest_anchor
+
+    place = representatives.withColumn("anchor", F.xxhash64("cluster", "v"))
+    near = nearest_anchor(queries, "id", place.dropDuplicates(["anchor"]).select("anchor", "v"))
+    named = place.groupBy("anchor").agg(F.min("cluster").alias("cluster"))
+    return near.join(named, "anchor").select(F.col("id").alias("query_id"), "cluster")

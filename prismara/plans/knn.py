@@ -67,6 +67,12 @@ def vector_keys(table: DataFrame, key: str, dim: int, column: str = "embedding",
     return table.where(F.col(key).isNotNull() & usable(column, dim, first)).select(F.col(key).cast("long").alias(key)).distinct()
 
 
+def query_vector(vectors: DataFrame, key: str, value: int) -> list[float]:
+    """The unit vector of a key; empty if there is none."""
+    row = vectors.where(F.col(key) == value).agg(F.min("v").alias("v")).first()
+    return list(row["v"] or [])
+
+
 def first_vector(table: DataFrame, key: str, dim: int, column: str = "embedding", first: int | None = None) -> list[float]:
     """The unit vector of the smallest key with a usable vector; empty if there is none. A top-1 per task; only it reaches the driver."""
     row = table.where(F.col(key).isNotNull() & usable(column, dim, first)).select(key, column).orderBy(key, column).limit(1).collect()
@@ -147,6 +153,48 @@ def region_maxsim(region_vectors: DataFrame, regions: DataFrame, query: list[flo
     return owners_of(knn(region_vectors, "region_id", query, fetch, REGIONS_MOST), regions)
 
 
+def nearest_many(vectors: DataFrame, queries: DataFrame, key: str, k: int, block: int = ANCHORS) -> DataFrame:
+    """(query_id, key, dist, rank): for each row of ``queries`` (key, v) its k nearest among ``vectors``, itself left out, ties by key. Keys are
+    unique on both sides. Queries go to every task in blocks of about ``block``, one pass over the vectors each; of a batch only the k best
+    of a query leave, and no vector is shuffled."""
+    parts = max(1, -(-queries.count() // block))
+    found = []
+    for b in range(parts):
+        asked = queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == b).select(key, "v").toArrow()
+        if asked.num_rows:
+            found.append(_near_block(vectors, key, k, asked.column(0).to_numpy(), np.array(asked.column(1).to_pylist(), np.float64)))
+    if not found:
+        return vectors.select(F.lit(0).cast("long").alias("query_id"), key, F.lit(0.0).alias("dist"), F.lit(0).alias("rank")).limit(0)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("dist", key))
+    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _near_block(vectors: DataFrame, key: str, k: int, names: np.ndarray, asked: np.ndarray) -> DataFrame:
+    half = (asked * asked).sum(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            order = np.argsort(ids)
+            ids = ids[order]
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)[order]
+            square = (x * x).sum(1)
+            for s in range(0, len(names), 1024):
+                far = half[s : s + 1024, None] + square[None, :] - 2 * asked[s : s + 1024] @ x.T
+                far[names[s : s + 1024, None] == ids[None, :]] = np.inf
+                # a few more than k, as the quick form of the distance is not exact to the last digit
+                best = np.argpartition(far, min(k + 8, far.shape[1] - 1), axis=1)[:, : k + 8]
+                q, at = np.repeat(np.arange(s, s + len(far)), best.shape[1]), best.ravel()
+                own = ids[at] != names[q]
+                q, at = q[own], at[own]
+                dist = np.sqrt(((asked[q] - x[at]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(ids[at]), pa.array(dist)], ["query_id", key, "dist"])
+
+    return vectors.select(key, "v").mapInArrow(run, f"query_id long, {key} long, dist double")
+
+
 def owners_of(near: DataFrame, regions: DataFrame) -> DataFrame:
     """(asset_id, dist): the smallest distance of an asset's regions among those found, a few rows that go to every task."""
     return regions.select("region_id", "asset_id").join(F.broadcast(near), "region_id").where("asset_id is not null").groupBy("asset_id").agg(F.min("dist").alias("dist"))

@@ -5,7 +5,7 @@ A scan is Spark's binaryFile source; the content column is pruned until it is ne
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismara.functions import scalars as S
@@ -20,18 +20,22 @@ def scan(spark: SparkSession, folder: str, extensions: tuple[str, ...] = S.PHOTO
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(folder)
     path = F.regexp_replace("path", r"^file:(//)?", "")
     rows = raw.select(path.alias("path"), "length", F.unix_seconds("modificationTime").alias("modified"), "content")
-    name = S.basename(F.col("path"))
-    return rows.where(S.extension(F.col("path")).isin(*extensions) & ~name.startswith("."))
+    return rows.where(is_photo(F.col("path"), extensions))
 
 
-def unchanged(assets: DataFrame, folder_id: int) -> DataFrame:
-    """(storage_key, size) of the folder's ready assets."""
-    return assets.where((F.col("folder_id") == folder_id) & (F.col("status") == "ready") & F.col("size").isNotNull()).select("storage_key", "size").distinct()
+def is_photo(path: Column, extensions: tuple[str, ...] = S.PHOTO_EXTENSIONS) -> Column:
+    """Whether a scan takes a path: a known extension in any case, no leading dot in the name."""
+    return S.extension(path).isin(*extensions) & ~S.basename(path).startswith(".")
 
 
-def precheck(files: DataFrame, assets: DataFrame, folder_id: int) -> DataFrame:
-    """Files that are not, by path and size, ready assets of the folder already. Contents stay unread."""
-    return files.join(unchanged(assets, folder_id), (F.col("path") == F.col("storage_key")) & (F.col("length") == F.col("size")), "left_anti")
+def precheck(files: DataFrame, assets: DataFrame, folder_id: int | None = None) -> DataFrame:
+    """Files that are not, by path and size, ready assets of their folder already: of ``folder_id``, or without it of the folder_id that each
+    file brings; files of no folder are all new. Contents stay unread."""
+    own = files if folder_id is None else files.withColumn("folder_id", F.lit(folder_id).cast("long"))
+    ready = assets.where("status = 'ready' and size is not null").select("folder_id", F.col("storage_key").alias("path"), F.col("size").alias("length"))
+    if folder_id is not None:
+        ready = ready.where(F.col("folder_id") == folder_id)
+    return own.join(ready.distinct(), ["folder_id", "path", "length"], "left_anti").select(*files.columns)
 
 
 def hashed(files: DataFrame, most: int = FILE_BYTES) -> DataFrame:
@@ -44,13 +48,14 @@ def hashed(files: DataFrame, most: int = FILE_BYTES) -> DataFrame:
     )
 
 
-def batches(files: DataFrame, budget: int, most: int = 32) -> DataFrame:
-    """Files with a ``batch`` number within their partition: a batch closes beyond half the ``budget`` in bytes or at ``most`` files."""
+def batches(files: DataFrame, budget: int, most: int = 32, contents: bool = False) -> DataFrame:
+    """Files with a ``batch`` number within their partition: a batch closes beyond half the ``budget`` in bytes or at ``most`` files. Contents
+    are read only if asked for."""
     from collections.abc import Iterator
 
     import pandas as pd
 
-    kept = [f for f in files.schema.fields if f.name != "content"]
+    kept = [f for f in files.schema.fields if contents or f.name != "content"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "batch long"])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -26,6 +26,7 @@ from prismara.sources.ingest import ingest
 from prismara.storage import materialise
 
 RETRIES = 3
+ATTEMPTS = "asset_id long, n int"
 
 
 class Indexer(Protocol):
@@ -92,6 +93,17 @@ def quiet_folders(changes: DataFrame, at: str = "ts", folder: str = "folder_id",
     return bursts.select(F.col(folder), F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
+def _grouped(indexer: Indexer, names: list[str], contents: list[bytes]) -> Iterator[tuple[list[str], list[list[float]]]]:
+    """Vectors of a group of contents. If the model fails on the group, each content is tried by itself, and what fails again is left out,
+    so it counts as a failed attempt of its asset and not of the round."""
+    try:
+        yield names, [np.asarray(v, np.float32).tolist() for v in indexer.embed(contents)]
+    except Exception:  # noqa: BLE001  whatever the model raises
+        if len(names) > 1:
+            for name, content in zip(names, contents):
+                yield from _grouped(indexer, [name], [content])
+
+
 def embed_pending(tables: dict[str, DataFrame], contents: DataFrame, indexer: Indexer, attempts: DataFrame | None = None, limit: int = 32, group: int = 8) -> tuple[DataFrame, DataFrame]:
     """A round of indexing: (vectors (asset_id, embedding), failed (asset_id)) for the first ``limit`` assets of the queue.
 
@@ -101,7 +113,7 @@ def embed_pending(tables: dict[str, DataFrame], contents: DataFrame, indexer: In
     assets, vectors = tables["assets"], tables["vectors"]
     waiting = A.pending_embeddings(assets, tables["folders"], vectors)
     if attempts is not None:
-        waiting = waiting.join(attempts.where(F.col("n") >= RETRIES).select("asset_id"), "asset_id", "left_anti")
+        waiting = waiting.join(resting(attempts).select("asset_id"), "asset_id", "left_anti")
     due = materialise(A.queue(waiting, limit, "asset_id"), "due")
     copies = A.copy_candidates(assets, vectors).join(due.select("asset_id"), "asset_id", "left_semi").join(vectors.withColumnRenamed("asset_id", "source_id"), "source_id").select("asset_id", "embedding")
     copies = materialise(copies, "copies")
@@ -112,13 +124,25 @@ def embed_pending(tables: dict[str, DataFrame], contents: DataFrame, indexer: In
         for pdf in parts:
             for s in range(0, len(pdf), group):
                 part = pdf.iloc[s : s + group]
-                yield pd.DataFrame({"sha256": part["sha256"].tolist(), "embedding": [v.astype(np.float32).tolist() for v in indexer.embed([bytes(c) for c in part["content"]])]})
+                for names, contents_ in _grouped(indexer, part["sha256"].tolist(), [bytes(c) for c in part["content"]]):
+                    yield pd.DataFrame({"sha256": names, "embedding": contents_})
 
     made = needed.where("content is not null").select("sha256", "content").mapInPandas(run, "sha256 string, embedding array<float>")
     fresh = materialise(copies.unionByName(rest.join(made, "sha256").select("asset_id", "embedding")), "embedded")
     return fresh, due.join(fresh.select("asset_id"), "asset_id", "left_anti").select("asset_id")
 
 
+def count_failures(attempts: DataFrame, failed: DataFrame) -> DataFrame:
+    """Attempts (asset_id, n) with one more for each asset of ``failed``."""
+    more = attempts.unionByName(failed.select("asset_id", F.lit(1).alias("n")))
+    return more.groupBy("asset_id").agg(F.sum("n").cast("int").alias("n"))
+
+
+def resting(attempts: DataFrame) -> DataFrame:
+    """Assets that have used up their attempts."""
+    return attempts.where(F.col("n") >= RETRIES)
+
+
 def commit_vectors(catalog: Catalog, fresh: DataFrame) -> int:
     tables = catalog.tables()
     return catalog.commit({"vec_assets": write_vectors(tables["vec_assets"], fresh, tables["assets"])})

@@ -8,12 +8,13 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry  # noqa: E402
+import prismara.library_queries as library  # noqa: E402
 import prismara.media_queries as media  # noqa: E402
 import prismara.problem_queries as problems  # noqa: E402
 from compare import TABLES, rows  # noqa: E402
 
-QUERIES = media.QUERIES | problems.QUERIES
-ORACLE = media.ORACLE | problems.ORACLE
+QUERIES = media.QUERIES | problems.QUERIES | library.QUERIES
+ORACLE = media.ORACLE | problems.ORACLE | library.ORACLE
 
 
 @pytest.fixture(scope="module")
