@@ -21,6 +21,7 @@ and candidates, compared in as many tasks; within a task a large cell is divided
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +44,7 @@ QUERIES, CANDIDATES = 128, 1_024
 #: Rows of a cell that one task takes; beyond, the cell is divided into blocks.
 PER_TASK = 50_000
 
-#: Far above the error of a similarity whose quantisation error is known to 8 bits.
-FINE_ERROR = 1e-3
-
 _PARTS = "room long, home int, ids array<long>, mark long, asks boolean, answers boolean, vec binary, code binary, norm float, err float"
-_CODED = "cell int, home int, ids array<long>, mark long, code binary, norm float, err float, rest binary, scale float"
 _PAIRS = "q array<long>, x array<long>, sim double"
 
 
@@ -131,69 +128,6 @@ def _encoder(shared, margin: float):
     return run
 
 
-def _coder(shared):
-    """Rows in their home cells, the quantisation error in 8 bits, without vectors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = _Coded(shared.value, batch, -1.0)
-            if len(c.x):
-                scale = np.maximum(np.abs(c.rest).max(1), 1e-12).astype(np.float32)
-                fine = _bytes(np.round(c.rest / scale[:, None] * 127).astype(np.int8))
-                home = pa.array(c.home.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([home, home, c.ids, pa.array(c.marks), c.code, c.norm, c.err, fine, pa.array(scale)], ["cell", "home", "ids", "mark", "code", "norm", "err", "rest", "scale"])
-
-    return run
-
-
-def _scan(quantiser: Quantiser, queries: np.ndarray, home: np.ndarray, codes: np.ndarray, need: np.ndarray, reach: np.ndarray | None = None, spread: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score) wherever the lookup score of a candidate reaches its need; with ``reach``, the distance that matters to
-    each query, the need is less by half its square and by reach times the candidate's ``spread``."""
-    m, k, d = quantiser.books.shape
-    flat = quantiser.books.reshape(m * k, d)
-    places = codes.astype(np.intp) + np.arange(m) * k
-    cells, cell = np.unique(home, return_inverse=True)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    acc, row = np.empty((CANDIDATES, QUERIES), np.float32), np.empty((CANDIDATES, QUERIES), np.float32)
-    for a in range(0, len(queries), QUERIES):
-        q = np.zeros((QUERIES, d), np.float32)
-        n = len(queries[a : a + QUERIES])
-        q[:n] = queries[a : a + QUERIES]
-        d_ = np.zeros(QUERIES, np.float32)
-        if reach is not None:
-            d_[:n] = reach[a : a + QUERIES]
-        table = flat @ q.T
-        base = quantiser.cells.centres[cells] @ q.T
-        for b in range(0, len(codes), CANDIDATES):
-            p = places[b : b + CANDIDATES]
-            s, t = acc[: len(p)], row[: len(p)]
-            np.take(base, cell[b : b + CANDIDATES], axis=0, out=s, mode="clip")
-            for i in range(m):
-                np.take(table, p[:, i], axis=0, out=t, mode="clip")
-                np.add(s, t, out=s)
-            if reach is not None:
-                np.multiply(spread[b : b + CANDIDATES, None], d_[None, :], out=t)
-                np.add(s, t, out=s)
-                np.add(s, 0.5 * d_ * d_, out=s)
-            hit = s >= need[b : b + CANDIDATES, None]
-            hit[:, n:] = False
-            x, y = np.nonzero(hit)
-            if len(x):
-                found.append((y + a, x + b, s[x, y]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    return tuple(np.concatenate(c) for c in zip(*found))
-
-
-def _best(group: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
-    """Places of the ``most`` highest scores of each group."""
-    order = np.lexsort((-score, group))
-    g = group[order]
-    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
-    rank = np.arange(len(g)) - np.repeat(starts, np.diff(np.r_[starts, len(g)]))
-    return order[rank < most]
-
-
 def _merged(marks: np.ndarray, ids: list[list[int]], rows: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
     """One of ``rows`` for each mark, and the smallest TOP + 1 ids of all rows with that mark."""
     order = rows[np.argsort(marks[rows], kind="stable")]
@@ -238,58 +172,83 @@ class _Leaders:
         self.sim[rows], self.at[rows] = np.take_along_axis(every, best, 1), np.take_along_axis(places, best, 1)
 
 
-def _reranked(quantiser: Quantiser, x: np.ndarray, marks: np.ndarray, homes: np.ndarray, codes: np.ndarray, need: np.ndarray, queries: np.ndarray, candidates: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(queries, their best candidates, similarities) per block of queries; places in ``x``. A candidate whose lookup score reaches its
-    need is compared exactly, in the block where it is met."""
+@dataclass
+class _Side:
+    """Vectors that ask or answer, with their marks and, where they answer, cells and codes."""
+
+    x: np.ndarray
+    marks: np.ndarray
+    homes: np.ndarray | None = None
+    codes: np.ndarray | None = None
+    norm: np.ndarray | None = None
+    err: np.ndarray | None = None
+
+    def take(self, at: np.ndarray) -> _Side:
+        return _Side(*[None if f is None else f[at] for f in (self.x, self.marks, self.homes, self.codes, self.norm, self.err)])
+
+
+def _reranked(quantiser: Quantiser, asks: _Side, answers: _Side, floor: np.ndarray, most: int, copies: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, their ``most`` best candidates of similarity ``floor`` and more, similarities) per block of queries, as places on either side.
+
+    With d the distance that belongs to a query's floor, e the length of a candidate's quantisation error and n the squared norm of what it
+    decodes to, a lookup score of (1 + n - e^2 - d^2) / 2 less CODE_SPREADS times the spread of the error along d is worth a comparison,
+    which is made in the block where the candidate is met. Without ``copies`` a candidate of the query's own mark is left out."""
+    need = ((1 + answers.norm - answers.err) / 2 - 1e-6).astype(np.float32)
+    spread = (CODE_SPREADS * np.sqrt(answers.err / DIM)).astype(np.float32)
+    reach = np.sqrt(np.maximum(2 * (1 - floor), 0)).astype(np.float32)
     best, now = None, None
-    for a, b, score in _tables(quantiser, x[queries], homes[candidates], codes[candidates]):
+    for a, b, score in _tables(quantiser, asks.x, answers.homes, answers.codes):
         if now is None or a != now:
             if best is not None:
-                yield from _kept(best, queries[now])
-            best, now = _Leaders(a.stop - a.start, TOP + 1), a
-        hit = score >= need[candidates[b], None]
-        hit &= marks[candidates[b], None] != marks[queries[a]][None, :]
+                yield from _kept(best, now)
+            best, now = _Leaders(a.stop - a.start, most), a
+        score += spread[b, None] * reach[None, a]
+        hit = score >= need[b, None] - 0.5 * reach[None, a] ** 2
+        if not copies:
+            hit &= answers.marks[b, None] != asks.marks[None, a]
         rows, some = np.flatnonzero(hit.any(0)), np.flatnonzero(hit.any(1))
         if len(rows):
-            p, c = queries[a][rows], candidates[b][some]
-            sim = x[p].astype(np.float64) @ x[c].astype(np.float64).T
-            sim[~hit[np.ix_(some, rows)].T | (sim < least)] = -np.inf
+            sim = asks.x[a][rows].astype(np.float64) @ answers.x[b][some].astype(np.float64).T
+            sim[~hit[np.ix_(some, rows)].T | (sim < floor[a][rows, None])] = -np.inf
             keep = np.flatnonzero(np.isfinite(sim).any(1))
             if len(keep):
-                best.add(rows[keep], sim[keep], c)
+                best.add(rows[keep], sim[keep], some + b.start)
     if best is not None:
-        yield from _kept(best, queries[now])
+        yield from _kept(best, now)
 
 
-def _kept(best: _Leaders, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _kept(best: _Leaders, block: slice) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     i, j = np.nonzero(best.at >= 0)
-    yield queries[i], best.at[i, j], best.sim[i, j]
+    yield i + block.start, best.at[i, j], best.sim[i, j]
 
 
-def _searcher(shared, least: float, margin: float):
-    apart = 2 * (1 - least)
+def _answering(columns: dict, every: np.ndarray, marks: np.ndarray) -> _Side:
+    take = pa.array(every)
+    codes = np.frombuffer(b"".join(columns["code"].take(take).to_pylist()), np.uint8).reshape(-1, BOOKS)
+    return _Side(unpack(columns["vec"].take(take)), marks, columns["home"].to_numpy()[every], codes, *(columns[c].to_numpy()[every].astype(np.float64) for c in ("norm", "err")))
+
+
+def _by_first_key(marks: np.ndarray, ids: list[list[int]]) -> tuple[np.ndarray, list[list[int]]]:
+    """One row for each mark with its keys, in order of the smallest, so that what comes first settles ties."""
+    every, names = _merged(marks, ids, np.arange(len(marks)))
+    order = np.argsort([n[0] for n in names], kind="stable")
+    return every[order], [names[i] for i in order]
 
+
+def _searcher(shared, least: float, margin: float):
     def run(table: pa.Table) -> pa.Table:
         quantiser, _ = shared.value
         columns = {c: table.column(c).combine_chunks() for c in table.column_names}
         asks, answers = (np.asarray(columns[c]) for c in ("asks", "answers"))
-        marks, ids = columns["mark"].to_numpy(), columns["ids"].to_pylist()
-        # rows of one mark agree in all but their keys; those that come in order of their smallest key settle ties
-        every, names = _merged(marks, ids, np.arange(len(marks)))
-        order = np.argsort([n[0] for n in names], kind="stable")
-        every, names = every[order], [names[i] for i in order]
+        marks = columns["mark"].to_numpy()
+        every, names = _by_first_key(marks, columns["ids"].to_pylist())
         asks, answers, marks = asks[every], answers[every], marks[every]
         out: list[tuple] = [(n, n, 1.0) for n, a, b in zip(names, asks, answers) if a and b and len(n) > 1]
         if asks.any():
-            x = unpack(columns["vec"].take(pa.array(every)))
-            homes = columns["home"].to_numpy()[every]
-            codes = np.frombuffer(b"".join(columns["code"].take(pa.array(every)).to_pylist()), np.uint8).reshape(-1, BOOKS)
-            norm, err = (columns[c].to_numpy()[every].astype(np.float64) for c in ("norm", "err"))
-            bound = err + apart + 2 * CODE_SPREADS * np.sqrt(err * apart / DIM)
-            need = ((1 + norm - bound) / 2 - 1e-6).astype(np.float32)
-            for queries, candidates in _rooms(x, asks, answers, margin):
-                for q, c, sim in _reranked(quantiser, x, marks, homes, codes, need, queries, candidates, least):
-                    out.extend((names[a], names[b], s) for a, b, s in zip(q.tolist(), c.tolist(), sim.tolist()))
+            side = _answering(columns, every, marks)
+            for queries, candidates in _rooms(side.x, asks, answers, margin):
+                for q, c, sim in _reranked(quantiser, side.take(queries), side.take(candidates), np.full(len(queries), least), TOP + 1, False):
+                    out.extend((names[a], names[b], s) for a, b, s in zip(queries[q].tolist(), candidates[c].tolist(), sim.tolist()))
         q, c, sim = zip(*out) if out else ((), (), ())
         return pa.table({"q": pa.array(q, pa.list_(pa.int64())), "x": pa.array(c, pa.list_(pa.int64())), "sim": pa.array(sim, pa.float64())})
 
@@ -356,113 +315,117 @@ def mutual(pairs: DataFrame, top: int = TOP) -> DataFrame:
 # The most similar of all, for a stated set of queries.
 
 PROBES = 32
-_FOUND = "q long, x long, sim double"
+#: The share of rows, one in so many, from which a query learns what its neighbours have to beat.
+GLANCE = 4
+_FOUND = "q long, x array<long>, sim double"
+
+
+def _glanced(shared):
+    """Rows (id, v) by home cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, x = matrix(batch.column(1))
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value[0].cells.homes(x).astype(np.int32)), batch.column(0).take(pa.array(rows)), pack(x)], ["cell", "id", "vec"])
+
+    return run
+
+
+def _floors(top: int):
+    """Cogroup of the queries of a cell and some of its rows: the similarity of the ``top``-th best other row, where there are as many."""
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, floor = (a.column("id").to_numpy() if a.num_rows else np.zeros(0, np.int64)), np.full(a.num_rows, -1.0)
+        if a.num_rows and b.num_rows > top:
+            q, x, names = unpack(a.column("vec").combine_chunks()), unpack(b.column("vec").combine_chunks()), b.column("id").to_numpy()
+            for r in range(0, len(q), 256):
+                kept = np.full((len(q[r : r + 256]), top), -1.0, np.float32)
+                for c in range(0, len(x), 8_192):
+                    near = q[r : r + 256] @ x[c : c + 8_192].T
+                    near[ids[r : r + 256, None] == names[None, c : c + 8_192]] = -1
+                    kept = -np.sort(-np.concatenate([kept, near], 1), axis=1)[:, :top]
+                floor[r : r + 256] = kept[:, -1] - 1e-5
+        return pa.table({"id": pa.array(ids, pa.int64()), "floor": pa.array(floor, pa.float64())})
+
+    return run
 
 
 def _probed(shared, probes: int):
-    """Queries (id, vec) with the cells nearest to them; the first is the home cell."""
+    """Queries (id, v, floor) with the rooms of the cells nearest to them, less those whose border is farther than a neighbour could be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = shared.value.cells
+        quantiser, parts = shared.value
+        cells = quantiser.cells
         k = min(probes, len(cells.centres))
         for batch in batches:
             rows, x = matrix(batch.column(1))
             if not len(rows):
                 continue
+            floor = batch.column(2).to_numpy(zero_copy_only=False)[rows]
             near = x @ cells.centres.T - cells.half
             order = np.argsort(-near, axis=1, kind="stable")[:, :k]
-            which = np.repeat(np.arange(len(rows)), k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(order.ravel().astype(np.int32)), batch.column(0).take(pa.array(rows[which])), pack(x).take(pa.array(which)), pa.array(np.tile(np.arange(k) == 0, len(rows)))],
-                ["cell", "q", "qv", "at_home"],
-            )
+            border = (near[np.arange(len(x)), order[:, 0]][:, None] - np.take_along_axis(near, order, 1)) / cells.apart[order[:, :1], order]
+            border[:, 0] = 0
+            which, place = np.nonzero(border <= CODE_SPREADS * np.sqrt(np.maximum(2 * (1 - floor), 0) / DIM)[:, None])
+            cell = order[which, place].astype(np.int64)
+            count = parts[cell]
+            at = np.repeat(np.arange(len(which)), count)
+            other = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[rows]
+            own = (ids[which] % count)[at]  # a query's part of a large cell; it meets all parts of the rows
+            room = (cell[at] << 40) + (own << 20) + other
+            take = pa.array(which[at])
+            yield pa.RecordBatch.from_arrays([pa.array(room), pa.array(ids).take(take), pack(x).take(take), pa.array(floor).take(take)], ["room", "q", "qv", "floor"])
 
     return run
 
 
-def _nearest(shared, top: int, bounded: bool):
-    """Cogroup of queries and coded candidates of a cell: the ``top`` best candidates of each query. Bounded queries bring the similarity
-    that a candidate has to beat; then table lookups pick the candidates whose 8-bit errors are worth adding."""
+def _nearest(shared, top: int):
+    """Cogroup of the queries and the rows of a room: of each query the ``top + 1`` best rows, one of which may be itself."""
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        quantiser: Quantiser = shared.value
-        out_q, out_x, out_s = [], [], []
+        out_q, out_x, out_s = [np.zeros(0, np.int64)], [], [np.zeros(0)]
         if a.num_rows and b.num_rows:
-            q, ids = unpack(a.column("qv").combine_chunks()), a.column("q").to_numpy()
-            places, names = _merged(b.column("mark").to_numpy(), b.column("ids").to_pylist(), np.arange(b.num_rows))
-            b = b.take(pa.array(places))
-            home = b.column("home").to_numpy()
-            codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(-1, BOOKS)
-            fine = np.frombuffer(b"".join(b.column("rest").to_pylist()), np.int8).reshape(-1, DIM)
-            scale, norm, err = (b.column(c).to_numpy() for c in ("scale", "norm", "err"))
-            if bounded:
-                floor = a.column("floor").to_numpy()
-                reach = np.sqrt(np.maximum(2 * (1 - floor), 0)).astype(np.float32)
-                i, j, s = _scan(quantiser, q, home, codes, ((1 + norm - err) / 2 - 1e-6).astype(np.float32), reach, (CODE_SPREADS * np.sqrt(err / DIM)).astype(np.float32))
-                s = s - (CODE_SPREADS * np.sqrt(err[j] / DIM) * reach[i]) - 0.5 * reach[i] ** 2 + np.einsum("ij,ij->i", q[i], fine[j].astype(np.float32)) * scale[j] / 127
-                good = s >= floor[i] - FINE_ERROR
-                i, j, s = i[good], j[good], s[good]
-            else:
-                whole = quantiser.decode(home, codes) + fine * (scale[:, None] / 127)
-                k = min(top, len(whole))
-                i, j, s = [], [], []
-                for r in range(0, len(q), 512):
-                    near = q[r : r + 512] @ whole.T
-                    best = np.argpartition(near, -k, axis=1)[:, -k:]
-                    i.append(np.repeat(np.arange(r, r + len(near)), k))
-                    j.append(best.ravel())
-                    s.append(np.take_along_axis(near, best, 1).ravel())
-                i, j, s = (np.concatenate(c) for c in (i, j, s))
-            for p in _best(i, s, top):
-                for x in names[j[p]]:
-                    out_q.append(ids[i[p]])
-                    out_x.append(x)
-                    out_s.append(float(s[p]))
-        return pa.table({"q": pa.array(out_q, pa.int64()), "x": pa.array(out_x, pa.int64()), "sim": pa.array(out_s, pa.float64())})
+            columns = {c: b.column(c).combine_chunks() for c in b.column_names}
+            marks = columns["mark"].to_numpy()
+            every, names = _by_first_key(marks, columns["ids"].to_pylist())
+            ids = a.column("q").to_numpy()
+            asks = _Side(unpack(a.column("qv").combine_chunks()), np.zeros(a.num_rows, np.int64))
+            for q, c, sim in _reranked(shared.value[0], asks, _answering(columns, every, marks[every]), a.column("floor").to_numpy(), top + 1, True):
+                out_q.append(ids[q])
+                out_x.extend(names[i] for i in c.tolist())
+                out_s.append(sim)
+        return pa.table({"q": pa.array(np.concatenate(out_q), pa.int64()), "x": pa.array(out_x, pa.list_(pa.int64())), "sim": pa.array(np.concatenate(out_s), pa.float64())})
 
     return run
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, column: str, top: int = TOP, probes: int = PROBES, per_cell: int = PER_CELL) -> DataFrame:
-    """(id, neighbour, rank, sim): the ``top`` most similar vectors for every row of ``queries`` (key, column), itself left out.
+    """(id, neighbour, rank, sim): the ``top`` (at most TOP) most similar vectors for every row of ``queries`` (key, column), itself left out.
 
-    All rows are coded and laid into cells. A query first meets its home cell; what it finds there is the mark that candidates of its
-    other ``probes`` cells have to beat, so that little leaves a cell. The best by 8-bit scores are reranked exactly. Cells of more than
-    ``PER_TASK`` rows are split, and their queries go to every part. Ties go to the smaller key; repeated keys count once; null and
-    unusable vectors neither ask nor answer; empty input, no rows.
+    All rows are coded and laid into cells. What a query finds among a share of its home cell is the mark that candidates have to beat; with it
+    goes to the ``probes`` cells nearest to it, less those that cannot hold a neighbour. There lookup scores pick the rows that are worth
+    an exact comparison, and the best of these leave. Cells of more than ``PER_TASK`` rows are divided, and their queries go to every
+    part. Ties go to the smaller key; repeated keys count once; null and unusable vectors neither ask nor answer; empty input, no rows.
     """
     spark = vectors.sparkSession
     tidy = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(column).alias("v")).where(F.col("id").isNotNull() & (F.size("v") == DIM))
-    rows, asked = tidy(vectors), tidy(queries)
+    rows, asked = tidy(vectors), tidy(queries).groupBy("id").agg(F.min("v").alias("v"))
     total = vectors.count()
     training = sample(rows, "id", "v", total)
     if len(training) < 2:
         return spark.createDataFrame([], "id long, neighbour long, rank int, sim double")
     quantiser = Quantiser.train(training, max(1, min(MOST_CELLS, total // per_cell)), BOOKS, WORDS, beam=BEAM)
-    shared = spark.sparkContext.broadcast(quantiser)
-    coded = materialise(rows.mapInArrow(_coder(shared), _CODED), "coded")
-    counts = {r.cell: -(-r["count"] // PER_TASK) for r in coded.groupBy("cell").count().collect()}  # at most MOST_CELLS rows
-    split = F.element_at(F.create_map(*[F.lit(int(c)) for pair in counts.items() for c in pair]), F.col("cell"))
-    candidates = coded.withColumn("part", F.pmod(F.xxhash64("mark"), split).cast("int"))
-    probed = asked.mapInArrow(_probed(shared, probes), "cell int, q long, qv binary, at_home boolean").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(split, F.lit(1)) - 1)))
-    more = top + 1
-    own = probed.where("at_home").groupBy("cell", "part").cogroup(candidates.groupBy("cell", "part")).applyInArrow(_nearest(shared, more, False), _FOUND)
-    own = materialise(own.where("q <> x").distinct(), "own")
-    ranked = lambda df, n: df.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "x"))).where(F.col("rank") <= n)
-    floors = ranked(own, top).groupBy("q").agg(F.count("*").alias("n"), F.min("sim").alias("floor")).select("q", F.when(F.col("n") == top, F.col("floor")).otherwise(-1.0).alias("floor"))
-    beyond = probed.where("not at_home").join(floors, "q", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0)))
-    again = candidates.toDF(*candidates.columns)
-    other = beyond.groupBy("cell", "part").cogroup(again.groupBy("cell", "part")).applyInArrow(_nearest(shared, more, True), _FOUND).where("q <> x")
-    best = materialise(ranked(own.unionByName(other).distinct(), more), "best")
-    wanted = rows.dropDuplicates(["id"])
-    pairs = best.join(wanted.select(F.col("id").alias("x"), F.col("v").alias("vx")), "x").join(asked.dropDuplicates(["id"]).select(F.col("id").alias("q"), F.col("v").alias("vq")), "q")
-
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                (_, a), (_, b) = matrix(batch.column(2)), matrix(batch.column(3))
-                sim = np.einsum("ij,ij->i", a.astype(np.float64), b.astype(np.float64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim)], ["q", "x", "sim"])
-
-    exact = pairs.select("q", "x", "vq", "vx").mapInArrow(rerank, _FOUND)
-    return ranked(exact, top).select(F.col("q").alias("id"), F.col("x").alias("neighbour"), "rank", F.round("sim", 6).alias("sim"))
+    parts = _parts(quantiser, training, total, -1.0)
+    shared = spark.sparkContext.broadcast((quantiser, parts))
+    by_cell = "cell int, id long, vec binary"
+    asking = materialise(asked, "asked")
+    some = rows.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(GLANCE)) == 0).mapInArrow(_glanced(shared), by_cell)
+    floors = asking.mapInArrow(_glanced(shared), by_cell).groupBy("cell").cogroup(some.dropDuplicates(["id"]).groupBy("cell")).applyInArrow(_floors(top), "id long, floor double")
+    probed = asking.join(floors, "id").select("id", "v", "floor").mapInArrow(_probed(shared, probes), "room long, q long, qv binary, floor double")
+    coded = rows.mapInArrow(_encoder(shared, -1.0), _PARTS).where("answers")
+    found = probed.groupBy("room").cogroup(coded.groupBy("room")).applyInArrow(_nearest(shared, top), _FOUND)
+    pairs = found.select("q", F.explode("x").alias("x"), "sim").where("q <> x").groupBy("q", "x").agg(F.max("sim").alias("sim"))
+    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "x"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= top).select(F.col("q").alias("id"), F.col("x").alias("neighbour"), "rank", F.round("sim", 6).alias("sim"))
