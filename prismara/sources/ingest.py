@@ -29,10 +29,10 @@ def ingest(found: DataFrame, assets: DataFrame, folder_id: int, now: int, codec:
     readable = keyed.join(fresh.where("error_code is null").select("sha256", "path"), ["sha256", "path"], "left_semi")
     seen = fresh.withColumnRenamed("error_code", "read_error").join(decoded(readable, codec), "sha256", "left")
     error = F.coalesce("read_error", "error_code")
-    taken = F.coalesce(S.filename_seconds(F.col("path")), F.col("modified"))
+    taken = F.coalesce("exif_taken", S.filename_seconds(F.col("path")), F.col("modified"))
     made = seen.select(
         F.lit(folder_id).cast("long").alias("folder_id"), "sha256", F.col("path").alias("storage_key"), F.lit("photo").alias("kind"), F.col("length").cast("long").alias("size"),
-        "width", "height", taken.alias("taken_at"), S.year_of(taken).alias("year"), "mime", F.lit(None).cast("string").alias("exif"),
+        "width", "height", taken.alias("taken_at"), S.year_of(taken).alias("year"), "mime", "exif",
         F.when(error.isNull(), S.thumb_key(F.col("sha256"))).alias("thumb_key"), F.when(error.isNull(), "ready").otherwise("failed").alias("status"), error.alias("error_code"),
         F.lit(now).cast("long").alias("imported_at"), F.lit(None).cast("double").alias("gps_lat"), F.lit(None).cast("double").alias("gps_lng"), "thumb",
     )

@@ -1,7 +1,8 @@
 """Pictures as arrays: a codec hook, thumbnails, model input, structural features. All of it runs in Arrow batches on executors.
 
-No codec library is required: the built-in one reads binary PPM (P6) and 8-bit PNG, which suffices for tests; a codec for other formats
-is any object with ``decode(bytes) -> Picture`` and ``encode(pixels) -> bytes``.
+The built-in codec needs no library: it reads baseline JPEG, 8-bit PNG and PPM and writes JPEG. WebP, HEIF and progressive JPEG are told by
+their first bytes and refused unless ``Codecs`` has a codec for them: any object with ``decode(bytes) -> Picture``. A codec may decode
+a smaller picture that the file carries (of ``THUMB_SIDE`` and more) and name the original's size.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from prismara.sources import exif, jpeg
+
 # Fixed values of picture limits and of the model input.
 EDGE_MOST = 16_384
+BYTES_MOST = 512 * 1024 * 1024
+THUMB_QUALITY = 80
 THUMB_SIDE = 384
 INPUT_SIDE = 224
 MEAN = np.array([0.48145466, 0.4578275, 0.40821073])
@@ -40,20 +45,35 @@ class Codec(Protocol):
     def encode(self, pixels: np.ndarray) -> bytes: ...
 
 
+def sniffed(data: bytes) -> str | None:
+    """The type of a picture file by its first bytes."""
+    if data[:3] == b"\xff\xd8\xff":
+        return "image/jpeg"
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return "image/png"
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        return "image/webp"
+    if data[4:8] == b"ftyp" and data[8:12] in (b"heic", b"heix", b"hevc", b"heim", b"heis", b"mif1", b"msf1", b"avif"):
+        return "image/heic"
+    return "image/x-portable-pixmap" if data[:2] == b"P6" else None
+
+
 class PlainCodec:
-    """P6 and 8-bit grey, RGB or RGBA PNG without interlacing; encodes P6."""
+    """Baseline JPEG, P6 and 8-bit grey, RGB or RGBA PNG without interlacing; encodes JPEG."""
 
     def decode(self, data: bytes) -> Picture:
-        if data[:2] == b"P6":
+        kind = sniffed(data)
+        if kind == "image/x-portable-pixmap":
             fields = data.split(maxsplit=4)
             width, height, top = (int(x) for x in fields[1:4])
             if top != 255:
                 raise ValueError("depth")
-            pixels = np.frombuffer(data[len(data) - width * height * 3 :], np.uint8).reshape(height, width, 3)
-            return self._checked(pixels, "image/x-portable-pixmap")
-        if data[:8] == b"\x89PNG\r\n\x1a\n":
-            return self._checked(self._png(data), "image/png")
-        raise ValueError("format")
+            return self._checked(np.frombuffer(data[len(data) - width * height * 3 :], np.uint8).reshape(height, width, 3), kind)
+        if kind == "image/png":
+            return self._checked(self._png(data), kind)
+        if kind == "image/jpeg":
+            return self._checked(jpeg.decode(data, BYTES_MOST, EDGE_MOST), kind)
+        raise ValueError(f"no codec for {kind}")
 
     @staticmethod
     def _checked(pixels: np.ndarray, mime: str) -> Picture:
@@ -72,7 +92,7 @@ class PlainCodec:
             elif kind == b"IDAT":
                 packed += body
             at += size + 12
-        if head is None or head[2] != 8 or head[6] != 0 or head[3] not in (0, 2, 6) or max(head[:2]) > EDGE_MOST:
+        if head is None or head[2] != 8 or head[6] != 0 or head[3] not in (0, 2, 6) or max(head[:2]) > EDGE_MOST or head[0] * head[1] * 3 > BYTES_MOST:
             raise ValueError("png")
         channels = {0: 1, 2: 3, 6: 4}[head[3]]
         rows = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(head[1], head[0] * channels + 1)
@@ -81,15 +101,15 @@ class PlainCodec:
         for y in range(head[1]):
             line = rows[y, 1:].astype(np.int64)
             kind = rows[y, 0]
-            if kind == 2:
+            if kind == 1:
+                line = (np.cumsum(line.reshape(-1, channels), axis=0) % 256).ravel()
+            elif kind == 2:
                 line = (line + above) % 256
-            elif kind in (1, 3, 4):
+            elif kind in (3, 4):
                 for x in range(len(line)):
                     left = line[x - channels] if x >= channels else 0
                     corner = above[x - channels] if x >= channels else 0
-                    if kind == 1:
-                        guess = left
-                    elif kind == 3:
+                    if kind == 3:
                         guess = (left + above[x]) // 2
                     else:
                         p = left + above[x] - corner
@@ -100,7 +120,24 @@ class PlainCodec:
         return np.repeat(pixels, 3, axis=2) if channels == 1 else np.ascontiguousarray(pixels[:, :, :3])
 
     def encode(self, pixels: np.ndarray) -> bytes:
-        return b"P6\n%d %d\n255\n" % (pixels.shape[1], pixels.shape[0]) + np.ascontiguousarray(pixels, np.uint8).tobytes()
+        return jpeg.encode(pixels, THUMB_QUALITY)
+
+
+class Codecs:
+    """Codecs by type, e.g. {"image/heic": ...}, before the built-in one."""
+
+    def __init__(self, codecs: dict[str, Codec], rest: Codec | None = None):
+        self.codecs, self.rest = codecs, rest or PlainCodec()
+
+    def decode(self, data: bytes) -> Picture:
+        return self.codecs.get(sniffed(data), self.rest).decode(data)
+
+    def encode(self, pixels: np.ndarray) -> bytes:
+        return self.rest.encode(pixels)
+
+
+def ppm(pixels: np.ndarray) -> bytes:
+    return b"P6\n%d %d\n255\n" % (pixels.shape[1], pixels.shape[0]) + np.ascontiguousarray(pixels, np.uint8).tobytes()
 
 
 def oriented(pixels: np.ndarray, orientation: int | None) -> np.ndarray:
@@ -118,7 +155,12 @@ def fitted_size(width: int, height: int, side: int = THUMB_SIDE) -> tuple[int, i
     longest = max(width, height)
     if longest <= side:
         return width, height
-    return max(1, round(width * side / longest)), max(1, round(height * side / longest))
+    return _rounded(width * (side / longest)), _rounded(height * (side / longest))
+
+
+def _rounded(size: float) -> int:
+    """Halves away from zero, at least one pixel."""
+    return max(1, int(np.floor(size + 0.5)))
 
 
 def _cubic(x: np.ndarray) -> np.ndarray:
@@ -145,7 +187,7 @@ def model_input(pixels: np.ndarray, side: int = INPUT_SIDE, crop: bool = True) -
     """(3, height, width) float32: shortest edge to ``side``, centre crop, scaled by mean and deviation per channel."""
     h, w = pixels.shape[:2]
     scale = side / min(h, w)
-    nw, nh = (side, max(1, round(h * scale))) if w <= h else (max(1, round(w * scale)), side)
+    nw, nh = (side, _rounded(h * scale)) if w <= h else (_rounded(w * scale), side)
     out = resized(pixels, nw, nh)
     if crop:
         top, left = (nh - side) // 2, (nw - side) // 2
@@ -177,8 +219,8 @@ def structure(pixels: np.ndarray) -> np.ndarray:
 
 
 def decoded(files: DataFrame, codec: Codec | None = None, thumb_side: int = THUMB_SIDE) -> DataFrame:
-    """(sha256, width, height, mime, thumb, error_code) of rows (sha256, content): one decode per distinct content; what does not decode
-    is an error row."""
+    """(sha256, width, height, mime, thumb, exif, exif_taken, error_code) of rows (sha256, content): one decode per distinct content, turned
+    upright by its EXIF orientation, of which width and height speak, too; what does not decode is an error row."""
     used = codec or PlainCodec()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,13 +228,18 @@ def decoded(files: DataFrame, codec: Codec | None = None, thumb_side: int = THUM
             out = []
             for sha, content in zip(pdf["sha256"], pdf["content"]):
                 try:
-                    p = used.decode(bytes(content))
-                    w, h = fitted_size(p.width, p.height, thumb_side)
-                    small = p.pixels if (w, h) == (p.pixels.shape[1], p.pixels.shape[0]) else resized(p.pixels, w, h)
-                    out.append((sha, p.width, p.height, p.mime, used.encode(small), None))
+                    data = bytes(content)
+                    p = used.decode(data)
+                    taken, orientation = exif.read(data)
+                    upright = oriented(p.pixels, orientation)
+                    width, height = (p.height, p.width) if orientation in (5, 6, 7, 8) else (p.width, p.height)
+                    w, h = fitted_size(width, height, thumb_side)
+                    small = upright if (w, h) == (upright.shape[1], upright.shape[0]) else resized(upright, w, h)
+                    out.append((sha, width, height, p.mime, used.encode(small), exif.as_json(taken, orientation), taken, None))
                 except Exception:  # noqa: BLE001  any broken file is a row, not a failed job
-                    out.append((sha, None, None, None, None, "decode_failed"))
-            frame = pd.DataFrame(out, columns=["sha256", "width", "height", "mime", "thumb", "error_code"])
-            yield frame.astype({"width": "Int32", "height": "Int32"})
+                    out.append((sha, None, None, None, None, None, None, "decode_failed"))
+            frame = pd.DataFrame(out, columns=["sha256", "width", "height", "mime", "thumb", "exif", "exif_taken", "error_code"])
+            yield frame.astype({"width": "Int32", "height": "Int32", "exif_taken": "Int64"})
 
-    return files.dropDuplicates(["sha256"]).select("sha256", "content").mapInPandas(run, "sha256 string, width int, height int, mime string, thumb binary, error_code string")
+    schema = "sha256 string, width int, height int, mime string, thumb binary, exif string, exif_taken long, error_code string"
+    return files.dropDuplicates(["sha256"]).select("sha256", "content").mapInPandas(run, schema)

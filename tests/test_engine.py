@@ -15,7 +15,7 @@ from prismara.operators import lifecycle as L
 from prismara.operators import metrics as M
 from prismara.operators import regions as R
 from prismara.plans import fts, fusion, knn, search
-from prismara.sources import files, objects, pixels
+from prismara.sources import exif, files, jpeg, objects, pixels
 from prismara.sources import regions as regions_
 from prismara.sources.catalog import Catalog
 from prismara.sources.ingest import ingest
@@ -543,10 +543,85 @@ def test_quiet_folders(spark, tmp_path):
     time.sleep(0)
 
 
+def smooth(height, width):
+    y, x = np.mgrid[0:height, 0:width]
+    return np.stack([128 + 100 * np.sin(x / 9), 128 + 100 * np.cos(y / 7), (x + y) % 200], -1).astype(np.uint8)
+
+
+def test_jpeg_agrees_with_another_library(spark):
+    """Files of the encoder are read by Java's library, files of Java's (with colour at half size) by the decoder."""
+    jvm = spark.sparkContext._jvm
+
+    def read(data):
+        image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data)))
+        return image, np.array(list(image.getRGB(0, 0, image.getWidth(), image.getHeight(), None, 0, image.getWidth()))).astype(np.int64)
+
+    def written(image):
+        out = jvm.java.io.ByteArrayOutputStream()
+        assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+        return bytes(out.toByteArray())
+
+    rgb = lambda packed, shape: np.stack([packed >> 16 & 255, packed >> 8 & 255, packed & 255], -1).reshape(*shape, 3)
+    for shape in ((50, 70), (16, 16), (9, 33)):
+        picture = smooth(*shape)
+        ours = jpeg.encode(picture)
+        theirs = rgb(read(ours)[1], shape)
+        assert np.abs(theirs - jpeg.decode(ours).astype(int)).max() <= 3 and np.abs(theirs - picture).mean() < 4
+        back = written(read(png(picture))[0])
+        assert np.abs(rgb(read(back)[1], shape) - jpeg.decode(back).astype(int)).mean() < 4
+    grey = np.repeat(smooth(20, 20)[:, :, :1], 3, 2)
+    assert np.abs(jpeg.decode(jpeg.encode(grey)).astype(int) - grey).mean() < 3
+    for broken in (b"\xff\xd8\xff", jpeg.encode(picture)[:-200], jpeg.encode(picture).replace(b"\xff\xc0", b"\xff\xc2", 1)):
+        with pytest.raises(Exception):  # noqa: B017  cut off, without a scan, or not sequential
+            pixels.PlainCodec().decode(broken[:40] if len(broken) < 4 else broken)
+    with pytest.raises(ValueError, match="image/heic"):
+        pixels.PlainCodec().decode(b"\0\0\0\x18ftypheic" + b"\0" * 20)
+    own = pixels.Codecs({"image/heic": type("C", (), {"decode": lambda self, data: pixels.Picture(grey, 4_000, 4_000, "image/heic")})()})
+    assert own.decode(b"\0\0\0\x18ftypheic").width == 4_000 and own.decode(png(picture)).mime == "image/png"
+
+
+def tiff(order, taken=b"2023:11:14 22:13:20\0", orientation=6):
+    import struct
+
+    inner = struct.pack(order + "HHHII", 1, 0x9003, 2, len(taken), 8 + 2 + 24 + 4 + 2 + 12 + 4) + struct.pack(order + "I", 0) + taken
+    first = struct.pack(order + "HHHIHHHHII", 2, 0x0112, 3, 1, orientation, 0, 0x8769, 4, 1, 8 + 2 + 24 + 4) + struct.pack(order + "I", 0)
+    return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8) + first + inner
+
+
+def test_exif_of_files():
+    import struct
+
+    for order in "<>":
+        block = tiff(order)
+        marked = b"\xff\xd8" + struct.pack(">BBH", 0xFF, 0xE1, len(block) + 8) + b"Exif\0\0" + block + b"\xff\xda"
+        chunk = png(smooth(4, 4))[:33] + struct.pack(">I", len(block)) + b"eXIf" + block + b"\0\0\0\0"
+        webp = b"RIFF\0\0\0\0WEBP" + b"VP8X" + struct.pack("<I", 3) + b"abc\0" + b"EXIF" + struct.pack("<I", len(block) + 6) + b"Exif\0\0" + block
+        for data in (block, marked, chunk, webp):
+            assert exif.read(data) == (1_700_000_000, 6)
+        assert exif.read(tiff(order, b"2023:13:14 22:13:20\0", 9)) == (None, None) and exif.read(tiff(order, b"0000:00:00 00:00:00\0", 1)) == (None, 1)
+        assert all(exif.read(block[:n]) in ((None, None), (None, 6), (1_700_000_000, 6)) for n in range(len(block)))
+    assert exif.read(b"") == exif.read(b"II*\0") == exif.read(png(smooth(4, 4))) == (None, None)
+    assert exif.as_json(5, 6) == '{"taken_at":5,"orientation":6}' and exif.as_json(None, None) is None
+
+
+def test_decoded_pictures_stand_upright(spark):
+    import struct
+
+    body = jpeg.encode(smooth(40, 500))
+    block = tiff("<")
+    turned = body[:2] + struct.pack(">BBH", 0xFF, 0xE1, len(block) + 8) + b"Exif\0\0" + block + body[2:]
+    df = spark.createDataFrame([("a", bytearray(turned)), ("b", bytearray(body)), ("c", bytearray(b"x"))], "sha256 string, content binary")
+    rows = {r.sha256: r for r in pixels.decoded(df).collect()}
+    assert (rows["a"].width, rows["a"].height, rows["a"].exif_taken, rows["a"].exif) == (40, 500, 1_700_000_000, '{"taken_at":1700000000,"orientation":6}')
+    assert (rows["b"].width, rows["b"].height, rows["b"].exif) == (500, 40, None) and rows["c"].error_code == "decode_failed"
+    assert pixels.PlainCodec().decode(bytes(rows["a"].thumb)).pixels.shape == (384, 31, 3) and bytes(rows["a"].thumb)[:2] == b"\xff\xd8"
+    assert pixels.fitted_size(768, 5) == (384, 3)
+
+
 def test_pixels():
     picture = np.arange(4 * 6 * 3, dtype=np.uint8).reshape(4, 6, 3)
     codec = pixels.PlainCodec()
-    assert (codec.decode(codec.encode(picture)).pixels == picture).all() and (codec.decode(png(picture)).pixels == picture).all()
+    assert (codec.decode(pixels.ppm(picture)).pixels == picture).all() and (codec.decode(png(picture)).pixels == picture).all()
     with pytest.raises(ValueError):
         codec.decode(b"GIF")
     assert pixels.oriented(picture, 3)[0, 0].tolist() == picture[-1, -1].tolist() and pixels.oriented(picture, 6).shape == (6, 4, 3)
