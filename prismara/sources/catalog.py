@@ -8,6 +8,7 @@ reader sees. Readers keep the version they opened. Paths go through Hadoop's fil
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,9 +56,10 @@ class Catalog:
         every = self.versions()
         number = (every[-1] if every else 0) + 1
         tables, version = self._state()
+        token = uuid.uuid4().hex[:8]
         for name, df in changed.items():
-            path = f"{self.root}/v{number}/{name}"
-            df.write.mode("overwrite").parquet(path)
+            path = f"{self.root}/v{number}-{token}/{name}"  # no other writer's, whoever commits first
+            df.write.parquet(path)
             tables = tables | {name: path}
         fs, pointer = self._fs(f"{self.root}/pointers/{number}")
         stream = fs.create(pointer, False)

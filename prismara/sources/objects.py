@@ -42,25 +42,34 @@ class ObjectStore:
 
 def write_objects(rows: DataFrame, root: str) -> DataFrame:
     """(key, bytes) of rows (key, data) written below a root that all executors share, on the executors; a repeated key is written once.
-    Files are written under another name and moved into place, so a lost task leaves no half object."""
+    Files are written under another name and moved into place, so a lost task leaves no half object. Roots on local disks are
+    refused on a cluster; other schemes go through Arrow's file systems (hdfs, s3, gs, ...)."""
     from collections.abc import Iterator
 
     import pandas as pd
+    from pyarrow import fs as arrow_fs
 
-    base = root.removeprefix("file://").removeprefix("file:")
+    master = rows.sparkSession.sparkContext.master
+    local = "://" not in root.replace("file://", "", 1) and not re.match(r"[a-z][a-z0-9+.-]+:(?!//)", root.removeprefix("file:"))
+    shared = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if local and not (master == "local" or master.startswith("local[")) and not (shared and root.startswith(shared.rstrip("/"))):
+        raise ValueError(f"{root} may lie on a disk of one machine; name a folder that all executors share")
+    uri = root.replace("s3a://", "s3://", 1)
+    uri = "file://" + uri.removeprefix("file://").removeprefix("file:") if local else uri
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
         import uuid
-        from pathlib import Path
 
+        store, base = arrow_fs.FileSystem.from_uri(uri)
         for pdf in parts:
             for key, data in zip(pdf["key"], pdf["data"]):
-                target = Path(base, check_key(key))
-                target.parent.mkdir(parents=True, exist_ok=True)
-                fresh = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
-                fresh.write_bytes(data)
-                os.replace(fresh, target)
+                target = f"{base.rstrip('/')}/{check_key(key)}"
+                folder, name = target.rsplit("/", 1)
+                store.create_dir(folder, recursive=True)
+                fresh = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(fresh) as out:
+                    out.write(data)
+                store.move(fresh, target)
             yield pd.DataFrame({"key": pdf["key"], "bytes": [len(d) for d in pdf["data"]]})
 
     return rows.where(F.col("data").isNotNull()).dropDuplicates(["key"]).select("key", "data").mapInPandas(run, "key string, bytes long")

@@ -157,9 +157,7 @@ def progress(assets: DataFrame, folders: DataFrame, vectors: DataFrame, resting:
 
 class ImportJob:
     """An import that can be paused, resumed and stopped: the folder's new files in rounds of ``size``, each committed by itself. At most one
-    job runs per library; a job that is started again goes on with what is not ready yet."""
-
-    _running: dict[str, ImportJob] = {}
+    job runs per library, in whatever process; a job that is started again goes on with what is not ready yet."""
 
     def __init__(self, catalog: Catalog, folder: str, folder_id: int, size: int = 256, clock: Callable[[], int] = lambda: int(time.time())):
         self.catalog, self.folder, self.folder_id, self.size, self.clock = catalog, folder, folder_id, size, clock
@@ -168,11 +166,12 @@ class ImportJob:
         self._go.set()
 
     def start(self) -> ImportJob:
-        other = self._running.get(self.catalog.root)
-        if other is not None and other._thread.is_alive():
+        from prismara.streaming.workers import Gate
+
+        self.gate = Gate(self.catalog)
+        if not self.gate.acquire():
             raise RuntimeError("an import is running")
         self._thread = threading.Thread(target=self._run, daemon=True)
-        self._running[self.catalog.root] = self
         self._thread.start()
         return self
 
@@ -204,9 +203,11 @@ class ImportJob:
             self.total = waiting.count()
             rounds = max(1, -(-self.total // self.size))
             for r in range(rounds):
-                self._go.wait()
+                while not self._go.wait(60):
+                    self.gate.touch()  # paused, not dead
                 if self._stop.is_set():
                     return
+                self.gate.touch()
                 part = waiting.where(F.pmod(F.xxhash64("path"), F.lit(rounds)) == r).select("path")
                 tables = self.catalog.tables()
                 made = ingest(found.join(part, "path", "left_semi"), tables["assets"], self.folder_id, self.clock())
@@ -214,3 +215,5 @@ class ImportJob:
                 self.done += part.count()
         except Exception as e:  # noqa: BLE001  reported by state()
             self.error = e
+        finally:
+            self.gate.release()

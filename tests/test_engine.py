@@ -19,7 +19,7 @@ from prismara.sources import exif, files, jpeg, objects, pixels
 from prismara.sources import regions as regions_
 from prismara.sources.catalog import Catalog
 from prismara.sources.ingest import ingest
-from prismara.streaming import jobs
+from prismara.streaming import jobs, workers
 
 ASSETS = schema.SCHEMAS["assets"]
 
@@ -517,7 +517,7 @@ def test_region_round(spark, folder):
     made = ingest(files.scan(spark, str(folder)), schema.empty(spark, "assets"), 1, 5)["assets"].drop("thumb")
     contents = files.hashed(files.scan(spark, str(folder))).select("sha256", "content").dropDuplicates(["sha256"])
     f = folders(spark, (1, str(folder), None, "local", "online", 1))
-    tables = {"assets": made, "folders": f, "vectors": spark.createDataFrame([], "asset_id long"), "regions": schema.empty(spark, "regions"), "region_clusters": schema.empty(spark, "region_clusters")}
+    tables = {"assets": made, "folders": f, "vectors": spark.createDataFrame([], "asset_id long"), "regions": schema.empty(spark, "regions"), "region_clusters": schema.empty(spark, "region_clusters"), "region_chapters": schema.empty(spark, "region_chapters")}
     step = lambda t: regions_.region_round(t, contents, regions_.GridSegmenter(), jobs.HashIndexer(2, 16).embed, 16, 7)
     assert step(tables) is None  # vectors of assets come first
     tables["vectors"] = made.select("asset_id")
@@ -532,6 +532,82 @@ def test_region_round(spark, folder):
     assert [tuple(r)[:3] for r in regions_.extracted(blank, regions_.GridSegmenter(), jobs.HashIndexer().embed).collect()] == [(1, -1, None)]
 
 
+def test_workers_drain_a_library(spark, folder, tmp_path):
+    (folder / "c.png").write_bytes(png(smooth(120, 160)))  # large enough for regions
+    cat = Catalog.open(spark, f"file://{tmp_path}/lib")
+    cat.commit({"folders": folders(spark, (1, str(folder), None, "local", "online", 1))})
+    jobs.sync_folder(cat, str(folder), 1, 5)
+    contents = workers.all_contents(files.scan(spark, str(folder)))
+    gate = workers.Gate(cat)
+
+    class Broken(jobs.HashIndexer):
+        def embed(self, contents):
+            raise RuntimeError("model")
+
+    failing = workers.EmbeddingWorker(cat, contents, Broken(1, 16))
+    for n in (1, 2, 3):  # a round that writes nothing ends the drain; failures are counted against the assets
+        assert failing.drain() == 0 and {r.n for r in failing.attempts.collect()} == {n}
+    assert failing.drain() == 0 and failing.attempts.where("n > 3").count() == 0  # they rest now
+    worker = workers.EmbeddingWorker(cat, contents, jobs.HashIndexer(1, 16), limit=1)
+    seen = workers.RegionWorker(cat, contents, regions_.GridSegmenter(), jobs.HashIndexer(2, 16).embed, 16, limit=1, clock=lambda: 7)
+    assert seen.round() == 0  # vectors of assets come first
+    assert gate.acquire() and not workers.Gate(cat).acquire() and worker.round() == 0 and seen.round() == 0
+    gate.release()
+    assert worker.drain() == 3 and cat.tables()["vec_assets"].count() == 3
+    assert seen.drain() == 3 and seen.drain() == 0
+    t = cat.tables()
+    assert t["regions"].select("region_id").distinct().count() == t["regions"].count() > 3 and t["regions"].select("asset_id").distinct().count() == 3
+    assert t["region_chapters"].where("chapter_id > 0").count() == 1
+    assert t["region_clusters"].agg(F.sum("member_count")).first()[0] == t["vec_regions"].count() == t["regions"].where("region_idx >= 0").count() == 4
+    stale = workers.Gate(cat, stale=-1.0)
+    assert gate.acquire() and not stale.held() and stale.acquire()  # its holder has died
+    stale.release()
+    started = workers.EmbeddingWorker(cat, contents, jobs.HashIndexer(1, 16))
+    started.seconds = 0.05
+    started.start()
+    assert started.stop(120) and started.error is None
+
+
+def test_region_chapters_are_kept_state(spark):
+    day = 86_400
+    photos = spark.createDataFrame([(1, 0), (2, 10 * day), (3, 60 * day), (4, None)], "asset_id long, taken_at long")
+    due = [r for r in photos.collect() if r.taken_at is not None]
+    before = regions_._before(photos, due)
+    assert before == {1: None, 2: 0, 3: 10 * day}
+    none = schema.empty(spark, "region_chapters")
+    assert regions_._chaptered(none, due, before, 5) == ({1: 1, 2: 1, 3: 2}, [(1, 0, 5), (2, 60 * day, 5)])
+    kept = spark.createDataFrame([(0, 0, 0), (4, 0, 1)], none.schema)
+    assert regions_._chaptered(kept, due[1:2], before, 5) == ({2: 4}, []) and regions_._chaptered(kept, due[2:], before, 5) == ({3: 5}, [(5, 60 * day, 5)])
+
+
+def test_folders_are_synchronised_when_quiet(spark):
+    now, done, idle = [0.0], [], [True]
+
+    def sync(folder):
+        if folder == 9 and len(done) < 2:
+            raise OSError("gone")
+        done.append(folder)
+
+    watch = workers.FolderSync(sync, lambda: idle[0], 2.0, lambda: now[0])
+    watch.mark(1), watch.mark(9)
+    now[0] = 1.0
+    watch.mark(1)
+    now[0] = 2.5
+    assert watch.tick() == [] and set(watch.failures) == {9}  # 1 is not quiet yet, 9 fails and is marked again
+    now[0] = 3.0
+    idle[0] = False
+    assert watch.tick() == []
+    idle[0] = True
+    assert watch.tick() == [1]
+    done.append(0)
+    now[0] = 5.0
+    assert watch.tick() == [9] and not watch.failures and not watch.dirty
+    f = folders(spark, (1, "/a", None, "local", "online", 1), (2, "/b", None, "local", "offline", 2))
+    assert watch.refresh(f) == [(1, "watch")] and watch.refresh(f) == []
+    watch.mark(1)
+    assert watch.refresh(f.where("folder_id = 2").withColumn("status", F.lit("online"))) == [(1, "unwatch"), (2, "watch")] and not watch.dirty
+
+
 def test_quiet_folders(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0.0), (1, 1.5), (1, 9.0), (2, 1.0)], "folder_id long, s double").select("folder_id", F.col("s").cast("timestamp").alias("ts"))
     assert sorted((r.folder_id, r.n) for r in jobs.quiet_folders(rows).collect()) == [(1, 1), (1, 2), (2, 1)]
