@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 DIM = 64
 #: Most rows that the driver ever takes for training; everything else covers all rows.
 SAMPLE = 32_768
+#: Of these, rows that train codebooks; centres of cells are trained on all.
+BOOK_SAMPLE = 8_192
 
 
 def matrix(column: pa.Array, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +106,7 @@ class Quantiser:
     @classmethod
     def train(cls, x: np.ndarray, n_cells: int, n_books: int = 16, words: int = 64, seed: int = 4, beam: int = 4) -> Quantiser:
         cells = Cells(kmeans(x, n_cells, 8, seed))
+        x = x[:BOOK_SAMPLE]  # the sample is in no order of content
         offset = x - cells.centres[cells.homes(x)]
         rest, books = offset.copy(), []
         for m in range(n_books):
