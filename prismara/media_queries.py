@@ -32,9 +32,13 @@ class Media:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return load(self.spark, self.dir, name)
+        """A table as it lies; its files are listed once."""
+        if name not in self._raw:
+            self._raw[name] = load(self.spark, self.dir, name)
+        return self._raw[name]
 
     @property
     def assets(self) -> DataFrame:
