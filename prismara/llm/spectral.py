@@ -46,7 +46,7 @@ LEADER = 0.9
 LANDMARK_SAMPLE = 16_384
 ANCHORS = 4
 VECTORS = 8
-STEPS, ROUNDS, STILL = 6, 8, 1e-6
+STEPS, ROUNDS, STILL = 8, 6, 1e-6
 GRID, BORDER, ALIKE, LLOYD = 1e-3, 0.1, 6, 50
 ROOM, LEAST_BLOCKS = 65_536, 6
 BLOCK, ROWS = 2_048, 8_192
