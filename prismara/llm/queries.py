@@ -22,12 +22,29 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral.described(load(spark, sf_dir, "vec_regions"), "region_id", "embedding", ALIKE).withColumnRenamed("id", "region_id")
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _contents(spark: SparkSession, sf_dir: str, arrivals: DataFrame) -> tuple[DataFrame, DataFrame]:
     assets = load(spark, sf_dir, "assets").select("asset_id", "folder_id", "sha256")
     vectors = load(spark, sf_dir, "vec_assets").join(assets.select("asset_id", "folder_id").distinct(), "asset_id")
     history = dedup.records(assets, "asset_id", "folder_id", "sha256", None, False).unionByName(dedup.records(vectors, "asset_id", "folder_id", None, "embedding", False))
-    arrivals = dedup.records(load(spark, sf_dir, "arrivals"), "asset_id", "folder_id", "sha256", "embedding", True)
-    return dedup.repeats(history, arrivals, NEAR_VECTORS)
+    return history, dedup.records(arrivals, "asset_id", "folder_id", "sha256", "embedding", True)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library is accepted as history; then all pending batches are held against it and appended."""
+    history, pending = _contents(spark, sf_dir, load(spark, sf_dir, "arrivals"))
+    return dedup.repeats(history, pending, NEAR_VECTORS)
+
+
+def p3_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p3_found, one batch after the other: each meets the history and the batches before it, which are kept, and is appended."""
+    arrivals = load(spark, sf_dir, "arrivals")
+    kept = dedup.History(spark, None, NEAR_VECTORS)
+    kept.accept(_contents(spark, sf_dir, arrivals)[0], arriving=False)
+    out = None
+    for row in arrivals.select("batch_no").distinct().orderBy("batch_no").collect():  # a row per batch
+        found = kept.accept(_contents(spark, sf_dir, arrivals.where(F.col("batch_no").eqNullSafe(row.batch_no)))[1])
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], "asset_id_a long, asset_id_b long")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +108,7 @@ def p8_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(joined.select("doc_id", F.sha2("joined", 256).alias("j")), "doc_id", "left").select("doc_id", F.coalesce("j", "h").alias("digest"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_packed": p6_packed, "p6_containers": p6_containers, "p6_laid": p6_laid, "p7_found": p7_found, "p7_spans": p7_spans, "p8_pieces": p8_pieces, "p8_rejoined": p8_rejoined}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p3_found": p3_found, "p3_by_batch": p3_by_batch, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_packed": p6_packed, "p6_containers": p6_containers, "p6_laid": p6_laid, "p7_found": p7_found, "p7_spans": p7_spans, "p8_pieces": p8_pieces, "p8_rejoined": p8_rejoined}
 
 
 def _usable(table: str, key: str, more: str = "") -> str:
@@ -131,6 +148,7 @@ _PHRASES = lambda table, key: f"select distinct {key}, array_to_string(w[i:i + 1
 ORACLE: dict[str, str] = {
     "p1_found": _GROUPS,
     "p3_found": _REPEATS,
+    "p3_by_batch": _REPEATS,
     "p4_found": f"with {_ranked('vec_assets', 'asset_id')}, {_ranked('vec_regions', 'region_id')} {_mutual('vec_assets', 'asset_id')} union all {_mutual('vec_regions', 'region_id')}",
     "p6_laid": "select distinct doc_id, true as whole, true as fits from documents where doc_id is not null",
     "p8_rejoined": "select doc_id, min(sha256(text)) digest from documents where doc_id is not null and text is not null group by doc_id",
