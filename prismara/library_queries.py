@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from prismara import schema
 from prismara.functions import scalars as S
-from prismara.media_queries import _BASE, DIM, FOLDER, PREFIX, REGISTRY, Media, _bm25_sql
+from prismara.media_queries import _BASE, _GAPS, _KM, _KNOWN, DIM, FOLDER, PREFIX, REGISTRY, Media, _bm25_sql, assigned, dpmeans_sql
 from prismara.operators import assets as A
 from prismara.operators import clusters as C
 from prismara.operators import lifecycle as L
 from prismara.operators import metrics as M
 from prismara.operators import regions as R
 from prismara.plans import fts, knn
-from prismara.sources import files
+from prismara.sources import files, objects
+from prismara.sources.catalog import Catalog
+from prismara.sources.ingest import ingest
+from prismara.storage import table_path
 from prismara.streaming import jobs
 
 QUERIES, ORACLE = {}, {}
@@ -100,6 +103,59 @@ def timeline_year_items(m: Media) -> DataFrame:
     return A.year_groups(A.timeline_page(m.states("taken_at", "year"), None, 300)).select("year", F.array_join("items", ",").alias("items"))
 
 
+# Files: a small folder of one picture or broken file for each row of folders, written, scanned and ingested
+
+
+def _picture(m: Media) -> DataFrame:
+    """(key, data): a PPM picture of one colour whose size follows from folder_id; every seventh file is no picture."""
+    w, h = 1 + F.col("folder_id") % 50, 1 + F.col("folder_id") % 31
+    body = F.concat(F.lit("P6\n"), w, F.lit(" "), h, F.lit("\n255\n"), F.expr("repeat('A', cast((1 + folder_id % 50) * (1 + folder_id % 31) * 3 as int))"))
+    text = F.when(F.col("folder_id") % 7 == 0, F.concat(F.lit("no picture "), "folder_id")).otherwise(body)
+    return m.folders.select(F.concat((F.col("folder_id") % 3).cast("string"), F.lit("/"), "folder_id", F.when(F.col("folder_id") % 2 == 0, ".JPG").otherwise(".png")).alias("key"), F.encode(text, "UTF-8").alias("data"))
+
+
+def _written(m: Media) -> str:
+    root = table_path(m.spark, "pictures")
+    objects.write_objects(_picture(m), root).count()
+    return root
+
+
+_FILES = """files as (select folder_id, folder_id % 3 || '/' || folder_id || case when folder_id % 2 = 0 then '.JPG' else '.png' end as key, case when folder_id % 7 = 0 then 'no picture ' || folder_id
+ else 'P6' || chr(10) || (1 + folder_id % 50) || ' ' || (1 + folder_id % 31) || chr(10) || '255' || chr(10) || repeat('A', ((1 + folder_id % 50) * (1 + folder_id % 31) * 3)::int) end as data from folders)"""
+_NAME = r"([^/]+/[^/]+)$"
+
+
+@_query(f", {_FILES} select key, length(data) length, sha256(data) digest from files")
+def scanned_files(m: Media) -> DataFrame:
+    found = files.hashed(files.scan(m.spark, _written(m)))
+    return found.select(F.regexp_extract("path", _NAME, 1).alias("key"), "length", F.col("sha256").alias("digest"))
+
+
+@_query(f", {_FILES} select sum(length(data)) bytes from files")
+def directory_bytes(m: Media) -> DataFrame:
+    return files.directory_bytes(m.spark, _written(m))
+
+
+@_query(f""", {_FILES}, first as (select sha256(data) sha256, min(key) key, any_value(folder_id) f from files group by 1)
+ select first.key, first.sha256, case when files.folder_id % 7 = 0 then 'failed' else 'ready' end status, case when files.folder_id % 7 = 0 then 'decode_failed' end error_code,
+ case when files.folder_id % 7 <> 0 then 1 + files.folder_id % 50 end width, case when files.folder_id % 7 <> 0 then 1 + files.folder_id % 31 end height,
+ case when files.folder_id % 7 <> 0 then substr(first.sha256, 1, 2) || '/' || first.sha256 || '.jpg' end thumb_key from first join files using (key)""")
+def ingested_files(m: Media) -> DataFrame:
+    made = ingest(files.scan(m.spark, _written(m)), schema.empty(m.spark, "assets"), 1, 1_760_000_000)["assets"]
+    return made.select(F.regexp_extract("storage_key", _NAME, 1).alias("key"), "sha256", "status", "error_code", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), "thumb_key")
+
+
+@_query("select * from (values (1, 'assets', 0), (2, 'assets', (select count(*) from a)), (1, 'folders', 1), (2, 'folders', (select count(*) from folders))) t(version, name, n)")
+def catalog_versions(m: Media) -> DataFrame:
+    library = Catalog.open(m.spark, table_path(m.spark, "library"))
+    library.commit({"assets": A.current(m.raw("assets")), "folders": m.folders})
+    out = None
+    for v in library.versions():
+        part = _counts({n: df for n, df in library.tables(v).items() if n in ("assets", "folders")}).withColumn("version", F.lit(v))
+        out = part if out is None else out.unionByName(part)
+    return out.select("version", "name", "n")
+
+
 # Indexing
 
 
@@ -246,6 +302,21 @@ def fts_operators_as_text(m: Media) -> DataFrame:
     return fts.search_scan(m.raw("documents"), 'merge NOT "branch"', 200, "doc_id", "text").select("doc_id", F.round("rank", 6).alias("rank"))
 
 
+_PLACED = f""", {_GAPS}, k as (select asset_id, taken_at, prev, (taken_at - prev) / 60.0::double dt, case when {_KNOWN} then {_KM} end km from gaps),
+ ch as (select asset_id, taken_at, case when dt is null then 1.0 when km is null then case when dt < 5 then 0.5 else 1.0 end when km < 0.2 and dt < 5 then 0.5 when km < 0.2 then 0.9 when km >= 1 and dt < 120 then 1.3 else 1.0 end::double factor,
+  sum(case when taken_at - prev <= 2592000 then 0 else 1 end) over (order by taken_at, asset_id rows unbounded preceding) - 1 scope from k)"""
+
+
+@_query(_PLACED + dpmeans_sql() + " select scope, region_id, cluster_id from named")
+def dpmeans_by_place(m: Media) -> DataFrame:
+    """DP-means with a threshold that follows time and place."""
+    photos = m.some("taken_at", "gps_lat", "gps_lng")
+    timed = R.previous_times(photos, carry=("gps_lat", "gps_lng"))
+    km = S.haversine_km(F.col("previous_gps_lat"), F.col("previous_gps_lng"), F.col("gps_lat"), F.col("gps_lng"))
+    factor = R.place_factor((F.col("taken_at") - F.col("previous")) / 60.0, km)
+    return R.global_ids(assigned(m, timed.select("asset_id", "taken_at", factor.alias("factor"))))
+
+
 # Quality over all queries whose id is divisible by 20
 
 HITS = 10

@@ -728,20 +728,23 @@ def vectors_without_sentinels(m: Media) -> DataFrame:
     return R.without_sentinel_vectors(m.region_ids, m.region("region_idx")).agg(F.count("*").alias("n"))
 
 
-def _assigned(m: Media) -> DataFrame:
-    """DP-means over all region vectors in order of capture, chapter by chapter."""
-    photos = m.some("taken_at")
-    timed = R.previous_times(photos).select("asset_id", "taken_at", R.time_factor(F.col("taken_at") - F.col("previous")).alias("factor"))
-    placed = R.with_chapter(timed, R.chapters(photos))
+def assigned(m: Media, timed: DataFrame) -> DataFrame:
+    """DP-means over all region vectors in order of capture, chapter by chapter. ``timed``: (asset_id, taken_at, factor)."""
+    placed = R.with_chapter(timed, R.chapters(m.some("taken_at")))
     real = m.region("asset_id", "region_idx").where("region_idx >= 0").join(m.regions_once, "region_id")
     rows = real.join(placed, "asset_id").withColumnRenamed("chapter_id", "scope")
     return R.dp_means(rows, "scope", ["taken_at", "asset_id", "region_idx", "region_id"], DIM)
 
 
-# One step of the recursion takes the next row of every chapter at once; only the latest state of a chapter is kept.
-_DPMEANS = f""", {_GAPS}, ch as (select asset_id, taken_at, case when prev is null or taken_at - prev > 604800 then 1.4 when taken_at - prev < 300 then 0.5 else 1.0 end::double factor,
-  sum(case when taken_at - prev <= 2592000 then 0 else 1 end) over (order by taken_at, asset_id rows unbounded preceding) - 1 scope from gaps),
- ordered as materialized (select scope::bigint scope, region_id, v, 0.24::double * factor tau, row_number() over (partition by scope order by taken_at, asset_id, region_idx, region_id) rn from r join vr using (region_id) join ch using (asset_id) where region_idx >= 0),
+def _assigned(m: Media) -> DataFrame:
+    timed = R.previous_times(m.some("taken_at")).select("asset_id", "taken_at", R.time_factor(F.col("taken_at") - F.col("previous")).alias("factor"))
+    return assigned(m, timed)
+
+
+def dpmeans_sql() -> str:
+    """SQL of the online clustering over ch (asset_id, taken_at, factor, scope). One step of the recursion takes the next row of every chapter at
+    once; only the latest state of a chapter is kept."""
+    return """, ordered as materialized (select scope::bigint scope, region_id, v, 0.24::double * factor tau, row_number() over (partition by scope order by taken_at, asset_id, region_idx, region_id) rn from r join vr using (region_id) join ch using (asset_id) where region_idx >= 0),
  state as (with recursive s(scope, i, protos, counts, ids) using key (scope) as (select scope, 0::bigint, []::double[][], []::bigint[], []::bigint[] from ordered where rn = 1
   union all select scope, i + 1, case when hit then list_transform(protos, lambda p, j: case when j = best then moved else p end) else list_append(protos, v) end,
    case when hit then list_transform(counts, lambda c, j: case when j = best then c + 1 else c end) else list_append(counts, 1) end, list_append(ids, case when hit then best - 1 else len(protos) end)
@@ -751,6 +754,10 @@ _DPMEANS = f""", {_GAPS}, ch as (select asset_id, taken_at, case when prev is nu
  named as (select o.scope, o.region_id, (b.first + b.ids[o.rn])::bigint cluster_id from ordered o join base_ b using (scope))"""
 
 
+_DPMEANS = f""", {_GAPS}, ch as (select asset_id, taken_at, case when prev is null or taken_at - prev > 604800 then 1.4 when taken_at - prev < 300 then 0.5 else 1.0 end::double factor,
+  sum(case when taken_at - prev <= 2592000 then 0 else 1 end) over (order by taken_at, asset_id rows unbounded preceding) - 1 scope from gaps)""" + dpmeans_sql()
+
+
 @_query(_DPMEANS + " select scope, region_id, cluster_id from named")
 def dpmeans_assignments(m: Media) -> DataFrame:
     return R.global_ids(_assigned(m))
