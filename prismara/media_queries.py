@@ -788,17 +788,6 @@ def singleton_rate(m: Media) -> DataFrame:
     return M.size_profile(M.sizes(m.region("cluster_id"), "cluster_id")).select("clusters", F.round("singleton_rate", 9).alias("singleton_rate"), F.round("top_share", 9).alias("top_share"))
 
 
-@_query(f"""select round(avg(case when r1.cluster_id = (select cluster_id from lab where region_id = (select min(region_id) from lab)) then 1.0 else 0.0 end::double), 9) hit_rate
- from (select region_id from vr join lab using (region_id), (select v qv from vr where region_id = (select min(region_id) from lab)) where region_id <> (select min(region_id) from lab) order by list_distance(v, qv), region_id limit {K}) x join lab r1 using (region_id)""".replace("select round", ", lab as (select region_id, cluster_id from r where cluster_id is not null and region_id in (select region_id from vr)) select round", 1))
-def hit_at_k(m: Media) -> DataFrame:
-    labels = m.region("cluster_id").where("cluster_id is not null").select(F.col("region_id").alias("id"), F.col("cluster_id").alias("label")).join(m.region_ids.select(F.col("region_id").alias("id")), "id", "left_semi")
-    first = labels.agg(F.min("id")).first()[0]
-    rows = m.region_vectors.join(labels.select(F.col("id").alias("region_id")), "region_id", "left_semi")
-    near = knn.knn(rows.where(F.col("region_id") != first), "region_id", knn.query_vector(rows, "region_id", first), K)
-    ranked = near.select(F.lit(first).alias("query_id"), F.col("region_id").alias("id"), F.row_number().over(W.orderBy("dist", "region_id")).alias("rank"))
-    return M.hit_rate(ranked, labels, K).select(F.round("hit_rate", 9).alias("hit_rate"))
-
-
 @_query("select share, v as value from (select 0.5::double share, quantile_disc(size, 0.5) v from a union all select 0.95, quantile_disc(size, 0.95) from a)")
 def latency_percentiles(m: Media) -> DataFrame:
     return M.nearest_rank(m.some("size"), "size")

@@ -30,14 +30,9 @@ def taken(column: str = "taken_at") -> Column:
     return F.coalesce(F.col(column), F.lit(0))
 
 
-def timeline_page(assets: DataFrame, cursor: tuple[int, int] | None = None, page_size: int = 200, folder_id: int | None = None) -> DataFrame:
-    """A page of the timeline: newest first, larger ids first in a tie, after ``cursor``; 1 to 500 rows.
-
-    ``assets`` may hold a key twice, in two states of one capture time and folder. So cursor and folder are conditions on the raw rows
-    that reach the scan, the order is a top-k per task, and only the rows of the page are settled: no table is shuffled. The page is read
-    at once; it is small by definition.
-    """
-    n = max(1, min(PAGE_LIMIT, page_size))
+def timeline_order(assets: DataFrame, cursor: tuple[int, int] | None = None, folder_id: int | None = None) -> DataFrame:
+    """Raw rows after ``cursor``, newest first, larger ids first in a tie. Cursor and folder are conditions on plain columns that reach the
+    scan; a limit on the result is a top-k per task."""
     rows = assets.where("asset_id is not null")
     if folder_id is not None:
         rows = rows.where(F.col("folder_id") == folder_id)
@@ -45,10 +40,22 @@ def timeline_page(assets: DataFrame, cursor: tuple[int, int] | None = None, page
         t, i = cursor
         at = F.col("taken_at")
         before = (at < t) | ((at == t) & (F.col("asset_id") < i))
-        none = F.lit(t > 0) if t != 0 else F.col("asset_id") < i
-        rows = rows.where(before | (at.isNull() & none))
-    ordered = rows.orderBy(F.desc(taken()), F.desc("asset_id"))
-    most, found = 2 * n + 16, []
+        if t > 0:
+            before = before | at.isNull()
+        elif t == 0:
+            before = before | (at.isNull() & (F.col("asset_id") < i))
+        rows = rows.where(before)
+    return rows.orderBy(F.desc(taken()), F.desc("asset_id"))
+
+
+def timeline_page(assets: DataFrame, cursor: tuple[int, int] | None = None, page_size: int = 200, folder_id: int | None = None) -> DataFrame:
+    """A page of the timeline: newest first, larger ids first in a tie, after ``cursor``; 1 to 500 rows.
+
+    ``assets`` may hold a key twice, in two states of one capture time and folder; only the rows of the page are settled, so no table is
+    shuffled. The page is read at once; it is small by definition.
+    """
+    n = max(1, min(PAGE_LIMIT, page_size))
+    ordered, most = timeline_order(assets, cursor, folder_id), 2 * n + 16
     while True:
         found = ordered.limit(most).collect()
         # rows of one key are next to each other; the last key may have more of them

@@ -13,11 +13,11 @@ from prismara.storage import materialise
 STARTS = 10
 
 
-def fitted(rows: DataFrame, column: str, k: int, starts: int = STARTS, seed: int = 0, rounds: int = 20) -> KMeansModel:
-    """The model with the least cost of several starts."""
+def fitted(rows: DataFrame, column: str, k: int, starts: int | None = None, seed: int = 0, rounds: int = 20) -> KMeansModel:
+    """The model with the least cost of several starts, STARTS unless said otherwise."""
     features = materialise(rows.select(array_to_vector(column).alias("features")), "features")  # read by every round of every start
     best = None
-    for s in range(starts):
+    for s in range(starts or STARTS):
         model = KMeans(k=k, seed=seed + s, maxIter=rounds).fit(features)
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
@@ -32,7 +32,7 @@ def assigned(model: KMeansModel, rows: DataFrame, key: str, column: str) -> Data
     return placed.select(key, F.col("prediction").alias("cluster"), F.sqrt(far).alias("distance"))
 
 
-def two_levels(rows: DataFrame, key: str, column: str, fine: int, coarse: int, starts: int = STARTS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def two_levels(rows: DataFrame, key: str, column: str, fine: int, coarse: int, starts: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(key, cluster, distance) and (cluster, parent): k-means of the rows, and k-means of its centres."""
     model = fitted(rows, column, fine, starts, seed)
     centres = rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], f"cluster int, {column} array<double>")

@@ -70,10 +70,9 @@ def top_per_group(rows: DataFrame, group: str, m: int, *order) -> DataFrame:
 
 def routed(queries: DataFrame, representatives: DataFrame) -> DataFrame:
     """(query_id, cluster): each query (id, v) goes to the cluster of its most similar representative (cluster, v), the smallest cluster of
-    equals. Representatives are a few for each cluster; knn.nearest_anchor goes through them in blocks."""
+    equals. Representatives are at most 1,024 for each cluster; knn.nearest_anchor goes through them in blocks."""
     from prismara.plans.knn import nearest_anchor
 
-    place = representatives.withColumn("anchor", F.xxhash64("cluster", "v"))
-    near = nearest_anchor(queries, "id", place.dropDuplicates(["anchor"]).select("anchor", "v"))
-    named = place.groupBy("anchor").agg(F.min("cluster").alias("cluster"))
-    return near.join(named, "anchor").select(F.col("id").alias("query_id"), "cluster")
+    place = F.row_number().over(W.partitionBy("cluster").orderBy("v")) - 1
+    anchors = representatives.select((F.col("cluster") * 1_024 + place).alias("anchor"), "v")  # in order of cluster
+    return nearest_anchor(queries, "id", anchors).select(F.col("id").alias("query_id"), F.floor(F.col("anchor") / 1_024).cast("long").alias("cluster"))

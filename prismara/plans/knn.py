@@ -67,12 +67,6 @@ def vector_keys(table: DataFrame, key: str, dim: int, column: str = "embedding",
     return table.where(F.col(key).isNotNull() & usable(column, dim, first)).select(F.col(key).cast("long").alias(key)).distinct()
 
 
-def query_vector(vectors: DataFrame, key: str, value: int) -> list[float]:
-    """The unit vector of a key; empty if there is none."""
-    row = vectors.where(F.col(key) == value).agg(F.min("v").alias("v")).first()
-    return list(row["v"] or [])
-
-
 def first_vector(table: DataFrame, key: str, dim: int, column: str = "embedding", first: int | None = None) -> list[float]:
     """The unit vector of the smallest key with a usable vector; empty if there is none. A top-1 per task; only it reaches the driver."""
     row = table.where(F.col(key).isNotNull() & usable(column, dim, first)).select(key, column).orderBy(key, column).limit(1).collect()

@@ -1,5 +1,6 @@
 """What SQL cannot say, and small cases by hand: files, snapshots, streams, folds, pixels, tokenizers."""
 
+import math
 import time
 from pathlib import Path
 
@@ -11,6 +12,7 @@ from prismara import schema
 from prismara.functions import scalars as S
 from prismara.functions import wordpiece
 from prismara.operators import assets as A
+from prismara.operators import clusters
 from prismara.operators import lifecycle as L
 from prismara.operators import metrics as M
 from prismara.operators import regions as R
@@ -105,6 +107,19 @@ def test_pages_join_to_the_full_order(spark):
     assert [(g.year, g.n) for g in groups] == [("1970", 1), ("2023", 10)] and list(groups[1]["items"])[0] == 10
 
 
+def test_a_page_is_a_condition_of_the_scan(spark, tmp_path):
+    rows = [asset(i, folder=1 + i % 2, taken=t) for i, t in enumerate([5, 5, None, 0, -3, 7, None, 5])]
+    assets(spark, *rows, asset(7, folder=2, taken=5, status="pending"), *[rows[1]] * 40).write.parquet(str(tmp_path / "a"))
+    raw = spark.read.parquet(str(tmp_path / "a"))
+    plan = A.timeline_order(raw, (5, 3), 2).limit(9)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Exchange" not in plan and "LessThan(taken_at,5)" in plan and "EqualTo(folder_id,2)" in plan
+    order = [(r.taken_at, r.asset_id) for r in A.timeline_page(raw, None, 50).collect()]
+    assert order == [(7, 5), (5, 7), (5, 1), (5, 0), (0, 6), (0, 3), (0, 2), (-3, 4)]
+    for n, at in enumerate(order):
+        assert [(r.taken_at, r.asset_id) for r in A.timeline_page(raw, at, 3).collect()] == order[n + 1 : n + 4]
+    assert {r.status for r in A.timeline_page(raw, None, 50).collect()} == {"ready"}
+
+
 def test_repeated_rows_count_once(spark):
     rows = assets(spark, asset(1, status="pending", width=None), asset(1), asset(2), asset(2), asset(3, status="pending"))
     got = {r.asset_id: r.status for r in A.current(rows).collect()}
@@ -404,6 +419,64 @@ def test_metrics(spark):
     assert M.hit_rate(ranked, labels, 2).first()[0] == 0.5
 
 
+def test_kmeans_in_two_levels(spark):
+    rng = np.random.default_rng(8)
+    middles = np.array([[0, 0], [0, 1], [10, 0], [10, 1]], float)
+    rows = [(i, (middles[i % 4] + 0.05 * rng.standard_normal(2)).tolist()) for i in range(80)]
+    df = spark.createDataFrame(rows, "region_id long, v array<double>")
+    placed, parents = clusters.two_levels(df, "region_id", "v", 4, 2, starts=3)
+    at = {r.region_id: r.cluster for r in placed.collect()}
+    assert len({at[i] for i in range(4)}) == 4 and all(at[i] == at[i % 4] for i in range(80)) and placed.agg(F.max("distance")).first()[0] < 0.3
+    above = {r.cluster: r.parent for r in parents.collect()}
+    assert above[at[0]] == above[at[1]] != above[at[2]] == above[at[3]]
+    near = clusters.members_by_distance(placed, 2, "region_id").collect()
+    assert len(near) == 8 and all(a.distance <= b.distance for a in near for b in near if a.cluster == b.cluster and a["rank"] < b["rank"])
+    signed = {r.region_id: r.signature for r in clusters.signature(df, "region_id", "v", 2).collect()}
+    assert math.dist(signed[0], signed[2]) == pytest.approx(math.dist(rows[0][1], rows[2][1]), abs=1e-6)
+
+
+def test_queries_in_blocks_and_routing(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, unit(*rng.standard_normal(6))) for i in range(120)] + [(200, unit(1, 0, 0, 0, 0, 0)), (201, unit(1, 0, 0, 0, 0, 0))]
+    df = spark.createDataFrame(rows, "region_id long, v array<double>")
+    asked = df.where("region_id % 20 = 0")
+    for block in (1_000, 2):
+        got = {}
+        for r in knn.nearest_many(df, asked, "region_id", 5, block).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = r.region_id
+        for i, v in rows:
+            if i % 20 == 0:
+                want = sorted((round(math.dist(v, w), 9), j) for j, w in rows if j != i)[:5]
+                assert [got[i][k] for k in range(1, 6)] == [j for _, j in want]
+    assert knn.nearest_many(df, asked.limit(0), "region_id", 5).count() == 0
+    reps = spark.createDataFrame([(4, unit(1, 0, 0, 0, 0, 0)), (2, unit(1, 0, 0, 0, 0, 0)), (9, unit(0, 1, 0, 0, 0, 0))], "cluster long, v array<double>")
+    ask = spark.createDataFrame([(1, unit(1, 0.1, 0, 0, 0, 0)), (3, unit(0, 1, 0.2, 0, 0, 0))], "id long, v array<double>")
+    assert {r.query_id: r.cluster for r in M.routed(ask, reps).collect()} == {1: 2, 3: 9}
+
+
+def test_folders_prototypes_and_reindexing(spark):
+    f = folders(spark, (1, "/a", None, "local", "online", 1), (5, "/b", None, "local", "offline", 2))
+    wanted = spark.createDataFrame([("/b", "B"), ("/c", "C"), ("/aa", None), ("/c", None), (None, "x")], "path string, label string")
+    now, found = L.folders_for(f, wanted, 9)
+    assert {(r.path, r.folder_id, r.created) for r in found.collect()} == {("/b", 5, False), ("/aa", 6, True), ("/c", 7, True)} and now.count() == 4
+    assert L.folders_for(f, wanted.limit(0), 9)[0].count() == 2
+    a = assets(spark, asset(1), asset(2, folder=2))
+    v = spark.createDataFrame([(1,), (2,), (3,)], "asset_id long")
+    registry = spark.createDataFrame([(1, "active"), (2, "disabled")], "index_id int, status string")
+    for scope, cleared, left in (({}, {1: 3}, {1: 0, 2: 3}), ({"folder_id": 2}, {1: 1}, {1: 2, 2: 3}), ({"ids": v.where("asset_id = 1")}, {1: 1, 2: 1}, {1: 2, 2: 2})):
+        out, counts = L.reindex({1: v, 2: v}, registry, a, **scope)
+        assert {r.index_id: r.cleared for r in counts.collect()} == cleared and {i: df.count() for i, df in out.items()} == left
+    clusters_ = spark.createDataFrame([(2, 7, 1, [1.0], 3, 10)], schema.SCHEMAS["region_clusters"])
+    new = spark.createDataFrame([(2, 7, 2, [0.5], 4, 20), (2, 8, 2, [0.1], 1, 20)], schema.SCHEMAS["region_clusters"])
+    both = L.upsert_prototypes(clusters_, new)
+    assert [(r.cluster_id, r.chapter_id, r.member_count, r.created_at) for r in both.orderBy("cluster_id").collect()] == [(7, 2, 4, 10), (8, 2, 1, 20)]
+    assert [r.cluster_id for r in L.prototypes(L.delete_prototypes(both, new.where("cluster_id = 7")), 2).collect()] == [8]
+    chapters = schema.empty(spark, "region_chapters")
+    assert L.latest_chapter(chapters).count() == 0
+    total = A.pending_total(assets(spark, asset(1), asset(2), asset(3, status="pending")), f, spark.createDataFrame([(1,), (2,)], "index_id int"), spark.createDataFrame([(1, 1), (3, 1), (1, 2), (1, 2)], "index_id int, asset_id long"))
+    assert total.first()[0] == 2 and [r.asset_id for r in A.of_ids(a, list(range(2, 5_000))).collect()] == [2]
+
+
 # Files, snapshots, streams
 
 
