@@ -14,9 +14,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismara.storage import table_path
 from prismara.tables import one_per_key
 
 HOT_SHARE = 1 / 500
@@ -64,6 +65,30 @@ def advance(state: DataFrame | None, changes: DataFrame) -> DataFrame:
     return both.groupBy("table_name", "key").agg(F.sum("refs").alias("refs"), F.sum("present").alias("present")).where("refs <> 0 or present <> 0")
 
 
+class Ledger:
+    """The state kept in a folder: every batch of deltas makes a new version of it, and a reopened ledger goes on from the last complete one.
+    A batch costs its own size and that of the counts, never the rows behind them; a version that broke off is written anew."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path, self.version = spark, path or table_path(spark, "ledger"), 0
+        while self._whole(self.version + 1):
+            self.version += 1
+
+    def _whole(self, version: int) -> bool:
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state-{version}/_SUCCESS")
+        return done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done)
+
+    @property
+    def state(self) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.path}/state-{self.version}") if self.version else None
+
+    def apply(self, changes: DataFrame) -> DataFrame:
+        """The state after ``changes``."""
+        advance(self.state, changes).write.mode("overwrite").parquet(f"{self.path}/state-{self.version + 1}")
+        self.version += 1
+        return self.state
+
+
 def orphan_keys(state: DataFrame) -> DataFrame:
     return state.where((F.col("refs") > 0) & (F.col("present") <= 0)).select("table_name", "key", "refs")
 
