@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ BURST_SECONDS, BURST_FACTOR = 300, 0.5
 LONG_SECONDS, LONG_FACTOR = 7 * 86_400, 1.4
 CHAPTER_SECONDS = 30 * 86_400
 AREA_LEAST, AREA_MOST = 0.0008, 0.85
+#: Rows of a chapter that meet its prototypes in one product.
+ROWS_AT_ONCE = 256
 #: Ids of one second that a task relates at once.
 ID_BLOCK = 65_536
 PAD, SIDE_LEAST, IOU_MOST, BOXES_MOST, MASK_SIDE = 0.12, 24, 0.85, 24, 256
@@ -112,6 +115,49 @@ class Prototypes:
         return n
 
 
+    def add_all(self, x: np.ndarray, tau: np.ndarray) -> np.ndarray:
+        """As add() of each row in order. A block of rows meets the prototypes as they stand at its begin in one product; those that have
+        moved or come since are kept apart, and only these are compared again for each row."""
+        out = np.empty(len(x), np.int64)
+        for s in range(0, len(x), ROWS_AT_ONCE):
+            part = x[s : s + ROWS_AT_ONCE]
+            near = part @ self.vectors[: len(self.counts)].T
+            moved, slots, names = np.empty((len(part), self.dim)), {}, []
+            for i, v in enumerate(part):
+                best, sim = (int(near[i].argmax()), 0.0) if near.shape[1] else (-1, -np.inf)
+                sim = near[i, best] if best >= 0 else sim
+                if names:
+                    later = moved[: len(names)] @ v
+                    top = later.max()
+                    if top >= sim:
+                        first = min(names[j] for j in np.flatnonzero(later == top))
+                        best, sim = (first if top > sim else min(first, best)), top
+                if best >= 0 and 1.0 - sim <= tau[s + i]:
+                    count = self.counts[best]
+                    fresh = (self.vectors[best] * count + v) / (count + 1.0)
+                    length = float(np.sqrt(fresh @ fresh))
+                    self.vectors[best] = fresh / length if length > 1e-9 else fresh
+                    self.counts[best] += 1
+                else:
+                    best = self._append(v)
+                if best not in slots:
+                    slots[best] = len(names)
+                    names.append(best)
+                    if best < near.shape[1]:
+                        near[i + 1 :, best] = -np.inf
+                moved[slots[best]] = self.vectors[best]
+                out[s + i] = best
+        return out
+
+    def _append(self, v: np.ndarray) -> int:
+        n = len(self.counts)
+        if n == len(self.vectors):
+            self.vectors = np.vstack([self.vectors, np.zeros((max(64, n), self.dim))])
+        self.vectors[n] = v
+        self.counts.append(1)
+        return n
+
+
 def dp_means(rows: DataFrame, scope: str, order: list[str], dim: int, tau: float = TAU) -> DataFrame:
     """(scope, region_id, local_id) for rows (scope, region_id, v, factor, and the columns of order), by DP-means in that order.
 
@@ -121,17 +167,24 @@ def dp_means(rows: DataFrame, scope: str, order: list[str], dim: int, tau: float
     names = [scope, "region_id", "v", "factor"]
     ordered = rows.where(F.size("v") == dim).select(*dict.fromkeys([*names, *order])).repartition(scope).sortWithinPartitions(scope, *order)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, at = Prototypes(dim), None
-        for pdf in batches:
-            out = []
-            for s, region, v, factor in zip(pdf[scope], pdf["region_id"], pdf["v"], pdf["factor"]):
-                if s != at:
-                    state, at = Prototypes(dim), s
-                out.append((s, region, state.add(np.asarray(v, np.float64), tau * factor)))
-            yield pd.DataFrame(out, columns=["scope", "region_id", "local_id"])
-
-    return ordered.select(*names).mapInPandas(run, "scope long, region_id long, local_id long")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            scopes = batch.column(0).to_pylist()
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
+            limits = tau * batch.column(3).to_numpy()
+            begins = [0, *[i for i in range(1, len(scopes)) if scopes[i] != scopes[i - 1]], len(scopes)]
+            found = []
+            for a, b in zip(begins, begins[1:]):
+                if scopes[a] != at:
+                    state, at = Prototypes(dim), scopes[a]
+                found.append(state.add_all(x[a:b], limits[a:b]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(found))], ["scope", "region_id", "local_id"])
+
+    typed = ordered.select(F.col(scope).cast("long").alias("scope"), F.col("region_id").cast("long").alias("region_id"), F.col("v").cast("array<double>").alias("v"), F.col("factor").cast("double").alias("factor"))
+    return typed.mapInArrow(run, "scope long, region_id long, local_id long")
 
 
 def global_ids(assigned: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def region_maxsim(region_vectors: DataFrame, regions: DataFrame, query: list[flo
 
 def nearest_many(vectors: DataFrame, queries: DataFrame, key: str, k: int, block: int = ANCHORS) -> DataFrame:
     """(query_id, key, dist, rank): for each row of ``queries`` (key, v) its k nearest among ``vectors``, itself left out, ties by key. Keys are
-    unique on both sides. Queries go to every task in blocks of about ``block``, one pass over the vectors each; of a batch only the k best
+    unique on both sides. Queries go to every task in blocks of about ``block``, one pass over the vectors each; of a task only the k best
     of a query leave, and no vector is shuffled."""
     parts = max(1, -(-queries.count() // block))
     found = []
@@ -165,26 +165,30 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, key: str, k: int, block
 
 def _near_block(vectors: DataFrame, key: str, k: int, names: np.ndarray, asked: np.ndarray) -> DataFrame:
     half = (asked * asked).sum(1)
+    none = np.iinfo(np.int64).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the best so far of every query; only these leave the task
+        dist, held = np.full((len(names), k), np.inf), np.full((len(names), k), none)
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy()
-            order = np.argsort(ids)
-            ids = ids[order]
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)[order]
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             square = (x * x).sum(1)
             for s in range(0, len(names), 1024):
-                far = half[s : s + 1024, None] + square[None, :] - 2 * asked[s : s + 1024] @ x.T
-                far[names[s : s + 1024, None] == ids[None, :]] = np.inf
+                part = slice(s, min(s + 1024, len(names)))
+                far = half[part, None] + square[None, :] - 2 * asked[part] @ x.T
+                far[names[part, None] == ids[None, :]] = np.inf
                 # a few more than k, as the quick form of the distance is not exact to the last digit
-                best = np.argpartition(far, min(k + 8, far.shape[1] - 1), axis=1)[:, : k + 8]
-                q, at = np.repeat(np.arange(s, s + len(far)), best.shape[1]), best.ravel()
-                own = ids[at] != names[q]
-                q, at = q[own], at[own]
-                dist = np.sqrt(((asked[q] - x[at]) ** 2).sum(1))
-                yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(ids[at]), pa.array(dist)], ["query_id", key, "dist"])
+                at = np.argpartition(far, min(k + 8, far.shape[1] - 1), axis=1)[:, : k + 8]
+                exact = np.sqrt(((asked[part, None, :] - x[at]) ** 2).sum(2))
+                exact[ids[at] == names[part, None]] = np.inf
+                every, who = np.concatenate([dist[part], exact], 1), np.concatenate([held[part], ids[at]], 1)
+                best = np.lexsort((who, every))[:, :k]
+                dist[part], held[part] = np.take_along_axis(every, best, 1), np.take_along_axis(who, best, 1)
+        q, j = np.nonzero(np.isfinite(dist))
+        yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(held[q, j]), pa.array(dist[q, j])], ["query_id", key, "dist"])
 
     return vectors.select(key, "v").mapInArrow(run, f"query_id long, {key} long, dist double")
 

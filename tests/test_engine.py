@@ -363,7 +363,16 @@ def test_dp_means_by_hand(spark):
     assert [state.add(np.array([1.0, 0.0]), 0.25), state.add(exact, 0.25)] == [0, 0]  # a distance of just tau still matches
 
 
-def test_dp_means_equals_a_replay(spark):
+@pytest.mark.parametrize("block", [256, 7])
+def test_dp_means_equals_a_replay(spark, block, monkeypatch):
+    monkeypatch.setattr(R, "ROWS_AT_ONCE", block)
+    state, rng = R.Prototypes(3), np.random.default_rng(2)
+    x = rng.standard_normal((400, 3))
+    x[100:150] = x[:50]  # ties
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    one = R.Prototypes(3)
+    assert state.add_all(x, np.full(400, 0.1)).tolist() == [one.add(v, 0.1) for v in x] and state.counts == one.counts
+    assert np.allclose(state.vectors[: len(state.counts)], one.vectors[: len(one.counts)]) and R.Prototypes(3).add_all(x[:0], x[:0, 0]).tolist() == []
     rng = np.random.default_rng(1)
     rows = [(int(s), i, unit(*rng.standard_normal(4)), float(rng.choice([0.5, 1.0, 1.4])), int(rng.integers(0, 50))) for i, s in enumerate(rng.integers(0, 3, 200))]
     df = spark.createDataFrame(rows, "scope long, region_id long, v array<double>, factor double, at int")
