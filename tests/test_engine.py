@@ -245,6 +245,9 @@ def test_full_text_semantics(spark):
     # two overlapping occurrences rank before one
     assert [i for i, _ in both("aaa")] == [4, 5]
     assert {i for i, _ in both("😀😀😀")} == {6}
+    empty = docs.limit(0)
+    assert fts.search_scan(empty, "beach", 5).count() == fts.Postings(empty).search("beach", 5).count() == 0
+    assert [r.asset_id for r in fts.Postings(docs).search("IMG 2023", 5).collect()] == [0]
 
 
 def test_full_text_equals_sqlite(spark):
