@@ -104,11 +104,13 @@ def _filtered(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
 
 
 def _looked_up(known: DataFrame, chunked: DataFrame) -> DataFrame:
-    """Rows of the history's chunk table whose chunk may be among those of a batch. Up to ``MARKED`` chunks of a batch go to every task as a
-    bit map of ``MAP_BITS`` bits of their hashes, and the table stays where it is; some chunks pass by chance, which changes no result.
-    Beyond, both are joined in a shuffle."""
-    if chunked.count() > MARKED:
-        return known.join(chunked.select("chunk").distinct(), "chunk", "left_semi")
+    """Rows of the history's chunk table whose chunk may be among those of a batch. Up to ``SENT`` chunks of a batch go to every task as they
+    are, up to ``MARKED`` as a bit map of ``MAP_BITS`` bits of their hashes, through which some others pass by chance, which changes no
+    result; either way the table stays where it is. Beyond, both are joined in a shuffle."""
+    n = chunked.count()
+    if n <= SENT or n > MARKED:
+        keys = chunked.select("chunk").distinct()
+        return known.join(F.broadcast(keys) if n <= SENT else keys, "chunk", "left_semi").select("chunk", "cid")
     place = lambda c: c.view(np.uint64) >> np.uint64(64 - MAP_BITS)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -298,7 +298,7 @@ def batches():
     return held, [*came, *came[:20]]
 
 
-@pytest.mark.parametrize("hot,marked,sent", [(256, 4_000_000, 1_000_000), (2, 4_000_000, 1_000_000), (256, 10, 3), (2, 10, 3)])
+@pytest.mark.parametrize("hot,marked,sent", [(256, 4_000_000, 1_000_000), (2, 4_000_000, 1_000_000), (256, 4_000_000, 3), (256, 10, 3), (2, 10, 3)])
 def test_repeats_equal_brute_force(spark, batches, hot, marked, sent, monkeypatch):
     """Hot chunks and cool ones, keys sent to the tasks and keys joined in a shuffle: the same rows."""
     monkeypatch.setattr(dedup, "MARKED", marked)
