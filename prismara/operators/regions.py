@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prismara.functions import scalars as S
-from prismara.operators.sessions import SLICE_SECONDS, sessions
+from prismara.operators.sessions import SLICE_SECONDS
 
 # Fixed values of the online clustering and of the box filter.
 TAU = 0.24
@@ -70,10 +70,18 @@ def place_chapter(minutes: Column, km: Column) -> Column:
 
 
 def chapters(photos: DataFrame) -> DataFrame:
-    """(chapter_id, started_at, ended_at, n): runs of photos with at most 30 days from one to the next, numbered from 0."""
-    runs = sessions(photos.withColumn("_all", F.lit(0)), "_all", "taken_at", CHAPTER_SECONDS, "asset_id", slice_seconds=4 * CHAPTER_SECONDS)
-    # a row per chapter, at least 30 days apart each
-    return runs.select((F.row_number().over(W.partitionBy("_all").orderBy("started_at")) - 1).cast("long").alias("chapter_id"), "started_at", "ended_at", F.col("n_events").alias("n"))
+    """(chapter_id, started_at, ended_at, n): runs of photos with at most 30 days from one to the next, numbered from 0.
+
+    Times of one slice of 30 days are less than 30 days apart, so a slice lies in one chapter as a whole: photos are summed per slice
+    before the shuffle, and only a row per slice that holds photos is put in order.
+    """
+    rows = photos.where("taken_at is not null")
+    once = rows.groupBy("asset_id", F.when(F.col("asset_id").isNull(), F.monotonically_increasing_id()).alias("_u")).agg(F.min(F.col("taken_at").cast("long")).alias("t"))
+    slices = once.groupBy(F.floor(F.col("t") / CHAPTER_SECONDS).alias("_s")).agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("n"))
+    by_time = W.partitionBy(F.lit(0)).orderBy("first")
+    begins = slices.withColumn("_b", F.coalesce((F.col("first") - F.lag("last").over(by_time) > CHAPTER_SECONDS).cast("long"), F.lit(1)))
+    named = begins.withColumn("chapter_id", F.sum("_b").over(by_time.rowsBetween(W.unboundedPreceding, 0)) - 1)
+    return named.groupBy("chapter_id").agg(F.min("first").alias("started_at"), F.max("last").alias("ended_at"), F.sum("n").alias("n"))
 
 
 def with_chapter(photos: DataFrame, parts: DataFrame) -> DataFrame:

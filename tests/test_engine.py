@@ -395,6 +395,18 @@ def test_dp_means_equals_a_replay(spark, block, monkeypatch):
             assert got[i] == k
 
 
+def test_chapters_of_a_dense_timeline(spark):
+    """A photo at nearly every second of a month: no photo is held against all others of its 30 days."""
+    began = time.monotonic()
+    day = 86_400
+    photos = spark.range(300_000).select(F.col("id").alias("asset_id"), (F.col("id") * 8 - 1_000_000).alias("taken_at"))
+    late = spark.createDataFrame([(-1, 1_399_992 + 30 * day), (-2, 1_399_992 + 60 * day + 1), (-2, 1_399_992 + 60 * day + 1), (-3, None)], "asset_id long, taken_at long")
+    got = [tuple(r) for r in R.chapters(photos.unionByName(late)).orderBy("chapter_id").collect()]
+    assert got == [(0, -1_000_000, 1_399_992 + 30 * day, 300_001), (1, 1_399_992 + 60 * day + 1, 1_399_992 + 60 * day + 1, 1)]
+    assert time.monotonic() - began < 60
+    assert R.chapters(photos.limit(0)).count() == 0
+
+
 def test_time_relations_across_slices(spark):
     times = [5, 100, 100, 1_000, 50_000, -70, None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "asset_id long, taken_at long")
