@@ -50,6 +50,8 @@ STEPS, ROUNDS, STILL = 8, 6, 1e-6
 GRID, BORDER, ALIKE, LLOYD = 1e-3, 0.1, 6, 50
 ROOM, LEAST_BLOCKS = 65_536, 6
 BLOCK, ROWS = 2_048, 8_192
+#: Components of the filter, rows of a tile, and the share of a tile (one in so many) from which the filter gives way to whole products.
+HEAD, TILE, MOST_OPEN = 40, 1_024, 16
 CENTRES = 20_000
 FLOAT_ERROR = 1e-5
 
@@ -141,6 +143,41 @@ def _at_least(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     return out
 
 
+def _split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first HEAD components of each row, and the length of the rest: a product of two rows differs from that of their heads by at most
+    the product of these lengths."""
+    return x[:, :HEAD], np.sqrt(np.einsum("ij,ij->i", x[:, HEAD:], x[:, HEAD:]))
+
+
+def _marked(flags: np.ndarray) -> np.ndarray:
+    """Flat places of the few true flags, by words of eight."""
+    flat = flags.reshape(-1)
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    words = np.flatnonzero(flat.view(np.uint64))
+    at = (words[:, None] * 8 + np.arange(8)).reshape(-1)
+    return at[flat[at]]
+
+
+def _pairs(x: np.ndarray, y: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all rows of x and y with similarity ``least`` or more, tile by tile. Pairs that the heads and the lengths of the
+    rests already tell apart are left there; the others are computed in double."""
+    (hx, tx), (hy, ty) = _split(x), _split(y)
+    left, right = np.column_stack([hx, tx]), np.column_stack([hy, ty])
+    floor = np.float32(least - FLOAT_ERROR)
+    for r in range(0, len(x), TILE):
+        for c in range(0, len(y), TILE):
+            near = left[r : r + TILE] @ right[c : c + TILE].T >= floor
+            if np.count_nonzero(near) * MOST_OPEN > near.size:
+                i, j = np.nonzero(_at_least(x[r : r + TILE], y[c : c + TILE], least))
+            else:
+                i, j = np.divmod(_marked(near), near.shape[1])
+                sure = np.einsum("ij,ij->i", x[r + i].astype(np.float64), y[c + j].astype(np.float64)) >= least
+                i, j = i[sure], j[sure]
+            if len(i):
+                yield i + r, j + c
+
+
 def _hubs(shared, least: float):
     """(i, j): each landmark and its hub, the first of all landmarks that have similarity ``least`` or more to it."""
 
@@ -178,14 +215,11 @@ def _firsts(least: float):
             (ids, x), (others, y) = sides
             none = np.iinfo(np.int64).max
             best, back = np.full(len(x), none), np.full(len(y), none)
-            for r in range(0, len(x), BLOCK):
-                for c in range(0, len(y), BLOCK):
-                    near = _at_least(x[r : r + BLOCK], y[c : c + BLOCK], least)
-                    p, q = np.nonzero(near)
-                    apart = ids[p + r] != others[q + c]
-                    p, q = p[apart] + r, q[apart] + c
-                    np.minimum.at(best, p, others[q])
-                    np.minimum.at(back, q, ids[p])
+            for p, q in _pairs(x, y, least):
+                apart = ids[p] != others[q]
+                p, q = p[apart], q[apart]
+                np.minimum.at(best, p, others[q])
+                np.minimum.at(back, q, ids[p])
             for own, first in ((ids, best), (others, back)):
                 met = first < none
                 i.append(own[met])
@@ -227,7 +261,20 @@ def _plain(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.float32).reshape(-1, DIM).astype(np.float64), np.zeros(len(scale))
 
 
+def _around(x: np.ndarray, axis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the part along ``axis``, and of what is left the head, the length of the rest and the whole length."""
+    along = x @ axis
+    rest = x - along[:, None] * axis
+    head, tail = _split(rest)
+    return along, head, tail, np.sqrt(np.einsum("ij,ij->i", rest, rest))
+
+
 def _judge(least: float):
+    """Cogroup of rows and members of one group: an id that the vectors' error leaves open, or null for a group that is wrong.
+
+    Around an axis through the members most pairs are far on the right side; a bound of the product by its parts along the axis, by heads
+    and by the lengths of the rests settles these. Only what it leaves is computed in double."""
+
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         label, open_ = None, []
         if a.num_rows and b.num_rows:
@@ -235,16 +282,40 @@ def _judge(least: float):
             own = np.asarray(a.column("own").combine_chunks())
             ids, others = a.column("id").to_numpy(), b.column("id").to_numpy()
             label = a.column("label")[0].as_py()
-            for s in range(0, len(x), 512):
-                # how far each pair is on the wrong side: a member too far, or an outsider too near
-                wrong = np.where(own[s : s + 512, None], least - x[s : s + 512] @ y.T, x[s : s + 512] @ y.T - least)
-                error = ex[s : s + 512, None] + ey[None, :] + ex[s : s + 512, None] * ey[None, :]
-                wrong[ids[s : s + 512, None] == others[None, :]] = -2
-                certain = np.where(own[s : s + 512, None], wrong > error, (wrong >= error) & (wrong > -2))
-                if certain.any():
-                    open_ = [None]
-                    break
-                open_.extend(ids[s : s + 512][((wrong > -error) & (error > 0)).any(1)].tolist())
+            axis = y.sum(0)
+            axis = axis / max(np.linalg.norm(axis), 1e-30)
+            (ax, hx, tx, lx), (ay, hy, ty, ly) = _around(x, axis), _around(y, axis)
+            # members of the group first, those far from the axis before others, so that tiles of near ones need no product
+            rows, cols = np.lexsort((ax, ~own)), np.argsort(ay)
+            x, ex, own, ids, ax, hx, tx, lx = (v[rows] for v in (x, ex, own, ids, ax, hx, tx, lx))
+            y, ey, others, ay, hy, ty, ly = (v[cols] for v in (y, ey, others, ay, hy, ty, ly))
+            most = ex.max() + ey.max() + ex.max() * ey.max() + FLOAT_ERROR
+            side = np.where(own, 1.0, -1.0)
+            left = np.column_stack([side * ax, side[:, None] * hx, -tx, -(side * least + most)]).astype(np.float32)
+            right = np.column_stack([ay, hy, ty, np.ones(len(y))]).astype(np.float32)
+            for r in range(0, len(x), TILE):
+                here = slice(r, r + TILE)
+                for c in range(0, len(y), TILE):
+                    there = slice(c, c + TILE)
+                    if own[here].all() and min(ax[here].min(), ay[there].min()) > 0 and ax[here].min() * ay[there].min() - lx[here].max() * ly[there].max() > least + most:
+                        continue
+                    unsettled = left[here] @ right[there].T <= 0
+                    if np.count_nonzero(unsettled) * MOST_OPEN > unsettled.size:
+                        dot = x[here] @ y[there].T
+                        i, j = np.nonzero(np.ones(dot.shape, bool))
+                        dot = dot.reshape(-1)
+                    else:
+                        i, j = np.divmod(_marked(unsettled), unsettled.shape[1])
+                        dot = np.einsum("ij,ij->i", x[r + i], y[c + j])
+                    i, j = i + r, j + c
+                    # how far each pair is on the wrong side: a member too far, or an outsider too near
+                    wrong = np.where(own[i], least - dot, dot - least)
+                    error = ex[i] + ey[j] + ex[i] * ey[j]
+                    apart = ids[i] != others[j]
+                    if (apart & np.where(own[i], wrong > error, wrong >= error)).any():
+                        return pa.table({"label": pa.array([label], pa.int64()), "id": pa.array([None], pa.int64())})
+                    open_.extend(np.unique(ids[i[apart & (wrong > -error) & (error > 0)]]).tolist())
+            open_ = list(dict.fromkeys(open_))
         return pa.table({"label": pa.array([label] * len(open_), pa.int64()), "id": pa.array(open_, pa.int64())})
 
     return run
@@ -412,21 +483,28 @@ class Clusters:
 
         def unclear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, middle = shared.value
+            rough = middle.astype(np.float32)
+            # an outsider at least so near, as a cosine, may be alike to a member
+            near = (np.cos(np.minimum(angle + wide.value, np.pi)) - FLOAT_ERROR).astype(np.float32)
             for batch in batches:
                 ids, own = batch.column(0).to_numpy(), own_labels(batch.column(2))
                 x = unpack(batch.column(1)) if batch.num_rows else np.zeros((0, DIM), np.float32)
-                for s in range(0, len(x), 2048):
-                    theta = np.arccos(np.clip(x[s : s + 2048].astype(np.float64) @ middle.T, -1, 1))
-                    at = places(own[s : s + 2048], names)
-                    inner = np.zeros(theta.shape, bool)
+                for s in range(0, len(x), 1024):
+                    part = x[s : s + 1024]
+                    met = part @ rough.T >= near
+                    at = places(own[s : s + 1024], names)
                     rows = np.flatnonzero(at >= 0)
-                    inner[rows, at[rows]] = True
-                    open_ = np.where(inner, theta + wide.value > angle, theta - wide.value < angle)
-                    i, j = np.nonzero(open_)
+                    met[rows, at[rows]] = False
+                    i, j = np.divmod(_marked(met), len(names))
+                    i, j, inner = np.r_[i, rows], np.r_[j, at[rows]], np.r_[np.zeros(len(i), bool), np.ones(len(rows), bool)]
+                    theta = np.arccos(np.clip(np.einsum("ij,ij->i", part[i].astype(np.float64), middle[j]), -1, 1))
+                    # of two members that are apart the one farther from the centre has half of the angle at least: it alone is open
+                    open_ = np.where(inner, (theta + wide.value[j] > angle) & (theta > angle / 2 - slack), theta - wide.value[j] < angle)
+                    i, j, inner, theta = i[open_], j[open_], inner[open_], theta[open_]
                     if len(i):
                         # members of the group at more than ``bound`` from its centre can decide against this row
-                        bound = np.where(inner[i, j], angle - theta[i, j], theta[i, j] - angle) - slack
-                        yield pa.RecordBatch.from_arrays([pa.array(names[j]), pa.array(ids[i + s]), *_small(x[i + s]), pa.array(inner[i, j]), pa.array(bound)], ["label", "id", "small", "scale", "own", "bound"])
+                        bound = np.where(inner, angle - theta, theta - angle) - slack
+                        yield pa.RecordBatch.from_arrays([pa.array(names[j]), pa.array(ids[i + s]), *_small(part[i]), pa.array(inner), pa.array(bound)], ["label", "id", "small", "scale", "own", "bound"])
 
         open_rows = materialise(self.labelled.mapInArrow(unclear, "label long, id long, small binary, scale float, own boolean, bound double"), "unclear")
 

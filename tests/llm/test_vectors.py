@@ -125,6 +125,69 @@ def test_groups_of_copies_and_nothing(spark):
     assert spectral.found(table(spark, range(len(BAD)), BAD), "region_id", "embedding", 0.77).count() == 0
 
 
+def around(rng, axis, degrees):
+    """Unit vectors at these angles to the axis, in random directions."""
+    side = rng.standard_normal((len(degrees), 64))
+    side -= (side @ axis)[:, None] * axis
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    t = np.radians(degrees)[:, None]
+    return (np.cos(t) * axis + np.sin(t) * side).astype(np.float32)
+
+
+def test_few_rows_of_a_wide_group_are_compared(spark, monkeypatch):
+    """Of two members that are apart one has half of the angle at least, so members inside that are not rows of the comparison."""
+    rng = np.random.default_rng(3)
+    axes = np.linalg.qr(rng.standard_normal((64, 3)))[0].T
+    degrees = np.clip(rng.normal(19.2, 0.3, 400), 18, 20.4)
+    degrees[0] = 20.4
+    sound, other = around(rng, axes[0], degrees), around(rng, axes[1], degrees)
+    other[0], other[1] = (np.cos(np.radians(t)) * axes[1] + np.sin(np.radians(t)) * axes[2] for t in (20.4, -19.5))  # 39.9 degrees apart
+    seen, write = {}, spectral.materialise
+    monkeypatch.setattr(spectral, "materialise", lambda df, label: seen.setdefault(label, write(df, label)) if label == "unclear" else write(df, label))
+    got = {r.id: r.cluster_key for r in spectral.found(table(spark, range(800), np.vstack([sound, other])), "region_id", "embedding", 0.77).collect()}
+    assert got == {i: 0 for i in range(400)}
+    assert 0 < seen["unclear"].count() < 160  # 800 rows, most of them open by t + r alone
+
+
+@pytest.mark.parametrize("tile,most_open", [(1024, 16), (7, 16), (50, 10**9)])
+def test_comparisons_equal_whole_products(tile, most_open, monkeypatch):
+    monkeypatch.setattr(spectral, "TILE", tile)
+    monkeypatch.setattr(spectral, "MOST_OPEN", most_open)
+    rng = np.random.default_rng(5)
+    x, y = around(rng, np.eye(64)[0], rng.uniform(0, 80, 90)), around(rng, np.eye(64)[0], rng.uniform(0, 80, 130))
+    y[3], y[4] = x[8], -x[9]
+    least, dots = 0.77, x.astype(float) @ y.T.astype(float)
+    got = {(int(a), int(b)) for i, j in spectral._pairs(x, y, least) for a, b in zip(i, j)}
+    assert got == set(zip(*(v.tolist() for v in np.nonzero(dots >= least)))) and len(got) > 100
+    assert list(spectral._pairs(x[:0], y, least)) == []
+    verdicts = set()
+    for case in range(60):
+        spread = rng.choice([15.0, 19.0, 19.8, 20.3])
+        y = around(rng, np.eye(64)[1], rng.uniform(0, spread, 40))
+        near = rng.choice([45.0, 58.0, 70.0])
+        x = np.vstack([y[:20], around(rng, np.eye(64)[1], rng.uniform(near, 80, 15))])
+        if case % 3 == 0:  # two members at the border itself, or apart
+            t = np.arccos(least) / 2 + rng.choice([-1e-3, 1e-3])
+            x[0] = y[0] = np.cos(t) * np.eye(64)[1] + np.sin(t) * np.eye(64)[2]
+            y[1] = x[1] = np.cos(t) * np.eye(64)[1] - np.sin(t) * np.eye(64)[2]
+        own, ids = np.arange(35) < 20, np.r_[np.arange(20), 100 + np.arange(15)]
+        dots = x.astype(float) @ y.T.astype(float)
+        wrong = np.where(own[:, None], dots < least, dots >= least) & (ids[:, None] != np.arange(40))
+        for form in (spectral._exact, spectral._small):
+            (sx, cx), (sy, cy) = form(x), form(y)
+            a = pa.table({"label": pa.array([7] * 35), "id": ids, "small": sx, "scale": cx, "own": own})
+            b = pa.table({"label": pa.array([7] * 40), "id": np.arange(40), "small": sy, "scale": cy})
+            out = spectral._judge(least)(a, b).column("id").to_pylist()
+            if form is spectral._exact:
+                assert out == ([None] if wrong.any() else [])
+            elif out == [None]:
+                assert wrong.any()
+            else:
+                assert set(ids[wrong.any(1)].tolist()) <= set(out)
+            verdicts.add((form.__name__, out == [None], not out))
+    assert len(verdicts) >= 4
+
+
 def test_description_ranks_by_internal_affinity(spark, grouped):
     ids, x = grouped
     rows = spectral.described(table(spark, ids, x), "region_id", "embedding", 0.77).collect()
