@@ -23,6 +23,8 @@ CHAPTER_SECONDS = 30 * 86_400
 AREA_LEAST, AREA_MOST = 0.0008, 0.85
 #: Rows of a chapter that meet its prototypes in one product.
 ROWS_AT_ONCE = 256
+#: Components of the filter that tells rows and far prototypes apart, prototypes of a tile, and its error in single precision.
+HEAD, TILE, SINGLE_ERROR = 40, 4_096, 1e-5
 #: Ids of one second that a task relates at once.
 ID_BLOCK = 65_536
 PAD, SIDE_LEAST, IOU_MOST, BOXES_MOST, MASK_SIDE = 0.12, 24, 0.85, 24, 256
@@ -92,6 +94,20 @@ def with_chapter(photos: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.join(cut, "_s").where(F.col("taken_at").between(F.col("started_at"), F.col("ended_at"))).select(*photos.columns, "chapter_id")
 
 
+def _outline(x: np.ndarray) -> np.ndarray:
+    """The first HEAD components of each row and the length of the others: the product of two outlines is that of the rows or more."""
+    return np.column_stack([x[:, :HEAD], np.sqrt(np.einsum("ij,ij->i", x[:, HEAD:], x[:, HEAD:]))]).astype(np.float32)
+
+
+def _marked(flags: np.ndarray) -> np.ndarray:
+    """Flat places of the few true flags, by words of eight."""
+    flat = flags.reshape(-1)
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    at = (np.flatnonzero(flat.view(np.uint64))[:, None] * 8 + np.arange(8)).reshape(-1)
+    return at[flat[at]]
+
+
 @dataclass
 class Prototypes:
     """State of DP-means: unit prototypes with member counts; ids count up from ``first``."""
@@ -124,23 +140,33 @@ class Prototypes:
 
 
     def add_all(self, x: np.ndarray, tau: np.ndarray) -> np.ndarray:
-        """As add() of each row in order. A block of rows meets the prototypes as they stand at its begin in one product; those that have
-        moved or come since are kept apart, and only these are compared again for each row."""
+        """As add() of each row in order. A block of rows meets the prototypes as they stand at its begin; those that have moved or come
+        since are kept apart, and only these are compared again for each row."""
         out = np.empty(len(x), np.int64)
+        outlines, known = _outline(self.vectors), len(self.counts)
         for s in range(0, len(x), ROWS_AT_ONCE):
-            part = x[s : s + ROWS_AT_ONCE]
-            near = part @ self.vectors[: len(self.counts)].T
-            moved, slots, names = np.empty((len(part), self.dim)), {}, []
+            part, limit = x[s : s + ROWS_AT_ONCE], tau[s : s + ROWS_AT_ONCE]
+            before = len(self.counts)
+            if len(outlines) < before:
+                outlines = np.vstack([outlines, np.zeros((len(self.vectors) - len(outlines), outlines.shape[1]), np.float32)])
+            outlines[known:before] = _outline(self.vectors[known:before])
+            rows, near, sims = self._within(part, limit, outlines[:before])
+            begins = np.searchsorted(rows, np.arange(len(part) + 1))
+            moved, slots, names, stale = np.empty((len(part), self.dim)), {}, [], np.zeros(before, bool)
             for i, v in enumerate(part):
-                best, sim = (int(near[i].argmax()), 0.0) if near.shape[1] else (-1, -np.inf)
-                sim = near[i, best] if best >= 0 else sim
+                best, sim = -1, -np.inf
+                if begins[i] < begins[i + 1]:
+                    at = near[begins[i] : begins[i + 1]]
+                    now = np.where(stale[at], -np.inf, sims[begins[i] : begins[i + 1]])
+                    top = int(now.argmax())
+                    best, sim = (int(at[top]), now[top]) if now[top] > -np.inf else (-1, -np.inf)
                 if names:
                     later = moved[: len(names)] @ v
                     top = later.max()
                     if top >= sim:
                         first = min(names[j] for j in np.flatnonzero(later == top))
                         best, sim = (first if top > sim else min(first, best)), top
-                if best >= 0 and 1.0 - sim <= tau[s + i]:
+                if best >= 0 and 1.0 - sim <= limit[i]:
                     count = self.counts[best]
                     fresh = (self.vectors[best] * count + v) / (count + 1.0)
                     length = float(np.sqrt(fresh @ fresh))
@@ -151,12 +177,35 @@ class Prototypes:
                 if best not in slots:
                     slots[best] = len(names)
                     names.append(best)
-                    if best < near.shape[1]:
-                        near[i + 1 :, best] = -np.inf
+                    if best < before:
+                        stale[best] = True
                 moved[slots[best]] = self.vectors[best]
                 out[s + i] = best
+            old = np.flatnonzero(stale)
+            outlines[old] = _outline(self.vectors[old])
+            known = before
         return out
 
+    def _within(self, part: np.ndarray, tau: np.ndarray, outlines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, prototypes, similarities) of all pairs that may lie within tau, by row and prototype. Outlines in single precision leave out
+        what is farther; similarities are in double."""
+        mine = _outline(part)
+        floor = (1.0 - tau).astype(np.float32)[:, None] - np.float32(SINGLE_ERROR * max(1.0, float(np.einsum("ij,ij->i", part, part).max(initial=0.0))))
+        found = []
+        for c in range(0, len(outlines), TILE):
+            close = mine @ outlines[c : c + TILE].T >= floor
+            i, j = np.divmod(_marked(close), close.shape[1])
+            if len(i) * 16 > close.size:
+                sim = (part @ self.vectors[c : c + close.shape[1]].T)[i, j]
+            else:
+                sim = np.einsum("ij,ij->i", part[i], self.vectors[c + j])
+            found.append((i, c + j, sim))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        rows, near, sims = (np.concatenate(v) for v in zip(*found))
+        order = np.lexsort((near, rows))
+        return rows[order], near[order], sims[order]
+
     def _append(self, v: np.ndarray) -> int:
         n = len(self.counts)
         if n == len(self.vectors):

@@ -395,6 +395,24 @@ def test_dp_means_equals_a_replay(spark, block, monkeypatch):
             assert got[i] == k
 
 
+@pytest.mark.parametrize("tile,block", [(4_096, 256), (10, 7)])
+def test_dp_means_leaves_far_prototypes_out(tile, block, monkeypatch):
+    """Rows of 64 components: most prototypes are told apart by their outlines, with the assignments of add()."""
+    monkeypatch.setattr(R, "TILE", tile)
+    monkeypatch.setattr(R, "ROWS_AT_ONCE", block)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((60, 64))[rng.integers(0, 60, 900)] + 0.35 * rng.standard_normal((900, 64))
+    x[500:540] = x[100:140]  # ties
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tau = 0.24 * rng.choice([0.5, 1.0, 1.4], 900)
+    state, one, compared, within = R.Prototypes(64), R.Prototypes(64), [], R.Prototypes._within
+    monkeypatch.setattr(R.Prototypes, "_within", lambda self, *a: compared.append(within(self, *a)) or compared[-1])
+    got = np.r_[state.add_all(x[:333], tau[:333]), state.add_all(x[333:], tau[333:])]
+    assert got.tolist() == [one.add(v, t) for v, t in zip(x, tau)] and state.counts == one.counts and len(one.counts) > 60
+    assert np.allclose(state.vectors[: len(state.counts)], one.vectors[: len(one.counts)])
+    assert 0 < sum(len(c[0]) for c in compared) < len(x) * len(one.counts) / 10
+
+
 def test_chapters_of_a_dense_timeline(spark):
     """A photo at nearly every second of a month: no photo is held against all others of its 30 days."""
     began = time.monotonic()
