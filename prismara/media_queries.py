@@ -16,6 +16,7 @@ from prismara.operators import metrics as M
 from prismara.operators import regions as R
 from prismara.plans import fts, fusion, knn, search
 from prismara.sources import files
+from prismara.storage import materialise
 from prismara.tables import load, one_per_key
 
 DIM, PREFIX = 64, 8
@@ -730,7 +731,8 @@ def vectors_without_sentinels(m: Media) -> DataFrame:
 
 def assigned(m: Media, timed: DataFrame) -> DataFrame:
     """DP-means over all region vectors in order of capture, chapter by chapter. ``timed``: (asset_id, taken_at, factor)."""
-    placed = R.with_chapter(timed, R.chapters(m.some("taken_at")))
+    timed = materialise(timed, "timed")  # read for the chapters and for the rows
+    placed = R.with_chapter(timed, R.chapters(timed))
     real = m.region("asset_id", "region_idx").where("region_idx >= 0").join(m.regions_once, "region_id")
     rows = real.join(placed, "asset_id").withColumnRenamed("chapter_id", "scope")
     return R.dp_means(rows, "scope", ["taken_at", "asset_id", "region_idx", "region_id"], DIM)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from prismara.functions import scalars as S
 from prismara.operators.sessions import SLICE_SECONDS
+from prismara.storage import materialise
 
 # Fixed values of the online clustering and of the box filter.
 TAU = 0.24
@@ -25,6 +27,12 @@ AREA_LEAST, AREA_MOST = 0.0008, 0.85
 ROWS_AT_ONCE = 256
 #: Components of the filter that tells rows and far prototypes apart, prototypes of a tile, and its error in single precision.
 HEAD, TILE, SINGLE_ERROR = 40, 4_096, 1e-5
+#: Members from which a prototype has an anchor, the distance to an anchor that makes prototypes its neighbours, and the drift that sets it anew.
+CROWD, APART, DRIFT = 8, 0.95, 0.15
+#: Anchors beyond which, if they are more than a part of the prototypes, those with few members are dropped.
+ANCHORS, PART = 512, 16
+#: Way that a prototype goes within a block of rows before these meet it anew.
+SLACK = 0.05
 #: Ids of one second that a task relates at once.
 ID_BLOCK = 65_536
 PAD, SIDE_LEAST, IOU_MOST, BOXES_MOST, MASK_SIDE = 0.12, 24, 0.85, 24, 256
@@ -108,20 +116,35 @@ def _marked(flags: np.ndarray) -> np.ndarray:
     return at[flat[at]]
 
 
+def _any_within(v: np.ndarray, squares: np.ndarray, anchors: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether rows lie within APART of any anchor; squared lengths are given."""
+    out = np.zeros(len(v), bool)
+    for c in range(0, len(v), 1_024):
+        tile = slice(c, c + 1_024)
+        out[tile] = (v[tile] @ anchors.T >= (squares[tile, None] + (lengths - APART * APART)) / 2.0 - 1e-9).any(1)
+    return out
+
+
 @dataclass
 class Prototypes:
-    """State of DP-means: unit prototypes with member counts; ids count up from ``first``."""
+    """State of DP-means: unit prototypes with member counts; ids count up from ``first``.
+
+    Most rows lie near a prototype with many members. Such a prototype has an anchor, a point that stays while it drifts a little; prototypes
+    within APART of any anchor are marked as neighbours. All others are APART or more from every anchor, so a row at distance d of its nearest
+    anchor is APART - d or more from them: where a neighbour is nearer than that, or tau, they need not be compared.
+    """
 
     dim: int
     vectors: np.ndarray = field(init=False)
     counts: list[int] = field(default_factory=list)
+    _covered: int = field(init=False, default=0)
 
     def __post_init__(self):
         self.vectors = np.zeros((0, self.dim), np.float64)
 
     def add(self, v: np.ndarray, tau: float) -> int:
         """The prototype for v: the nearest by 1 - cosine if within tau (the first of equals), drifting towards v, else a new one."""
-        n = len(self.counts)
+        n, self._covered = len(self.counts), 0
         if n:
             distance = 1.0 - self.vectors[:n] @ v
             best = int(distance.argmin())
@@ -140,66 +163,148 @@ class Prototypes:
 
 
     def add_all(self, x: np.ndarray, tau: np.ndarray) -> np.ndarray:
-        """As add() of each row in order. A block of rows meets the prototypes as they stand at its begin; those that have moved or come
-        since are kept apart, and only these are compared again for each row."""
+        """As add() of each row in order. A block of rows meets the prototypes as they stand at its begin. The way that each goes since then is
+        added up: rows know its similarity within that, compute it where it matters, and meet it anew after SLACK, as they meet new ones."""
         out = np.empty(len(x), np.int64)
-        outlines, known = _outline(self.vectors), len(self.counts)
+        self._cover(np.arange(self._covered, len(self.counts)))
         for s in range(0, len(x), ROWS_AT_ONCE):
             part, limit = x[s : s + ROWS_AT_ONCE], tau[s : s + ROWS_AT_ONCE]
-            before = len(self.counts)
-            if len(outlines) < before:
-                outlines = np.vstack([outlines, np.zeros((len(self.vectors) - len(outlines), outlines.shape[1]), np.float32)])
-            outlines[known:before] = _outline(self.vectors[known:before])
-            rows, near, sims = self._within(part, limit, outlines[:before])
-            begins = np.searchsorted(rows, np.arange(len(part) + 1))
-            moved, slots, names, stale = np.empty((len(part), self.dim)), {}, [], np.zeros(before, bool)
-            for i, v in enumerate(part):
-                best, sim = -1, -np.inf
-                if begins[i] < begins[i + 1]:
-                    at = near[begins[i] : begins[i + 1]]
-                    now = np.where(stale[at], -np.inf, sims[begins[i] : begins[i + 1]])
-                    top = int(now.argmax())
-                    best, sim = (int(at[top]), now[top]) if now[top] > -np.inf else (-1, -np.inf)
-                if names:
-                    later = moved[: len(names)] @ v
-                    top = later.max()
-                    if top >= sim:
-                        first = min(names[j] for j in np.flatnonzero(later == top))
-                        best, sim = (first if top > sim else min(first, best)), top
-                if best >= 0 and 1.0 - sim <= limit[i]:
-                    count = self.counts[best]
-                    fresh = (self.vectors[best] * count + v) / (count + 1.0)
-                    length = float(np.sqrt(fresh @ fresh))
-                    self.vectors[best] = fresh / length if length > 1e-9 else fresh
+            own = np.einsum("ij,ij->i", part, part)
+            slack = SLACK * np.sqrt(own)
+            floor, most = 1.0 - limit - slack, max(self._most, float(own.max()), 1.0)
+            near, beyond = self._candidates(part, limit, slack, own)
+            beyond, lengths, squares = beyond.tolist(), np.sqrt(own).tolist(), own.tolist()
+            gone, met = {}, {}  # way of each changed prototype, and as of when the rows have met it
+            for i, least in enumerate((1.0 - limit).tolist()):
+                v, length = part[i], lengths[i]
+                best, sim, sure = -1, -math.inf, False
+                if len(near[i]) == 1:
+                    [(best, (at, then))] = near[i].items()
+                    sim = at - (gone.get(best, 0.0) - then) * length - 1e-9
+                    sure = sim > least and sim > beyond[i]
+                if not sure:
+                    best, sim = -1, -math.inf
+                    for k, (at, then) in near[i].items():
+                        now = float(self.vectors[k] @ v) if k in gone else at
+                        if now > sim or now == sim and k < best:
+                            best, sim = k, now
+                    if beyond[i] >= max(sim, least):  # the neighbour that ruled the others out has moved away
+                        every = self.vectors[: len(self.counts)] @ v
+                        best = int(every.argmax()) if len(every) else -1
+                        sim = float(every[best]) if len(every) else sim
+                if sure or best >= 0 and 1.0 - sim <= limit[i]:
+                    count, p = self.counts[best], self.vectors[best]
+                    p *= count
+                    p += v
+                    p /= count + 1.0
+                    long = math.sqrt(p @ p)
+                    if long > 1e-9:
+                        p /= long
                     self.counts[best] += 1
+                    gone[best] = gone.get(best, 0.0) + math.sqrt(max(squares[i] + most - 2.0 * sim, 0.0)) / (count + 1.0) + abs(long - 1.0) + 1e-9
+                    anew = gone[best] - met.get(best, 0.0) > SLACK
                 else:
                     best = self._append(v)
-                if best not in slots:
-                    slots[best] = len(names)
-                    names.append(best)
-                    if best < before:
-                        stale[best] = True
-                moved[slots[best]] = self.vectors[best]
+                    gone[best], anew = 0.0, True
+                if anew:
+                    met[best] = gone[best]
+                    sims = part[i + 1 :] @ self.vectors[best]
+                    at = np.flatnonzero(sims >= floor[i + 1 :])
+                    for j, value in zip((at + i + 1).tolist(), sims[at].tolist()):
+                        near[j][best] = (value, gone[best])
                 out[s + i] = best
-            old = np.flatnonzero(stale)
-            outlines[old] = _outline(self.vectors[old])
-            known = before
+            self._cover(np.fromiter(gone, np.int64, len(gone)))
         return out
 
-    def _within(self, part: np.ndarray, tau: np.ndarray, outlines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _cover(self, changed: np.ndarray) -> None:
+        """Outlines, anchors and marks of neighbours after prototypes have moved or come."""
+        if not self._covered:
+            self._outlines, self._squares = np.zeros((0, min(HEAD, self.dim) + 1), np.float32), np.zeros(0)
+            self._near, self._slots, self._most, self._crowd = np.zeros(0, bool), np.zeros(0, np.int64), 0.0, CROWD
+            self._anchors, self._lengths = np.zeros((0, self.dim)), np.zeros(0)
+        n, room = len(self.counts), len(self.vectors) - len(self._near)
+        if room:
+            self._outlines = np.vstack([self._outlines, np.zeros((room, self._outlines.shape[1]), np.float32)])
+            self._squares, self._slots = np.r_[self._squares, np.zeros(room)], np.r_[self._slots, np.full(room, -1)]
+            self._near = np.r_[self._near, np.zeros(room, bool)]
+        self._covered = n
+        v = self.vectors[changed]
+        squares = self._squares[changed] = np.einsum("ij,ij->i", v, v)
+        self._outlines[changed], self._most = _outline(v), max(self._most, float(squares.max(initial=0.0)))
+        alone = ~self._near[changed]
+        self._near[changed[alone]] = _any_within(v[alone], squares[alone], self._anchors, self._lengths)
+        crowded = changed[np.array([self.counts[k] >= self._crowd for k in changed.tolist()], bool)]
+        slots = self._slots[crowded]
+        known = slots >= 0
+        drift = self.vectors[crowded[known]] - self._anchors[slots[known]]
+        old, new = crowded[known][np.einsum("ij,ij->i", drift, drift) > DRIFT * DRIFT], crowded[~known]
+        if len(old) or len(new):
+            # As the anchors are compared in single precision, they are points of single precision.
+            anchors = self.vectors[np.r_[old, new]].astype(np.float32).astype(np.float64)
+            lengths = np.einsum("ij,ij->i", anchors, anchors)
+            self._near[:n] |= _any_within(self.vectors[:n], self._squares[:n], anchors, lengths)
+            self._slots[new] = np.arange(len(self._anchors), len(self._anchors) + len(new))
+            self._anchors[self._slots[old]], self._lengths[self._slots[old]] = anchors[: len(old)], lengths[: len(old)]
+            self._anchors, self._lengths = np.vstack([self._anchors, anchors[len(old) :]]), np.r_[self._lengths, lengths[len(old) :]]
+            while len(self._anchors) > max(ANCHORS, n // PART):
+                self._crowd *= 2
+                kept = np.flatnonzero(self._slots[:n] >= 0)
+                kept = kept[np.array(self.counts)[kept] >= self._crowd]
+                self._anchors, self._lengths = self._anchors[self._slots[kept]], self._lengths[self._slots[kept]]
+                self._slots[:] = -1
+                self._slots[kept] = np.arange(len(kept))
+                self._near[:n] = _any_within(self.vectors[:n], self._squares[:n], self._anchors, self._lengths)
+            self._single = self._anchors.astype(np.float32), self._lengths.astype(np.float32)
+
+    def _candidates(self, part: np.ndarray, limit: np.ndarray, slack: np.ndarray, own: np.ndarray) -> tuple[list[dict[int, tuple[float, float]]], np.ndarray]:
+        """For each row the prototypes that may come within its limit, with their similarities, and the similarity that no other exceeds until it
+        has gone SLACK. A row meets the neighbours of anchors, and the rest only where these may be nearer than the nearest neighbour and the
+        limit, equal rows together."""
+        n, found = len(self.counts), [{} for _ in range(len(part))]
+
+        def put(groups: list[list[int]], rows: np.ndarray, near: np.ndarray, sims: np.ndarray) -> None:
+            for r, k, s in zip(rows.tolist(), near.tolist(), sims.tolist()):
+                for at in groups[r]:
+                    found[at][k] = (s, 0.0)
+
+        tau, beyond, wide = limit + slack, np.full(len(part), -np.inf), np.arange(len(part))
+        if len(self._anchors):
+            ids = np.flatnonzero(self._near[:n])
+            met = self._within(part, tau, self._outlines[ids], ids)
+            put([[r] for r in range(len(part))], *met)
+            anchors, lengths = self._single
+            least = (lengths - 2.0 * (part.astype(np.float32) @ anchors.T)).min(1)
+            error = 4 * SINGLE_ERROR * max(1.0, float(own.max()), float(self._lengths.max()))
+            apart = np.maximum(APART - np.sqrt(np.maximum(own + least, 0.0) + error), 0.0)
+            beyond = (own + self._most - apart * apart) / 2.0 + SINGLE_ERROR + slack
+            best = 1.0 - limit
+            np.maximum.at(best, met[0], met[2] - slack[met[0]])
+            wide = np.flatnonzero(beyond >= best)
+            beyond[wide] = -np.inf
+        if len(wide):
+            copies: dict[bytes, list[int]] = {}
+            for r in wide.tolist():
+                copies.setdefault(part[r].tobytes(), []).append(r)
+            groups = list(copies.values())
+            put(groups, *self._within(part[[g[0] for g in groups]], np.array([tau[g].max() for g in groups]), self._outlines[:n]))
+        return found, beyond
+
+    def _within(self, part: np.ndarray, tau: np.ndarray, outlines: np.ndarray, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rows, prototypes, similarities) of all pairs that may lie within tau, by row and prototype. Outlines in single precision leave out
-        what is farther; similarities are in double."""
+        what is farther; similarities are in double. ``ids``: the prototypes of the outlines, rising; else the first ones."""
         mine = _outline(part)
         floor = (1.0 - tau).astype(np.float32)[:, None] - np.float32(SINGLE_ERROR * max(1.0, float(np.einsum("ij,ij->i", part, part).max(initial=0.0))))
         found = []
         for c in range(0, len(outlines), TILE):
             close = mine @ outlines[c : c + TILE].T >= floor
             i, j = np.divmod(_marked(close), close.shape[1])
+            tile = slice(c, c + close.shape[1]) if ids is None else ids[c : c + close.shape[1]]
+            names = c + j if ids is None else tile[j]
             if len(i) * 16 > close.size:
-                sim = (part @ self.vectors[c : c + close.shape[1]].T)[i, j]
+                sim = (part @ self.vectors[tile].T)[i, j]
             else:
-                sim = np.einsum("ij,ij->i", part[i], self.vectors[c + j])
-            found.append((i, c + j, sim))
+                sim = np.einsum("ij,ij->i", part[i], self.vectors[names])
+            found.append((i, names, sim))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         rows, near, sims = (np.concatenate(v) for v in zip(*found))
@@ -245,7 +350,9 @@ def dp_means(rows: DataFrame, scope: str, order: list[str], dim: int, tau: float
 
 
 def global_ids(assigned: DataFrame) -> DataFrame:
-    """(scope, region_id, cluster_id): ids count on over scopes in order, as each scope starts without prototypes."""
+    """(scope, region_id, cluster_id): ids count on over scopes in order, as each scope starts without prototypes. ``assigned`` is read for the
+    sizes and for the ids, so it is written once: the clustering is the longest task there is."""
+    assigned = materialise(assigned, "assigned")
     sizes = assigned.groupBy("scope").agg((F.max("local_id") + 1).alias("k"))
     before = F.coalesce(F.sum("k").over(W.partitionBy(F.lit(0)).orderBy("scope").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per scope
     return assigned.join(sizes.select("scope", before.alias("base")), "scope").select("scope", "region_id", (F.col("base") + F.col("local_id")).alias("cluster_id"))

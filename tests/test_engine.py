@@ -413,6 +413,56 @@ def test_dp_means_leaves_far_prototypes_out(tile, block, monkeypatch):
     assert 0 < sum(len(c[0]) for c in compared) < len(x) * len(one.counts) / 10
 
 
+def test_dp_means_rows_near_a_crowd_meet_its_neighbours_only(monkeypatch):
+    """Prototypes far from every crowded one are compared with rows that are far from these themselves."""
+    rng = np.random.default_rng(5)
+    crowds, who = rng.standard_normal((8, 64)), rng.permutation(np.r_[np.arange(3_600) % 8, np.full(900, -1)])
+    x = np.where(who[:, None] < 0, rng.standard_normal((4_500, 64)), crowds[who] + 0.3 * rng.standard_normal((4_500, 64)))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tau = 0.24 * rng.choice([0.5, 1.0, 1.3], 4_500)
+    pairs, within = [0], R.Prototypes._within
+
+    def counted(self, part, limit, outlines, *rest):
+        pairs[0] += len(part) * len(outlines)
+        return within(self, part, limit, outlines, *rest)
+
+    monkeypatch.setattr(R.Prototypes, "_within", counted)
+    state, one = R.Prototypes(64), R.Prototypes(64)
+    got = np.r_[state.add_all(x[:2_000], tau[:2_000]), state.add_all(x[2_000:], tau[2_000:])]
+    assert got.tolist() == [one.add(v, t) for v, t in zip(x, tau)] and state.counts == one.counts and len(one.counts) > 900
+    assert 0 < pairs[0] < len(x) * len(one.counts) / 6
+
+
+@pytest.mark.parametrize("crowd,anchors,apart,drift,slack,block", [(1, 5, 1.3, 0.0, 0.4, 64), (2, 512, 0.6, 0.15, 0.0, 256), (2, 512, 0.95, 0.6, 0.4, 256), (8, 1, 0.2, 0.15, 0.05, 7)])
+def test_dp_means_of_drifting_prototypes_equals_a_replay(crowd, anchors, apart, drift, slack, block, monkeypatch):
+    """Prototypes that move far within a block, out of the neighbourhood of their anchors, more anchors than are kept, and thresholds beyond a
+    right angle."""
+    for name, value in (("CROWD", crowd), ("ANCHORS", anchors), ("APART", apart), ("DRIFT", drift), ("SLACK", slack), ("ROWS_AT_ONCE", block)):
+        monkeypatch.setattr(R, name, value, raising=False)
+    for seed, (dim, tau) in enumerate([(2, 0.05), (3, 0.24), (8, 0.6), (45, 1.2), (64, 0.24), (64, 2.5)]):
+        rng = np.random.default_rng(seed)
+        x = rng.standard_normal((20, dim))[rng.integers(0, 20, 500)] + rng.choice([0.05, 0.3, 0.8], 500)[:, None] * rng.standard_normal((500, dim))
+        x[300:340] = x[100:140]  # ties
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        limits = tau * rng.choice([0.5, 1.0, 1.4], 500)
+        state, one = R.Prototypes(dim), R.Prototypes(dim)
+        got = [*state.add_all(x[:200], limits[:200]), *(state.add(v, t) for v, t in zip(x[200:210], limits[200:210])), *state.add_all(x[210:], limits[210:])]
+        assert got == [one.add(v, t) for v, t in zip(x, limits)] and state.counts == one.counts
+        assert np.allclose(state.vectors[: len(state.counts)], one.vectors[: len(one.counts)])
+
+
+def test_dp_means_runs_once_for_global_ids(spark, tmp_path):
+    def logged(batches):
+        for batch in batches:
+            (tmp_path / str(time.monotonic_ns())).touch()
+            yield batch
+
+    rows = spark.createDataFrame([(0, 1, 0), (0, 2, 1), (2, 3, 0), (2, 4, 0)], "scope long, region_id long, local_id long").coalesce(1)
+    got = R.global_ids(rows.mapInArrow(logged, rows.schema)).orderBy("region_id").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 0), (0, 2, 1), (2, 3, 2), (2, 4, 2)]
+    assert len(list(tmp_path.iterdir())) == 1
+
+
 def test_chapters_of_a_dense_timeline(spark):
     """A photo at nearly every second of a month: no photo is held against all others of its 30 days."""
     began = time.monotonic()
